@@ -7,23 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.llm import langid
+from fieldloom.llm.bpe import ByteBPE, encoded
 from fieldloom.llm.common import read
 from fieldloom.llm.exact_dedup import exact_groups
 from fieldloom.llm.minhash import near_components
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the other four folds."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id", 5, 0))
+    model = langid.train(docs.where("not held_out"))
+    return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five words, similarity 0.85."""
     return near_components(read(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and back, as digests."""
+    import public_tokenizers
+
+    coder = ByteBPE(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = encoded(read(spark, sf_dir, "documents").select("doc_id", "text"), coder)
+    return found.select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal documents, white space aside."""
     return exact_groups(read(spark, sf_dir, "documents"), carry=("doc_id",))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_minhash_near_dedup, op7_exact_dedup)
+    f.__name__: f for f in (op2_language_id, op5_minhash_near_dedup, op6_byte_bpe, op7_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
