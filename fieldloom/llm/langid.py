@@ -3,8 +3,10 @@
 Each language has a tree of byte contexts of order 0 to 4 with counts from labelled text. A byte is coded in its longest
 known context; where that context has not seen it, an escape (method C: distinct / (total + distinct)) leads to the
 next shorter one, down to a uniform code of 8 bits. Counts are frozen after training, so the code length of a byte after
-its context is a constant, and the length of a text under a language is an exact sum of table entries. The language
-with the shortest code wins. Symbols already ruled out by a longer context are not excluded again.
+its context is a constant, and the length of a text under a language is an exact sum of table entries. Symbols already
+ruled out by a longer context are not excluded again. Each window of 128 bytes goes to the language with the shortest
+code for it, and the text to the language with the most bytes: a quoted passage, however costly in the language around
+it, then counts by its length only.
 
 Training takes a bounded sample: about `sample` documents of each language. Everything after that sees whole texts.
 """
@@ -22,6 +24,7 @@ from fieldloom.llm.common import without
 
 ORDER = 4
 SAMPLE = 400
+WINDOW = 128
 _SPAN = 1 << 19  # bytes scored at once
 _EMPTY = np.uint64((1 << 64) - 1)
 
@@ -166,25 +169,28 @@ class _Scorer:
         out[wait] += 8.0
         return out
 
-    def lengths(self, texts: list[str | None]) -> np.ndarray:
-        """Total code length of each text in bits, by language."""
-        total = np.zeros((len(texts), len(self.langs)))
+    def lengths(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """By text and language: code length in bits, and bytes of the windows in which it is the shortest."""
+        total, won = np.zeros((len(texts), len(self.langs))), np.zeros((len(texts), len(self.langs)))
         parts: list[np.ndarray] = []
         owner: list[int] = []
-        size = 0
 
         def flush():
-            sizes = np.array([len(p) for p in parts])
-            bits = self.bits(np.concatenate([*parts]))
-            # the first ORDER positions of each later part code padding across a seam: they are left out
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            drop = (starts[1:, None] - ORDER + np.arange(ORDER)).ravel()
-            bits[drop] = 0
-            found = np.add.reduceat(bits, np.maximum(starts - ORDER, 0) if len(parts) == 1 else np.concatenate([[0], starts[1:] - ORDER]), axis=0, dtype=np.float64)
-            np.add.at(total, owner, found)
+            bits = self.bits(np.concatenate(parts))
+            at, windows, of = 0, [], []
+            for part, i in zip(parts, owner, strict=True):
+                stop = at + len(part) - ORDER
+                windows += [*range(at, stop, WINDOW)]
+                of += [i] * -(-(stop - at) // WINDOW)
+                bits[stop : stop + ORDER] = 0  # these code the padding of the next part
+                at = stop + ORDER
+            found = np.add.reduceat(bits, windows, axis=0, dtype=np.float64)
+            np.add.at(total, of, found)
+            np.add.at(won, (of, found.argmin(axis=1)), np.minimum(np.diff([*windows, len(bits)]), WINDOW))
             parts.clear()
             owner.clear()
 
+        size = 0
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -198,7 +204,7 @@ class _Scorer:
                     size = 0
         if parts:
             flush()
-        return total
+        return total, won
 
 
 _SCORERS: dict[int, _Scorer] = {}
@@ -237,9 +243,9 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and bits_per_byte.
 
-    The whole text is scored. score is the posterior of the predicted language under equal priors, 0 to 1. A text that is
-    null or has no letter, or a model without languages, gives `und`, score 0 and null bits_per_byte. Ties go to the first
-    language in order. Input columns named like an added one are replaced; an empty table gives an empty result.
+    The whole text is scored. score is the share of bytes that the predicted language won, 0 to 1. A text that is
+    null or has no letter, or a model without languages, gives `und`, score 0 and null bits_per_byte. Ties go to the shorter
+    code, then to the first language in order. Input columns named like an added one are replaced; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     langs = model.langs
@@ -253,16 +259,17 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
         for batch in batches:
             texts = batch.column(0).to_pylist()
             scored = [t if t and langs and any(map(str.isalpha, t)) else None for t in texts]
-            bits = scorer.lengths(scored) if langs else np.zeros((len(texts), 1))
-            best = bits.argmin(axis=1)
-            score = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
+            bits, won = scorer.lengths(scored) if langs else (np.zeros((len(texts), 1)),) * 2
+            # shortest code first among equal shares
+            best = np.where(won == won.max(axis=1, keepdims=True), bits, np.inf).argmin(axis=1)
+            score = won.max(axis=1) / np.maximum(won.sum(axis=1), 1)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.StructArray.from_arrays(
                         [
                             pa.array([langs[b] if t is not None else "und" for b, t in zip(best, scored, strict=True)], pa.string()),
                             pa.array([float(s) if t is not None else 0.0 for s, t in zip(score, scored, strict=True)], pa.float64()),
-                            pa.array([float(x) / max(1, len(_bytes(t))) if t is not None else None for x, t in zip(bits.min(axis=1), scored, strict=True)], pa.float64()),
+                            pa.array([float(x) / max(1, len(_bytes(t))) if t is not None else None for x, t in zip(bits[np.arange(len(best)), best], scored, strict=True)], pa.float64()),
                         ],
                         ["lang_pred", "score", "bits_per_byte"],
                     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import langid
+from fieldloom.llm import langid, quality, toxicity
 from fieldloom.llm.bpe import ByteBPE, encoded
 from fieldloom.llm.common import read
 from fieldloom.llm.exact_dedup import exact_groups
@@ -21,6 +21,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from two folds of three."""
+    fold = langid.held_out("doc_id", 3, 1)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold)
+    net = toxicity.train(docs.where("not held_out"), read(spark, sf_dir, "labels").where(~fold))
+    found = toxicity.score(docs, net)
+    return found.select(
+        "doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"), "toxic_in_lang"
+    )
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five words, similarity 0.85."""
     return near_components(read(spark, sf_dir, "documents"))
@@ -42,8 +53,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"), carry=("doc_id",))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; its source is the host, its language the path."""
+    docs = read(spark, sf_dir, "documents")
+    net = quality.train(docs, read(spark, sf_dir, "labels"))
+    found = quality.judged(docs, net, quality.site_means(docs, net))
+    return found.select("doc_id", "evidence", "site_mean", "quality_score", F.col("quality_kept").alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_id, op5_minhash_near_dedup, op6_byte_bpe, op7_exact_dedup)
+    f.__name__: f for f in (op2_language_id, op4_toxicity, op5_minhash_near_dedup, op6_byte_bpe, op7_exact_dedup, op8_quality)
 }
 
 ORACLES: dict[str, str] = {
