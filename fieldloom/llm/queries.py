@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import langid, quality, toxicity
+from fieldloom.llm import imatch, langid, quality, toxicity
 from fieldloom.llm.bpe import ByteBPE, encoded
 from fieldloom.llm.common import read
 from fieldloom.llm.exact_dedup import exact_groups
+from fieldloom.llm.html_text import extracted
 from fieldloom.llm.minhash import near_components
 
 
@@ -61,8 +62,19 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "evidence", "site_mean", "quality_score", F.col("quality_kept").alias("kept"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extracted(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every document and of its edited text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return imatch.edited_pairs(docs, imatch.lexicon(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_id, op4_toxicity, op5_minhash_near_dedup, op6_byte_bpe, op7_exact_dedup, op8_quality)
+    f.__name__: f for f in (op2_language_id, op4_toxicity, op5_minhash_near_dedup, op6_byte_bpe, op7_exact_dedup, op8_quality, op9_html_extraction, op10_fingerprints)
 }
 
 ORACLES: dict[str, str] = {
