@@ -6,8 +6,9 @@ candidates; a link is confirmed only on the full shingle sets.
 
 Work follows links, not pairs. Documents with equal sets form one class. In every shared band each class is compared
 with a few hubs of that band; classes linked so far are merged; then, in bands that still hold several components,
-each class outside the first hub's component is compared with all classes of other components. Pairs inside
-one component need no comparison, since only reachability counts. Nothing is capped.
+each class outside the first hub's component is compared with all classes of other components: pair by pair in bands of
+a few classes, in blocks of bounded size in crowded ones, where only links leave the block. Pairs inside one component
+need no comparison, since only reachability counts. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import checkpointed, stored
 
 ROWS, BANDS = 5, 26  # a pair of similarity 0.85 shares no band with probability 3e-7
+FEW, BLOCK = 64, 256  # bands of up to FEW classes are compared pair by pair, others in blocks
+_COLUMNS = 2048
 _WORDS: dict[bytes, int] = {}
 _WORDS_HELD = 500_000
 
@@ -132,6 +135,39 @@ def _confirm(num: int, den: int):
     return run
 
 
+def _confirm_block(num: int, den: int):
+    """Links between the strays (side) and the other components in one block, by counting shared shingles in a product of
+    0/1 matrices, a few thousand shingles at a time."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = np.array(table.column("side").to_pylist(), dtype=bool)
+        ids, label = table.column("c"), np.unique(np.array(table.column("label").to_pylist()), return_inverse=True)[1]
+        sets = [np.frombuffer(v, np.uint64) for v in table.column("set").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        both = np.zeros((len(left), len(right)), dtype=np.float32)
+        if both.size:
+            _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(sets)), size)
+            number = np.cumsum(count > 1) - 1
+            several = count[column] > 1
+            row, column = row[several], number[column[several]]
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            for low in range(0, int(number[-1]) + 1, _COLUMNS):
+                a, b = np.searchsorted(column, [low, low + _COLUMNS])
+                part = np.zeros((len(sets), _COLUMNS), dtype=np.float32)
+                part[row[a:b], column[a:b] - low] = 1
+                both += part[left] @ part[right].T
+        union = size[left][:, None] + size[right][None, :] - both
+        i, j = np.nonzero((den * both >= num * union) & (label[left][:, None] != label[right][None, :]))
+        names = ids.to_pylist()
+        pairs = [sorted((names[x], names[y])) for x, y in zip(left[i], right[j], strict=True)]
+        return pa.table([pa.array([p[k] for p in pairs], ids.type) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def components(edges: DataFrame, id_type: str = "long") -> DataFrame:
     """Connected components of edges (a, b) as (id, label): the smallest id reachable. Labels spread to neighbours, then
     every label is replaced by its own label, so paths shorten by half or more in each round."""
@@ -212,18 +248,34 @@ def near_components(
     links = checkpointed(confirmed(tried))
     label = components(links)
 
-    # bands that still hold several components: everything outside the first hub's component against the rest
+    # bands that still hold several components: what lies outside the first hub's component, against the rest
     at = label.select(F.col("id").alias("c"), "label")
-    held = shared.select("band", "c", "n", F.col("low.c").alias("hub")).join(at, "c", "left").withColumn("label", F.coalesce("label", "c"))
     hub_at = label.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
-    held = held.join(hub_at, "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
-    held = checkpointed(held.select("band", "c", "n", "label", "hub_label"))
-    strays = held.where("label <> hub_label").select("band", F.col("c").alias("s"), F.col("n").alias("m"), F.col("label").alias("s_label"))
-    met = held.join(strays, "band").where(
+    held = (
+        shared.select("band", "c", "n", F.col("low.c").alias("hub"))
+        .join(at, "c", "left")
+        .join(hub_at, "hub", "left")
+        .select("band", "c", "n", F.coalesce("label", "c").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
+    )
+    held = checkpointed(held.select("band", "c", "n", "label", (F.col("label") != F.col("hub_label")).alias("stray")))
+    mixed = held.groupBy("band").agg(F.count(F.lit(1)).alias("all"), F.count_if("stray").alias("strays")).where("strays > 0")
+    held = checkpointed(held.join(mixed, "band"))
+    few = held.where(F.col("all") <= FEW)
+    strays = few.where("stray").select("band", F.col("c").alias("s"), F.col("n").alias("m"), F.col("label").alias("s_label"))
+    met = few.join(strays, "band").where(
         (F.col("label") != F.col("s_label")) & (F.least("n", "m") * den >= F.greatest("n", "m") * num)
     )
     rest = met.select(F.least("c", "s").alias("a"), F.greatest("c", "s").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = checkpointed(confirmed(rest))
+    # crowded bands in blocks: every block of strays meets every block of members in one group of bounded size
+    many = held.where(F.col("all") > FEW)
+    rows_of, cols_of = (F.ceil(F.col(x) / BLOCK).cast("int") for x in ("strays", "all"))
+    spot = F.xxhash64("c", "band")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    blocks = many.where("stray").select("band", F.pmod(spot, rows_of).cast("int").alias("i"), every(cols_of).alias("j"), "c", "label", F.lit(True).alias("side"))
+    blocks = blocks.union(many.select("band", every(rows_of).alias("i"), F.pmod(spot, cols_of).cast("int").alias("j"), "c", "label", F.lit(False).alias("side")))
+    blocks = blocks.join(sets.withColumnRenamed("id", "c"), "c").select("band", "i", "j", "c", "label", "side", "set")
+    crowded = blocks.groupBy("band", "i", "j").applyInArrow(_confirm_block(num, den), f"a {id_type}, b {id_type}").distinct()
+    more = checkpointed(confirmed(rest).union(crowded))
     if more.limit(1).count():
         label = components(links.union(more))
 
