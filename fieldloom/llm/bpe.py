@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import without
 
 LEAF = 24  # bytes encoded directly
-HELD = 400_000  # pieces kept by a worker in each of two generations
+HELD = 100_000  # pieces kept by a worker in each of two generations
 
 
 class Coder:
