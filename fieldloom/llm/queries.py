@@ -7,12 +7,91 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fieldloom.llm import imatch, langid, quality, toxicity
 from fieldloom.llm.bpe import ByteBPE, encoded
 from fieldloom.llm.common import read
 from fieldloom.llm.exact_dedup import exact_groups
 from fieldloom.llm.html_text import extracted
 from fieldloom.llm.minhash import near_components
+from fieldloom.llm.mixing import mixed
+from fieldloom.llm.sharding import shard_plan
+
+
+MIX_LEVELS = ("domain", "lang", "source")
+MIX_WEIGHTS = {"domain": {"d0": 5.0, "d1": 3.0, "d2": 2.0}, "lang": {"en": 4.0, "fr": 3.0, "de": 2.0, "es": 1.0}, "source": {"src0": 3.0}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 2, 17
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn to target weights: the number of a source, modulo 3, is its domain."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    number = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
+    return mixed(
+        docs,
+        share_of_supply=MIX_SHARE,
+        levels={"domain": F.concat(F.lit("d"), F.pmod(number, F.lit(3)).cast("string")), "lang": F.col("lang"), "source": F.col("source")},
+        weights=MIX_WEIGHTS,
+        carry=("doc_id",),
+        max_epochs=MIX_EPOCHS,
+        seed=MIX_SEED,
+    )
+
+
+def _mixing_sql() -> str:
+    """SQL of op1_mixing."""
+
+    def weight(level: str) -> str:
+        cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS[level].items())
+        return f"CASE {level} {cases} ELSE 1.0 END::DOUBLE"
+
+    parts = [
+        f"""d AS (
+            SELECT doc_id, coalesce('d' || CAST(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 3 AS VARCHAR), '') AS domain,
+                   coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   CAST((strlen(coalesce(text, '')) + 3) // 4 AS BIGINT) AS n_tokens
+            FROM documents
+        ), leaves AS (
+            SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply FROM d GROUP BY ALL
+        ), t0 AS (SELECT least(sum(supply)::DOUBLE * {MIX_SHARE}, sum(supply)::DOUBLE * {MIX_EPOCHS}) AS amount FROM leaves)"""
+    ]
+    for i, level in enumerate(MIX_LEVELS):
+        path, parent = ", ".join(MIX_LEVELS[: i + 1]), ", ".join(MIX_LEVELS[:i])
+        group = f"PARTITION BY {parent}" if parent else ""
+        parts.append(
+            f"""a{i} AS (
+            SELECT {path}, sum(supply)::DOUBLE * {MIX_EPOCHS} AS cap, {weight(level)} AS w FROM leaves GROUP BY {path}
+        ), b{i} AS (
+            SELECT *, coalesce(sum(cap) OVER ({group} ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken,
+                   sum(w) OVER ({group} ORDER BY cap / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lw
+            FROM a{i} {f"JOIN t{i} USING ({parent})" if parent else f"CROSS JOIN t{i}"}
+        ), c{i} AS (
+            SELECT *, (amount - taken) / lw AS rate, cap <= (amount - taken) / lw * w AS is_full FROM b{i}
+        ), t{i + 1} AS (
+            SELECT {path}, CASE WHEN is_full THEN cap
+                   ELSE least(cap, floor(max(CASE WHEN NOT is_full THEN rate END) OVER ({group}) * w)) END AS amount
+            FROM c{i}
+        )"""
+        )
+    path = ", ".join(MIX_LEVELS)
+    parts.append(
+        f"""leaf AS (
+            SELECT *, CASE WHEN supply > 0 THEN CAST(amount AS BIGINT) // supply ELSE 0 END AS full_epochs
+            FROM leaves JOIN t{len(MIX_LEVELS)} USING ({path})
+        ), e AS (
+            SELECT d.*, full_epochs, CAST(amount AS BIGINT) - full_epochs * supply AS rest FROM d JOIN leaf USING ({path})
+        ), o AS (
+            SELECT *, coalesce(sum(n_tokens) OVER (
+                PARTITION BY {path} ORDER BY md5('{MIX_SEED}:' || full_epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM e WHERE rest > 0
+        )
+        SELECT doc_id, {path}, CAST(i AS INT) AS epoch, n_tokens, n_tokens AS take_tokens
+        FROM e JOIN (SELECT unnest(range({MIX_EPOCHS})) AS i) ON i < full_epochs
+        UNION ALL
+        SELECT doc_id, {path}, CAST(full_epochs AS INT), n_tokens, CAST(least(n_tokens, rest - before) AS BIGINT) FROM o WHERE before < rest"""
+    )
+    return "WITH " + ", ".join(parts)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +101,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A uniform shuffle of all documents into eight shards of equal row counts."""
+    return shard_plan(read(spark, sf_dir, "documents"), shards=8)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from two folds of three."""
     fold = langid.held_out("doc_id", 3, 1)
@@ -74,10 +158,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_id, op4_toxicity, op5_minhash_near_dedup, op6_byte_bpe, op7_exact_dedup, op8_quality, op9_html_extraction, op10_fingerprints)
-}
+    f.__name__: f
+    for f in (op1_mixing, op2_language_id, op3_sharding, op4_toxicity, op5_minhash_near_dedup, op6_byte_bpe, op7_exact_dedup, op8_quality, op9_html_extraction, op10_fingerprints)
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
+    "op1_mixing": _mixing_sql(),
     "op7_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
@@ -90,4 +176,4 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
     """,
-}
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
