@@ -2,9 +2,495 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldloom.functions.kernels import ball_volume, get_kernel
+from fieldloom.functions.time import CyclicTime, LinearTime, offset
+from fieldloom.operators import risk, selection
+from fieldloom.operators.bandwidths import AbramsonBandwidth, BalloonKNNBandwidth, BandwidthMatrix, KNNBandwidth
+from fieldloom.operators.spacetime import SpatiotemporalBandwidthExperiment, SpatiotemporalKDE
+from fieldloom.operators.spatial import SpatialKDE
+from fieldloom.sources.planar import Boundary, Events, Support
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query, with its SQL if there is one."""
+
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def kernel_sql(kernel: str, u: str, dim: int, h: str = "1") -> str:
+    """SQL of a scaled kernel."""
+    v, d = ball_volume(dim), dim
+    inside = {
+        "gaussian": f"exp(-0.5 * ({u}) * ({u})) * {(2 * math.pi) ** (-d / 2)!r}",
+        "epanechnikov": f"(1 - ({u}) * ({u})) * {(d + 2) / 2 / v!r}",
+        "quartic": f"power(1 - ({u}) * ({u}), 2) * {(d + 2) * (d + 4) / 8 / v!r}",
+        "triangular": f"(1 - ({u})) * {(d + 1) / v!r}",
+        "uniform": f"{1 / v!r}",
+        "exponential": f"exp(-({u})) * {1 / math.gamma(d + 1) / v!r}",
+    }[kernel]
+    if get_kernel(kernel).reach is not None:
+        inside = f"CASE WHEN ({u}) <= 1 THEN {inside} ELSE 0 END"
+    return f"(({inside}) / power({h}, {d}))"
+
+
+def rounded(df: DataFrame, *names: str, scale: float = 1.0) -> DataFrame:
+    """Values brought to order one and rounded, so that the order of a sum does not show."""
+    return df.withColumns({n: F.round(F.col(n) * scale, 6) + 0.0 for n in names})
+
+
+# --- plane -----------------------------------------------------------------------------------------------------------
+
+GRID = (0.0, 0.0, 52.0, 105.0)
+GRID_SQL = """g AS (
+    SELECT y * 13 + x AS support_id, x * 4 + 2.0 AS gx, y * 5 + 2.5 AS gy, 20.0 AS measure
+    FROM (SELECT unnest(range(13)) AS x), (SELECT unnest(range(21)) AS y)
+)"""
+
+
+def sales(spark: SparkSession, sf_dir: str, weighted: bool = False) -> Events:
+    """Line items by quantity and price in thousands; the weight is what the discount leaves."""
+    return Events.from_frame(
+        read(spark, sf_dir, "lineitem"),
+        (F.col("l_quantity"), F.col("l_extendedprice") / 1000),
+        weight=1 - F.col("l_discount") if weighted else None,
+        event_id=F.col("l_orderkey") * 100 + F.col("l_linenumber"),
+    )
+
+
+def sales_grid(spark: SparkSession) -> Support:
+    return Support.grid(spark, GRID, (4.0, 5.0))
+
+
+def _grid_sql(kernel: str, h: float, weight: str = "1.0", density: bool = True) -> str:
+    d = "sqrt(power(gx - l_quantity, 2) + power(gy - l_extendedprice / 1000, 2))"
+    value = f"sum({weight} * {kernel_sql(kernel, f'{d} / {h}', 2, str(h))})" + (f" / sum({weight})" if density else " / 1000")
+    name = "density" if density else "intensity"
+    return f"""WITH {GRID_SQL} SELECT support_id, gx AS x, gy AS y, measure,
+        round(greatest(0, {value}) * 1000, 6) + 0.0 AS {name} FROM g CROSS JOIN lineitem GROUP BY ALL"""
+
+
+def _register_kernel(kernel: str, h: float) -> None:
+    @query(_grid_sql(kernel, h), f"kde_{kernel}_grid")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = SpatialKDE(kernel, h).fit_evaluate(sales(spark, sf_dir), sales_grid(spark))
+        return rounded(found, "density", scale=1000)
+
+
+for _kernel, _h in (("gaussian", 3.0), ("epanechnikov", 4.0), ("quartic", 5.0), ("triangular", 5.0), ("uniform", 4.5), ("exponential", 2.0)):
+    _register_kernel(_kernel, _h)
+
+
+@query(_grid_sql("gaussian", 3.0, "(1 - l_discount)", density=False))
+def kde_weighted_intensity(spark, sf_dir):
+    found = SpatialKDE("gaussian", 3.0, "intensity").fit_evaluate(sales(spark, sf_dir, True), sales_grid(spark))
+    return rounded(found, "intensity")
+
+
+@query(
+    f"""WITH {GRID_SQL}, f AS (
+        SELECT support_id, measure, sum({kernel_sql("epanechnikov", "sqrt(power(gx - l_quantity, 2) + power(gy - l_extendedprice / 1000, 2)) / 4.0", 2, "4.0")})
+            / count(*) AS density FROM g CROSS JOIN lineitem GROUP BY ALL
+    ) SELECT round(sum(density * measure), 6) AS mass, max(support_id) + 1 AS cells FROM f"""
+)
+def kde_integral(spark, sf_dir):
+    found = SpatialKDE("epanechnikov", 4.0).fit_evaluate(sales(spark, sf_dir), sales_grid(spark))
+    return found.agg(F.round(F.sum(F.col("density") * F.col("measure")), 6).alias("mass"), F.count(F.lit(1)).alias("cells"))
+
+
+_H = BandwidthMatrix(((9.0, 2.0), (2.0, 4.0)))
+
+
+@query(
+    f"""WITH {GRID_SQL} SELECT support_id, gx AS x, gy AS y, measure, round(1000 * sum(exp(-0.5 * (
+            4.0 * power(gx - l_quantity, 2) - 4.0 * (gx - l_quantity) * (gy - l_extendedprice / 1000) + 9.0 * power(gy - l_extendedprice / 1000, 2)
+        ) / 32.0)) / count(*) / (2 * pi() * sqrt(32.0)), 6) + 0.0 AS density
+    FROM g CROSS JOIN lineitem GROUP BY ALL"""
+)
+def kde_matrix_bandwidth(spark, sf_dir):
+    return rounded(SpatialKDE("gaussian", _H).fit_evaluate(sales(spark, sf_dir), sales_grid(spark)), "density", scale=1000)
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> Events:
+    """Suppliers on a line by balance in thousands."""
+    return Events.from_frame(read(spark, sf_dir, "supplier"), (F.col("s_acctbal") / 1000,), event_id="s_suppkey")
+
+
+_BALANCES = "s AS (SELECT s_suppkey AS id, s_acctbal / 1000 AS x FROM supplier)"
+
+
+@query(
+    f"""WITH {_BALANCES}, r AS (
+        SELECT a.id, abs(a.x - b.x) AS d, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.x - b.x)) AS k FROM s a JOIN s b ON a.id <> b.id
+    ) SELECT id AS event_id, round(greatest(d * 1.5, 0.05), 6) AS bandwidth FROM r WHERE k = 5"""
+)
+def knn_bandwidth(spark, sf_dir):
+    return rounded(KNNBandwidth(5, 1.5, 0.05).resolve(suppliers(spark, sf_dir)), "bandwidth")
+
+
+@query(
+    f"""WITH {_BALANCES}, r AS (
+        SELECT a.id, abs(a.x - b.x) AS d, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.x - b.x)) AS k FROM s a JOIN s b ON a.id <> b.id
+    ), h AS (SELECT id, greatest(d * 1.5, 0.05) AS h FROM r WHERE k = 5), t AS (SELECT unnest(range(24)) AS i)
+    SELECT i AS support_id, i * 0.5 - 1.0 AS x, round(sum({kernel_sql("epanechnikov", "abs(i * 0.5 - 1.0 - x) / h", 1, "h")}) / count(*), 6) + 0.0 AS density
+    FROM t CROSS JOIN (SELECT s.x, h.h FROM s JOIN h USING (id)) GROUP BY ALL"""
+)
+def knn_adaptive_kde(spark, sf_dir):
+    places = Support.points(spark.range(24).select("id", (F.col("id") * 0.5 - 1.0).alias("x")), ("x",), support_id="id")
+    found = SpatialKDE("epanechnikov", KNNBandwidth(5, 1.5, 0.05)).fit_evaluate(suppliers(spark, sf_dir), places)
+    return rounded(found, "density")
+
+
+@query(
+    f"""WITH {_BALANCES}, t AS (SELECT unnest(range(24)) AS i), r AS (
+        SELECT i, abs(i * 0.5 - 1.0 - x) AS d, row_number() OVER (PARTITION BY i ORDER BY abs(i * 0.5 - 1.0 - x)) AS k FROM t CROSS JOIN s
+    ), h AS (SELECT i, d AS h FROM r WHERE k = 7)
+    SELECT i AS support_id, i * 0.5 - 1.0 AS x, round(sum({kernel_sql("gaussian", "abs(i * 0.5 - 1.0 - x) / h", 1, "h")}) / count(*), 6) + 0.0 AS density
+    FROM h CROSS JOIN s GROUP BY ALL"""
+)
+def balloon_kde(spark, sf_dir):
+    places = Support.points(spark.range(24).select("id", (F.col("id") * 0.5 - 1.0).alias("x")), ("x",), support_id="id")
+    return rounded(SpatialKDE("gaussian", BalloonKNNBandwidth(7)).fit_evaluate(suppliers(spark, sf_dir), places), "density")
+
+
+@query(
+    f"""WITH {_BALANCES}, f AS (
+        SELECT a.id, greatest(sum({kernel_sql("gaussian", "abs(a.x - b.x) / 0.8", 1, "0.8")}) / count(*), 1e-12) AS f FROM s a CROSS JOIN s b GROUP BY a.id
+    ), g AS (SELECT exp(avg(ln(f))) AS g FROM f)
+    SELECT id AS event_id, round(0.8 * greatest(0.2, least(5.0, power(f / g, -0.5))), 6) AS bandwidth FROM f CROSS JOIN g"""
+)
+def abramson_bandwidth(spark, sf_dir):
+    return rounded(AbramsonBandwidth(0.8).resolve(suppliers(spark, sf_dir)), "bandwidth")
+
+
+_PAIRS = f"{_BALANCES}, p AS (SELECT a.id AS i, b.id AS j, abs(a.x - b.x) AS d FROM s a JOIN s b ON a.id <> b.id)"
+_HS = (0.2, 0.4, 0.8, 1.2, 2.0)
+_HS_SQL = f"c AS (SELECT unnest([{', '.join(map(str, _HS))}])::DOUBLE AS h)"
+
+
+@query(
+    f"""WITH {_PAIRS}, {_HS_SQL}, f AS (SELECT h, i, sum({kernel_sql("gaussian", "d / h", 1, "h")}) / count(*) AS f FROM p CROSS JOIN c GROUP BY h, i)
+    SELECT h, round(-avg(ln(greatest(f, 1e-300))), 6) AS score FROM f GROUP BY h"""
+)
+def loo_likelihood_grid(spark, sf_dir):
+    pairs = selection.pair_table(suppliers(spark, sf_dir))
+    return rounded(selection.likelihood_scores(pairs, get_kernel("gaussian"), 1, selection.candidates(spark, _HS)), "score")
+
+
+@query(
+    f"""WITH {_PAIRS}, {_HS_SQL}, n AS (SELECT count(*) AS n FROM s), f AS (
+        SELECT h, i, sum({kernel_sql("gaussian", "d / (h * sqrt(2.0))", 1, "(h * sqrt(2.0))")}) AS wide, sum({kernel_sql("gaussian", "d / h", 1, "h")}) / count(*) AS loo
+        FROM p CROSS JOIN c GROUP BY h, i
+    ) SELECT h, round((sum(wide) + max(n) * {(2 * math.pi) ** -0.5!r} / (h * sqrt(2.0))) / (max(n) * max(n)) - 2 * avg(loo), 6) AS score
+    FROM f CROSS JOIN n GROUP BY h"""
+)
+def lscv_grid(spark, sf_dir):
+    pairs = selection.pair_table(suppliers(spark, sf_dir))
+    return rounded(selection.least_squares_scores(pairs, 1, selection.candidates(spark, _HS)), "score")
+
+
+@query(
+    f"""WITH {_PAIRS}, {_HS_SQL}, f AS (SELECT h, i, sum({kernel_sql("gaussian", "d / h", 1, "h")}) / count(*) AS f FROM p CROSS JOIN c GROUP BY h, i),
+    e AS (SELECT h, -avg(ln(greatest(f, 1e-300))) AS score FROM f GROUP BY h)
+    SELECT h, round(score, 6) AS score FROM e ORDER BY e.score, h LIMIT 1"""
+)
+def best_candidate(spark, sf_dir):
+    pairs = selection.pair_table(suppliers(spark, sf_dir))
+    scores = selection.likelihood_scores(pairs, get_kernel("gaussian"), 1, selection.candidates(spark, _HS))
+    return rounded(selection.best(scores), "score")
+
+
+@query(
+    f"""WITH {_PAIRS}, q AS (SELECT quantile_cont(d, 0.05) AS a, quantile_cont(d, 0.5) AS b, quantile_cont(d, 0.95) AS c FROM p WHERE d > 0),
+    l AS (SELECT greatest(0.2 * a, 1e-6 * b) AS lower, c FROM q)
+    SELECT round(lower, 6) AS lower, round(greatest(2 * c, 10 * lower), 6) AS upper FROM l"""
+)
+def bandwidth_bounds(spark, sf_dir):
+    return rounded(selection.bandwidth_bounds(selection.pair_table(suppliers(spark, sf_dir))), "lower", "upper")
+
+
+@query()
+def likelihood_cv_trace(spark, sf_dir):
+    """Bounded minimisation over log h: the trace of its evaluations."""
+    found = selection.LikelihoodCV(tolerance=1e-3, most=14).select(suppliers(spark, sf_dir))
+    return found.to_frame(spark)
+
+
+PARTS = (1.0, 900.0, 50.0, 1000.0)
+_PARTS = "p AS (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part WHERE p_retailprice BETWEEN 900 AND 1000)"
+_PARTS_GRID = """g AS (SELECT y * 7 + x AS support_id, 1 + 3.5 + x * 7.0 AS gx, 900 + 5.0 + y * 10.0 AS gy, 70.0 AS measure
+    FROM (SELECT unnest(range(7)) AS x), (SELECT unnest(range(10)) AS y))"""
+
+
+def parts(spark: SparkSession, sf_dir: str) -> Events:
+    """Parts by size and price, inside their rectangle."""
+    rows = read(spark, sf_dir, "part").where(F.col("p_retailprice").between(900, 1000))
+    return Events.from_frame(rows, ("p_size", "p_retailprice"), event_id="p_partkey")
+
+
+def parts_grid(spark: SparkSession) -> Support:
+    return Support.grid(spark, PARTS, (7.0, 10.0))
+
+
+@query(
+    f"""WITH {_PARTS}, {_PARTS_GRID}, m AS (
+        SELECT unnest([x, 2.0 - x, 100.0 - x]) AS x, y FROM p
+    ), r AS (SELECT x, unnest([y, 1800.0 - y, 2000.0 - y]) AS y FROM m), n AS (SELECT count(*) AS n FROM p)
+    SELECT support_id, gx AS x, gy AS y, measure,
+        round(1000 * sum({kernel_sql("gaussian", "sqrt(power(gx - r.x, 2) + power(gy - r.y, 2)) / 6.0", 2, "6.0")}) / max(n), 6) + 0.0 AS density
+    FROM g CROSS JOIN r CROSS JOIN n GROUP BY ALL"""
+)
+def reflection_kde(spark, sf_dir):
+    kde = SpatialKDE("gaussian", 6.0, boundary=Boundary.rectangle(PARTS), boundary_correction="reflection")
+    return rounded(kde.fit_evaluate(parts(spark, sf_dir), parts_grid(spark)), "density", scale=1000)
+
+
+@query(
+    f"""WITH {_PARTS}, {_PARTS_GRID}, q AS (
+        SELECT (x + 0.5) * (49.0 / 16) + 1 AS qx, (y + 0.5) * (100.0 / 16) + 900 AS qy, (49.0 / 16) * (100.0 / 16) AS a
+        FROM (SELECT unnest(range(16)) AS x), (SELECT unnest(range(16)) AS y)
+    ), d AS (SELECT x, y, count(*) AS c FROM p GROUP BY x, y), e AS (
+        SELECT x, y, c, sum(a * {kernel_sql("quartic", "sqrt(power(qx - x, 2) + power(qy - y, 2)) / 12.0", 2, "12.0")}) AS mass FROM d CROSS JOIN q GROUP BY x, y, c
+    ), n AS (SELECT count(*) AS n FROM p)
+    SELECT support_id, gx AS x, gy AS y, measure,
+        round(1000 * sum(c / mass * {kernel_sql("quartic", "sqrt(power(gx - e.x, 2) + power(gy - e.y, 2)) / 12.0", 2, "12.0")}) / max(n), 6) + 0.0 AS density
+    FROM g CROSS JOIN e CROSS JOIN n GROUP BY ALL"""
+)
+def quadrature_renormalization(spark, sf_dir):
+    kde = SpatialKDE("quartic", 12.0, boundary=Boundary.rectangle(PARTS), boundary_correction="renorm", cells_per_axis=16)
+    return rounded(kde.fit_evaluate(parts(spark, sf_dir), parts_grid(spark)), "density", scale=1000)
+
+
+@query()
+def rectangle_gaussian_mass(spark, sf_dir):
+    """Renormalised by the exact Gaussian mass in the rectangle; its integral is near 1."""
+    kde = SpatialKDE("gaussian", 6.0, boundary=Boundary.rectangle(PARTS), boundary_correction="renormalization")
+    return rounded(kde.fit_evaluate(parts(spark, sf_dir), parts_grid(spark)), "density", scale=1000)
+
+
+_TRIANGLE = Boundary((((((0.0, 0.0), (50.0, 0.0), (0.0, 100.0))),),))
+
+
+@query(
+    """SELECT count(*) AS outside FROM lineitem
+    WHERE NOT (l_quantity >= 0 AND l_extendedprice >= 0 AND l_quantity * 100 + l_extendedprice / 1000 * 50 <= 5000)"""
+)
+def points_outside_boundary(spark, sf_dir):
+    rows = sales(spark, sf_dir).df
+    return rows.agg(F.count_if(~_TRIANGLE.covers(F.col("x"), F.col("y"))).alias("outside"))
+
+
+@query(
+    """SELECT count(*) AS n, count(*) - count(DISTINCT (l_quantity, l_extendedprice)) AS repeated,
+        sum(CASE WHEN l_discount IS NULL OR l_discount > 1 THEN 1 ELSE 0 END)::BIGINT AS bad_weights, round(sum(1 - l_discount), 4) AS weight FROM lineitem"""
+)
+def event_quality(spark, sf_dir):
+    rows = sales(spark, sf_dir, True).df
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.count(F.lit(1)) - F.count_distinct(F.struct("x", "y"))).alias("repeated"),
+        F.count_if(F.col("weight").isNull() | (F.col("weight") < 0)).alias("bad_weights"),
+        F.round(F.sum("weight"), 4).alias("weight"),
+    )
+
+
+@query(
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS v FROM embeddings), t AS (SELECT vec_id AS id, v AS tv FROM e WHERE vec_id % 25 = 0)
+    SELECT id AS support_id, round(sum(exp(-0.5 * power(array_distance(v, tv), 2) / 4.0)) / count(*), 6) + 0.0 AS kernel_mean FROM t CROSS JOIN e GROUP BY id"""
+)
+def embedding_kde_64d(spark, sf_dir):
+    """Mean unscaled Gaussian kernel in 64 dimensions, over array columns, at every 25th vector."""
+    from fieldloom.functions.kernels import array_squared_distance
+    from fieldloom.plans.pairs import all_pairs
+
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    places = rows.where("vec_id % 25 = 0").select(F.col("vec_id").alias("support_id"), F.col("embedding").alias("place"))
+    pairs = all_pairs(places, rows)
+    k = F.exp(array_squared_distance(F.col("embedding"), F.col("place")) * (-0.5 / 4.0))
+    return rounded(pairs.groupBy("support_id").agg(F.avg(k).alias("kernel_mean")), "kernel_mean")
+
+
+# --- space and time --------------------------------------------------------------------------------------------------
+
+DAY = CyclicTime(24.0)
+ORIGIN = "2024-01-01 00:00:00"
+
+
+def visits(spark: SparkSession, sf_dir: str, domain) -> Events:
+    """Logged events by value, with hours since the start of 2024."""
+    rows = read(spark, sf_dir, "events")
+    return Events.from_frame(rows, ("value",), event_id="event_id", time=offset(F.col("ts"), "hours", ORIGIN), domain=domain)
+
+
+_HOURS = "v AS (SELECT event_id, value AS x, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9 AS t FROM events)"
+
+
+def visit_places(spark: SparkSession, domain, count: int, step: float) -> Support:
+    rows = spark.range(10 * count).select(
+        "id", ((F.col("id") % 10) * 20.0 + 5.0).alias("x"), (F.floor(F.col("id") / 10) * step + step / 2).alias("t"), F.lit(20.0 * step).alias("m")
+    )
+    return Support.points(rows, ("x",), support_id="id", time="t", measure="m", domain=domain)
+
+
+@query(
+    f"""WITH {_HOURS} SELECT count(*) AS n, round(min(t - 24 * floor(t / 24)), 6) AS low, round(max(t - 24 * floor(t / 24)), 6) AS high,
+        round(avg(t - 24 * floor(t / 24)), 6) AS mean FROM v"""
+)
+def cyclic_canonicalize(spark, sf_dir):
+    rows = visits(spark, sf_dir, DAY).df
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("time"), 6).alias("low"), F.round(F.max("time"), 6).alias("high"), F.round(F.avg("time"), 6).alias("mean"))
+
+
+@query(
+    f"""WITH {_HOURS}, g AS (SELECT unnest(range(200)) AS i), p AS (SELECT i, (i % 10) * 20.0 + 5.0 AS gx, floor(i / 10) * 36.0 + 18.0 AS gt FROM g)
+    SELECT i AS support_id, gx AS x, gt AS time, 720.0 AS measure, round(100000 * sum({kernel_sql("gaussian", "abs(gx - x) / 10.0", 1, "10.0")}
+        * {kernel_sql("epanechnikov", "abs(gt - t) / 30.0", 1, "30.0")}) / count(*), 6) + 0.0 AS density
+    FROM p CROSS JOIN v GROUP BY ALL"""
+)
+def st_kde_linear(spark, sf_dir):
+    kde = SpatiotemporalKDE(10.0, 30.0, "gaussian", "epanechnikov")
+    found = kde.evaluate(visits(spark, sf_dir, LinearTime()), visit_places(spark, LinearTime(), 20, 36.0))
+    return rounded(found, "density", scale=100000)
+
+
+@query(
+    f"""WITH {_HOURS}, g AS (SELECT unnest(range(80)) AS i), p AS (SELECT i, (i % 10) * 20.0 + 5.0 AS gx, floor(i / 10) * 3.0 + 1.5 AS gt FROM g),
+    k AS (SELECT unnest(range(-5, 6)) AS m)
+    SELECT i AS support_id, gx AS x, gt AS time, 60.0 AS measure, round(10000 * sum({kernel_sql("gaussian", "abs(gx - x) / 10.0", 1, "10.0")}
+        * {kernel_sql("gaussian", "abs((gt - t) - 24 * floor((gt - t) / 24) + m * 24) / 4.0", 1, "4.0")}) / (count(*) / 11), 6) + 0.0 AS density
+    FROM p CROSS JOIN v CROSS JOIN k GROUP BY ALL"""
+)
+def st_kde_cyclic_grid(spark, sf_dir):
+    found = SpatiotemporalKDE(10.0, 4.0).evaluate(visits(spark, sf_dir, DAY), visit_places(spark, DAY, 8, 3.0))
+    return rounded(found, "density", scale=10000)
+
+
+_ST = "q AS (SELECT o_orderkey AS id, o_totalprice / 1000 AS x, (epoch_us(o_orderdate) - epoch_us(TIMESTAMP '2024-01-01')) / 8.64e10 AS t FROM orders WHERE o_orderkey % 100 = 0)"
+
+
+def _orders_sample(spark, sf_dir) -> Events:
+    rows = read(spark, sf_dir, "orders").where("o_orderkey % 100 = 0")
+    return Events.from_frame(rows, (F.col("o_totalprice") / 1000,), event_id="o_orderkey", time=offset(F.col("o_orderdate"), "days", ORIGIN))
+
+
+def _experiment_sql(tail: str) -> str:
+    ks, kt = kernel_sql("gaussian", "abs(a.x - b.x) / hs", 1, "hs"), kernel_sql("gaussian", "abs(a.t - b.t) / ht", 1, "ht")
+    return f"""WITH {_ST}, c AS (SELECT unnest([20.0, 40.0, 80.0]) AS hs), d AS (SELECT unnest([60.0, 180.0]) AS ht), f AS (
+        SELECT hs, ht, a.id, sum({ks} * {kt}) / count(*) AS f FROM q a JOIN q b ON a.id <> b.id CROSS JOIN c CROSS JOIN d GROUP BY hs, ht, a.id
+    ), s AS (SELECT hs::DOUBLE AS hs, ht::DOUBLE AS ht, -avg(ln(greatest(f, 1e-300))) AS score FROM f GROUP BY hs, ht) {tail}"""
+
+
+@query(_experiment_sql("SELECT hs, ht, round(score, 6) AS score FROM s"))
+def st_experiment(spark, sf_dir):
+    found = SpatiotemporalBandwidthExperiment((20.0, 40.0, 80.0), (60.0, 180.0)).scores(_orders_sample(spark, sf_dir))
+    return rounded(found.select("hs", "ht", "score"), "score")
+
+
+@query(_experiment_sql("SELECT hs, ht, round(score, 6) AS score FROM s ORDER BY s.score, hs, ht LIMIT 1"))
+def st_experiment_best(spark, sf_dir):
+    return rounded(SpatiotemporalBandwidthExperiment((20.0, 40.0, 80.0), (60.0, 180.0)).run(_orders_sample(spark, sf_dir)), "score")
+
+
+# --- exposure and risk -----------------------------------------------------------------------------------------------
+
+_RISK_GRID = "g AS (SELECT i AS support_id, i * 1000.0 - 1000 + 500 AS gx, 1000.0 AS measure FROM (SELECT unnest(range(12)) AS i))"
+_EXPOSURE = f"""{_RISK_GRID}, x AS (
+    SELECT support_id, gx, measure, sum(CASE WHEN floor((c_acctbal + 1000) / 1000) = support_id THEN 1 ELSE 0 END) / max(measure) AS exposure FROM g CROSS JOIN customer GROUP BY ALL
+)"""
+
+
+def _line(spark: SparkSession) -> Support:
+    rows = spark.range(12).select("id", (F.col("id") * 1000.0 - 1000 + 500).alias("x"), F.lit(1000.0).alias("m"))
+    return Support.points(rows, ("x",), support_id="id", measure="m")
+
+
+def _accounts(spark, sf_dir, where: str = "true") -> Events:
+    return Events.from_frame(read(spark, sf_dir, "customer").where(where), ("c_acctbal",), event_id="c_custkey")
+
+
+def _exposure(spark, sf_dir) -> DataFrame:
+    cells = read(spark, sf_dir, "customer").groupBy(F.floor((F.col("c_acctbal") + 1000) / 1000).alias("support_id")).agg(F.count(F.lit(1)).alias("amount"))
+    return risk.exposure_from_amounts(_line(spark).df, cells, "amount")
+
+
+@query(f"WITH {_EXPOSURE} SELECT support_id, gx AS x, measure, round(exposure * 1000, 6) AS exposure_density FROM x")
+def exposure_density(spark, sf_dir):
+    return rounded(_exposure(spark, sf_dir), "exposure_density", scale=1000)
+
+
+def _rate_sql(effective: str, invalid: str, adjusted: str) -> str:
+    k = kernel_sql("gaussian", "abs(gx - c_acctbal) / 800.0", 1, "800.0")
+    return f"""WITH {_EXPOSURE}, i AS (
+        SELECT support_id, sum({k}) AS intensity FROM g CROSS JOIN (SELECT c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY support_id
+    ), e AS (SELECT x.*, intensity, {effective} AS eff FROM x JOIN i USING (support_id))
+    SELECT support_id, gx AS x, measure, round(intensity * 1000, 6) AS event_intensity, round(exposure * 1000, 6) AS exposure_density,
+        {invalid} AS invalid_denominator, {adjusted} AS adjusted_denominator, round(CASE WHEN eff IS NULL THEN 'NaN'::DOUBLE ELSE intensity / eff END, 6) AS event_rate FROM e"""
+
+
+def _rate(spark, sf_dir, policy: risk.DenominatorPolicy) -> DataFrame:
+    field = SpatialKDE("gaussian", 800.0, "intensity").fit_evaluate(_accounts(spark, sf_dir, "c_mktsegment = 'BUILDING'"), _line(spark))
+    found = risk.event_rate(field, _exposure(spark, sf_dir), policy)
+    found = found.withColumns({"event_intensity": F.round(F.col("event_intensity") * 1000, 6), "exposure_density": F.round(F.col("exposure_density") * 1000, 6), "event_rate": F.round("event_rate", 6)})
+    return found.drop("effective_exposure_density")
+
+
+@query(_rate_sql("CASE WHEN exposure <= 0 THEN NULL ELSE exposure END", "exposure <= 0", "FALSE"))
+def event_rate_nan(spark, sf_dir):
+    return _rate(spark, sf_dir, risk.DenominatorPolicy("nan"))
+
+
+@query(_rate_sql("greatest(exposure, 0.12)", "exposure <= 0", "exposure < 0.12"))
+def event_rate_minimum(spark, sf_dir):
+    return _rate(spark, sf_dir, risk.DenominatorPolicy("minimum", floor=0.12))
+
+
+def _risk_field(spark, sf_dir, where: str) -> DataFrame:
+    return SpatialKDE("gaussian", 900.0).fit_evaluate(_accounts(spark, sf_dir, where), _line(spark))
+
+
+def _density_sql(where: str) -> str:
+    k = kernel_sql("gaussian", "abs(gx - c_acctbal) / 900.0", 1, "900.0")
+    return f"SELECT support_id, gx, measure, sum({k}) / count(*) AS f FROM g CROSS JOIN (SELECT c_acctbal FROM customer WHERE {where}) GROUP BY ALL"
+
+
+@query(
+    f"""WITH {_RISK_GRID}, a AS ({_density_sql("c_mktsegment = 'BUILDING'")}), b AS ({_density_sql("c_mktsegment <> 'BUILDING'")})
+    SELECT support_id, a.gx AS x, a.measure, round(a.f / b.f, 6) AS relative_risk, round(ln(a.f) - ln(b.f), 6) + 0.0 AS log_relative_risk FROM a JOIN b USING (support_id)"""
+)
+def relative_risk(spark, sf_dir):
+    case, control = _risk_field(spark, sf_dir, "c_mktsegment = 'BUILDING'"), _risk_field(spark, sf_dir, "c_mktsegment <> 'BUILDING'")
+    found = risk.relative_risk(case, control, mass_tolerance=None)
+    return rounded(found.select("support_id", "x", "measure", "relative_risk", "log_relative_risk"), "relative_risk", "log_relative_risk")
+
+
+@query(
+    f"""WITH {_EXPOSURE}, i AS (
+        SELECT support_id, sum({kernel_sql("gaussian", "abs(gx - c_acctbal) / 800.0", 1, "800.0")}) AS intensity
+        FROM g CROSS JOIN (SELECT c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY support_id
+    ), e AS (SELECT x.*, intensity FROM x JOIN i USING (support_id))
+    SELECT round(sum(intensity * measure), 6) AS event_mass, round(sum(exposure * measure), 6) AS exposure,
+        round(sum(CASE WHEN exposure > 0 THEN intensity * measure END) / sum(CASE WHEN exposure > 0 THEN exposure * measure END), 6) AS mean_rate FROM e"""
+)
+def rate_summary(spark, sf_dir):
+    field = SpatialKDE("gaussian", 800.0, "intensity").fit_evaluate(_accounts(spark, sf_dir, "c_mktsegment = 'BUILDING'"), _line(spark))
+    found = risk.rate_summary(risk.event_rate(field, _exposure(spark, sf_dir), risk.DenominatorPolicy("nan")))
+    return rounded(found.select("event_mass", "exposure", "mean_rate"), "event_mass", "exposure", "mean_rate")
