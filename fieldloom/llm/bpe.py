@@ -164,6 +164,13 @@ class ByteBPE:
         def pack(ids: pa.Array) -> pa.Array:
             return pa.array([np.array(v or [], "<u4").tobytes() for v in ids.to_pylist()], pa.binary())
 
+        def both(texts: pa.Array) -> pa.Array:
+            run = _coder(shared, pattern)
+            ids = [run.encode(t) for t in texts.to_pylist()]
+            parts = [pa.array(ids, pa.binary()), pa.array([run.decode(v) for v in ids], pa.binary())]
+            return pa.StructArray.from_arrays(parts, ["token_ids", "decoded"])
+
+        self._both = F.arrow_udf(both, "token_ids binary, decoded binary")
         self._encode, self._decode = F.arrow_udf(encode, "binary"), F.arrow_udf(decode, "binary")
         self._unpack, self._pack = F.arrow_udf(unpack, "array<int>"), F.arrow_udf(pack, "binary")
 
@@ -175,6 +182,10 @@ class ByteBPE:
         """Ids as array<int>; empty for null."""
         return self._unpack(self.encode_packed(text))
 
+    def round_trip(self, text: Column) -> Column:
+        """Struct of packed ids and of the bytes decoded from them, in one pass over the text."""
+        return self._both(text.cast("string"))
+
     def decode_packed(self, ids: Column) -> Column:
         """The bytes of packed ids."""
         return self._decode(F.coalesce(ids, F.lit(b"")))
@@ -191,7 +202,9 @@ def encoded(docs: DataFrame, coder: ByteBPE, *, text_col: str = "text") -> DataF
     recognised. Input columns named like an added one are replaced; repeated rows are encoded each; an empty table
     gives an empty result.
     """
-    base = without(docs, "token_ids", "n_tokens", "decoded").withColumn("token_ids", coder.encode_packed(F.col(f"`{text_col}`")))
-    return base.withColumns(
-        {"n_tokens": F.expr("cast(octet_length(token_ids) div 4 as long)"), "decoded": coder.decode_packed(F.col("token_ids"))}
+    base = without(docs, "token_ids", "n_tokens", "decoded")
+    names = [F.col(f"`{c}`") for c in base.columns]
+    made = docs.select(*names, coder.round_trip(F.col(f"`{text_col}`")).alias("__made"))
+    return made.select(
+        *names, "__made.token_ids", F.expr("cast(octet_length(__made.token_ids) div 4 as long)").alias("n_tokens"), "__made.decoded"
     )
