@@ -238,7 +238,9 @@ def near_components(
     tried = checkpointed(tried)
     # full sets of the classes that share a band with a class of fitting size
     wanted = shared.select(F.col("c").alias("id")).distinct()
-    sets = stored(texts.join(wanted, "id").mapInArrow(_sets(k), f"id {id_type}, set binary"), "sets").groupBy("id").agg(F.first("set").alias("set"))
+    # one plan at every size: both sides by id, and one text where rows repeat an id
+    texts_of = texts.join(wanted.hint("merge"), "id").groupBy("id").agg(F.first("text").alias("text"))
+    sets = stored(texts_of.mapInArrow(_sets(k), f"id {id_type}, set binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
