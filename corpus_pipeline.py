@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import quality
 from fieldloom.llm.bpe import ByteBPE, encoded
-from fieldloom.llm.common import read, stored
+from fieldloom.llm.common import read, small_batches, stored
 from fieldloom.llm.exact_dedup import drop_exact_copies
 from fieldloom.llm.minhash import drop_near_copies
 from fieldloom.llm.mixing import mixed
@@ -15,6 +15,7 @@ from fieldloom.llm.mixing import mixed
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    small_batches(spark)
     net = quality.train(docs, read(spark, sf_dir, "labels"))
     found = quality.judged(docs, net, quality.site_means(docs, net))
     return found.where("quality_kept").select(*docs.columns)
@@ -27,6 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: five words, similarity 0.8 or more."""
+    small_batches(spark)
     return drop_near_copies(docs, similarity=(80, 100), n_bands=40)
 
 
@@ -46,6 +48,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, packed, with digests of the ids and of the decoded bytes."""
     import public_tokenizers
 
+    small_batches(spark)
     coder = ByteBPE(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     found = encoded(docs.select("doc_id", "lang", "source", "text"), coder)
     return found.select(

@@ -25,7 +25,7 @@ from fieldloom.llm.common import stored
 
 RATES, SUBSETS = 10, 16  # rates 1, 1/2, ..., 1/512
 LOW, HIGH = 0.0005, 0.2  # shares of all documents
-_HELD = 500_000
+_HELD = 200_000
 _HEX = 8
 
 

@@ -28,7 +28,7 @@ ROWS, BANDS = 5, 26  # a pair of similarity 0.85 shares no band with probability
 FEW, BLOCK = 64, 256  # bands of up to FEW classes are compared pair by pair, others in blocks
 _COLUMNS = 2048
 _WORDS: dict[bytes, int] = {}
-_WORDS_HELD = 500_000
+_WORDS_HELD = 150_000
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:

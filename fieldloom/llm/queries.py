@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from fieldloom.llm import imatch, langid, quality, toxicity
 from fieldloom.llm.bpe import ByteBPE, encoded
-from fieldloom.llm.common import read
+from fieldloom.llm.common import read as read_table
+from fieldloom.llm.common import small_batches
 from fieldloom.llm.exact_dedup import exact_groups
 from fieldloom.llm.html_text import extracted
 from fieldloom.llm.minhash import near_components
@@ -18,6 +19,12 @@ from fieldloom.llm.mixing import mixed
 from fieldloom.llm.sharding import shard_plan
 
 
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table, with the session set for long texts."""
+    small_batches(spark)
+    return read_table(spark, sf_dir, table)
+
+
 MIX_LEVELS = ("domain", "lang", "source")
 MIX_WEIGHTS = {"domain": {"d0": 5.0, "d1": 3.0, "d2": 2.0}, "lang": {"en": 4.0, "fr": 3.0, "de": 2.0, "es": 1.0}, "source": {"src0": 3.0}}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 2, 17
