@@ -494,3 +494,231 @@ def rate_summary(spark, sf_dir):
     field = SpatialKDE("gaussian", 800.0, "intensity").fit_evaluate(_accounts(spark, sf_dir, "c_mktsegment = 'BUILDING'"), _line(spark))
     found = risk.rate_summary(risk.event_rate(field, _exposure(spark, sf_dir), risk.DenominatorPolicy("nan")))
     return rounded(found.select("event_mass", "exposure", "mean_rate"), "event_mass", "exposure", "mean_rate")
+
+
+# --- networks --------------------------------------------------------------------------------------------------------
+
+BLOCKS = 8
+_NODES = "SELECT r * 9 + c AS node, c AS x, r AS y FROM (SELECT unnest(range(9)) AS r), (SELECT unnest(range(9)) AS c)"
+_EDGES = """e AS (
+    SELECT r * 8 + c AS edge_index, c AS x0, r AS y0, c + 1 AS x1, r AS y1, r * 9 + c AS u, r * 9 + c + 1 AS v
+    FROM (SELECT unnest(range(9)) AS r), (SELECT unnest(range(8)) AS c)
+    UNION ALL
+    SELECT 72 + r * 9 + c, c, r, c, r + 1, r * 9 + c, (r + 1) * 9 + c FROM (SELECT unnest(range(8)) AS r), (SELECT unnest(range(9)) AS c)
+)"""
+_CALLS = "p AS (SELECT o_orderkey AS id, o_totalprice / 62500 AS x, (o_custkey % 100) / 12.5 AS y, (o_orderkey % 24)::DOUBLE AS hour FROM orders WHERE o_orderkey % 50 = 0)"
+_SNAP = f"""{_EDGES}, {_CALLS}, n AS (
+    SELECT id, x, y, hour, edge_index, x0, y0, x1, y1, u, v, greatest(0.0, least(1.0, (x - x0) * (x1 - x0) + (y - y0) * (y1 - y0))) AS t FROM p CROSS JOIN e
+), m AS (SELECT *, sqrt(power(x - x0 - t * (x1 - x0), 2) + power(y - y0 - t * (y1 - y0), 2)) AS d FROM n),
+l AS (SELECT id, min(d) AS low FROM m GROUP BY id),
+w AS (SELECT m.id, min(edge_index) AS edge_index, count(*) AS candidates, min(low) AS snap_distance FROM m JOIN l USING (id) WHERE d - low <= 1e-9 GROUP BY m.id),
+s AS (
+    SELECT id, x, y, hour, edge_index, u, v, candidates, snap_distance,
+        CASE WHEN t <= 1e-9 THEN 0.0 WHEN 1 - t <= 1e-9 THEN 1.0 ELSE t END AS pos,
+        CASE WHEN snap_distance > 0.4 THEN 'beyond_max_distance' WHEN t <= 1e-9 THEN 'snapped_to_u' WHEN 1 - t <= 1e-9 THEN 'snapped_to_v'
+             WHEN candidates > 1 THEN 'ambiguous_nearest' ELSE 'snapped' END AS status
+    FROM w JOIN m USING (id, edge_index)
+)"""
+
+
+def streets(spark: SparkSession):
+    from fieldloom.sources.network import Network
+
+    return Network.grid(spark, BLOCKS, BLOCKS)
+
+
+def calls(spark: SparkSession, sf_dir: str) -> Events:
+    """Every 50th order as a point in the street grid."""
+    rows = read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    return Events.from_frame(rows, (F.col("o_totalprice") / 62500, (F.col("o_custkey") % 100) / 12.5), event_id="o_orderkey")
+
+
+def snapped_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.sources.network import accepted, snap
+
+    found = accepted(snap(streets(spark), calls(spark, sf_dir), 0.4))
+    return found.select("event_id", "edge_index", "offset", "weight", (F.col("event_id") % 24).cast("double").alias("time"))
+
+
+@query(f"WITH {_EDGES} SELECT edge_index, u::VARCHAR AS u, v::VARCHAR AS v, 1.0 AS length FROM e")
+def grid_network_edges(spark, sf_dir):
+    return streets(spark).edges.select("edge_index", "u", "v", "length")
+
+
+@query(f"WITH {_EDGES} SELECT count(*) AS edges, 0 AS loops, 0 AS bad_lengths, 0 AS endpoint_mismatches, 0 AS parallel_pairs FROM e")
+def network_quality(spark, sf_dir):
+    return streets(spark).quality()
+
+
+@query("SELECT 1 AS components, 81 AS nodes")
+def network_components(spark, sf_dir):
+    from fieldloom.operators.network import components
+
+    return components(streets(spark)).agg(F.count_distinct("component").alias("components"), F.count(F.lit(1)).alias("nodes"))
+
+
+@query(
+    f"""WITH {_SNAP} SELECT id AS event_id, edge_index, round(pos, 6) AS offset, round(snap_distance, 6) AS snap_distance, candidates, status
+    FROM s WHERE status <> 'beyond_max_distance'"""
+)
+def snap_events(spark, sf_dir):
+    from fieldloom.sources.network import accepted, snap
+
+    found = accepted(snap(streets(spark), calls(spark, sf_dir), 0.4))
+    return rounded(found.select("event_id", "edge_index", "offset", "snap_distance", "candidates", "status"), "offset", "snap_distance")
+
+
+@query(f"WITH {_SNAP} SELECT id AS event_id, status AS reason FROM s WHERE status = 'beyond_max_distance'")
+def snap_rejected(spark, sf_dir):
+    from fieldloom.sources.network import rejected, snap
+
+    return rejected(snap(streets(spark), calls(spark, sf_dir), 0.4)).select("event_id", "reason")
+
+
+_LIXELS = """x AS (SELECT edge_index * 4 + k AS lixel_id, edge_index, u, v, x0, y0, x1, y1, k * 0.3 AS start_offset,
+    CASE WHEN k = 3 THEN 1.0 ELSE (k + 1) * 0.3 END AS end_offset FROM e CROSS JOIN (SELECT unnest(range(4)) AS k)),
+y AS (SELECT *, (start_offset + end_offset) / 2 AS pos FROM x)"""
+
+
+@query(
+    f"""WITH {_EDGES}, {_LIXELS} SELECT lixel_id, edge_index, round(start_offset, 6) AS start_offset, round(end_offset, 6) AS end_offset,
+        round(end_offset - start_offset, 6) AS length, round(x0 + pos * (x1 - x0), 6) AS center_x, round(y0 + pos * (y1 - y0), 6) AS center_y FROM y"""
+)
+def lixels(spark, sf_dir):
+    found = streets(spark).lixels(0.3).drop("center_offset")
+    return rounded(found, "start_offset", "end_offset", "length", "center_x", "center_y")
+
+
+# On a full grid the shortest path between two crossings is the sum of the steps across and along.
+_WAYS = """z AS (SELECT id, edge_index, pos, u AS node, pos AS extra FROM s WHERE status <> 'beyond_max_distance'
+    UNION ALL SELECT id, edge_index, pos, v, 1 - pos FROM s WHERE status <> 'beyond_max_distance'),
+c AS (SELECT lixel_id, edge_index, pos, u AS node, pos AS extra FROM y UNION ALL SELECT lixel_id, edge_index, pos, v, 1 - pos FROM y)"""
+_TO_LIXELS = """d AS (
+    SELECT id, lixel_id, min(least(z.extra + c.extra + abs(z.node % 9 - c.node % 9) + abs(z.node // 9 - c.node // 9),
+        CASE WHEN z.edge_index = c.edge_index THEN abs(z.pos - c.pos) ELSE 1e9 END)) AS distance FROM z CROSS JOIN c GROUP BY id, lixel_id
+)"""
+
+
+@query(
+    f"""WITH {_SNAP}, {_LIXELS}, {_WAYS}, {_TO_LIXELS} SELECT lixel_id, count(*) AS sources, round(min(distance), 6) AS nearest, round(avg(distance), 6) AS mean
+    FROM d WHERE distance <= 2.2 + 1e-12 GROUP BY lixel_id"""
+)
+def network_distances(spark, sf_dir):
+    """Per lixel, the events within 2.2 along the streets."""
+    from fieldloom.operators.network import location_distances
+
+    s = snapped_calls(spark, sf_dir).select(F.col("event_id").alias("source"), "edge_index", "offset")
+    t = streets(spark).lixels(0.3).select(F.col("lixel_id").alias("target"), "edge_index", F.col("center_offset").alias("offset"))
+    d = location_distances(streets(spark), s, t, 2.2)
+    found = d.groupBy(F.col("target").alias("lixel_id")).agg(F.count(F.lit(1)).alias("sources"), F.min("distance").alias("nearest"), F.avg("distance").alias("mean"))
+    return rounded(found, "nearest", "mean")
+
+
+@query(
+    f"""WITH {_SNAP}, {_LIXELS}, {_WAYS}, {_TO_LIXELS}, cnt AS (SELECT count(DISTINCT id) AS n FROM z)
+    SELECT lixel_id, round(100 * sum({kernel_sql("epanechnikov", "distance / 1.5", 1, "1.5")}) / max(n), 6) + 0.0 AS density FROM d CROSS JOIN cnt GROUP BY lixel_id"""
+)
+def network_kde_simple(spark, sf_dir):
+    from fieldloom.operators.network import NetworkKDE
+
+    found = NetworkKDE("epanechnikov", 1.5, "simple").evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.3))
+    return rounded(found.select("lixel_id", "density"), "density", scale=100)
+
+
+def _path_kde(policy: str):
+    def run(spark, sf_dir):
+        from fieldloom.operators.network import NetworkKDE
+
+        found = NetworkKDE("epanechnikov", 1.5, policy).evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.3))
+        return rounded(found.select("lixel_id", "density"), "density", scale=100)
+
+    return run
+
+
+def _path_sql(policy: str) -> str:
+    """Propagation as a recursive query: one level of junctions a step."""
+    forward = "1.0 / greatest(deg - 1, 1) * CASE WHEN deg > 1 THEN 1 ELSE 0 END" if policy == "discontinuous" else "2.0 / deg"
+    back = "0.0" if policy == "discontinuous" else "2.0 / deg - 1"
+    return f"""WITH RECURSIVE {_SNAP}, {_LIXELS},
+    o AS (SELECT edge_index, 1 AS dir, u AS f, v AS t FROM e UNION ALL SELECT edge_index, -1, v, u FROM e),
+    g AS (SELECT f AS node, count(*) AS deg FROM o GROUP BY f),
+    b AS (SELECT o.*, deg FROM o JOIN g ON o.f = g.node),
+    a AS (SELECT id, edge_index, pos, u, v, CASE WHEN pos <= 1e-12 THEN u WHEN 1 - pos <= 1e-12 THEN v END AS node FROM s WHERE status <> 'beyond_max_distance'),
+    r AS (
+        SELECT id, b.edge_index, dir, t, CASE WHEN dir = 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS so, 0.0::DOUBLE AS sd, (2.0 / deg)::DOUBLE AS coef, TRUE AS inc FROM a JOIN b ON a.node = b.f
+        UNION ALL SELECT id, edge_index, 1, v, pos::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, TRUE FROM a WHERE node IS NULL
+        UNION ALL SELECT id, edge_index, -1, u, pos::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, FALSE FROM a WHERE node IS NULL
+    ), k AS (
+        SELECT * FROM r
+        UNION ALL
+        SELECT id, b.edge_index, b.dir, b.t, CASE WHEN b.dir = 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END, sd + CASE WHEN k.dir = 1 THEN 1 - so ELSE so END,
+            coef * (CASE WHEN b.edge_index = k.edge_index AND b.dir = -k.dir THEN {back} ELSE {forward} END), TRUE
+        FROM k JOIN b ON k.t = b.f
+        WHERE sd + CASE WHEN k.dir = 1 THEN 1 - so ELSE so END < 1.5 - 1.5e-12
+            AND abs(coef * (CASE WHEN b.edge_index = k.edge_index AND b.dir = -k.dir THEN {back} ELSE {forward} END)) >= 1e-12
+    ), cnt AS (SELECT count(*) AS n FROM a), h AS (
+        SELECT lixel_id, sum(CASE WHEN sd + abs(pos - so) <= 1.5 THEN coef * {kernel_sql("epanechnikov", "(sd + abs(pos - so)) / 1.5", 1, "1.5")} ELSE 0 END) AS f
+        FROM k JOIN y ON k.edge_index = y.edge_index AND (CASE WHEN dir = 1 THEN pos >= so - 1e-12 ELSE pos <= so + 1e-12 END) AND (inc OR abs(pos - so) > 1.5e-12)
+        GROUP BY lixel_id
+    )
+    SELECT y.lixel_id, round(100 * greatest(0, coalesce(f, 0)) / n, 6) + 0.0 AS density FROM y LEFT JOIN h USING (lixel_id) CROSS JOIN cnt"""
+
+
+query(_path_sql("discontinuous"), "network_kde_discontinuous")(_path_kde("discontinuous"))
+query(_path_sql("continuous"), "network_kde_continuous")(_path_kde("continuous"))
+
+
+@query(
+    f"""WITH {_SNAP}, {_WAYS.split("," + chr(10) + "c AS")[0]}, d AS (
+        SELECT a.id, b.id AS other, min(least(a.extra + b.extra + abs(a.node % 9 - b.node % 9) + abs(a.node // 9 - b.node // 9),
+            CASE WHEN a.edge_index = b.edge_index THEN abs(a.pos - b.pos) ELSE 1e9 END)) AS distance
+        FROM z a JOIN z b ON a.id <> b.id GROUP BY a.id, b.id
+    ), q AS (SELECT id, distance, row_number() OVER (PARTITION BY id ORDER BY distance) AS k FROM d)
+    SELECT id AS source, round(greatest(distance, 0.01), 6) AS h FROM q WHERE k = 3"""
+)
+def network_knn_bandwidth(spark, sf_dir):
+    from fieldloom.operators.network import NetworkKNNBandwidth
+
+    return rounded(NetworkKNNBandwidth(3, minimum=0.01).resolve(streets(spark), snapped_calls(spark, sf_dir)), "h")
+
+
+@query(
+    f"""WITH {_EDGES}, o AS (SELECT edge_index, u AS f, v AS t, FALSE AS reversed FROM e UNION ALL SELECT edge_index, v, u, TRUE FROM e),
+    d AS (SELECT *, abs(f % 9 - 40 % 9) + abs(f // 9 - 40 // 9) AS s FROM o)
+    SELECT edge_index, f::VARCHAR AS from_node, t::VARCHAR AS to_node, reversed, s::DOUBLE AS start_distance, least(s + 1, 2.5)::DOUBLE AS end_distance,
+        (least(s + 1, 2.5) - s)::DOUBLE AS reached_fraction FROM d WHERE s < 2.5"""
+)
+def traversal(spark, sf_dir):
+    from fieldloom.operators.network import traversal as run
+
+    return run(streets(spark), "40", 2.5)
+
+
+@query(
+    f"""WITH {_EDGES}, {_LIXELS}, t AS (SELECT i, i * 7.0 + 3.5 - CASE WHEN i = 3 THEN 2.0 ELSE 0 END AS time, CASE WHEN i = 3 THEN 3.0 ELSE 7.0 END AS w FROM (SELECT unnest(range(4)) AS i))
+    SELECT i * 576 + lixel_id AS arixel_id, round(time, 6) AS time, round((end_offset - start_offset) * w, 6) AS arixel_measure FROM t CROSS JOIN y"""
+)
+def arixels(spark, sf_dir):
+    from fieldloom.sources.network import arixels as build
+    from fieldloom.sources.planar import axis_cells
+
+    cells = axis_cells(spark, 0.0, 24.0, 7.0, "time")
+    found = build(streets(spark).lixels(0.3), cells, 576).select("arixel_id", "time", "arixel_measure")
+    return rounded(found, "time", "arixel_measure")
+
+
+@query(
+    f"""WITH {_SNAP}, {_LIXELS}, {_WAYS}, {_TO_LIXELS}, cnt AS (SELECT count(DISTINCT id) AS n FROM z), t AS (SELECT i, i * 6 + 3.0 AS time FROM (SELECT unnest(range(4)) AS i)),
+    k AS (SELECT id, i, sum({kernel_sql("gaussian", "abs((time - hour) - 24 * floor((time - hour) / 24) + m * 24) / 3.0", 1, "3.0")}) AS b
+        FROM (SELECT id, hour FROM s) CROSS JOIN t CROSS JOIN (SELECT unnest(range(-3, 4)) AS m) GROUP BY id, i)
+    SELECT lixel_id, i AS time_index, i * 6 + 3.0 AS time, round(1000 * sum({kernel_sql("epanechnikov", "distance / 1.5", 1, "1.5")} * b) / max(n), 6) + 0.0 AS density
+    FROM d JOIN k USING (id) CROSS JOIN cnt GROUP BY lixel_id, i"""
+)
+def network_time_kde(spark, sf_dir):
+    from fieldloom.operators.network import NetworkKDE, TemporalNetworkKDE
+    from fieldloom.sources.planar import axis_cells
+
+    cells = axis_cells(spark, 0.0, 24.0, 6.0, "time")
+    kde = TemporalNetworkKDE(NetworkKDE("epanechnikov", 1.5, "simple"), 3.0, CyclicTime(24.0))
+    found = kde.evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.3), cells)
+    return rounded(found.drop("measure"), "density", scale=1000)
