@@ -722,3 +722,52 @@ def network_time_kde(spark, sf_dir):
     kde = TemporalNetworkKDE(NetworkKDE("epanechnikov", 1.5, "simple"), 3.0, CyclicTime(24.0))
     found = kde.evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.3), cells)
     return rounded(found.drop("measure"), "density", scale=1000)
+
+
+@query()
+def heat_density(spark, sf_dir):
+    """Heat fields on lixels for three diffusion times."""
+    from fieldloom.operators.heat import HeatNetworkExperiment
+
+    found = HeatNetworkExperiment((0.05, 0.2, 0.5)).evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.5))
+    return rounded(found.select("batch_index", "diffusion_time", "lixel_id", "density"), "density", scale=100)
+
+
+@query("SELECT unnest([0.05, 0.2, 0.5])::DOUBLE AS diffusion_time, 1.0 AS mass")
+def heat_mass(spark, sf_dir):
+    """Heat moves and is not lost."""
+    from fieldloom.operators.heat import HeatNetworkExperiment
+
+    found = HeatNetworkExperiment((0.05, 0.2, 0.5)).evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.5))
+    return found.groupBy("diffusion_time").agg(F.round(F.sum(F.col("density") * F.col("length")), 6).alias("mass"))
+
+
+@query(
+    f"""WITH {_SNAP}, {_WAYS.split("," + chr(10) + "c AS")[0]}, h AS (SELECT unnest([0.8, 1.6])::DOUBLE AS h), d AS (
+        SELECT a.id, b.id AS other, min(least(a.extra + b.extra + abs(a.node % 9 - b.node % 9) + abs(a.node // 9 - b.node // 9),
+            CASE WHEN a.edge_index = b.edge_index THEN abs(a.pos - b.pos) ELSE 1e9 END)) AS distance
+        FROM z a JOIN z b ON a.id <> b.id GROUP BY a.id, b.id
+    ), f AS (SELECT h, id, sum({kernel_sql("epanechnikov", "distance / h", 1, "h")}) / count(*) AS f FROM d CROSS JOIN h GROUP BY h, id)
+    SELECT h, round(-avg(ln(greatest(f, 1e-300))), 6) AS score FROM f GROUP BY h"""
+)
+def network_likelihood_grid(spark, sf_dir):
+    from fieldloom.operators.network_selection import NetworkBandwidthGrid
+
+    return rounded(NetworkBandwidthGrid((0.8, 1.6)).scores(streets(spark), snapped_calls(spark, sf_dir)), "score")
+
+
+@query(
+    f"""WITH {_SNAP}, {_WAYS.split("," + chr(10) + "c AS")[0]}, h AS (SELECT unnest([1.0, 2.0])::DOUBLE AS h), g AS (SELECT unnest([4.0, 12.0])::DOUBLE AS ht), d AS (
+        SELECT a.id, b.id AS other, min(least(a.extra + b.extra + abs(a.node % 9 - b.node % 9) + abs(a.node // 9 - b.node // 9),
+            CASE WHEN a.edge_index = b.edge_index THEN abs(a.pos - b.pos) ELSE 1e9 END)) AS distance
+        FROM z a JOIN z b ON a.id <> b.id GROUP BY a.id, b.id
+    ), f AS (
+        SELECT h, ht, d.id, sum({kernel_sql("epanechnikov", "distance / h", 1, "h")} * {kernel_sql("gaussian", "abs(p.hour - q.hour) / ht", 1, "ht")}) / count(*) AS f
+        FROM d JOIN s p ON d.id = p.id JOIN s q ON d.other = q.id CROSS JOIN h CROSS JOIN g GROUP BY h, ht, d.id
+    ) SELECT h, ht, round(-avg(ln(greatest(f, 1e-300))), 6) AS score FROM f GROUP BY h, ht"""
+)
+def network_time_experiment(spark, sf_dir):
+    from fieldloom.operators.network_selection import NetworkTimeBandwidthExperiment
+
+    found = NetworkTimeBandwidthExperiment((1.0, 2.0), (4.0, 12.0), LinearTime(), policy="simple").scores(streets(spark), snapped_calls(spark, sf_dir))
+    return rounded(found, "score")
