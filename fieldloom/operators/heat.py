@@ -140,6 +140,7 @@ class HeatNetworkExperiment:
     def evaluate(self, network: Network, events: DataFrame, lixels: DataFrame) -> DataFrame:
         """(batch_index, diffusion_time, lixel columns, density or intensity) for events (event_id, edge_index, offset, weight).
         Times keep their order; repeated times give repeated batches."""
+        events = cut(events)  # read several times; often the result of snapping
         target = get_target(self.target)
         total = (events.agg(F.sum("weight").alias("w")).first()["w"] or 0.0) if target == "density" else 1.0
         segments = cut(mesh(network, lixels, events, self.mesh_size))
@@ -170,6 +171,7 @@ class HeatNetworkKDE:
 
 def heat_likelihood(network: Network, events: DataFrame, lixels: DataFrame, times: Sequence[float], mesh_size: float | None = None, floor: float = 1e-300) -> DataFrame:
     """(h, score) for each diffusion time h: negative leave-one-out log likelihood over unit sources at the events."""
+    events = cut(events)
     segments = cut(mesh(network, lixels, events, mesh_size))
     at = cut(event_nodes(segments, events))
     heat = evolve(segments, at.select("component", "node", F.col("event_id").cast("string").alias("key"), F.lit(1.0).alias("value")), times)

@@ -220,6 +220,7 @@ class NetworkKNNBandwidth:
 
     def resolve(self, network: Network, events: DataFrame, directed: bool | None = None) -> DataFrame:
         """(source, h) for events (event_id, edge_index, offset)."""
+        events = cut(events)
         places = events.select(F.col("event_id").alias("source"), "edge_index", "offset")
         d = location_distances(network, places, places.withColumnRenamed("source", "target"), self.cutoff, directed=directed)
         ranked = d.where("source <> target").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("distance")))
@@ -269,6 +270,7 @@ class NetworkKDE:
 
     def evaluate(self, network: Network, events: DataFrame, lixels: DataFrame) -> DataFrame:
         """lixels with density or intensity; events have event_id, edge_index, offset and weight."""
+        events = cut(events)  # read several times; often the result of snapping
         target = get_target(self.target)
         total = (events.agg(F.sum("weight").alias("w")).first()["w"] or 0.0) if target == "density" else 1.0
         w = events.select(F.col("event_id").alias("source"), (F.col("weight") / total).alias("a"))
@@ -288,6 +290,7 @@ class TemporalNetworkKDE:
 
     def evaluate(self, network: Network, events: DataFrame, lixels: DataFrame, cells: DataFrame) -> DataFrame:
         """(lixel_id, time_index, time, density or intensity, measure); events also have time."""
+        events = cut(events)
         target = get_target(self.target)
         total = (events.agg(F.sum("weight").alias("w")).first()["w"] or 0.0) if target == "density" else 1.0
         space = self.network_kde.kernel_values(network, events, lixels).where("k <> 0")

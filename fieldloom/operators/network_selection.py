@@ -63,7 +63,7 @@ class NetworkBandwidthGrid:
     floor: float = 1e-300
 
     def scores(self, network: Network, events: DataFrame, lixels: DataFrame | None = None) -> DataFrame:
-        kernel = get_kernel(self.kernel)
+        events, kernel = cut(events), get_kernel(self.kernel)
         grid = candidates(events.sparkSession, self.hs)
         pairs = event_kernels(network, events, _places(events, "target"), self.hs, kernel, self.policy, self.directed)
         loo = _leave_one_out(pairs, events, ["h"], grid)
@@ -99,6 +99,7 @@ class NetworkTimeBandwidthExperiment:
 
     def scores(self, network: Network, events: DataFrame) -> DataFrame:
         """(h, ht, score)."""
+        events = cut(events)
         spark = events.sparkSession
         space = event_kernels(network, events, _places(events, "target"), self.spatial, get_kernel(self.kernel), self.policy, self.directed).where("k <> 0")
         a = events.select(F.col("event_id").alias("source"), F.col("time").alias("s"))
