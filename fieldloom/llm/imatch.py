@@ -11,7 +11,7 @@ The band is set by shares of the number of documents, so the lexicon's size is b
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,42 +26,42 @@ from fieldloom.llm.common import stored
 RATES, SUBSETS = 10, 16  # rates 1, 1/2, ..., 1/512
 LOW, HIGH = 0.0005, 0.2  # shares of all documents
 _HELD = 200_000
-_HEX = 8
+
+
+_SIGNS = "\"'.,;:!?()[]{}<>|*#$%&/\\-_=+~`"
 
 
 def terms(text: str | None) -> set[str]:
-    """Distinct lower-cased runs of [^\\x20\\x09-\\x0D], without signs at either end."""
-    out = {w.strip("\"'.,;:!?()[]{}<>|*#$%&/\\-_=+~`") for w in set((text or "").lower().split())}
+    """Distinct lower-cased words, without signs at either end."""
+    out = {w if w.isalpha() else w.strip(_SIGNS) for w in set((text or "").lower().split())}
     out.discard("")
     return out
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents by term hash, added up within the task every so often."""
-    held: dict[str, int] = {}
+    """Documents by term, added up within the task every so often."""
+    held: Counter[str] = Counter()
 
     def emit() -> pa.RecordBatch:
-        keys = np.array([xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass")) for k in held], dtype=np.uint64)
-        out = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(list(held.values()), pa.int64())], ["term", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
         held.clear()
         return out
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            for t in terms(text):
-                held[t] = held.get(t, 0) + 1
+            held.update(terms(text))
             if len(held) > _HELD:
                 yield emit()
     yield emit()
 
 
-def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high: float = HIGH) -> np.ndarray:
-    """Sorted 64-bit hashes of the terms in at least max(2, low * N) and at most max(2, high * N) of the N documents."""
+def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high: float = HIGH) -> list[str]:
+    """The sorted terms in at least max(2, low * N) and at most max(2, high * N) of the N documents."""
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     n = docs.count()
-    counts = texts.mapInArrow(_term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(_term_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     kept = counts.where(F.col("n").between(float(max(2, low * n)), float(max(2, high * n)))).select("term").toArrow()
-    return np.sort(kept.column("term").to_numpy().view(np.uint64)) if kept.num_rows else np.empty(0, np.uint64)
+    return sorted(kept.column("term").to_pylist())
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,55 +70,60 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_SALT = _mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 @dataclass
 class Lexicon:
-    """Terms with the rate down to which each subset holds them."""
+    """Sorted terms with their values and, for each subset, the slot of the finest rate at which it holds them."""
 
-    terms: np.ndarray
-    depth: np.ndarray  # (terms, SUBSETS): in subset s, a term is held at the rates 2^0 ... 2^-depth
+    terms: list[str]
+    values: np.ndarray
+    slots: np.ndarray  # (terms, SUBSETS): rate * SUBSETS + subset; coarser rates hold the term as well
 
     @classmethod
-    def of(cls, found: np.ndarray, seed: int = 1) -> Lexicon:
+    def of(cls, found: list[str], seed: int = 1) -> Lexicon:
+        values = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in found], dtype=np.uint64)
         cols = []
         for s in range(SUBSETS):
-            u = (_mix(found ^ np.uint64(seed * 1000003 + s)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-            cols.append(np.minimum(np.floor(-np.log2(np.maximum(u, 1e-300))), RATES - 1).astype(np.int8))
-        return cls(found, np.stack(cols, axis=1) if len(found) else np.empty((0, SUBSETS), np.int8))
+            u = (_mix(values ^ np.uint64(seed * 1000003 + s)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+            cols.append(np.minimum(np.floor(-np.log2(np.maximum(u, 1e-300))), RATES - 1).astype(np.int16) * SUBSETS + s)
+        return cls(found, values, np.stack(cols, axis=1).astype(np.int16))
 
 
 class Printer:
-    """Fingerprints by one lexicon; remembers the places of the terms met lately and the last text."""
+    """Fingerprints by one lexicon; remembers the last text."""
 
     def __init__(self, lex: Lexicon):
         self.lex = lex
-        self.place: dict[str, int] = {}
+        self.place = {t: i for i, t in enumerate(lex.terms)}
         self.last: tuple[str, str] = ("", "")
 
-    def places(self, text: str | None) -> np.ndarray:
-        found = terms(text)
-        if len(self.place) > _HELD:
-            self.place.clear()
-        known, new = self.place, [t for t in found if t not in self.place]
-        if new and len(self.lex.terms):
-            keys = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in new], dtype=np.uint64)
-            at = np.minimum(np.searchsorted(self.lex.terms, keys), len(self.lex.terms) - 1)
-            known.update(zip(new, np.where(self.lex.terms[at] == keys, at, -1).tolist(), strict=True))
-        out = np.array([known.get(t, -1) for t in found], dtype=np.int64)
-        return np.sort(out[out >= 0])
+    def places(self, text: str) -> np.ndarray:
+        """Rows of the lexicon that the text holds, sorted."""
+        rows = set(map(self.place.get, terms(text)))
+        rows.discard(None)
+        return np.array(sorted(rows), dtype=np.int64)
 
     def fingerprint(self, text: str | None) -> str:
-        """RATES * SUBSETS hashes of 8 hex digits, the finest rate last; zeros where a subset holds no term of the text."""
+        """RATES * SUBSETS hashes of 8 hex digits, the finest rate last; zeros where a subset holds no term of the text.
+
+        The hash of a subset's sorted terms is the sum of their mixed values, modulo 2^64.
+        """
         text = text or ""
         if text == self.last[0] and self.last[1]:
             return self.last[1]
         at = self.places(text)
-        words, depth = self.lex.terms[at], self.lex.depth[at]
-        out = []
-        for rate in range(RATES):
-            for s in range(SUBSETS):
-                mine = words[depth[:, s] >= rate]
-                out.append(hashlib.blake2b(mine.tobytes(), digest_size=4, salt=bytes([rate, s])).hexdigest() if len(mine) else "0" * _HEX)
-        made = "".join(out)
+        mixed = _mix(self.lex.values[at][:, None] ^ _SALT).ravel()
+        slots = self.lex.slots[at].ravel()
+        n = RATES * SUBSETS
+        # halves of 32 bits add up exactly as doubles, up to two million terms
+        low = np.bincount(slots, (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), n).astype(np.uint64)
+        high = np.bincount(slots, (mixed >> np.uint64(32)).astype(np.float64), n).astype(np.uint64)
+        sums = (low + (high << np.uint64(32))).reshape(RATES, SUBSETS)
+        sizes = np.bincount(slots, minlength=n).reshape(RATES, SUBSETS)
+        sums, sizes = (np.cumsum(x[::-1], axis=0, dtype=x.dtype)[::-1] for x in (sums, sizes))
+        made = np.where(sizes > 0, (_mix(sums) >> np.uint64(32)) | np.uint64(1), np.uint64(0)).astype(">u4").tobytes().hex()
         self.last = (text, made)
         return made
 
@@ -128,16 +133,10 @@ def likeness(a: str, b: str) -> float:
     half of its subsets to count. Without such a rate: 1 if the fingerprints are equal, else 0."""
     if a == b:
         return 1.0
-    best, none, width = 0.0, "0" * _HEX, SUBSETS * _HEX
-    for rate in range(RATES):
-        same = some = 0
-        for i in range(rate * width, (rate + 1) * width, _HEX):
-            x, y = a[i : i + _HEX], b[i : i + _HEX]
-            some += x != none or y != none
-            same += x == y != none
-        if some * 2 >= SUBSETS:
-            best = max(best, same / some)
-    return best
+    x, y = (np.frombuffer(bytes.fromhex(v), ">u4").reshape(-1, SUBSETS) for v in (a, b))
+    some = ((x | y) != 0).sum(axis=1)
+    same = ((x == y) & (x != 0)).sum(axis=1)
+    return float(np.where(2 * some >= SUBSETS, same / np.maximum(some, 1), 0.0).max())
 
 
 _PRINTERS: dict[int, Printer] = {}
@@ -186,7 +185,7 @@ def _halve(acc, edges):
     return F.struct(F.when(go & right, mid + 1).otherwise(lo).cast("int").alias("lo"), F.when(go & ~right, mid).otherwise(hi).cast("int").alias("hi"))
 
 
-def fingerprints(docs: DataFrame, lex: np.ndarray, *, text_cols: tuple[str, ...] = ("text",), seed: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, lex: list[str], *, text_cols: tuple[str, ...] = ("text",), seed: int = 1) -> DataFrame:
     """docs with fingerprint_<column> for each text column. A null text counts as empty; its fingerprint is all zeros."""
     shared = docs.sparkSession.sparkContext.broadcast(Lexicon.of(lex, seed))
 
@@ -225,7 +224,7 @@ def like(a: str, b: str):
     return F.arrow_udf(_alike, "double")(F.col(a), F.col(b))
 
 
-def edited_pairs(docs: DataFrame, lex: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_pairs(docs: DataFrame, lex: list[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each document, of its edited text and of the next document, with their likeness.
 
     The edited text replaces the last floor(n_chars / 4) code points by the first as many (or all) of the next document's.
