@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.kernels import squared_distance
-from fieldloom.plans.pairs import all_pairs
+from fieldloom.plans.lineage import cut
+from fieldloom.plans.pairs import all_pairs, near_pairs, small
 from fieldloom.sources.planar import Events, Support
 
 
@@ -55,19 +56,46 @@ class BandwidthMatrix:
         return total
 
 
-def kth_distances(targets: DataFrame, sources: DataFrame, t_cols: list[str], s_cols: list[str], key: str, k: int, *, other: str | None = None) -> DataFrame:
+BRUTE_ROWS = 5_000
+
+
+def kth_distances(
+    targets: DataFrame, sources: DataFrame, t_cols: list[str], s_cols: list[str], key: str, k: int, *, other: str | None = None, brute_rows: int | None = None
+) -> DataFrame:
     """(key, distance): distance of each target to its k-th nearest source; `other` names the source id to leave out itself.
 
-    Each target keeps a running array of its k nearest, so no group of all pairs is ever held. The k smallest are
-    merged in partial aggregates of min(k, 64) values at a time for larger k by a window.
+    Few sources, or more than three axes: all pairs, of which Spark keeps the first k of a target before it shuffles (a group
+    limit under the window). Else rounds of a cell join: the reach starts where a mean cell holds about k sources and
+    doubles; a target is done as soon as k sources lie within the reach. Sources that share a point are one row with a count.
     """
-    pairs = all_pairs(targets, sources)
-    if other is not None:
-        pairs = pairs.where(F.col(key) != F.col(other))
-    d = F.sqrt(squared_distance([F.col(c) for c in t_cols], [F.col(c) for c in s_cols]))
-    ranked = pairs.select(key, d.alias("distance")).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance")))
-    # Spark keeps only the first k of a group before it shuffles (a group limit under the window)
-    return ranked.where(F.col("rank") <= k).where(F.col("rank") == k).select(key, "distance")
+    distance = F.sqrt(squared_distance([F.col(c) for c in t_cols], [F.col(c) for c in s_cols]))
+    if len(t_cols) > 3 or small(sources, BRUTE_ROWS if brute_rows is None else brute_rows):
+        pairs = all_pairs(targets, sources)
+        if other is not None:
+            pairs = pairs.where(F.col(key) != F.col(other))
+        ranked = pairs.select(key, distance.alias("distance")).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance")))
+        return ranked.where(F.col("rank") <= k).where(F.col("rank") == k).select(key, "distance")
+    need = k + (other is not None)  # a target that is a source itself lies at distance 0
+    points = cut(sources.groupBy(*s_cols).agg(F.count(F.lit(1)).alias("m")))
+    box = points.agg(F.sum("m").alias("n"), *[(F.max(c) - F.min(c)).alias(f"d{i}") for i, c in enumerate(s_cols)]).first()
+    spans = [box[f"d{i}"] for i in range(len(s_cols)) if box[f"d{i}"]]
+    reach = (math.prod(spans) * need / box["n"]) ** (1 / len(spans)) if spans else 1.0
+    pending, done = targets, []
+    near_first = Window.partitionBy(key).orderBy("distance").rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        near = near_pairs(pending, points, t_cols, s_cols, reach).select(key, "m", distance.alias("distance")).where(F.col("distance") <= reach)
+        # nearer sources first, until k are counted
+        found = near.withColumn("seen", F.sum("m").over(near_first)).where(F.col("seen") >= need).groupBy(key).agg(F.min("distance").alias("distance"))
+        found = cut(found)
+        done.append(found)
+        pending = cut(pending.join(found.select(key), key, "left_anti"))
+        if not pending.limit(1).count():
+            break
+        reach *= 2
+    out = done[0]
+    for part in done[1:]:
+        out = out.union(part)
+    return out
 
 
 def _floored(found: DataFrame, multiplier: float, floor: float | None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fields against closed forms and hand values."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.kernels import get_kernel
 from fieldloom.functions.time import CyclicTime, LinearTime
 from fieldloom.operators import risk, selection
-from fieldloom.operators.bandwidths import AbramsonBandwidth, BalloonKNNBandwidth, BandwidthMatrix, KNNBandwidth
+from fieldloom.operators.bandwidths import AbramsonBandwidth, BalloonKNNBandwidth, BandwidthMatrix, KNNBandwidth, kth_distances
 from fieldloom.operators.spacetime import SpatiotemporalKDE
 from fieldloom.operators.spatial import SpatialKDE, integral, to_grid, with_wkt
 from fieldloom.sources.planar import Boundary, Events, Support
@@ -88,6 +89,19 @@ def test_nearest_neighbour_bandwidths(spark):
     assert len(values(AbramsonBandwidth(1.0).resolve(line), "bandwidth", "event_id")) == 4
 
 
+def test_nearest_neighbours_by_cells_equal_all_pairs(spark):
+    r = random.Random(6)
+    pts = [(r.gauss(0, 1), r.gauss(0, 9)) for _ in range(120)] + [(0.5, 0.5)] * 5 + [(400.0, 0.0)]
+    e = events(spark, pts)
+    a = e.df.select("event_id", F.col("x").alias("t_x"), F.col("y").alias("t_y"))
+    b = e.df.select(F.col("event_id").alias("other_id"), "x", "y")
+    for k in (1, 4):
+        both = [
+            {q.event_id: q.distance for q in kth_distances(a, b, ["t_x", "t_y"], ["x", "y"], "event_id", k, other="other_id", brute_rows=n).collect()} for n in (0, 5000)
+        ]
+        assert both[0] == pytest.approx(both[1]) and len(both[0]) == len(pts)
+
+
 def test_adaptive_bucket_join_equals_all_pairs(spark):
     e = events(spark, [((i * 7) % 13 / 3, (i * 5) % 11 / 2) for i in range(40)])
     p = places(spark, [(i / 4, i / 5) for i in range(20)])
