@@ -138,11 +138,13 @@ class FittedSpatialKDE:
         return replace(self, rows=rows.withColumn("a", F.col("a") / F.col("mass")).drop("mass"))
 
     def _quadrature(self) -> DataFrame:
-        """Mass of each event's kernel inside the boundary, over the centres of a regular grid of cells that the boundary covers."""
-        x0, y0, x1, y1 = self.spec.boundary.bounds
-        n = self.spec.cells_per_axis
-        grid = Support.grid(self.rows.sparkSession, (x0, y0, x1, y1), ((x1 - x0) / n, (y1 - y0) / n)).df
-        grid = grid.where(self.spec.boundary.covers(F.col("x"), F.col("y"))).select(F.col("x").alias("t_x"), F.col("y").alias("t_y"), "measure")
+        """Mass of each event's kernel inside the boundary, over a regular grid of cells clipped to it."""
+        boundary, n, spark = self.spec.boundary, self.spec.cells_per_axis, self.rows.sparkSession
+        x0, y0, x1, y1 = boundary.bounds
+        if boundary.is_rectangle():
+            grid = Support.grid(spark, (x0, y0, x1, y1), ((x1 - x0) / n, (y1 - y0) / n)).df.select(F.col("x").alias("t_x"), F.col("y").alias("t_y"), "measure")
+        else:
+            grid = spark.createDataFrame(boundary.clipped_cells(n), "t_x double, t_y double, measure double")
         pairs = self.rows.drop("a").crossJoin(F.broadcast(grid))  # cells_per_axis squared rows
         k = self._value(["t_x", "t_y"])
         return pairs.groupBy("event_id").agg(F.sum(k * F.col("measure")).alias("mass"))

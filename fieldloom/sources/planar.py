@@ -204,6 +204,28 @@ class Support:
         return Support(df, self.coords, (axis_count(*map(float, bounds), float(step)), *(self.shape or ())), self.crs, self.unit, domain)
 
 
+def _cut(ring, axis: int, at: float, side: int):
+    """The part of a ring on one side of an axis-parallel line: at or above it (1), or at or below it (-1)."""
+    out = []
+    for p, q in zip(ring, (*ring[1:], *ring[:1]), strict=True):
+        a, b = side * (p[axis] - at), side * (q[axis] - at)
+        if a >= 0:
+            out.append(p)
+        if (a > 0 > b) or (a < 0 < b):
+            t = a / (a - b)
+            out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+    return out
+
+
+def _moments(ring) -> tuple[float, float, float]:
+    """Signed area of a ring and its first moments."""
+    area = mx = my = 0.0
+    for p, q in zip(ring, (*ring[1:], *ring[:1]), strict=True):
+        cross = p[0] * q[1] - q[0] * p[1]
+        area, mx, my = area + cross / 2, mx + (p[0] + q[0]) * cross / 6, my + (p[1] + q[1]) * cross / 6
+    return area, mx, my
+
+
 def axis_count(low: float, high: float, step: float) -> int:
     """Cells of an axis: whole steps, and one more for a remainder beyond rounding error."""
     if not (math.isfinite(low) and math.isfinite(high) and high > low and step > 0):
@@ -274,6 +296,28 @@ class Boundary:
             found.append(F.sqrt((x - ax - t * dx) * (x - ax - t * dx) + (y - ay - t * dy) * (y - ay - t * dy)))
         return F.least(*found) if len(found) > 1 else found[0]
 
+    def clipped_cells(self, n: int) -> list[tuple[float, float, float]]:
+        """(x, y, area) of the parts of an n x n grid over the bounds that lie inside: centroids and areas, holes taken out.
+
+        Rings are cut to the columns, then to the cells, on the driver; there are at most n * n parts.
+        """
+        x0, y0, x1, y1 = self.bounds
+        found = []
+        for i in range(n):
+            left, right = x0 + (x1 - x0) * i / n, x0 + (x1 - x0) * (i + 1) / n
+            strips = [[_cut(_cut(ring, 0, left, 1), 0, right, -1) for ring in polygon] for polygon in self.polygons]
+            for j in range(n):
+                low, high = y0 + (y1 - y0) * j / n, y0 + (y1 - y0) * (j + 1) / n
+                area = mx = my = 0.0
+                for polygon in strips:
+                    for k, ring in enumerate(polygon):
+                        a, bx, by = _moments(_cut(_cut(ring, 1, low, 1), 1, high, -1))
+                        sign = (1 if a >= 0 else -1) * (1 if k == 0 else -1)
+                        area, mx, my = area + sign * a, mx + sign * bx, my + sign * by
+                if area > 1e-15:
+                    found.append((mx / area, my / area, area))
+        return found
+
     def outside(self, df: DataFrame, x: str = "x", y: str = "y") -> int:
         return df.where(~self.covers(F.col(x), F.col(y))).count()
 

@@ -153,6 +153,12 @@ def test_boundaries(spark):
     assert df.select(triangle.edge_distance(F.col("x"), F.col("y"))).first()[0] == pytest.approx(0.1)
     with pytest.raises(ValueError):
         SpatialKDE("gaussian", 0.1, boundary=square).fit(events(spark, [(2, 2)]))
+    assert sum(c[2] for c in triangle.clipped_cells(80)) == pytest.approx(0.5, rel=1e-12)
+    ring = Boundary(((((0, 0), (4, 0), (4, 4), (0, 4)), ((1, 1), (3, 1), (3, 3), (1, 3))),))
+    assert sum(c[2] for c in ring.clipped_cells(10)) == pytest.approx(12.0) and len(ring.clipped_cells(4)) == 12
+    kde = SpatialKDE("gaussian", 0.15, boundary=triangle, boundary_correction="renorm", cells_per_axis=80).fit(events(spark, [(0.08, 0.08), (0.3, 0.2)]))
+    mass = [0.5 / r.a for r in kde.rows.collect()]
+    assert all(0.45 < m < 1 for m in mass)
 
 
 def test_space_time(spark):
