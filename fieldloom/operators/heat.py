@@ -114,7 +114,7 @@ def evolve(segments: DataFrame, sources: DataFrame, times: Sequence[float], *, m
     rows = (
         mass.select("component", F.lit(0).alias("kind"), F.col("node").alias("row"), none.alias("col"), F.col("mass").alias("value"), none.alias("key"))
         .union(stiff.select("component", F.lit(1), "row", "col", "value", none))
-        .join(F.broadcast(used), "component", "left_semi")
+        .join(used, "component", "left_semi")
         .union(sources.select("component", F.lit(2), "node", none, "value", F.col("key").cast("string")))
         .union(used.crossJoin(F.broadcast(clock)).select("component", F.lit(3), none, none, "value", none))
     )
