@@ -49,6 +49,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROW = "__row"
+
+
+def row_keyed(docs: DataFrame, id_col: str) -> DataFrame | None:
+    """docs with a unique key of each row in ROW, written so that every reader sees the same one; None where the ids are such
+    a key themselves: none is null and none repeats."""
+    ids = docs.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    if not ids.where("n > 1 or id is null").limit(1).count():
+        return None
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns that an operator is about to add, so that clashing input columns are replaced."""
     lower = {n.lower() for n in names}

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import checkpointed, stored
+from fieldloom.llm.common import ROW, checkpointed, row_keyed, stored
 
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -37,17 +37,19 @@ def exact_groups(
 
     Returns one row per input row: the columns named in carry (all by default) with keep_id, group_size, kept and
     text_sha256 (of the normalised text). In a group the row with the most code points in its original text stays, then
-    the one with the smallest id. A null text counts as empty; empty texts equal each other. A null id sorts after all
-    others and is not kept, unless it is alone. Rows that repeat both id and text count separately in group_size and
-    share one decision. Input columns named like an added one are replaced. An empty table gives an empty result.
+    the one with the smallest id, a null id after all others, then any one row: kept is true for exactly one row of each
+    group, though ids are null or repeat; keep_id is the id of that row. A null text counts as empty; empty texts equal
+    each other. Rows that repeat both id and text count separately in group_size. Input columns named like an added one are replaced. An empty table gives an empty result.
     """
     names = [c for c in (carry or docs.columns) if c.lower() not in ADDED]
     held = text_col in names  # then the bytes are cut from the text that travels anyway
     text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    keyed = row_keyed(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*names, id_col, text_col))]), id_col)
+    docs, row = (docs, F.lit(0).cast("long")) if keyed is None else (keyed, F.col(ROW))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         F.struct(
-            (-F.length(F.coalesce(text.cast("string"), F.lit("")))).alias("n"), key.isNull().alias("no_id"), key.alias("id")
+            (-F.length(F.coalesce(text.cast("string"), F.lit("")))).alias("n"), key.isNull().alias("no_id"), key.alias("id"), row.alias("row")
         ).alias("rank"),
         F.sha2(_normalised(text), 256).alias("sha"),
         F.lit(0).cast("long").alias("gid"),
@@ -75,6 +77,7 @@ def exact_groups(
             F.when(shared & ~ended, F.col("next_gid")).alias("gid"),
             F.coalesce(F.when(ended, F.col("n")), F.lit(1)).cast("long").alias("group_size"),
             F.when(ended & shared, F.col("best.id")).otherwise(F.col("rank.id")).alias("keep_id"),
+            F.when(ended & shared, F.col("rank").eqNullSafe(F.col("best"))).otherwise(True).alias("kept"),
             *([] if held else [F.when(shared & ~ended, F.substring(ahead, run + 1, 2**31 - 1)).alias("rest")]),
         )
         if not going:
@@ -91,7 +94,7 @@ def exact_groups(
             *[F.col(f"row.`{c}`").alias(c) for c in names],
             "keep_id",
             "group_size",
-            F.coalesce(F.col("rank.id") == F.col("keep_id"), F.col("group_size") == 1).alias("kept"),
+            "kept",
             F.col("sha").alias("text_sha256"),
         )
         result = part if result is None else result.unionByName(part)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import checkpointed, stored
+from fieldloom.llm.common import ROW, checkpointed, row_keyed, stored
 
 ROWS, BANDS = 5, 26  # a pair of similarity 0.85 shares no band with probability 3e-7
 FEW, BLOCK = 64, 256  # bands of up to FEW classes are compared pair by pair, others in blocks
@@ -198,13 +198,37 @@ def near_components(
     rows: int = ROWS,
     n_bands: int = BANDS,
 ) -> DataFrame:
-    """(id, n_shingles, component_id, kept), one row per document.
+    """(id, n_shingles, component_id, kept), one row per document; component_id is the smallest id of the component.
 
     Words are the runs of [^\\x20\\x09-\\x0D], A-Z lower-cased. Documents link when their sets of distinct k-word shingles
     have similarity num/den or more; a document with fewer words has one shingle, its whole sequence. Null, empty and
     blank texts have no shingle and link with nothing. A null id is never linked: its component_id is null and it is
-    kept. Rows that repeat an id belong together. An empty table gives an empty result.
+    kept. Rows that repeat an id are linked by their texts alone; exactly one row of each component is kept. An empty
+    table gives an empty result.
     """
+    options = {"text_col": text_col, "k": k, "similarity": similarity, "rows": rows, "n_bands": n_bands}
+    name, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    keyed = row_keyed(docs.select(name, text) if id_col != text_col else docs.select(name), id_col)
+    if keyed is None:
+        return _components(docs, id_col=id_col, **options)
+    found = _components(keyed.withColumn(ROW, F.when(name.isNotNull(), F.col(ROW))), id_col=ROW, **options)
+    found = found.join(keyed.select(ROW, name.alias("id")), ROW, "left").join(_best_rows(found, keyed, id_col), "component_id", "left")
+    return found.select(
+        F.col("id").alias(id_col), "n_shingles", F.col("best.id").alias("component_id"), F.coalesce(F.col(ROW) == F.col(f"best.{ROW}"), F.lit(True)).alias("kept")
+    )
+
+
+def _best_rows(found: DataFrame, keyed: DataFrame, id_col: str) -> DataFrame:
+    """(component_id, best): the row of each component that stays, the smallest id first and null ids last."""
+    name = F.col(f"`{id_col}`")
+    named = found.where("component_id is not null").select(ROW, "component_id").join(keyed.select(ROW, name.isNull().alias("no_id"), name.alias("id")), ROW)
+    return named.groupBy("component_id").agg(F.min(F.struct("no_id", "id", ROW)).alias("best"))
+
+
+def _components(
+    docs: DataFrame, *, id_col: str, text_col: str, k: int, similarity: tuple[int, int], rows: int, n_bands: int
+) -> DataFrame:
+    """near_components where no id repeats."""
     num, den = similarity
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     id_type = dict(texts.dtypes)["id"]
@@ -297,6 +321,12 @@ def near_components(
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that stay, one document of each component, with the columns of docs."""
+    """The rows of docs that stay, one row of each component, with the columns of docs. Rows with a null id are linked as well:
+    their rows are told apart by a key."""
+    keyed = row_keyed(docs, id_col)
+    if keyed is not None:
+        found = near_components(keyed, id_col=ROW, **options)
+        stay = _best_rows(found, keyed, id_col).select(f"best.{ROW}")
+        return keyed.join(stay, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     found = near_components(docs, id_col=id_col, **options).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(found, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")

@@ -69,6 +69,35 @@ def test_exact_groups_on_odd_rows(odd):
     assert exact_groups(odd.limit(0)).count() == 0
 
 
+def test_one_row_stays_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "no id"), (None, "no  id"), (1, "long"), (None, "lo ng"), (7, "twice"), (7, "twice"), (7, "tw ice"), (8, "alone"), (9, text), (9, text), (9, text + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = exact_groups(docs, first_run=4, growth=4).collect()
+    assert len(found) == len(rows)
+    groups = {}
+    for r in found:
+        groups.setdefault(r.text_sha256, []).append(r)
+    for g in groups.values():
+        best = [r for r in g if r.kept]
+        assert len(best) == 1 and {r.group_size for r in g} == {len(g)} and {r.keep_id for r in g} == {best[0].doc_id}
+        assert len(best[0].text) == max(len(r.text) for r in g)
+    want = [(None, "lo ng"), (None, "no  id"), (7, "tw ice"), (8, "alone"), (9, text), (9, text + " end")]
+    assert sorted((str(r.doc_id), r.text) for r in drop_exact_copies(docs).collect()) == sorted((str(i), t) for i, t in want)
+
+
+def test_one_row_stays_of_each_component(spark):
+    text, other = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(3, text), (3, text), (3, text + " end"), (3, other), (None, text), (None, other + " end"), (None, "lone words"), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_components(docs).collect()
+    named = [r for r in found if r.doc_id is not None]
+    assert len(found) == len(rows) and all(r.component_id is None and r.kept for r in found if r.doc_id is None)
+    assert sorted(r.component_id for r in named) == [3, 3, 3, 3, 4] and sorted(r.doc_id for r in named if r.kept) == [3, 3, 4]
+    stay = sorted((str(r.doc_id), (r.text or "")[:2]) for r in drop_near_copies(docs).collect())
+    assert stay == [("3", "a0"), ("3", "b0"), ("4", ""), ("None", ""), ("None", "lo")]
+
+
 def brute_components(rows, num=85, den=100):
     sets = {}
     for i, text in rows:
