@@ -5,6 +5,9 @@ documents. A document's terms are its distinct lexicon terms in sorted order. Ra
 each of several rates, are fixed by a seed; a fingerprint is one hash per subset, over the document's terms in
 that subset. Two documents are as alike as the share of equal hashes, at the rate where subsets catch a term or two.
 
+A text with fewer than FEW lexicon terms is printed over all its terms, in or out of the lexicon, with the same subsets; a text
+without any term by a hash of itself. Only blank texts have a fingerprint of zeros.
+
 The band is set by shares of the number of documents, so the lexicon's size is bounded by
 (distinct terms of a mean document) / (lower share), however large the corpus: it can be broadcast.
 """
@@ -25,6 +28,7 @@ from fieldloom.llm.common import stored
 
 RATES, SUBSETS = 10, 16  # rates 1, 1/2, ..., 1/512
 LOW, HIGH = 0.0005, 0.2  # shares of all documents
+FEW = 4  # fewer lexicon terms than these do not tell texts apart
 _HELD = 200_000
 
 
@@ -81,6 +85,8 @@ class Lexicon:
     values: np.ndarray
     slots: np.ndarray  # (terms, SUBSETS): rate * SUBSETS + subset; coarser rates hold the term as well
 
+    seed: int = 1
+
     @classmethod
     def of(cls, found: list[str], seed: int = 1) -> Lexicon:
         values = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in found], dtype=np.uint64)
@@ -88,7 +94,7 @@ class Lexicon:
         for s in range(SUBSETS):
             u = (_mix(values ^ np.uint64(seed * 1000003 + s)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
             cols.append(np.minimum(np.floor(-np.log2(np.maximum(u, 1e-300))), RATES - 1).astype(np.int16) * SUBSETS + s)
-        return cls(found, values, np.stack(cols, axis=1).astype(np.int16))
+        return cls(found, values, np.stack(cols, axis=1).astype(np.int16), seed)
 
 
 class Printer:
@@ -107,6 +113,7 @@ class Printer:
 
     def fingerprint(self, text: str | None) -> str:
         """RATES * SUBSETS hashes of 8 hex digits, the finest rate last; zeros where a subset holds no term of the text.
+        With fewer than FEW lexicon terms all terms of the text count; without any term the text itself is the term.
 
         The hash of a subset's sorted terms is the sum of their mixed values, modulo 2^64.
         """
@@ -114,8 +121,11 @@ class Printer:
         if text == self.last[0] and self.last[1]:
             return self.last[1]
         at = self.places(text)
-        mixed = _mix(self.lex.values[at][:, None] ^ _SALT).ravel()
-        slots = self.lex.slots[at].ravel()
+        lex = self.lex
+        if len(at) < FEW and (own := sorted(terms(text)) or ["".join(text.split())]) != [""]:
+            lex, at = Lexicon.of(own, lex.seed), np.arange(len(own))
+        mixed = _mix(lex.values[at][:, None] ^ _SALT).ravel()
+        slots = lex.slots[at].ravel()
         n = RATES * SUBSETS
         # halves of 32 bits add up exactly as doubles, up to two million terms
         low = np.bincount(slots, (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), n).astype(np.uint64)
@@ -186,7 +196,8 @@ def _halve(acc, edges):
 
 
 def fingerprints(docs: DataFrame, lex: list[str], *, text_cols: tuple[str, ...] = ("text",), seed: int = 1) -> DataFrame:
-    """docs with fingerprint_<column> for each text column. A null text counts as empty; its fingerprint is all zeros."""
+    """docs with fingerprint_<column> for each text column. A null text counts as empty; the fingerprint of a blank text is
+    all zeros, and of no other."""
     shared = docs.sparkSession.sparkContext.broadcast(Lexicon.of(lex, seed))
 
     def run(texts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:

@@ -376,6 +376,20 @@ def test_fingerprints_on_odd_rows(odd):
     assert imatch.likeness("0" * 1280, "0" * 1280) == 1.0
 
 
+def test_texts_outside_the_lexicon_are_told_apart():
+    printer = imatch.Printer(imatch.Lexicon.of(["known", "word", "four", "more", "terms"]))
+    rare = " ".join(f"rare{i}" for i in range(40))
+    texts = ["This.", "Re.", "Lllldoado.", "!!! ???", "... ---", "known this", "known that", rare, " ".join(f"odd{i}" for i in range(40))]
+    prints = [printer.fingerprint(t) for t in texts]
+    assert "0" * 1280 not in prints
+    for a, b in itertools.combinations(prints, 2):
+        assert imatch.likeness(a, b) < 0.8
+    assert max(imatch.likeness(a, b) for a, b in itertools.combinations(prints[:5], 2)) == 0
+    assert imatch.likeness(prints[-2], prints[-1]) == 0 and imatch.likeness(prints[0], printer.fingerprint("this")) == 1
+    assert imatch.likeness(printer.fingerprint(rare), printer.fingerprint(rare.replace("rare39", "new"))) > 0.8
+    assert {printer.fingerprint(t) for t in (None, "", " \n")} == {"0" * 1280}
+
+
 def test_hypergeometric_law():
     r = random.Random(4)
     seen = Counter(sharding.hypergeometric(r, 12, 5, 4) for _ in range(20000))
