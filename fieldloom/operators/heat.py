@@ -1,8 +1,9 @@
 """Heat-equation smoothing on networks: finite elements on lixel meshes, solved component by component.
 
 Mesh nodes are network nodes, lixel ends, event offsets and points of a uniform mesh; assembly is a groupBy over segments.
-Components do not exchange heat, so each is a group of its own: its symmetric operator is diagonalised with numpy inside
-one Arrow group. A component larger than `most` mesh nodes fails with a clear message instead of growing a task.
+Components do not exchange heat, so each is a group of its own, inside one Arrow group: up to `most` mesh nodes its symmetric
+operator is diagonalised with numpy; beyond, it stays sparse and its exponential is a Chebyshev series to rounding, with
+memory in proportion to the mesh. Either way one component is one task.
 """
 
 from __future__ import annotations
@@ -57,34 +58,71 @@ def assembled(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return mass, parts.select("component", "x.*").groupBy("component", "row", "col").agg(F.sum("value").alias("value"))
 
 
+def _bessel(z: float) -> np.ndarray:
+    """exp(-z) I_k(z) for k = 0, 1, ... until it is below rounding, by downward recurrence; I_0 + 2 (I_1 + I_2 + ...) = exp(z)."""
+    n = int(9 * np.sqrt(z)) + 40
+    out = np.zeros(n + 2)
+    out[n] = 1e-280
+    for k in range(n, 0, -1):
+        out[k - 1] = out[k + 1] + 2 * k / z * out[k]
+        if out[k - 1] > 1e200:
+            out[k - 1 :] *= 1e-200
+    out = out[: n + 1] / out[: n + 1].max()
+    return out / (out[0] + 2 * out[1:].sum())
+
+
+def _series(row: np.ndarray, col: np.ndarray, value: np.ndarray, start: np.ndarray, weights: dict[float, np.ndarray], bound: float) -> dict[float, np.ndarray]:
+    """exp(-t A) start for each time t; A is sparse and symmetric with eigenvalues in [0, bound], weights[t] is _bessel(t bound / 2)."""
+    n = len(start)
+    step = lambda x: np.bincount(row, value * x[col], n) * (2 / bound) - x
+    old, now = start, step(start)
+    out = {t: w[0] * start for t, w in weights.items()}
+    for k in range(1, max(map(len, weights.values()))):
+        for t, w in weights.items():
+            if k < len(w):
+                out[t] += (-2.0 if k % 2 else 2.0) * w[k] * now
+        old, now = now, 2 * step(now) - old
+    return out
+
+
 def _evolve(most: int, tolerance: float):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
         nodes = sorted({n for k, n in zip(rows["kind"], rows["row"], strict=True) if k == 0})
         at = {n: i for i, n in enumerate(nodes)}
         n = len(nodes)
-        if n > most:
-            raise ValueError(f"a component has {n} mesh nodes; the limit is {most}")
-        mass, stiff = np.zeros(n), np.zeros((n, n))
+        mass, stiff = np.zeros(n), []
         sources: dict = {}
         times: set[float] = set()
         for kind, row, col, value, key in zip(rows["kind"], rows["row"], rows["col"], rows["value"], rows["key"], strict=True):
             if kind == 0:
                 mass[at[row]] += value
             elif kind == 1:
-                stiff[at[row], at[col]] += value
+                stiff.append((at[row], at[col], value))
             elif kind == 2:
                 sources.setdefault(key, np.zeros(n))[at[row]] += value
             else:
                 times.add(value)
         root = 1 / np.sqrt(mass)
-        values, vectors = np.linalg.eigh(root[:, None] * stiff * root)
-        values = np.maximum(values, 0)
+        i, j = (np.array([x[k] for x in stiff], dtype=np.int64) for k in (0, 1))
+        entries = root[i] * np.array([x[2] for x in stiff], dtype=float) * root[j]
+        if n > most:
+            bound = float(np.bincount(i, abs(entries), n).max())
+            weights = {t: _bessel(t * bound / 2) for t in sorted(times)}
+        else:
+            dense = np.zeros((n, n))
+            np.add.at(dense, (i, j), entries)
+            values, vectors = np.linalg.eigh(dense)
+            values = np.maximum(values, 0)
         out: dict = {k: [] for k in ("component", "key", "time", "node", "value")}
         for key, s in sorted(sources.items(), key=lambda x: str(x[0])):
-            coefficients = vectors.T @ (root * s)
+            if n > most:
+                fields = _series(i, j, entries, root * s, weights, bound)
+            else:
+                coefficients = vectors.T @ (root * s)
+                fields = {t: vectors @ (np.exp(-t * values) * coefficients) for t in times}
             for t in sorted(times):
-                found = root * (vectors @ (np.exp(-t * values) * coefficients))
+                found = root * fields[t]
                 if found.min() < -tolerance * max(1.0, abs(found).max()):
                     raise ValueError("a heat field is negative beyond rounding")
                 found = np.maximum(found, 0)
@@ -105,7 +143,7 @@ def _evolve(most: int, tolerance: float):
 
 def evolve(segments: DataFrame, sources: DataFrame, times: Sequence[float], *, most: int = 4096, tolerance: float = 1e-10) -> DataFrame:
     """(component, key, time, node, value): nodal heat after each time from sources (component, node, key, value). One
-    diagonalisation of a component serves all its sources and times."""
+    diagonalisation of a component serves all its sources and times; beyond `most` mesh nodes one series serves all times of a source."""
     mass, stiff = assembled(segments)
     spark = segments.sparkSession
     clock = candidates(spark, times, "value")

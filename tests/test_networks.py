@@ -110,3 +110,27 @@ def test_heat_on_an_interval(spark):
         assert r.density == pytest.approx(want, abs=4e-3)
     assert sum(r.density * r.length for r in f) == pytest.approx(1.0, abs=1e-12)
     assert components(two).select("component").distinct().count() == 2
+
+
+def test_heat_of_large_components_matches_the_diagonalised_one():
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldloom.operators.heat import _evolve
+
+    r = np.random.default_rng(3)
+    n, rows = 90, []
+    links = [(i, i + 1) for i in range(n - 1)] + [tuple(map(int, r.choice(n, 2, replace=False))) for _ in range(40)]
+    for a, b in links:
+        size = float(r.uniform(0.001, 1.0))
+        rows += [(0, f"{x:03}", None, size / 2, None) for x in (a, b)]
+        rows += [(1, f"{x:03}", f"{y:03}", v / size, None) for x, y, v in ((a, a, 1), (b, b, 1), (a, b, -1), (b, a, -1))]
+    rows += [(2, "004", None, 0.25, "p"), (2, "050", None, 0.75, "p"), (2, "031", None, 1.0, "q")]
+    rows += [(3, None, None, t, None) for t in (1e-7, 0.02, 1.5)]
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string())
+    table = pa.table({c: pa.array([x[k] for x in rows], t) for k, (c, t) in enumerate(zip(("kind", "row", "col", "value", "key"), kinds))})
+    table = table.append_column("component", pa.array(["c"] * len(rows)))
+    small, large = (_evolve(most, 1e-10)(table).to_pydict() for most in (4096, 10))
+    assert {k: small[k] for k in ("component", "key", "time", "node")} == {k: large[k] for k in ("component", "key", "time", "node")}
+    assert len(small["value"]) == 2 * 3 * n
+    assert large["value"] == pytest.approx(small["value"], rel=1e-8, abs=1e-9)
