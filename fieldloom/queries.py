@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -317,13 +318,13 @@ def event_quality(spark, sf_dir):
     """WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS v FROM embeddings), t AS (SELECT vec_id AS id, v AS tv FROM e WHERE vec_id % 25 = 0)
     SELECT id AS support_id, round(sum(exp(-0.5 * power(array_distance(v, tv), 2) / 4.0)) / count(*), 6) + 0.0 AS kernel_mean FROM t CROSS JOIN e GROUP BY id"""
 )
-def embedding_kde_64d(spark, sf_dir):
+def embedding_kde_64d(spark, sf_dir, whole=False):
     """Mean unscaled Gaussian kernel in 64 dimensions, over array columns, at every 25th vector."""
     from fieldloom.functions.kernels import array_squared_distance
     from fieldloom.plans.pairs import all_pairs
 
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    places = rows.where("vec_id % 25 = 0").select(F.col("vec_id").alias("support_id"), F.col("embedding").alias("place"))
+    places = rows.where("true" if whole else "vec_id % 25 = 0").select(F.col("vec_id").alias("support_id"), F.col("embedding").alias("place"))
     pairs = all_pairs(places, rows)
     k = F.exp(array_squared_distance(F.col("embedding"), F.col("place")) * (-0.5 / 4.0))
     return rounded(pairs.groupBy("support_id").agg(F.avg(k).alias("kernel_mean")), "kernel_mean")
@@ -387,8 +388,8 @@ def st_kde_cyclic_grid(spark, sf_dir):
 _ST = "q AS (SELECT o_orderkey AS id, o_totalprice / 1000 AS x, (epoch_us(o_orderdate) - epoch_us(TIMESTAMP '2024-01-01')) / 8.64e10 AS t FROM orders WHERE o_orderkey % 100 = 0)"
 
 
-def _orders_sample(spark, sf_dir) -> Events:
-    rows = read(spark, sf_dir, "orders").where("o_orderkey % 100 = 0")
+def _orders_sample(spark, sf_dir, whole: bool = False) -> Events:
+    rows = read(spark, sf_dir, "orders").where("true" if whole else "o_orderkey % 100 = 0")
     return Events.from_frame(rows, (F.col("o_totalprice") / 1000,), event_id="o_orderkey", time=offset(F.col("o_orderdate"), "days", ORIGIN))
 
 
@@ -400,14 +401,14 @@ def _experiment_sql(tail: str) -> str:
 
 
 @query(_experiment_sql("SELECT hs, ht, round(score, 6) AS score FROM s"))
-def st_experiment(spark, sf_dir):
-    found = SpatiotemporalBandwidthExperiment((20.0, 40.0, 80.0), (60.0, 180.0)).scores(_orders_sample(spark, sf_dir))
+def st_experiment(spark, sf_dir, whole=False):
+    found = SpatiotemporalBandwidthExperiment((20.0, 40.0, 80.0), (60.0, 180.0)).scores(_orders_sample(spark, sf_dir, whole))
     return rounded(found.select("hs", "ht", "score"), "score")
 
 
 @query(_experiment_sql("SELECT hs, ht, round(score, 6) AS score FROM s ORDER BY s.score, hs, ht LIMIT 1"))
-def st_experiment_best(spark, sf_dir):
-    return rounded(SpatiotemporalBandwidthExperiment((20.0, 40.0, 80.0), (60.0, 180.0)).run(_orders_sample(spark, sf_dir)), "score")
+def st_experiment_best(spark, sf_dir, whole=False):
+    return rounded(SpatiotemporalBandwidthExperiment((20.0, 40.0, 80.0), (60.0, 180.0)).run(_orders_sample(spark, sf_dir, whole)), "score")
 
 
 # --- exposure and risk -----------------------------------------------------------------------------------------------
@@ -527,16 +528,16 @@ def streets(spark: SparkSession):
     return Network.grid(spark, BLOCKS, BLOCKS)
 
 
-def calls(spark: SparkSession, sf_dir: str) -> Events:
-    """Every 50th order as a point in the street grid."""
-    rows = read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+def calls(spark: SparkSession, sf_dir: str, whole: bool = False) -> Events:
+    """Every 50th order, or each one, as a point in the street grid."""
+    rows = read(spark, sf_dir, "orders").where("true" if whole else "o_orderkey % 50 = 0")
     return Events.from_frame(rows, (F.col("o_totalprice") / 62500, (F.col("o_custkey") % 100) / 12.5), event_id="o_orderkey")
 
 
-def snapped_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapped_calls(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     from fieldloom.sources.network import accepted, snap
 
-    found = accepted(snap(streets(spark), calls(spark, sf_dir), 0.4))
+    found = accepted(snap(streets(spark), calls(spark, sf_dir, whole), 0.4))
     return found.select("event_id", "edge_index", "offset", "weight", (F.col("event_id") % 24).cast("double").alias("time"))
 
 
@@ -561,18 +562,18 @@ def network_components(spark, sf_dir):
     f"""WITH {_SNAP} SELECT id AS event_id, edge_index, round(pos, 6) AS offset, round(snap_distance, 6) AS snap_distance, candidates, status
     FROM s WHERE status <> 'beyond_max_distance'"""
 )
-def snap_events(spark, sf_dir):
+def snap_events(spark, sf_dir, whole=False):
     from fieldloom.sources.network import accepted, snap
 
-    found = accepted(snap(streets(spark), calls(spark, sf_dir), 0.4))
+    found = accepted(snap(streets(spark), calls(spark, sf_dir, whole), 0.4))
     return rounded(found.select("event_id", "edge_index", "offset", "snap_distance", "candidates", "status"), "offset", "snap_distance")
 
 
 @query(f"WITH {_SNAP} SELECT id AS event_id, status AS reason FROM s WHERE status = 'beyond_max_distance'")
-def snap_rejected(spark, sf_dir):
+def snap_rejected(spark, sf_dir, whole=False):
     from fieldloom.sources.network import rejected, snap
 
-    return rejected(snap(streets(spark), calls(spark, sf_dir), 0.4)).select("event_id", "reason")
+    return rejected(snap(streets(spark), calls(spark, sf_dir, whole), 0.4)).select("event_id", "reason")
 
 
 _LIXELS = """x AS (SELECT edge_index * 4 + k AS lixel_id, edge_index, u, v, x0, y0, x1, y1, k * 0.3 AS start_offset,
@@ -603,11 +604,11 @@ _TO_LIXELS = """d AS (
     f"""WITH {_SNAP}, {_LIXELS}, {_WAYS}, {_TO_LIXELS} SELECT lixel_id, count(*) AS sources, round(min(distance), 6) AS nearest, round(avg(distance), 6) AS mean
     FROM d WHERE distance <= 2.2 + 1e-12 GROUP BY lixel_id"""
 )
-def network_distances(spark, sf_dir):
+def network_distances(spark, sf_dir, whole=False):
     """Per lixel, the events within 2.2 along the streets."""
     from fieldloom.operators.network import location_distances
 
-    s = snapped_calls(spark, sf_dir).select(F.col("event_id").alias("source"), "edge_index", "offset")
+    s = snapped_calls(spark, sf_dir, whole).select(F.col("event_id").alias("source"), "edge_index", "offset")
     t = streets(spark).lixels(0.3).select(F.col("lixel_id").alias("target"), "edge_index", F.col("center_offset").alias("offset"))
     d = location_distances(streets(spark), s, t, 2.2)
     found = d.groupBy(F.col("target").alias("lixel_id")).agg(F.count(F.lit(1)).alias("sources"), F.min("distance").alias("nearest"), F.avg("distance").alias("mean"))
@@ -618,18 +619,18 @@ def network_distances(spark, sf_dir):
     f"""WITH {_SNAP}, {_LIXELS}, {_WAYS}, {_TO_LIXELS}, cnt AS (SELECT count(DISTINCT id) AS n FROM z)
     SELECT lixel_id, round(100 * sum({kernel_sql("epanechnikov", "distance / 1.5", 1, "1.5")}) / max(n), 6) + 0.0 AS density FROM d CROSS JOIN cnt GROUP BY lixel_id"""
 )
-def network_kde_simple(spark, sf_dir):
+def network_kde_simple(spark, sf_dir, whole=False):
     from fieldloom.operators.network import NetworkKDE
 
-    found = NetworkKDE("epanechnikov", 1.5, "simple").evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.3))
+    found = NetworkKDE("epanechnikov", 1.5, "simple").evaluate(streets(spark), snapped_calls(spark, sf_dir, whole), streets(spark).lixels(0.3))
     return rounded(found.select("lixel_id", "density"), "density", scale=100)
 
 
 def _path_kde(policy: str):
-    def run(spark, sf_dir):
+    def run(spark, sf_dir, whole=False):
         from fieldloom.operators.network import NetworkKDE
 
-        found = NetworkKDE("epanechnikov", 1.5, policy).evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.3))
+        found = NetworkKDE("epanechnikov", 1.5, policy).evaluate(streets(spark), snapped_calls(spark, sf_dir, whole), streets(spark).lixels(0.3))
         return rounded(found.select("lixel_id", "density"), "density", scale=100)
 
     return run
@@ -676,10 +677,10 @@ query(_path_sql("continuous"), "network_kde_continuous")(_path_kde("continuous")
     ), q AS (SELECT id, distance, row_number() OVER (PARTITION BY id ORDER BY distance) AS k FROM d)
     SELECT id AS source, round(greatest(distance, 0.01), 6) AS h FROM q WHERE k = 3"""
 )
-def network_knn_bandwidth(spark, sf_dir):
+def network_knn_bandwidth(spark, sf_dir, whole=False):
     from fieldloom.operators.network import NetworkKNNBandwidth
 
-    return rounded(NetworkKNNBandwidth(3, minimum=0.01).resolve(streets(spark), snapped_calls(spark, sf_dir)), "h")
+    return rounded(NetworkKNNBandwidth(3, minimum=0.01).resolve(streets(spark), snapped_calls(spark, sf_dir, whole)), "h")
 
 
 @query(
@@ -714,31 +715,31 @@ def arixels(spark, sf_dir):
     SELECT lixel_id, i AS time_index, i * 6 + 3.0 AS time, round(1000 * sum({kernel_sql("epanechnikov", "distance / 1.5", 1, "1.5")} * b) / max(n), 6) + 0.0 AS density
     FROM d JOIN k USING (id) CROSS JOIN cnt GROUP BY lixel_id, i"""
 )
-def network_time_kde(spark, sf_dir):
+def network_time_kde(spark, sf_dir, whole=False):
     from fieldloom.operators.network import NetworkKDE, TemporalNetworkKDE
     from fieldloom.sources.planar import axis_cells
 
     cells = axis_cells(spark, 0.0, 24.0, 6.0, "time")
     kde = TemporalNetworkKDE(NetworkKDE("epanechnikov", 1.5, "simple"), 3.0, CyclicTime(24.0))
-    found = kde.evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.3), cells)
+    found = kde.evaluate(streets(spark), snapped_calls(spark, sf_dir, whole), streets(spark).lixels(0.3), cells)
     return rounded(found.drop("measure"), "density", scale=1000)
 
 
 @query()
-def heat_density(spark, sf_dir):
+def heat_density(spark, sf_dir, whole=False):
     """Heat fields on lixels for three diffusion times."""
     from fieldloom.operators.heat import HeatNetworkExperiment
 
-    found = HeatNetworkExperiment((0.05, 0.2, 0.5)).evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.5))
+    found = HeatNetworkExperiment((0.05, 0.2, 0.5)).evaluate(streets(spark), snapped_calls(spark, sf_dir, whole), streets(spark).lixels(0.5))
     return rounded(found.select("batch_index", "diffusion_time", "lixel_id", "density"), "density", scale=100)
 
 
 @query("SELECT unnest([0.05, 0.2, 0.5])::DOUBLE AS diffusion_time, 1.0 AS mass")
-def heat_mass(spark, sf_dir):
+def heat_mass(spark, sf_dir, whole=False):
     """Heat moves and is not lost."""
     from fieldloom.operators.heat import HeatNetworkExperiment
 
-    found = HeatNetworkExperiment((0.05, 0.2, 0.5)).evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.5))
+    found = HeatNetworkExperiment((0.05, 0.2, 0.5)).evaluate(streets(spark), snapped_calls(spark, sf_dir, whole), streets(spark).lixels(0.5))
     return found.groupBy("diffusion_time").agg(F.round(F.sum(F.col("density") * F.col("length")), 6).alias("mass"))
 
 
@@ -750,10 +751,10 @@ def heat_mass(spark, sf_dir):
     ), f AS (SELECT h, id, sum({kernel_sql("epanechnikov", "distance / h", 1, "h")}) / count(*) AS f FROM d CROSS JOIN h GROUP BY h, id)
     SELECT h, round(-avg(ln(greatest(f, 1e-300))), 6) AS score FROM f GROUP BY h"""
 )
-def network_likelihood_grid(spark, sf_dir):
+def network_likelihood_grid(spark, sf_dir, whole=False):
     from fieldloom.operators.network_selection import NetworkBandwidthGrid
 
-    return rounded(NetworkBandwidthGrid((0.8, 1.6)).scores(streets(spark), snapped_calls(spark, sf_dir)), "score")
+    return rounded(NetworkBandwidthGrid((0.8, 1.6)).scores(streets(spark), snapped_calls(spark, sf_dir, whole)), "score")
 
 
 @query(
@@ -766,8 +767,19 @@ def network_likelihood_grid(spark, sf_dir):
         FROM d JOIN s p ON d.id = p.id JOIN s q ON d.other = q.id CROSS JOIN h CROSS JOIN g GROUP BY h, ht, d.id
     ) SELECT h, ht, round(-avg(ln(greatest(f, 1e-300))), 6) AS score FROM f GROUP BY h, ht"""
 )
-def network_time_experiment(spark, sf_dir):
+def network_time_experiment(spark, sf_dir, whole=False):
     from fieldloom.operators.network_selection import NetworkTimeBandwidthExperiment
 
-    found = NetworkTimeBandwidthExperiment((1.0, 2.0), (4.0, 12.0), LinearTime(), policy="simple").scores(streets(spark), snapped_calls(spark, sf_dir))
+    found = NetworkTimeBandwidthExperiment((1.0, 2.0), (4.0, 12.0), LinearTime(), policy="simple").scores(streets(spark), snapped_calls(spark, sf_dir, whole))
     return rounded(found, "score")
+
+
+# --- whole tables ----------------------------------------------------------------------------------------------------
+
+#: Their SQL takes every 50th or 100th order, or every 25th vector. NAME_all runs over all of them and has no SQL.
+SAMPLED = (
+    "snap_events snap_rejected network_distances network_kde_simple network_kde_discontinuous network_kde_continuous network_knn_bandwidth network_time_kde "
+    "heat_density heat_mass network_likelihood_grid network_time_experiment st_experiment st_experiment_best embedding_kde_64d"
+).split()
+for _name in SAMPLED:
+    query(name=f"{_name}_all")(functools.partial(QUERIES[_name], whole=True))

@@ -225,3 +225,18 @@ def test_streamed_field_equals_batch(spark, tmp_path):
     q.awaitTermination()
     batch = SpatialKDE("epanechnikov", 1.5).fit_evaluate(Events.from_frame(spark.createDataFrame(rows, schema), ("x", "y"), weight="weight"), support)
     assert values(merged_field(support, out)) == pytest.approx(values(batch), abs=1e-12)
+
+
+def test_whole_tables_are_covered(spark, data):
+    import numpy as np
+
+    from fieldloom.queries import QUERIES
+
+    orders = {r[0] for r in spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey").collect()}
+    near, far = ({r.event_id for r in QUERIES[n](spark, data).collect()} for n in ("snap_events_all", "snap_rejected_all"))
+    assert near | far == orders and not near & far
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()
+    v = np.array([r.embedding for r in rows], dtype=float)
+    want = {r.vec_id: np.exp(((v - x) ** 2).sum(axis=1) / -8).mean() for r, x in zip(rows, v, strict=True)}
+    got = {r.support_id: r.kernel_mean for r in QUERIES["embedding_kde_64d_all"](spark, data).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
