@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import quality
@@ -32,8 +32,17 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_copies(docs, similarity=(80, 100), n_bands=40)
 
 
+def prefix_text(text: Column, tokens: Column) -> Column:
+    """The first tokens of a text, four bytes each, less a code point that the cut would split."""
+    whole, n = text.cast("binary"), (tokens * 4).cast("int")
+    split = lambda i: F.hex(F.substring(whole, n + i, F.lit(1))).between("80", "BF")
+    back = F.when(~split(1), 0).when(~split(0), 1).when(~split(-1), 2).otherwise(3)
+    return F.when(n < F.octet_length(whole), F.substring(whole, F.lit(1), n - back).cast("string")).otherwise(text)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A prefix of each source, 90 percent of all tokens, by weights of language and source; each document once at most."""
+    """A prefix of each source, 90 percent of all tokens, by weights of language and source; each document once at most. The
+    last document of a source is cut to the tokens it still gives."""
     group = F.pmod(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"), F.lit(3))
     found = mixed(
         docs,
@@ -41,7 +50,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         levels={"mix_domain": group, "mix_lang": F.col("lang"), "mix_source": F.col("source")},
         weights={"mix_lang": {"en": 6.0, "fr": 2.0, "de": 2.0, "es": 2.0}},
     )
-    return found.select(*docs.columns)
+    part = F.col("take_tokens") < F.col("n_tokens")
+    short = prefix_text(F.col("text"), F.col("take_tokens"))
+    changed = {"text": short, "n_chars": F.length(short).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return found.select(*[F.when(part, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

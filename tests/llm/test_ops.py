@@ -470,3 +470,15 @@ def test_pipeline_stages(spark, data):
     assert {r.doc_id for r in last} == ids
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(hashlib.sha256(texts[r.doc_id].encode()).hexdigest() == r.decoded_sha256 for r in last)
+
+
+def test_mixing_stage_cuts_texts(spark, data):
+    import corpus_pipeline
+
+    texts = ["a" * 40, "\u00e9" * 9, "x\u20ac" * 9, "\U0001f600y" * 9, "abc"]
+    rows = spark.createDataFrame([(t, n) for t in texts for n in (1, 2, 3)], "text string, n long")
+    for r in rows.withColumn("cut", corpus_pipeline.prefix_text(F.col("text"), F.col("n"))).collect():
+        assert r.cut == r.text.encode()[: 4 * r.n].decode(errors="ignore")
+    docs = spark.createDataFrame([(i, "word " * 80, "en", "src1", 400) for i in range(1)], "doc_id long, text string, lang string, source string, n_chars long")
+    (only,) = corpus_pipeline.mix(spark, docs, data).collect()
+    assert only.text == ("word " * 80)[:360] and only.n_chars == 360
