@@ -41,12 +41,41 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back; for wide rows, where a checkpoint would not be compressed."""
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = os.path.join(scratch_dir(spark), "fieldloom", spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back; for wide rows, where a checkpoint would not be compressed."""
+    return _written(df, name)[0]
+
+
+class Scratch:
+    """Tables in the shared folder for the length of a with block; what is still needed after it must be stored or checkpointed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        found, path = _written(df, name)
+        self.paths.append(path)
+        return found
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder by the file system that Spark reads it with."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 ROW = "__row"

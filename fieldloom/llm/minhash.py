@@ -5,15 +5,17 @@ smallest pi(sigma(x) + k), pi circularly shifted by k. Coordinates are banded; d
 candidates; a link is confirmed only on the full shingle sets.
 
 Work follows links, not pairs. Documents with equal sets form one class. In every shared band each class is compared
-with a few hubs of that band; classes linked so far are merged; then, in bands that still hold several components,
-each class outside the first hub's component is compared with all classes of other components: pair by pair in bands of
-a few classes, in blocks of bounded size in crowded ones, where only links leave the block. Pairs inside one component
-need no comparison, since only reachability counts. Nothing is capped.
+with a few hubs of that band, and classes linked so far become components. Bands that then hold several components go on. For
+each of their classes the shingles that some other component holds as well are counted: two classes of different components can
+share no more than the smaller of their counts, which bounds their similarity and the size of any partner. Rounds of hubs (the class
+of the band that shares most) merge what they can; at last, classes of different components meet one by one where neither bound
+nor size forbids a link. Pairs inside one component need no comparison, since only reachability counts. Nothing is capped.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import ROW, checkpointed, row_keyed, stored
+from fieldloom.llm.common import ROW, Scratch, checkpointed, row_keyed, stored
 
 ROWS, BANDS = 5, 26  # a pair of similarity 0.85 shares no band with probability 3e-7
-FEW, BLOCK = 64, 256  # bands of up to FEW classes are compared pair by pair, others in blocks
-_COLUMNS = 2048
+STEP = 1.05  # sizes of one bucket differ by less than this factor
 _WORDS: dict[bytes, int] = {}
 _WORDS_HELD = 150_000
 
@@ -135,37 +136,13 @@ def _confirm(num: int, den: int):
     return run
 
 
-def _confirm_block(num: int, den: int):
-    """Links between the strays (side) and the other components in one block, by counting shared shingles in a product of
-    0/1 matrices, a few thousand shingles at a time."""
-
-    def run(table: pa.Table) -> pa.Table:
-        side = np.array(table.column("side").to_pylist(), dtype=bool)
-        ids, label = table.column("c"), np.unique(np.array(table.column("label").to_pylist()), return_inverse=True)[1]
-        sets = [np.frombuffer(v, np.uint64) for v in table.column("set").to_pylist()]
-        size = np.array([len(x) for x in sets])
-        left, right = np.flatnonzero(side), np.flatnonzero(~side)
-        both = np.zeros((len(left), len(right)), dtype=np.float32)
-        if both.size:
-            _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            row = np.repeat(np.arange(len(sets)), size)
-            number = np.cumsum(count > 1) - 1
-            several = count[column] > 1
-            row, column = row[several], number[column[several]]
-            order = np.argsort(column, kind="stable")
-            row, column = row[order], column[order]
-            for low in range(0, int(number[-1]) + 1, _COLUMNS):
-                a, b = np.searchsorted(column, [low, low + _COLUMNS])
-                part = np.zeros((len(sets), _COLUMNS), dtype=np.float32)
-                part[row[a:b], column[a:b] - low] = 1
-                both += part[left] @ part[right].T
-        union = size[left][:, None] + size[right][None, :] - both
-        i, j = np.nonzero((den * both >= num * union) & (label[left][:, None] != label[right][None, :]))
-        names = ids.to_pylist()
-        pairs = [sorted((names[x], names[y])) for x, y in zip(left[i], right[j], strict=True)]
-        return pa.table([pa.array([p[k] for p in pairs], ids.type) for k in (0, 1)], ["a", "b"])
-
-    return run
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, label, set) to one row per shingle."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            s = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
+            at = pa.array(np.full(len(s), i, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(s)], ["c", "label", "shingle"])
 
 
 def components(edges: DataFrame, id_type: str = "long") -> DataFrame:
@@ -188,6 +165,76 @@ def components(edges: DataFrame, id_type: str = "long") -> DataFrame:
             return labels
 
 
+def _links(texts: DataFrame, classes: DataFrame, id_type: str, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(a, b): confirmed links between classes (c, n, bands); as many as connect all classes that links connect at all."""
+    members = classes.select("c", "n", F.explode("bands").alias("band"))
+    several = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
+    shared = scratch.stored(members.join(several, "band"), "shared")
+    who = F.struct("c", "n")
+    hubs = shared.groupBy("band").agg(
+        F.min(who).alias("low"), F.max(who).alias("high"), F.min(F.struct(F.xxhash64("c", F.lit(7)).alias("h"), "c", "n")).alias("any")
+    )
+    hubs = hubs.select("band", F.explode(F.array("low", "high", F.struct("any.c", "any.n"))).alias("hub"))
+    tried = (
+        shared.join(hubs, "band")
+        .where((F.col("c") != F.col("hub.c")) & (F.least("n", "hub.n") * den >= F.greatest("n", "hub.n") * num))
+        .select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b"))
+    )
+    # one plan at every size: both sides by id
+    wanted = shared.select(F.col("c").alias("id")).distinct()
+    sets = scratch.stored(texts.join(wanted.hint("merge"), "id").mapInArrow(_sets(k), f"id {id_type}, set binary"), "sets")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+        full = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        return checkpointed(full.mapInArrow(_confirm(num, den), f"a {id_type}, b {id_type}"))
+
+    def still_apart(held: DataFrame) -> DataFrame:
+        """The rows of held (band, label, ...) in bands of several components."""
+        mixed = held.groupBy("band").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("band")
+        return checkpointed(held.join(mixed, "band"))
+
+    links = confirmed(tried)
+    at = components(links).select(F.col("id").alias("c"), "label")
+    held = still_apart(checkpointed(shared.join(at, "c", "left").withColumn("label", F.coalesce("label", "c"))))
+    if not held.limit(1).count():
+        return links
+    # shingles of each class that another component holds as well
+    open_sets = held.select("c", "label").distinct().join(sets.withColumnRenamed("id", "c"), "c").select("c", "label", "set")
+    shingles = scratch.stored(open_sets.mapInArrow(_explode, f"c {id_type}, label {id_type}, shingle long"), "shingles")
+    spread = shingles.groupBy("shingle").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("shingle")
+    common = shingles.join(spread, "shingle").groupBy("c").agg(F.count(F.lit(1)).alias("common"))
+    # a partner has at least least_n and at most most_n shingles
+    held = held.join(common, "c").withColumn("least_n", F.ceil(F.col("n") * num / den)).withColumn("most_n", F.floor(F.col("common") * (num + den) / num) - F.col("n"))
+    held = checkpointed(held.where("most_n >= least_n"))
+
+    def fits(x: str, y: str):
+        part = lambda side, name: F.col(f"{side}.{name}")
+        low = F.least(part(x, "common"), part(y, "common"))
+        return (part(x, "label") != part(y, "label")) & (den * low >= num * (part(x, "n") + part(y, "n") - low))
+
+    pair = F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")
+    while held.limit(1).count():
+        hub = held.groupBy("band").agg(F.max_by(F.struct("c", "n", "label", "common"), F.struct(F.col("common") / F.col("n"), "common", "c")).alias("y"))
+        more = confirmed(held.alias("x").join(hub, "band").where(fits("x", "y")).select(*pair))
+        if not more.limit(1).count():
+            break
+        links = links.union(more)
+        # components of components: only labels that were linked just now change
+        label_of = held.select("c", "label").distinct()
+        ends = more.join(label_of.withColumnsRenamed({"c": "a", "label": "la"}), "a").join(label_of.withColumnsRenamed({"c": "b", "label": "lb"}), "b")
+        moved = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("now"))
+        held = still_apart(checkpointed(held.join(moved, "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")))
+    # what is left meets by band and by sizes: x is the larger one, or of equal sizes either
+    bucket = lambda n: F.floor(F.log(n) / F.lit(math.log(STEP))).cast("int")
+    sizes = lambda a, b: F.explode(F.sequence(bucket(a), bucket(b)))
+    x = held.withColumn("top", F.least("most_n", "n")).where("top >= least_n")
+    x = x.select("band", bucket(F.col("n")).alias("bx"), sizes(F.col("least_n"), F.col("top")).alias("by"), "c", "n", "label", "common")
+    y = held.where("most_n >= n").select("band", sizes(F.col("n"), F.col("most_n")).alias("bx"), bucket(F.col("n")).alias("by"), "c", "n", "label", "common")
+    rest = x.alias("x").join(y.alias("y"), ["band", "bx", "by"]).where(fits("x", "y") & (F.col("x.n") >= F.col("y.n"))).select(*pair)
+    return checkpointed(links.union(confirmed(rest)))
+
+
 def near_components(
     docs: DataFrame,
     *,
@@ -236,77 +283,12 @@ def _components(
         texts.mapInArrow(_sketch(k, rows, n_bands), f"id {id_type}, n long, set_key binary, bands array<bigint>"), "sketch"
     )
     named = sketches.where("id is not null and set_key is not null")
-    classes = named.groupBy("set_key", "n").agg(F.min("id").alias("c"), F.first("bands").alias("bands"))
-    members = classes.select("c", "n", F.explode("bands").alias("band"))
-    who = F.struct("c", "n")
-    hubs = (
-        members.groupBy("band")
-        .agg(
-            F.count(F.lit(1)).alias("size"),
-            F.min(who).alias("low"),
-            F.max(who).alias("high"),
-            F.min(F.struct(F.xxhash64("c", F.lit(7)).alias("h"), "c", "n")).alias("any"),
-        )
-        .where("size > 1")
-        .select("band", "size", "low", "high", F.struct("any.c", "any.n").alias("any"))
-    )
-    shared = stored(members.join(hubs, "band"), "shared")
-    fits = (F.least("n", "m") * den >= F.greatest("n", "m") * num) & (F.col("a") != F.col("b"))
-    tried = (
-        shared.select("c", "n", F.explode(F.array("low", "high", "any")).alias("hub"))
-        .select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b"), "n", F.col("hub.n").alias("m"))
-        .where(fits)
-        .select("a", "b")
-        .distinct()
-    )
-    tried = checkpointed(tried)
-    # full sets of the classes that share a band with a class of fitting size
-    wanted = shared.select(F.col("c").alias("id")).distinct()
-    # one plan at every size: both sides by id, and one text where rows repeat an id
-    texts_of = texts.join(wanted.hint("merge"), "id").groupBy("id").agg(F.first("text").alias("text"))
-    sets = stored(texts_of.mapInArrow(_sets(k), f"id {id_type}, set binary"), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-        full = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return full.mapInArrow(_confirm(num, den), f"a {id_type}, b {id_type}")
-
-    links = checkpointed(confirmed(tried))
-    label = components(links)
-
-    # bands that still hold several components: what lies outside the first hub's component, against the rest
-    at = label.select(F.col("id").alias("c"), "label")
-    hub_at = label.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
-    held = (
-        shared.select("band", "c", "n", F.col("low.c").alias("hub"))
-        .join(at, "c", "left")
-        .join(hub_at, "hub", "left")
-        .select("band", "c", "n", F.coalesce("label", "c").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
-    )
-    held = checkpointed(held.select("band", "c", "n", "label", (F.col("label") != F.col("hub_label")).alias("stray")))
-    mixed = held.groupBy("band").agg(F.count(F.lit(1)).alias("all"), F.count_if("stray").alias("strays")).where("strays > 0")
-    held = checkpointed(held.join(mixed, "band"))
-    few = held.where(F.col("all") <= FEW)
-    strays = few.where("stray").select("band", F.col("c").alias("s"), F.col("n").alias("m"), F.col("label").alias("s_label"))
-    met = few.join(strays, "band").where(
-        (F.col("label") != F.col("s_label")) & (F.least("n", "m") * den >= F.greatest("n", "m") * num)
-    )
-    rest = met.select(F.least("c", "s").alias("a"), F.greatest("c", "s").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    # crowded bands in blocks: every block of strays meets every block of members in one group of bounded size
-    many = held.where(F.col("all") > FEW)
-    rows_of, cols_of = (F.ceil(F.col(x) / BLOCK).cast("int") for x in ("strays", "all"))
-    spot = F.xxhash64("c", "band")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    blocks = many.where("stray").select("band", F.pmod(spot, rows_of).cast("int").alias("i"), every(cols_of).alias("j"), "c", "label", F.lit(True).alias("side"))
-    blocks = blocks.union(many.select("band", every(rows_of).alias("i"), F.pmod(spot, cols_of).cast("int").alias("j"), "c", "label", F.lit(False).alias("side")))
-    blocks = blocks.join(sets.withColumnRenamed("id", "c"), "c").select("band", "i", "j", "c", "label", "side", "set")
-    crowded = blocks.groupBy("band", "i", "j").applyInArrow(_confirm_block(num, den), f"a {id_type}, b {id_type}").distinct()
-    more = checkpointed(confirmed(rest).union(crowded))
-    if more.limit(1).count():
-        label = components(links.union(more))
-
-    of_set = classes.select("set_key", "c").join(label.select(F.col("id").alias("c"), "label"), "c", "left")
-    of_set = of_set.select("set_key", F.coalesce("label", "c").alias("label"))
+    with Scratch(docs.sparkSession) as scratch:
+        classes = scratch.stored(named.groupBy("set_key", "n").agg(F.min("id").alias("c"), F.first("bands").alias("bands")), "classes")
+        links = _links(texts, classes, id_type, k, num, den, scratch)
+        label = components(links)
+        of_class = label.select(F.col("id").alias("c"), "label")
+        of_set = stored(classes.select("set_key", "c").join(of_class, "c", "left").select("set_key", F.coalesce("label", "c").alias("label")), "labels")
     component = F.when(F.col("id").isNotNull(), F.coalesce("label", "id"))
     return (
         sketches.select("id", F.col("n").alias("n_shingles"), "set_key")

@@ -183,4 +183,20 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
     """,
+    "op5_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS shingles FROM w
+        ), x AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s), p AS (
+            SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS met, any_value(a.n) + any_value(b.n) AS sizes
+            FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+        ), e AS (SELECT i, j FROM p WHERE 100 * met >= 85 * (sizes - met)), l AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e),
+        r AS (SELECT doc_id, doc_id AS reached FROM s UNION SELECT r.doc_id, l.j FROM r JOIN l ON r.reached = l.i),
+        c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+    """,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -146,6 +146,44 @@ def test_near_components_match_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_components(rows)
 
 
+def matrix_components(rows, num, den):
+    """Components by all pairs, counted with a product of 0/1 matrices."""
+    sets = [shingle_set(t) for _, t in rows]
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    held = np.zeros((len(sets), column.max() + 1), dtype=np.float32)
+    held[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), column] = 1
+    both, size = held @ held.T, held.sum(axis=1)
+    linked = (both > 0) & (den * both >= num * (size[:, None] + size - both))
+    label = np.arange(len(sets))
+    while True:
+        near = np.where(linked, label[None, :], len(sets)).min(axis=1)
+        if (near == label).all():
+            return {rows[i][0]: rows[label[i]][0] for i in range(len(rows))}
+        label = near
+
+
+def chained_copies(n, seed=11):
+    """A crowd of chains: each text is a former one, a few words changed, so that the ends of a chain are far apart."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [[r.choice(words) for _ in range(140)] for _ in range(3)]
+    while len(texts) < n:
+        text = list(texts[r.randrange(max(0, len(texts) - 400), len(texts)) if r.random() < 0.5 else r.randrange(3)])
+        for _ in range(r.randint(0, 5)):
+            text[r.randrange(len(text))] = r.choice(words)
+        if r.random() < 0.2:
+            del text[-r.randint(1, 15) :]
+        texts.append(text if len(text) > 20 else [r.choice(words) for _ in range(140)])
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("num, bands", [(80, 40), (85, 26)])
+def test_chained_copies_match_all_pairs(spark, num, bands):
+    rows = chained_copies(2000)
+    found = near_components(spark.createDataFrame(rows, "doc_id long, text string"), similarity=(num, 100), n_bands=bands)
+    assert {r.doc_id: r.component_id for r in found.collect()} == matrix_components(rows, num, 100)
+
+
 def test_near_components_on_documents(docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     found = near_components(docs, similarity=(80, 100), n_bands=40)
