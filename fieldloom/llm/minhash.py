@@ -8,8 +8,9 @@ Work follows links, not pairs. Documents with equal sets form one class. In ever
 with a few hubs of that band, and classes linked so far become components. Bands that then hold several components go on. For
 each of their classes the shingles that some other component holds as well are counted: two classes of different components can
 share no more than the smaller of their counts, which bounds their similarity and the size of any partner. Rounds of hubs (the class
-of the band that shares most) merge what they can; at last, classes of different components meet one by one where neither bound
-nor size forbids a link. Pairs inside one component need no comparison, since only reachability counts. Nothing is capped.
+of the band that shares most) merge what they can. At last, classes of different components meet one by one where neither bound
+nor sizes forbid a link and where they share one of their rarest shingles: of the shingles that a class shares at all, a partner must hold
+one of the first few in order of frequency. Pairs inside one component need no comparison, since only reachability counts. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -225,13 +226,29 @@ def _links(texts: DataFrame, classes: DataFrame, id_type: str, k: int, num: int,
         ends = more.join(label_of.withColumnsRenamed({"c": "a", "label": "la"}), "a").join(label_of.withColumnsRenamed({"c": "b", "label": "lb"}), "b")
         moved = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("now"))
         held = still_apart(checkpointed(held.join(moved, "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")))
-    # what is left meets by band and by sizes: x is the larger one, or of equal sizes either
+    if not held.limit(1).count():
+        return links
+    # what is left meets by rare shingles and by sizes; x is the larger one, or of equal sizes either
+    again = shingles.select("c", "shingle").join(held.select("c", "n", "label").distinct(), "c")
+    spread = again.groupBy("shingle").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count(F.lit(1)).alias("df"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("df", "shingle"))), lambda e: e["shingle"])  # within one text
+    rare = again.join(spread.where("first <> last").select("shingle", "df"), "shingle").groupBy("c", "n", "label").agg(ordered.alias("s"))
+    rare = rare.withColumn("common", F.size("s")).withColumn("least_n", F.ceil(F.col("n") * num / den))
+    rare = checkpointed(rare.withColumn("most_n", F.floor(F.col("common") * (num + den) / num) - F.col("n")).where("most_n >= least_n"))
     bucket = lambda n: F.floor(F.log(n) / F.lit(math.log(STEP))).cast("int")
     sizes = lambda a, b: F.explode(F.sequence(bucket(a), bucket(b)))
-    x = held.withColumn("top", F.least("most_n", "n")).where("top >= least_n")
-    x = x.select("band", bucket(F.col("n")).alias("bx"), sizes(F.col("least_n"), F.col("top")).alias("by"), "c", "n", "label", "common")
-    y = held.where("most_n >= n").select("band", sizes(F.col("n"), F.col("most_n")).alias("bx"), bucket(F.col("n")).alias("by"), "c", "n", "label", "common")
-    rest = x.alias("x").join(y.alias("y"), ["band", "bx", "by"]).where(fits("x", "y") & (F.col("x.n") >= F.col("y.n"))).select(*pair)
+    smallest = lambda b: F.ceil(F.pow(F.lit(STEP), b) - 1e-6)
+    needed = F.ceil((smallest(F.col("bx")) + smallest(F.col("by"))) * num / (num + den))  # of the shingles of both
+    out = "c", "n", "label", "common", "bx", "by"
+
+    def first_few(side: DataFrame) -> DataFrame:
+        side = side.withColumn("needed", needed.cast("int")).where("common >= needed")
+        return side.select(*out, F.explode(F.slice("s", F.lit(1), F.col("common") - F.col("needed") + 1)).alias("shingle"))
+
+    x = rare.withColumn("top", F.least("most_n", "n")).where("top >= least_n")
+    x = first_few(x.select("*", bucket(F.col("n")).alias("bx"), sizes(F.col("least_n"), F.col("top")).alias("by")))
+    y = first_few(rare.where("most_n >= n").select("*", sizes(F.col("n"), F.col("most_n")).alias("bx"), bucket(F.col("n")).alias("by")))
+    rest = x.alias("x").join(y.alias("y"), ["shingle", "bx", "by"]).where(fits("x", "y") & (F.col("x.n") >= F.col("y.n"))).select(*pair)
     return checkpointed(links.union(confirmed(rest)))
 
 
