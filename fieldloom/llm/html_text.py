@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -27,7 +28,8 @@ STOP_WORDS = frozenset(
     el los las y en del se por con para como más su al lo pero sus le ya o este sí porque esta entre cuando muy sin sobre
     """.split()
 )
-# Elements that never hold article text, and words in class, id or role that mark such parts.
+# Elements that never hold article text; words in class, id or role that mark such parts; words that say
+# nothing beside them.
 OUT = frozenset("nav aside footer form button select option dialog menu svg math canvas object audio video map label fieldset".split())
 MARKS = frozenset(
     """nav navbar navigation menu masthead footer sidebar aside ad ads adv advert adverts advertisement adsense sponsor sponsored
@@ -35,6 +37,12 @@ MARKS = frozenset(
     comment comments respond disqus reply replies share sharing social related recommended recommendations breadcrumb breadcrumbs
     pagination pager search widget toolbar skip copyright legal disclaimer complementary contentinfo alert""".split()
 )
+SOFT = frozenset("search legal share sharing related alert banner promotion disclaimer copyright skip subscription".split())
+FILLER = frozenset(
+    """site page main top bottom left right first last primary secondary global box bar area section block wrap wrapper container
+    inner outer list item items link links content panel slot unit row col column module group body form field input button
+    buttons icon icons post posts article articles thread title text js ui the to in a is has header results""".split()
+)
 BLOCKS = frozenset(
     """address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer
     form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td
@@ -42,24 +50,104 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+FOREIGN = frozenset("svg math".split())
+RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp".split())
+IN_HEAD = frozenset("html head title meta link script style base noscript template".split())
+WALLS = frozenset("article main table".split())  # end tags inside close nothing outside, but for these and:
+THROUGH = frozenset("body html main article div section".split())
 
 HIGH, LOW, LONG, SHORT = 0.15, 0.06, 200, 70  # stop-word densities; lengths in characters
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|noembed|noframes|xmp|head(?=[\s>]))\b[^>]*>.*?(?:</(?P=raw)\s*>|(?=<body\b)|\Z)"
-    r"|<[!?][^>]*>"
-    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]{0,4096}"|'[^']{0,4096}')*+|[^>]*)>""",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTR = re.compile(r"""[\s/]*+(?:(?P<end>>)|(?P<name>[^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:(?P<quote>["'])|(?P<bare>[^\s>"'][^\s>]*+)?))?|=)""")
+_COMMENT_END = re.compile(r"--!?>")
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
+_PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+class _Scanner:
+    """The tokens of a page, in one pass over it: (text, None, None), ("", name, attributes) for a start tag and ("/", name, None)
+    for an end tag; the attribute "/" tells that a tag closes itself. Attribute values have any length; a quote without its partner ends with the tag."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+        self.unclosed: set[str] = set()
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int]:
+        found: dict[str, str] = {}
+        page = self.page
+        while True:
+            m = _ATTR.match(page, at)
+            if m is None or m["end"]:
+                if m and page[m.end() - 2] == "/":
+                    found["/"] = ""
+                return found, m.end() if m else len(page)
+            at = m.end()
+            value = m["bare"] or ""
+            if m["quote"]:
+                q = m["quote"]
+                stop = page.find(q, at) if at <= self.quotes[q] else -1
+                if stop < 0:
+                    stop = page.find(">", at)
+                    return found, stop + 1 if stop >= 0 else len(page)
+                value, at = page[at:stop], stop + 1
+            if m["name"]:
+                found.setdefault(m["name"].lower(), value)
+
+    def skipped(self, name: str, at: int) -> int:
+        """The end of a raw element; without an end tag, scripts and styles run to the end of the page, other ones are empty."""
+        if name not in self.unclosed:
+            if m := _CLOSE[name].search(self.page, at):
+                stop = self.page.find(">", m.end())
+                return stop + 1 if stop >= 0 else len(self.page)
+            self.unclosed.add(name)
+        return len(self.page) if name in ("script", "style") else at
+
+    def tokens(self) -> Iterator[tuple[str, str | None, dict[str, str] | None]]:
+        page, at, begin, size = self.page, 0, 0, len(self.page)
+        while at < size:
+            at = page.find("<", at)
+            if at < 0:
+                break
+            mark = page[at + 1 : at + 2]
+            m = _NAME.match(page, at) if mark == "/" or mark.isascii() and mark.isalpha() else None
+            if m is None and mark not in ("!", "?", "/") or mark == "/" and m is None and page[at + 2 : at + 3] in ("", " "):
+                at += 1  # a lone sign
+                continue
+            if at > begin:
+                yield page[begin:at], None, None
+            if m is None:
+                if page.startswith("<!--", at):
+                    found = _COMMENT_END.search(page, at + 2)
+                    at = found.end() if found else size
+                elif page.startswith("<![CDATA[", at):
+                    stop = page.find("]]>", at)
+                    yield html.escape(page[at + 9 : stop if stop >= 0 else size], quote=False), None, None
+                    at = stop + 3 if stop >= 0 else size
+                else:
+                    stop = page.find(">", at)
+                    at = stop + 1 if stop >= 0 else size
+            else:
+                name = m[2].lower()
+                attrs, at = self.attributes(m.end())
+                if m[1]:
+                    yield "/", name, None
+                else:
+                    if name in RAW:
+                        at = self.skipped(name, at)
+                    yield "", name, attrs
+            begin = at
+        if begin < size:
+            yield page[begin:], None, None
+
+
 @dataclass
 class Block:
     text: str
     out: bool  # stands in a part that is no article
+    soft: bool  # stands in a part whose name alone does not decide that
     article: int  # number of the article or main element around it, 0 if none
     heading: bool
     linked: int  # characters inside links
@@ -71,11 +159,15 @@ class Block:
 @dataclass
 class _Open:
     name: str
-    out: bool
-    article: int
-    link: bool
-    heading: bool
+    out: bool = False
+    soft: bool = False
+    article: int = 0
+    link: bool = False
+    heading: bool = False
     header: bool = False
+    paragraph: int = 0  # place of the open paragraph that a block would end, 0 if none
+    wall: int = 0  # place of the nearest element that end tags do not reach beyond
+    block: int = 0  # place of the nearest block
 
 
 @dataclass
@@ -84,101 +176,122 @@ class _Page:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     articles: int = 0
+    nested: int = 0  # open articles
+    stack: list[_Open] = field(default_factory=lambda: [_Open("")])
+    where: dict[str, list[int]] = field(default_factory=dict)
 
-    def text(self, raw: str, top: _Open) -> None:
-        if raw:
-            self.parts.append(raw)
-            if top.link:
-                self.linked += len("".join(html.unescape(raw).split()))
+    def text(self, raw: str) -> None:
+        self.parts.append(raw)
+        if self.stack[-1].link:
+            self.linked += len("".join(html.unescape(raw).split()))
 
-    def cut(self, top: _Open) -> None:
+    def cut(self) -> None:
         if self.parts:
-            text = " ".join(html.unescape("".join(self.parts)).split())
+            top, text = self.stack[-1], " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                self.blocks.append(Block(text, top.out or (top.header and not top.heading), top.article, top.heading, self.linked))
+                self.blocks.append(Block(text, top.out or (top.header and not top.heading), top.soft, top.article, top.heading, self.linked))
             self.parts.clear()
         self.linked = 0
 
-
-def _marked(name: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """Whether class, id, role or hiding marks the element as no article text; whether it is marked as a header."""
-    out = header = False
-    for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            out = True
-        elif key in ("class", "id", "role") and name not in ("html", "body", "main", "article"):
-            found = {x.lower() for x in _PART.findall(value)}
-            out = out or bool(found & MARKS)
-            header = header or "header" in found
-    return out or (header and not inside), header
+    def open(self, element: _Open) -> None:
+        self.where.setdefault(element.name, []).append(len(self.stack))
+        self.nested += element.name == "article"
+        self.stack.append(element)
+
+    def close(self, place: int) -> None:
+        """Close the element at a place of the stack with all inside it."""
+        while len(self.stack) > place:
+            gone = self.stack.pop()
+            self.where[gone.name].pop()
+            self.nested -= gone.name == "article"
+
+    def end(self, name: str) -> None:
+        """An end tag closes the nearest element of its name, if no wall stands between."""
+        if places := self.where.get(name):
+            if name in THROUGH or places[-1] >= self.stack[-1].wall:
+                self.close(places[-1])
+
+
+def _marked(name: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool, bool]:
+    """Whether class, id, role or hiding marks the element as no article text, does so by a word that may mean something else,
+    or marks it as a header. A class counts if all its words are marks or say nothing; one mark among other words does not."""
+    if "hidden" in attrs and attrs["hidden"].lower() != "until-found" or attrs.get("aria-hidden", "").lower() == "true" or _HIDES.search(attrs.get("style", "")):
+        return True, False, False
+    hard = soft = header = False
+    if name not in ("html", "body", "main", "article"):
+        for value in (x for key in ("class", "id", "role") for x in attrs.get(key, "").split()):
+            words = [x.lower() for x in _PART.findall(value)]
+            header = header or (bool(words) and "header" in words and all(w in FILLER for w in words))
+            found = [w for w in words if w in MARKS]
+            if found and all(w in MARKS or w in FILLER for w in words):
+                only_soft = all(w in SOFT for w in found)
+                hard, soft = hard or not only_soft or not inside, soft or only_soft
+    return hard or (header and not inside), soft, header
 
 
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page in order, each with its final label, good or bad."""
     state = _Page()
-    stack = [_Open("", False, 0, False, False)]
-    at, source = 0, page or ""
-    for m in _TOKEN.finditer(source):
-        top = stack[-1]
-        if m.start() > at:
-            state.text(source[at : m.start()], top)
-        at = m.end()
-        name = m["name"]
+    in_head = False
+    for mark, name, attrs in _Scanner(page or "").tokens():
         if name is None:
-            if m[0].startswith("<![CDATA["):
-                state.text(html.escape(m[0][9:].removesuffix("]]>"), quote=False), top)
+            if in_head and mark.strip():
+                in_head = False
+            if not in_head:
+                state.text(mark)
+            continue
+        if name == "head":
+            in_head = mark == ""
+            continue
+        if in_head:
+            if name in IN_HEAD:
+                continue
+            in_head = False
+        if name in RAW:
             continue
-        name = name.lower()
         if name in BLOCKS or name == "body":
-            state.cut(top)
+            state.cut()
         elif name == "br":
             state.parts.append(" ")
-        if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-                if stack[i].name in ("article", "main", "table") and name not in ("body", "html", "main", "article", "div", "section"):
-                    break
+        if mark == "/":
+            state.end(name)
             continue
-        if name == "p" or name in BLOCKS:  # a new block ends an open paragraph
-            for i in range(len(stack) - 1, max(0, len(stack) - 12), -1):
-                if stack[i].name == "p":
-                    del stack[i:]
-                    break
-                if stack[i].name in BLOCKS:
-                    break
+        if name in BLOCKS and state.stack[-1].paragraph:  # a new block ends an open paragraph
+            state.close(state.stack[-1].paragraph)
         for other in CLOSES.get(name, ()):
-            if stack[-1].name == other:
-                stack.pop()
-        if name in VOID or m["attrs"].endswith("/") and name in ("svg", "path", "use"):
+            if state.stack[-1].name == other:
+                state.close(len(state.stack) - 1)
+        if name == "a" and (places := state.where.get("a")) and places[-1] > state.stack[-1].block:
+            state.close(places[-1])  # links do not nest
+        if name in VOID or "/" in attrs and (name in FOREIGN or any(state.where.get(x) for x in FOREIGN)):
             continue
-        top = stack[-1]
-        article, marked, header = top.article, False, top.header
-        if m["attrs"]:
-            marked, is_header = _marked(name, m["attrs"], bool(article))
-            header = header or (is_header and bool(article))
+        top, place = state.stack[-1], len(state.stack)
+        marked, soft, is_header = _marked(name, attrs, bool(top.article)) if attrs else (False, False, False)
+        article, header = top.article, top.header or (is_header and bool(top.article))
         if name == "header":
             header, marked = header or bool(article), marked or not article
-        if name in ("article", "main") or re.search(r"""\brole\s*=\s*["']?main\b""", m["attrs"]):
-            if name == "article" and any(x.name == "article" for x in stack):
+        if name in ("article", "main") or attrs.get("role", "").lower() == "main":
+            if name == "article" and state.nested:
                 marked = True  # an article within an article is a comment on it
             else:
                 state.articles += 1
                 article = state.articles
-        stack.append(
+        block = name in BLOCKS
+        state.open(
             _Open(
                 name,
                 top.out or marked or name in OUT,
+                top.soft or soft,
                 article,
                 top.link or name == "a",
                 top.heading or (len(name) == 2 and name[0] == "h" and name[1] in "123456"),
                 header,
+                place if name == "p" else 0 if block else top.paragraph,
+                place if name in WALLS else top.wall,
+                place if block else top.block,
             )
         )
-    state.text(source[at:], stack[-1])
-    state.cut(stack[-1])
+    state.cut()
     _label(state.blocks)
     return state.blocks
 
@@ -199,8 +312,11 @@ def _label(found: list[Block]) -> None:
         n, density = len(b.text), b.stops / max(1, b.words)
         plain = len("".join(b.text.split()))
         links = b.linked / max(1, plain)
-        if b.out or (whole and not b.article) or b.text.startswith(("©", "Copyright ©")):
+        claim = b.text.startswith(("©", "Copyright ©")) and not b.article
+        if b.out or (whole and not b.article) or claim:
             b.label = "bad"
+        elif b.soft:  # a name such as search or legal: long plain prose may be article text after all
+            b.label = "near" if n >= LONG and links < 0.1 and (not known or density >= HIGH) else "bad"
         elif links > (0.6 if b.article else 0.3):
             b.label = "bad" if n >= SHORT or not b.article or links > 0.9 else "near"
         elif b.heading:

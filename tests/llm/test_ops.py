@@ -6,7 +6,9 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -372,6 +374,74 @@ def test_main_text_leaves_the_frame_out():
     assert html_text.main_text(page) == want
 
 
+PROSE = "The cat is on the mat and that was it for all of us in the house with the dog. " * 4
+PAGE = f"<article><h1>Title</h1><p>{PROSE}</p>%s<p>He said that it was not for them to be there. {PROSE}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "inside, kept, lost",
+    [
+        ('<p title="a hidden gem">This is the gem of the whole story, and it has to stay for all to read.</p>', "gem of the whole", None),
+        (f'<p data-props="{"a" * 9000}>y">This is the text that has to stay.</p>', "This is the text", 'y"'),
+        (f'<p class="ad">{"<b>" * 14}buy now<div>This block is the next one and it has to be kept on the page.</div>', "the next one", "buy now"),
+        ("<p>© is a sign that the law of many countries knows, and this is what the text is about.</p>", "© is a sign", None),
+        ('<div class="search-of-truth"><p>This is what they found, and it was not what they had hoped for.</p></div>', "what they found", None),
+        (f'<div class="legal"><p>{PROSE}Law.</p></div>', "Law.", None),
+        (f'<div class="comments"><p>{PROSE}I disagree.</p></div>', None, "I disagree"),
+        ('<div class="cookie-notice">We use them and you have to say yes to all of it.</div>', None, "We use"),
+        ('<svg viewBox="0 0 1 1"/><p>After the picture there is text that is part of the article.</p>', "After the picture", None),
+        ("<p hidden>Not for the eyes of those who read this page.</p>", None, "Not for the eyes"),
+        ("<p data-hidden=1 style='color:red'>For the eyes of those who read this page.</p>", "For the eyes", None),
+        ("<noscript>Turn it on to see all of this.<p>And what is after it is kept, as it was in the text.</p>", "what is after", None),
+    ],
+)
+def test_article_text_is_kept_and_frames_are_not(inside, kept, lost):
+    found = html_text.main_text(PAGE % inside)
+    assert found.startswith("Title\nThe cat") and found.endswith("with the dog.") and "He said that" in found
+    assert (kept is None or kept in found) and (lost is None or lost not in found)
+
+
+def test_unclosed_head_ends_at_the_first_tag_of_the_body():
+    assert html_text.main_text(f"<html><head><title>No</title><meta charset=utf-8><p>{PROSE}</p>") == PROSE.strip()
+
+
+@pytest.mark.parametrize("bad", ['<a "', "<!--", "<b></i>", "<p a='", "<noscript>", "<", "<p>", "<div><p><b>", "<script></script ", "<td></p>", "&amp", "<a b='"])
+def test_broken_markup_takes_linear_time(bad):
+    def seconds(n):
+        began = time.perf_counter()
+        html_text.main_text(bad * n)
+        return time.perf_counter() - began
+
+    assert seconds(40_000) < 16 * max(0.05, seconds(10_000))
+
+
+class Reference(HTMLParser):
+    """Text outside scripts and styles, by the standard library's tokenizer."""
+
+    def __init__(self):
+        super().__init__()
+        self.found, self.raw = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.raw += tag in ("script", "style", "title")
+
+    def handle_endtag(self, tag):
+        self.raw -= tag in ("script", "style", "title")
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.found.append(data)
+
+
+def test_tokens_match_the_standard_parser(spark, data):
+    for row in spark.read.parquet(f"{data}/pages.parquet").collect():
+        reference = Reference()
+        reference.feed(row.html or "")
+        reference.close()
+        mine = [html.unescape(text) for text, name, _ in html_text._Scanner(row.html or "").tokens() if name is None]
+        assert "".join("".join(mine).split()) == "".join("".join(reference.found).split())
+
+
 def test_extraction_on_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "<p>a < b <p"), (4, "<" * 2000), (5, "<div " + "a='" * 500), (6, "<p>" + "the town is in it " * 20000)]
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "page_id long, html string, text string")
