@@ -14,9 +14,10 @@ The band is set by shares of the number of documents, so the lexicon's size is b
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,7 @@ class Lexicon:
     slots: np.ndarray  # (terms, SUBSETS): rate * SUBSETS + subset; coarser rates hold the term as well
 
     seed: int = 1
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)  # tells lexicons apart in workers that stay
 
     @classmethod
     def of(cls, found: list[str], seed: int = 1) -> Lexicon:
@@ -149,7 +151,7 @@ def likeness(a: str, b: str) -> float:
     return float(np.where(2 * some >= SUBSETS, same / np.maximum(some, 1), 0.0).max())
 
 
-_PRINTERS: dict[int, Printer] = {}
+_PRINTERS: dict[str, Printer] = {}
 
 
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_block: int = 2000) -> DataFrame:
@@ -202,7 +204,7 @@ def fingerprints(docs: DataFrame, lex: list[str], *, text_cols: tuple[str, ...]
 
     def run(texts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         lexicon_now = shared.value
-        key = id(lexicon_now)
+        key = lexicon_now.key
         if key not in _PRINTERS:
             _PRINTERS.clear()
             _PRINTERS[key] = Printer(lexicon_now)

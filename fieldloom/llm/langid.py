@@ -4,15 +4,14 @@ Each language has a tree of byte contexts of order 0 to 4 with counts from label
 known context; where that context has not seen it, an escape (method C: distinct / (total + distinct)) leads to the
 next shorter one, down to a uniform code of 8 bits. Counts are frozen after training, so the code length of a byte after
 its context is a constant, and the length of a text under a language is an exact sum of table entries. Symbols already
-ruled out by a longer context are not excluded again. Each window of 128 bytes goes to the language with the shortest
-code for it, and the text to the language with the most bytes: a quoted passage, however costly in the language around
-it, then counts by its length only.
+ruled out by a longer context are not excluded again. A text goes to the language with the shortest code for all of it.
 
 Training takes a bounded sample: about `sample` documents of each language. Everything after that sees whole texts.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from fieldloom.llm.common import without
 
 ORDER = 4
 SAMPLE = 400
-WINDOW = 128
+EVIDENCE = 32  # bytes of mean code length that score weighs
 _SPAN = 1 << 19  # bytes scored at once
 _EMPTY = np.uint64((1 << 64) - 1)
 
@@ -117,6 +116,7 @@ class Model:
     def __init__(self, langs: list[str], counts: dict[str, np.ndarray]):
         """counts: arrays lang (index into langs), depth, gram, n."""
         self.langs = langs
+        self.key = uuid.uuid4().hex  # tells models apart in workers that stay
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
         self.escapes: list[tuple[np.ndarray, np.ndarray]] = []
         for depth in range(ORDER + 1):
@@ -169,24 +169,19 @@ class _Scorer:
         out[wait] += 8.0
         return out
 
-    def lengths(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """By text and language: code length in bits, and bytes of the windows in which it is the shortest."""
-        total, won = np.zeros((len(texts), len(self.langs))), np.zeros((len(texts), len(self.langs)))
+    def lengths(self, texts: list[str | None]) -> np.ndarray:
+        """Code length in bits, by text and language."""
+        total = np.zeros((len(texts), len(self.langs)))
         parts: list[np.ndarray] = []
         owner: list[int] = []
 
         def flush():
             bits = self.bits(np.concatenate(parts))
-            at, windows, of = 0, [], []
-            for part, i in zip(parts, owner, strict=True):
-                stop = at + len(part) - ORDER
-                windows += [*range(at, stop, WINDOW)]
-                of += [i] * -(-(stop - at) // WINDOW)
-                bits[stop : stop + ORDER] = 0  # these code the padding of the next part
-                at = stop + ORDER
-            found = np.add.reduceat(bits, windows, axis=0, dtype=np.float64)
-            np.add.at(total, of, found)
-            np.add.at(won, (of, found.argmin(axis=1)), np.minimum(np.diff([*windows, len(bits)]), WINDOW))
+            stops = np.cumsum([len(p) for p in parts])
+            starts = stops - [len(p) for p in parts]
+            for stop in stops[:-1]:
+                bits[stop - ORDER : stop] = 0  # these code the padding of the next part
+            np.add.at(total, owner, np.add.reduceat(bits, starts, axis=0, dtype=np.float64))
             parts.clear()
             owner.clear()
 
@@ -204,10 +199,10 @@ class _Scorer:
                     size = 0
         if parts:
             flush()
-        return total, won
+        return total
 
 
-_SCORERS: dict[int, _Scorer] = {}
+_SCORERS: dict[str, _Scorer] = {}
 
 
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
@@ -243,43 +238,33 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and bits_per_byte.
 
-    The whole text is scored. score is the share of bytes that the predicted language won, 0 to 1. A text that is
-    null or has no letter, or a model without languages, gives `und`, score 0 and null bits_per_byte. Ties go to the shorter
-    code, then to the first language in order. Input columns named like an added one are replaced; an empty table gives an empty result.
+    The whole text is scored, however long; the shortest code wins, ties go to the first language in order. score is the
+    probability of the predicted language, all being as likely at first, from EVIDENCE bytes of mean code length (all, if the text
+    has fewer). A text that is null or has no letter, or a model without languages, gives `und`, score 0 and null bits_per_byte.
+    Repeated rows are scored each. Input columns named like an added one are replaced; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     langs = model.langs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.id if hasattr(shared, "id") else id(shared.value)
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = _Scorer(shared.value)
-        scorer = _SCORERS[key]
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            scored = [t if t and langs and any(map(str.isalpha, t)) else None for t in texts]
-            bits, won = scorer.lengths(scored) if langs else (np.zeros((len(texts), 1)),) * 2
-            # shortest code first among equal shares
-            best = np.where(won == won.max(axis=1, keepdims=True), bits, np.inf).argmin(axis=1)
-            score = won.max(axis=1) / np.maximum(won.sum(axis=1), 1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.StructArray.from_arrays(
-                        [
-                            pa.array([langs[b] if t is not None else "und" for b, t in zip(best, scored, strict=True)], pa.string()),
-                            pa.array([float(s) if t is not None else 0.0 for s, t in zip(score, scored, strict=True)], pa.float64()),
-                            pa.array([float(x) / max(1, len(_bytes(t))) if t is not None else None for x, t in zip(bits[np.arange(len(best)), best], scored, strict=True)], pa.float64()),
-                        ],
-                        ["lang_pred", "score", "bits_per_byte"],
-                    )
-                ],
-                ["found"],
-            )
+    def found(texts: list[str | None], scorer: _Scorer) -> pa.StructArray:
+        scored = [t if t and langs and any(map(str.isalpha, t)) else None for t in texts]
+        some = np.array([t is not None for t in scored], dtype=bool)
+        bits = scorer.lengths(scored) if langs else np.zeros((len(texts), 1))
+        size = np.array([max(1, len(_bytes(t))) if t is not None else 1 for t in scored], dtype=float)
+        best, low = bits.argmin(axis=1), bits.min(axis=1) if len(bits) else np.zeros(0)
+        weight = np.minimum(1.0, EVIDENCE / size)[:, None]
+        score = 1 / np.exp2(-np.minimum((bits - low[:, None]) * weight, 1000)).sum(axis=1)
+        named = [langs[b] if ok else "und" for b, ok in zip(best, some, strict=True)]
+        arrays = [pa.array(named, pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(low / size, pa.float64(), mask=~some)]
+        return pa.StructArray.from_arrays(arrays, ["lang_pred", "score", "bits_per_byte"])
 
     def column(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for found in run(pa.RecordBatch.from_arrays([t], ["text"]) for t in texts):
-            yield found.column(0)
+        model_now = shared.value
+        if model_now.key not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[model_now.key] = _Scorer(model_now)
+        for batch in texts:
+            yield found(batch.to_pylist(), _SCORERS[model_now.key])
 
     column.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     score = F.arrow_udf(column, "lang_pred string, score double, bits_per_byte double")

@@ -276,7 +276,7 @@ def test_language_model_is_exact():
     for text in ("banana plugh", "zzz bandage", "é"):
         data = [10] * langid.ORDER + list(text.encode())
         want = [sum(bits(lang, tuple(data[i - langid.ORDER : i]), data[i]) for i in range(langid.ORDER, len(data))) for lang in langs]
-        assert np.allclose(scorer.lengths([text])[0][0], want, rtol=1e-5)
+        assert np.allclose(scorer.lengths([text])[0], want, rtol=1e-5)
 
 
 def test_language_spans_add_up(monkeypatch):
@@ -284,8 +284,63 @@ def test_language_spans_add_up(monkeypatch):
     scorer = langid._Scorer(langid.Model(["x", "y"], arrays))
     texts = ["ab" * 700, None, "b", "a" * 900]
     whole = scorer.lengths(texts)
-    monkeypatch.setattr(langid, "_SPAN", langid.WINDOW * 2)
-    assert all(np.allclose(a, b) for a, b in zip(scorer.lengths(texts), whole, strict=True))
+    monkeypatch.setattr(langid, "_SPAN", 256)
+    assert np.allclose(scorer.lengths(texts), whole)
+
+
+def plain_code_lengths(training, texts, langs):
+    """PPM by dictionaries: bits of each text by language, escaping from order 4 down to eight bits a byte."""
+    seen = {}
+    for lang, text in training:
+        data = b"\n" * langid.ORDER + text.lower().encode("utf-8", "surrogatepass")
+        for i in range(langid.ORDER, len(data)):
+            for d in range(langid.ORDER + 1):
+                seen.setdefault((lang, data[i - d : i]), Counter())[data[i]] += 1
+    facts = {key: (c, sum(c.values()), len(c)) for key, c in seen.items()}
+    out = []
+    for text in texts:
+        data = b"\n" * langid.ORDER + text.lower().encode("utf-8", "surrogatepass")
+        row = []
+        for lang in langs:
+            total = 0.0
+            for i in range(langid.ORDER, len(data)):
+                for d in range(langid.ORDER, -1, -1):
+                    counts, n, distinct = facts.get((lang, data[i - d : i]), ({}, 0, 0))
+                    if data[i] in counts:
+                        total -= math.log2(counts[data[i]] / (n + distinct))
+                        break
+                    total -= math.log2(distinct / (n + distinct)) if n else 0
+                else:
+                    total += 8
+            row.append(total)
+        out.append(row)
+    return out
+
+
+def test_languages_match_a_plain_coder(spark, docs):
+    """The whole query on a small table, the sample holding all of the training rows."""
+    short = docs.where("lang is not null and length(text) between 1 and 1500").select("doc_id", "text", "lang")
+    fold = langid.held_out("doc_id", 5, 0)
+    model = langid.train(short.where(~fold), sample=10**9)
+    rows = short.withColumn("fold", fold).collect()
+    tested = [r for r in rows if r.fold and any(map(str.isalpha, r.text))]
+    want = plain_code_lengths([(r.lang, r.text) for r in rows if not r.fold], [r.text for r in tested], model.langs)
+    got = {r.doc_id: r for r in langid.predict(short.where(fold), model).collect()}
+    assert len(tested) > 10
+    for r, bits in zip(tested, want, strict=True):
+        low = min(bits)
+        assert got[r.doc_id].lang_pred == model.langs[bits.index(low)]
+        assert math.isclose(got[r.doc_id].bits_per_byte, low / len(r.text.lower().encode()), rel_tol=1e-4)
+
+
+def test_two_models_in_one_session(spark):
+    """Workers that stay score with the model at hand."""
+    rows = spark.createDataFrame([(i, "aaaa" if i % 2 else "bbbb", "x" if i % 2 else "y") for i in range(40)], "doc_id long, text string, lang string")
+    other = rows.withColumn("lang", F.when(F.col("lang") == "x", "y").otherwise("x"))
+    for _ in range(2):
+        for labelled in (rows, other):
+            want = {r.doc_id: r.lang for r in labelled.collect()}
+            assert {r.doc_id: r.lang_pred for r in langid.predict(rows, langid.train(labelled)).collect()} == want
 
 
 def test_language_accuracy_and_odd_rows(spark, docs, odd):
