@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpointed_any(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, bool]:
+    """A checkpoint of df, and whether any row (or any that meets the condition) went into it; seen while it is written, so it takes
+    no job of its own. Tasks that are run again can only repeat what they saw."""
+    scratch_dir(df.sparkSession)
+    seen = Observation()
+    found = F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    out = df.observe(seen, found.alias("n")).checkpoint(eager=True)
+    return out, seen.get["n"] > 0
+
+
 def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = os.path.join(scratch_dir(spark), "fieldloom", spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import ROW, Scratch, checkpointed, row_keyed, stored
+from fieldloom.llm.common import ROW, Scratch, checkpointed, checkpointed_any, row_keyed, stored
 
 ROWS, BANDS = 5, 26  # a pair of similarity 0.85 shares no band with probability 3e-7
 STEP = 1.05  # sizes of one bucket differ by less than this factor
@@ -159,8 +159,8 @@ def components(edges: DataFrame, id_type: str = "long") -> DataFrame:
         )
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = checkpointed(step.join(up, "label", "left").select("id", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
-        changed = new.where("old <> label").limit(1).count()
+        step = step.join(up, "label", "left").select("id", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
+        new, changed = checkpointed_any(step, F.col("old") != F.col("label"))
         labels = new.select("id", "label")
         if not changed:
             return labels
@@ -185,20 +185,20 @@ def _links(texts: DataFrame, classes: DataFrame, id_type: str, k: int, num: int,
     wanted = shared.select(F.col("c").alias("id")).distinct()
     sets = scratch.stored(texts.join(wanted.hint("merge"), "id").mapInArrow(_sets(k), f"id {id_type}, set binary"), "sets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> tuple[DataFrame, bool]:
         left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
         full = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return checkpointed(full.mapInArrow(_confirm(num, den), f"a {id_type}, b {id_type}"))
+        return checkpointed_any(full.mapInArrow(_confirm(num, den), f"a {id_type}, b {id_type}"))
 
-    def still_apart(held: DataFrame) -> DataFrame:
+    def still_apart(held: DataFrame) -> tuple[DataFrame, bool]:
         """The rows of held (band, label, ...) in bands of several components."""
         mixed = held.groupBy("band").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("band")
-        return checkpointed(held.join(mixed, "band"))
+        return checkpointed_any(held.join(mixed, "band"))
 
-    links = confirmed(tried)
+    links, _ = confirmed(tried)
     at = components(links).select(F.col("id").alias("c"), "label")
-    held = still_apart(checkpointed(shared.join(at, "c", "left").withColumn("label", F.coalesce("label", "c"))))
-    if not held.limit(1).count():
+    held, apart = still_apart(checkpointed(shared.join(at, "c", "left").withColumn("label", F.coalesce("label", "c"))))
+    if not apart:
         return links
     # shingles of each class that another component holds as well
     open_sets = held.select("c", "label").distinct().join(sets.withColumnRenamed("id", "c"), "c").select("c", "label", "set")
@@ -207,7 +207,7 @@ def _links(texts: DataFrame, classes: DataFrame, id_type: str, k: int, num: int,
     common = shingles.join(spread, "shingle").groupBy("c").agg(F.count(F.lit(1)).alias("common"))
     # a partner has at least least_n and at most most_n shingles
     held = held.join(common, "c").withColumn("least_n", F.ceil(F.col("n") * num / den)).withColumn("most_n", F.floor(F.col("common") * (num + den) / num) - F.col("n"))
-    held = checkpointed(held.where("most_n >= least_n"))
+    held, apart = still_apart(held.where("most_n >= least_n"))
 
     def fits(x: str, y: str):
         part = lambda side, name: F.col(f"{side}.{name}")
@@ -215,18 +215,18 @@ def _links(texts: DataFrame, classes: DataFrame, id_type: str, k: int, num: int,
         return (part(x, "label") != part(y, "label")) & (den * low >= num * (part(x, "n") + part(y, "n") - low))
 
     pair = F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")
-    while held.limit(1).count():
+    while apart:
         hub = held.groupBy("band").agg(F.max_by(F.struct("c", "n", "label", "common"), F.struct(F.col("common") / F.col("n"), "common", "c")).alias("y"))
-        more = confirmed(held.alias("x").join(hub, "band").where(fits("x", "y")).select(*pair))
-        if not more.limit(1).count():
+        more, linked = confirmed(held.alias("x").join(hub, "band").where(fits("x", "y")).select(*pair))
+        if not linked:
             break
         links = links.union(more)
         # components of components: only labels that were linked just now change
         label_of = held.select("c", "label").distinct()
         ends = more.join(label_of.withColumnsRenamed({"c": "a", "label": "la"}), "a").join(label_of.withColumnsRenamed({"c": "b", "label": "lb"}), "b")
         moved = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("now"))
-        held = still_apart(checkpointed(held.join(moved, "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")))
-    if not held.limit(1).count():
+        held, apart = still_apart(checkpointed(held.join(moved, "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")))
+    if not apart:
         return links
     # what is left meets by rare shingles and by sizes; x is the larger one, or of equal sizes either
     again = shingles.select("c", "shingle").join(held.select("c", "n", "label").distinct(), "c")
@@ -249,7 +249,7 @@ def _links(texts: DataFrame, classes: DataFrame, id_type: str, k: int, num: int,
     x = first_few(x.select("*", bucket(F.col("n")).alias("bx"), sizes(F.col("least_n"), F.col("top")).alias("by")))
     y = first_few(rare.where("most_n >= n").select("*", sizes(F.col("n"), F.col("most_n")).alias("bx"), bucket(F.col("n")).alias("by")))
     rest = x.alias("x").join(y.alias("y"), ["shingle", "bx", "by"]).where(fits("x", "y") & (F.col("x.n") >= F.col("y.n"))).select(*pair)
-    return checkpointed(links.union(confirmed(rest)))
+    return links.union(confirmed(rest)[0])
 
 
 def near_components(
