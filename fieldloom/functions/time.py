@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldloom.functions.kernels import Kernel, get_kernel
+from fieldloom.functions.kernels import Kernel, get_kernel, tail_reach
 
 UNIT_SECONDS = {"seconds": 1.0, "minutes": 60.0, "hours": 3600.0, "days": 86400.0}
 
@@ -63,14 +64,7 @@ def in_zone(ts: Column, zone: str) -> Column:
 
 def images(kernel: Kernel, bandwidth: float, period: float, tolerance: float = 1e-12) -> int:
     """How many periods to either side can matter: the reach of a compact kernel, else where the tail falls below tolerance."""
-    if kernel.reach is not None:
-        reach = kernel.reach
-    elif kernel.name == "gaussian":
-        reach = math.sqrt(-2 * math.log(tolerance))
-    elif kernel.name == "exponential":
-        reach = -math.log(tolerance)
-    else:
-        raise ValueError("cyclic images need a compact, Gaussian or exponential kernel")
+    reach = tail_reach(kernel, tolerance)
     return max(1, math.ceil((reach * bandwidth + period) / period))
 
 
@@ -88,3 +82,12 @@ def temporal_kernel(kernel: str | Kernel, dt: Column, bandwidth: Column | float,
     for i in range(-count, count + 1):  # a handful of terms, in generated code
         total = total + k.scaled(F.abs(base + i * domain.period), bandwidth, 1)
     return total
+
+
+def temporal_array(kernel: Kernel, dt: np.ndarray, bandwidth: float | np.ndarray, domain: TimeDomain, tolerance: float = 1e-12, most: int | None = None) -> np.ndarray:
+    """temporal_kernel on arrays."""
+    if isinstance(domain, LinearTime):
+        return kernel.scaled_array(dt * dt, bandwidth, 1)
+    count = most if most is not None else images(kernel, float(np.max(bandwidth)), domain.period, tolerance)
+    base = np.mod(dt, domain.period)
+    return sum(kernel.scaled_array((base + i * domain.period) ** 2, bandwidth, 1) for i in range(-count, count + 1))

@@ -78,7 +78,12 @@ def kth_distances(
     need = k + (other is not None)  # a target that is a source itself lies at distance 0
     points = cut(sources.groupBy(*s_cols).agg(F.count(F.lit(1)).alias("m")))
     box = points.agg(F.sum("m").alias("n"), *[(F.max(c) - F.min(c)).alias(f"d{i}") for i, c in enumerate(s_cols)]).first()
+    if not box["n"] or box["n"] < need:
+        raise ValueError(f"there are fewer than {need} sources")
     spans = [box[f"d{i}"] for i in range(len(s_cols)) if box[f"d{i}"]]
+    ends = points.select(*[F.col(s).alias(t) for s, t in zip(s_cols, t_cols, strict=True)]).union(targets.select(*t_cols))
+    corners = ends.agg(*[(F.max(c) - F.min(c)).alias(c) for c in t_cols]).first()
+    across = math.sqrt(sum(corners[c] ** 2 for c in t_cols))  # no target is further from a source
     reach = (math.prod(spans) * need / box["n"]) ** (1 / len(spans)) if spans else 1.0
     pending, done = targets, []
     near_first = Window.partitionBy(key).orderBy("distance").rowsBetween(Window.unboundedPreceding, 0)
@@ -91,6 +96,8 @@ def kth_distances(
         pending = cut(pending.join(found.select(key), key, "left_anti"))
         if not pending.limit(1).count():
             break
+        if reach > 2 * across + 1e-300:
+            raise ValueError("some targets are near no source: are all coordinates finite?")
         reach *= 2
     out = done[0]
     for part in done[1:]:
@@ -114,6 +121,8 @@ class KNNBandwidth:
     minimum: float | None = None
 
     def resolve(self, events: Events) -> DataFrame:
+        events.check().raise_for_errors()
+        events.require_ids()
         n = events.df.count()
         if not 1 <= self.k <= n - 1:
             raise ValueError(f"k must be between 1 and {n - 1}")
@@ -135,6 +144,8 @@ class BalloonKNNBandwidth:
     minimum: float | None = None
 
     def resolve(self, events: Events, support: Support) -> DataFrame:
+        events.check().raise_for_errors()
+        support.check().raise_for_errors()
         n = events.df.count()
         if not 1 <= self.k <= n:
             raise ValueError(f"k must be between 1 and {n}")
@@ -148,9 +159,10 @@ class BalloonKNNBandwidth:
 
 @dataclass(frozen=True)
 class AbramsonBandwidth:
-    """h0 * (f / g)^-alpha with a pilot density f at the events (itself included) and its weighted geometric mean g; the factor is clipped."""
+    """h0 * (f / g)^-alpha with a pilot density f at the events (itself included) and its weighted geometric mean g; the factor is
+    clipped. The pilot bandwidth h0 is a number, or anything with select(events), such as a cross-validation."""
 
-    pilot: float
+    pilot: object
     alpha: float = 0.5
     density_floor: float = 1e-12
     clip: tuple[float, float] = (0.2, 5.0)
@@ -159,13 +171,15 @@ class AbramsonBandwidth:
     def resolve(self, events: Events) -> DataFrame:
         from fieldloom.operators.spatial import SpatialKDE
 
+        events.require_ids()
+        pilot = positive(self.pilot.select(events).bandwidth if hasattr(self.pilot, "select") else self.pilot, "pilot")
         places = Support(events.df.select(F.col("event_id").alias("support_id"), *events.coords), events.coords)
-        f = SpatialKDE(self.kernel, positive(self.pilot, "pilot")).fit(events).evaluate(places)
+        f = SpatialKDE(self.kernel, pilot).fit(events).evaluate(places)
         f = f.select(F.col("support_id").alias("event_id"), F.greatest(F.col("density"), F.lit(self.density_floor)).alias("f"))
         rows = f.join(events.df.select("event_id", "weight"), "event_id")
         w = F.when(F.col("weight") > 0, F.col("weight"))
         mean = rows.agg(F.exp(F.sum(w * F.log("f")) / F.sum(w)).alias("g"))  # one row
         factor = F.pow(F.col("f") / F.col("g"), F.lit(-self.alpha))
         return rows.crossJoin(F.broadcast(mean)).select(
-            "event_id", (self.pilot * F.greatest(F.lit(self.clip[0]), F.least(F.lit(self.clip[1]), factor))).alias("bandwidth")
+            "event_id", (pilot * F.greatest(F.lit(self.clip[0]), F.least(F.lit(self.clip[1]), factor))).alias("bandwidth")
         )

@@ -1,4 +1,5 @@
-"""Cross-validated bandwidths: scores on a pair table, candidate grids in one job, and bounded minimisation over log h."""
+"""Cross-validated bandwidths: leave-one-out sums for all candidates in one job, without a table of pairs, and bounded minimisation
+over log h."""
 
 from __future__ import annotations
 
@@ -7,10 +8,12 @@ import sys
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.kernels import Kernel, get_kernel, squared_distance
+from fieldloom.plans.sums import Columns, pair_sums, squares
 from fieldloom.sources.planar import Events
 
 
@@ -30,56 +33,80 @@ class Selection:
 
 
 def check_weights(events: Events) -> None:
+    """At least two events of positive weight, all weights finite and none negative, and ids that differ."""
+    events.check().raise_for_errors()
+    events.require_ids()
     if events.df.agg(F.count_if(F.col("weight") > 0).alias("n")).first()["n"] < 2:
         raise ValueError("selection needs at least two positive weights")
 
 
-def pair_table(events: Events) -> DataFrame:
-    """(i, j, w_i, w_j, distance) for all ordered pairs of different events.
+def _sides(events: Events) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
+    """Events as targets (i, w_i, a_...) and as sources (j, w_j, b_...), with the names of their coordinates."""
+    cols = lambda p: [F.col(c).alias(f"{p}_{c}") for c in events.coords]
+    t = events.df.select(F.col("event_id").alias("i"), F.col("weight").alias("w_i"), *cols("a"))
+    s = events.df.select(F.col("event_id").alias("j"), F.col("weight").alias("w_j"), *cols("b"))
+    return t, s, [f"a_{c}" for c in events.coords], [f"b_{c}" for c in events.coords]
 
-    Leave-one-out scores need every pair; blocks of one side are dealt to tasks by Spark's nested-loop joins.
-    """
-    a = events.df.select(F.col("event_id").alias("i"), F.col("weight").alias("w_i"), *[F.col(c).alias(f"a_{c}") for c in events.coords])
-    b = events.df.select(F.col("event_id").alias("j"), F.col("weight").alias("w_j"), *[F.col(c).alias(f"b_{c}") for c in events.coords])
-    d = F.sqrt(squared_distance([F.col(f"a_{c}") for c in events.coords], [F.col(f"b_{c}") for c in events.coords]))
-    return a.join(b, F.col("i") != F.col("j")).select("i", "j", "w_i", "w_j", d.alias("distance"))
 
+def pair_distances(events: Events) -> DataFrame:
+    """(i, j, distance) with i < j: each pair of different events once, as a stream of rows that is not kept."""
+    t, s, a, b = _sides(events)
+    d = F.sqrt(squared_distance([F.col(c) for c in a], [F.col(c) for c in b]))
+    return t.join(s, F.col("i") < F.col("j")).select("i", "j", d.alias("distance"))
 
-def bandwidth_bounds(pairs: DataFrame) -> DataFrame:
-    """One row (lower, upper) from the exact quantiles of the positive pair distances."""
-    q = F.percentile("distance", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    low = F.greatest(0.2 * F.col("q")[0], 1e-6 * F.col("q")[1])
-    return pairs.where("distance > 0").agg(q.alias("q")).select(low.alias("lower"), F.greatest(2 * F.col("q")[2], 10 * low).alias("upper"))
-
-
-def leave_one_out(pairs: DataFrame, kernel: Kernel, dim: int, h: Column | float, by: Sequence[str] = ()) -> DataFrame:
-    """(by…, i, w_i, f): density at each event from the others. Without weight elsewhere it is 0."""
-    k = kernel.scaled(F.col("distance"), h, dim)
-    sums = pairs.groupBy(*by, "i", "w_i").agg(F.sum(F.col("w_j") * k).alias("s"), F.sum("w_j").alias("others"))
-    return sums.select(*by, "i", "w_i", F.when(F.col("others") > 0, F.col("s") / F.col("others")).otherwise(0.0).alias("f"))
 
-
-def likelihood_scores(pairs: DataFrame, kernel: Kernel, dim: int, candidates: DataFrame, floor: float = 1e-300) -> DataFrame:
-    """(h, score): negative leave-one-out log likelihood of every candidate in column h, in one job."""
-    loo = leave_one_out(pairs.crossJoin(F.broadcast(candidates)), kernel, dim, F.col("h"), ("h",))
+def bandwidth_bounds(distances: DataFrame, approximate: bool = False) -> DataFrame:
+    """One row (lower, upper) from the quantiles of the positive, finite distances, each pair counted once. Exact quantiles hold
+    every different distance in one task; approximate ones do not."""
+    shares = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
+    q = F.percentile_approx("distance", shares, 100_000) if approximate else F.percentile("distance", shares)
+    low = F.greatest(0.2 * F.col("q")[0], 1e-6 * F.col("q")[1])
+    found = distances.where("distance > 0 and distance < double('infinity')").agg(q.alias("q"))
+    return found.select(low.alias("lower"), F.greatest(2 * F.col("q")[2], 10 * low).alias("upper"))
+
+
+def leave_one_out(events: Events, kernel: Kernel, hs: Sequence[float], *, wide: bool = False, strict: bool = False) -> DataFrame:
+    """(h, i, w_i, f): density at each event from the others; 0 without weight elsewhere, which is an error if strict. wide adds the
+    weighted sum of the kernel with sqrt(2) times the bandwidth, itself included."""
+    t, s, a, b = _sides(events)
+    dim, n = events.dim, len(hs)
+    total = events.total_weight()
+    names = [f"near{k}" for k in range(n)] + [f"wide{k}" for k in range(n) if wide]
+    sums = None
+    if kernel.array is not None:
+
+        def fn(x: Columns, y: Columns):
+            square, own = squares(x, y, a, b), x["i"][:, None] == y["j"][None, :]
+            near = [np.where(own, 0.0, kernel.scaled_array(square, h, dim)) @ y["w_j"] for h in hs]
+            return near + [kernel.scaled_array(square, h * math.sqrt(2), dim) @ y["w_j"] for h in hs if wide]
+
+        sums = pair_sums(t, s, ["i", "w_i"], fn, names)
+    if sums is None:
+        d = F.sqrt(squared_distance([F.col(c) for c in a], [F.col(c) for c in b]))
+        pairs = t.crossJoin(s).withColumn("d", d)
+        parts = [F.sum(F.when(F.col("i") != F.col("j"), F.col("w_j") * kernel.scaled(F.col("d"), h, dim)).otherwise(0.0)).alias(f"near{k}") for k, h in enumerate(hs)]
+        parts += [F.sum(F.col("w_j") * kernel.scaled(F.col("d"), h * math.sqrt(2), dim)).alias(f"wide{k}") for k, h in enumerate(hs) if wide]
+        sums = pairs.groupBy("i", "w_i").agg(*parts)
+    others = total - F.col("w_i")
+    if strict and events.df.where(total - F.col("weight") <= 0).limit(1).count():
+        raise ValueError("leave-one-out needs weight besides each event")
+    one = lambda k, h: F.struct(F.lit(float(h)).alias("h"), F.when(others > 0, F.col(f"near{k}") / others).otherwise(0.0).alias("f"), *([F.col(f"wide{k}").alias("wide")] if wide else []))
+    rows = sums.select("i", "w_i", F.explode(F.array(*[one(k, h) for k, h in enumerate(hs)])).alias("r"))
+    return rows.select("r.h", "i", "w_i", "r.f", *(["r.wide"] if wide else []))
+
+
+def likelihood_scores(events: Events, kernel: Kernel, hs: Sequence[float], floor: float = 1e-300) -> DataFrame:
+    """(h, score): negative leave-one-out log likelihood of every candidate, in one job."""
+    loo = leave_one_out(events, kernel, checked(hs))
     return loo.groupBy("h").agg((-F.sum(F.col("w_i") * F.log(F.greatest(F.col("f"), F.lit(floor)))) / F.sum("w_i")).alias("score"))
 
 
-def least_squares_scores(pairs: DataFrame, dim: int, candidates: DataFrame) -> DataFrame:
+def least_squares_scores(events: Events, hs: Sequence[float]) -> DataFrame:
     """(h, score): Gaussian least-squares cross-validation; the integral of the squared density has the diagonal."""
-    g = get_kernel("gaussian")
-    each = pairs.crossJoin(F.broadcast(candidates))
-    wide = g.scaled(F.col("distance"), F.col("h") * math.sqrt(2), dim)
-    near = g.scaled(F.col("distance"), F.col("h"), dim)
-    rows = each.groupBy("h", "i", "w_i").agg(
-        F.sum(F.col("w_j") * wide).alias("wide"), F.sum(F.col("w_j") * near).alias("near"), F.sum("w_j").alias("others")
-    )
-    loo = F.when(F.col("others") > 0, F.col("near") / F.col("others")).otherwise(0.0)
-    peak = (2 * math.pi) ** (-dim / 2) / F.pow(F.col("h") * math.sqrt(2), F.lit(float(dim)))
+    rows = leave_one_out(events, get_kernel("gaussian"), checked(hs), wide=True)
     total = F.sum("w_i")
-    square = (F.sum(F.col("w_i") * F.col("wide")) + F.sum(F.col("w_i") * F.col("w_i")) * F.col("h_peak")) / (total * total)
-    rows = rows.withColumn("h_peak", peak)
-    return rows.groupBy("h", "h_peak").agg((square - 2 * F.sum(F.col("w_i") * loo) / total).alias("score")).select("h", "score")
+    score = F.sum(F.col("w_i") * F.col("wide")) / (total * total) - 2 * F.sum(F.col("w_i") * F.col("f")) / total
+    return rows.groupBy("h").agg(score.alias("score"))
 
 
 def best(scores: DataFrame, by: Sequence[str] = ("h",)) -> DataFrame:
@@ -88,11 +115,17 @@ def best(scores: DataFrame, by: Sequence[str] = ("h",)) -> DataFrame:
     return scores.agg(F.min_by(row, F.struct("score", *by)).alias("r")).select("r.*")
 
 
-def candidates(spark: SparkSession, values: Sequence[float], name: str = "h") -> DataFrame:
-    """A column of candidate bandwidths: finite, positive, unique."""
+def checked(values: Sequence[float]) -> list[float]:
+    """Candidate bandwidths: finite, positive, unique."""
     out = [float(v) for v in values]
     if not out or any(not math.isfinite(v) or v <= 0 for v in out) or len(set(out)) != len(out):
         raise ValueError("candidates are finite, positive and unique")
+    return out
+
+
+def candidates(spark: SparkSession, values: Sequence[float], name: str = "h") -> DataFrame:
+    """A column of candidate bandwidths."""
+    out = checked(values)
     return spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in out])).alias(name))
 
 
@@ -156,35 +189,32 @@ class _CrossValidation:
 
     method = ""
 
-    def _scores(self, pairs: DataFrame, dim: int, grid: DataFrame) -> DataFrame:
+    def _scores(self, events: Events, h: float) -> DataFrame:
         raise NotImplementedError
 
     def select(self, events: Events) -> Selection:
-        """One aggregate job per evaluation, over a cached pair table."""
+        """One job per evaluation."""
         check_weights(events)
-        spark = events.df.sparkSession
-        pairs = pair_table(events).persist()
-        try:
-            if self.bounds is None:
-                row = bandwidth_bounds(pairs).first()
-                bounds = (row["lower"], row["upper"])
-            else:
-                bounds = self.bounds
-            score = lambda h: float(self._scores(pairs, events.dim, candidates(spark, [h])).first()["score"])
-            h, s, trace = minimise_log(score, bounds, self.tolerance, self.most)
-        finally:
-            pairs.unpersist()
+        bounds = self.bounds or bounds_of(pair_distances(events))
+        h, s, trace = minimise_log(lambda h: float(self._scores(events, h).first()["score"]), bounds, self.tolerance, self.most)
         return Selection(h, s, tuple(trace), bounds, self.method)
 
 
+def bounds_of(distances: DataFrame) -> tuple[float, float]:
+    row = bandwidth_bounds(distances).first()
+    if row["lower"] is None:
+        raise ValueError("automatic bounds need two places a positive distance apart")
+    return row["lower"], row["upper"]
+
+
 @dataclass(frozen=True)
 class LikelihoodCV(_CrossValidation):
     """Leave-one-out likelihood, any kernel."""
 
     method = "likelihood"
 
-    def _scores(self, pairs, dim, grid):
-        return likelihood_scores(pairs, get_kernel(self.kernel), dim, grid)
+    def _scores(self, events, h):
+        return likelihood_scores(events, get_kernel(self.kernel), [h])
 
 
 @dataclass(frozen=True)
@@ -193,7 +223,7 @@ class LeastSquaresCV(_CrossValidation):
 
     method = "least_squares"
 
-    def _scores(self, pairs, dim, grid):
+    def _scores(self, events, h):
         if get_kernel(self.kernel).name != "gaussian":
             raise ValueError("least squares needs the Gaussian kernel")
-        return least_squares_scores(pairs, dim, grid)
+        return least_squares_scores(events, [h])

@@ -13,12 +13,26 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `rows` rows; reads no more than it must to know."""
-    return df.limit(rows + 1).count() <= rows
+def _bytes(name: str, kind: str) -> Column:
+    """Bytes of a value: measured where they vary, eight else."""
+    c = F.col(f"`{name}`")
+    if kind.startswith("array<"):
+        return F.coalesce(F.size(c) * 8, F.lit(8))
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    return F.lit(8 if not kind.startswith(("struct", "map")) else 64)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most `rows` rows and `size` bytes, as measured on its rows; reads no more than it must to know."""
+    width = F.lit(0)
+    for name, kind in df.dtypes:
+        width = width + _bytes(name, kind)
+    found = df.limit(rows + 1).select(width.cast("long").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("b")).first()
+    return found["n"] <= rows and (found["b"] or 0) <= size
 
 
 def all_pairs(targets: DataFrame, sources: DataFrame) -> DataFrame:
@@ -52,17 +66,20 @@ def near_pairs(targets: DataFrame, sources: DataFrame, t_cols: list[str], s_cols
 
 
 def near_pairs_by_source(targets: DataFrame, sources: DataFrame, t_cols: list[str], s_cols: list[str], reach: Column) -> DataFrame:
-    """As near_pairs, with a reach of each source: sources are graded by powers of two, and targets are keyed once per grade."""
+    """As near_pairs, with a reach of each source: sources are graded by powers of two, targets are repeated once per grade, and the
+    grade is part of the key, so there is one join whatever the grades. A reach that is not positive and finite is an error."""
     if len(t_cols) > 3:
         return all_pairs(targets, sources)
-    graded = sources.withColumn("grade", F.ceil(F.log2(reach)).cast("int"))
-    grades = [r["grade"] for r in graded.select("grade").distinct().limit(65).collect()]
-    if len(grades) > 64:
-        return all_pairs(targets, sources)
-    parts = []
-    for grade in sorted(g for g in grades if g is not None):
-        parts.append(near_pairs(targets, graded.where(F.col("grade") == grade).drop("grade"), t_cols, s_cols, 2.0**grade))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    graded = sources.withColumn("__reach", reach).withColumn("grade", F.ceil(F.log2("__reach")).cast("int"))
+    found = graded.agg(F.collect_set("grade").alias("grades"), F.count_if(~(F.col("__reach") > 0) | F.isnan("__reach") | (F.col("__reach") == float("inf")) | F.col("__reach").isNull()).alias("bad")).first()
+    if found["bad"]:
+        raise ValueError(f"{found['bad']} bandwidths are not positive and finite")
+    grades = sorted(found["grades"])  # at most some 2,000 powers of two
+    if not grades:
+        return targets.crossJoin(sources.limit(0))
+    width = F.pow(F.lit(2.0), F.col("grade"))
+    steps = F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate(step)]) for step in itertools.product((-1, 0, 1), repeat=len(t_cols))])
+    left = targets.withColumn("grade", F.explode(F.array(*[F.lit(g) for g in grades]))).withColumn("step", F.explode(steps))
+    left = left.withColumn("cell", F.struct(*[(c + F.col(f"step.d{i}")).alias(f"k{i}") for i, c in enumerate(_cell([F.col(c) for c in t_cols], width))])).drop("step")
+    right = graded.withColumn("cell", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_cell([F.col(c) for c in s_cols], width))])).drop("__reach")
+    return left.join(right, ["grade", "cell"]).drop("grade", "cell")

@@ -193,8 +193,7 @@ _HS_SQL = f"c AS (SELECT unnest([{', '.join(map(str, _HS))}])::DOUBLE AS h)"
     SELECT h, round(-avg(ln(greatest(f, 1e-300))), 6) AS score FROM f GROUP BY h"""
 )
 def loo_likelihood_grid(spark, sf_dir):
-    pairs = selection.pair_table(suppliers(spark, sf_dir))
-    return rounded(selection.likelihood_scores(pairs, get_kernel("gaussian"), 1, selection.candidates(spark, _HS)), "score")
+    return rounded(selection.likelihood_scores(suppliers(spark, sf_dir), get_kernel("gaussian"), _HS), "score")
 
 
 @query(
@@ -205,8 +204,7 @@ def loo_likelihood_grid(spark, sf_dir):
     FROM f CROSS JOIN n GROUP BY h"""
 )
 def lscv_grid(spark, sf_dir):
-    pairs = selection.pair_table(suppliers(spark, sf_dir))
-    return rounded(selection.least_squares_scores(pairs, 1, selection.candidates(spark, _HS)), "score")
+    return rounded(selection.least_squares_scores(suppliers(spark, sf_dir), _HS), "score")
 
 
 @query(
@@ -215,18 +213,17 @@ def lscv_grid(spark, sf_dir):
     SELECT h, round(score, 6) AS score FROM e ORDER BY e.score, h LIMIT 1"""
 )
 def best_candidate(spark, sf_dir):
-    pairs = selection.pair_table(suppliers(spark, sf_dir))
-    scores = selection.likelihood_scores(pairs, get_kernel("gaussian"), 1, selection.candidates(spark, _HS))
+    scores = selection.likelihood_scores(suppliers(spark, sf_dir), get_kernel("gaussian"), _HS)
     return rounded(selection.best(scores), "score")
 
 
 @query(
-    f"""WITH {_PAIRS}, q AS (SELECT quantile_cont(d, 0.05) AS a, quantile_cont(d, 0.5) AS b, quantile_cont(d, 0.95) AS c FROM p WHERE d > 0),
+    f"""WITH {_PAIRS}, q AS (SELECT quantile_cont(d, 0.05) AS a, quantile_cont(d, 0.5) AS b, quantile_cont(d, 0.95) AS c FROM p WHERE d > 0 AND i < j),
     l AS (SELECT greatest(0.2 * a, 1e-6 * b) AS lower, c FROM q)
     SELECT round(lower, 6) AS lower, round(greatest(2 * c, 10 * lower), 6) AS upper FROM l"""
 )
 def bandwidth_bounds(spark, sf_dir):
-    return rounded(selection.bandwidth_bounds(selection.pair_table(suppliers(spark, sf_dir))), "lower", "upper")
+    return rounded(selection.bandwidth_bounds(selection.pair_distances(suppliers(spark, sf_dir))), "lower", "upper")
 
 
 @query()

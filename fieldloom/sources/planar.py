@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.time import LinearTime, TimeDomain
+from fieldloom.plans.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -68,6 +69,7 @@ class Events:
     unit: str | None = None
     domain: TimeDomain | None = None
     provenance: tuple[str, ...] = field(default=())
+    numbered: bool = False  # ids were made here, so they are unique
 
     @classmethod
     def from_frame(
@@ -84,26 +86,43 @@ class Events:
         crs: str | None = None,
         unit: str | None = None,
     ) -> Events:
-        """Project any DataFrame to events. Without an id the rows are numbered by a hash of their values."""
+        """Project any DataFrame to events. Without an id the rows are numbered once and written, so that every reader sees the same
+        numbers; rows that repeat a point stay apart."""
         col = lambda c: F.col(c) if isinstance(c, str) else c
         axes = tuple(names or names_of(len(coords)))
         if len(set(axes)) != len(axes) or len(axes) != len(coords):
             raise ValueError("coordinate names must be unique, one per coordinate")
         points = [col(c).cast("double").alias(n) for c, n in zip(coords, axes, strict=True)]
         w = (col(weight) if weight is not None else F.lit(1.0)).cast("double").alias("weight")
-        ident = col(event_id) if event_id is not None else F.xxhash64(*[col(c) for c in coords])
+        ident = col(event_id) if event_id is not None else F.monotonically_increasing_id()
         more = [col(mark).cast("string").alias("mark")] if mark is not None else []
         if time is not None:
             domain = domain or LinearTime()
             more.append(domain.canonical(col(time)).alias("time"))
-        return cls(df.select(ident.alias("event_id"), *points, w, *more), axes, crs, unit, domain)
+        rows = df.select(ident.alias("event_id"), *points, w, *more)
+        return cls(rows if event_id is not None else cut(rows), axes, crs, unit, domain, numbered=event_id is None)
+
+    @classmethod
+    def from_points(cls, df: DataFrame, geometry: str = "geometry", **options) -> Events:
+        """Events from a column of points: a struct with x and y, or WKT text such as POINT (1 2). Empty or other geometry is an error."""
+        g = F.col(geometry)
+        if dict(df.dtypes)[geometry].startswith("struct"):
+            x, y = g["x"], g["y"]
+        else:
+            number = r"([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
+            shape = rf"(?i)^\s*POINT\s*(?:Z\s*)?\(\s*{number}\s+{number}(?:\s+{number})?\s*\)\s*$"
+            x, y = (F.regexp_extract(g, shape, i).try_cast("double") for i in (1, 2))
+        if n := df.where(bad(x) | bad(y)).limit(1).count():
+            raise ValueError(f"{n} or more rows hold no point")
+        return cls.from_frame(df, (x, y), **options)
 
     @property
     def dim(self) -> int:
         return len(self.coords)
 
     def check(self, *, unique_ids: bool = False) -> Report:
-        """One aggregate over the events: finite coordinates and times, weights at least 0 and one above, repeated points."""
+        """One aggregate over the events: finite coordinates and times, weights at least 0 and one above, repeated points and times,
+        and, if asked, ids that are there and differ."""
         axes = [*self.coords, *(["time"] if "time" in self.df.columns else [])]
         point = F.struct(*[F.col(c) for c in self.coords])
         row = self.df.agg(
@@ -112,6 +131,7 @@ class Events:
             F.count_if(bad(F.col("weight")) | (F.col("weight") < 0)).alias("bad_weight"),
             F.count_if(F.col("weight") > 0).alias("positive"),
             F.count_distinct(point).alias("distinct"),
+            *([F.count_distinct(F.struct(*[F.col(c) for c in axes])).alias("moments")] if "time" in axes else []),
             *([F.count_distinct("event_id").alias("ids")] if unique_ids else []),
         ).first()
         found = []
@@ -124,12 +144,25 @@ class Events:
             found.append(Issue("error", "weights", "no weight is positive"))
         if row["n"] > row["distinct"]:
             found.append(Issue("warning", "duplicate_coordinates", f"{row['n'] - row['distinct']} events repeat a point"))
+        if "time" in axes and row["n"] > row["moments"]:
+            found.append(Issue("warning", "duplicate_times", f"{row['n'] - row['moments']} events repeat a point and a time"))
         if unique_ids and row["ids"] < row["n"]:
-            found.append(Issue("error", "duplicate_ids", f"{row['n'] - row['ids']} ids repeat"))
+            found.append(Issue("error", "duplicate_ids", f"{row['n'] - row['ids']} ids repeat or are missing"))
         if self.crs is None:
             found.append(Issue("warning", "missing_crs", "no coordinate system is given"))
         return Report(tuple(found))
 
+    def require_ids(self) -> None:
+        """Stop where ids repeat or are missing: joins of events with themselves need one id each."""
+        if not self.numbered and self.df.groupBy("event_id").count().where("count > 1 or event_id is null").limit(1).count():
+            raise ValueError("event ids must be unique and present; leave event_id out to have the rows numbered")
+
+    def summary(self) -> DataFrame:
+        """One row: events, total weight, and the least and largest value of each coordinate and of time."""
+        axes = [*self.coords, *(["time"] if "time" in self.df.columns else [])]
+        ends = [f(c).alias(f"{n}_{c}") for c in axes for n, f in (("min", F.min), ("max", F.max))]
+        return self.df.agg(F.count(F.lit(1)).alias("n_events"), F.sum("weight").alias("total_weight"), *ends)
+
     def total_weight(self) -> float:
         return float(self.df.agg(F.sum("weight").alias("w")).first()["w"] or 0.0)
 
@@ -142,8 +175,37 @@ class Events:
 
 
 def fingerprint(df: DataFrame) -> str:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
-    return f"{row['n']:x}-{int(row['h'] or 0) & (1 << 96) - 1:024x}-{'.'.join(df.columns)}"
+    """A hash of names, types and rows that does not depend on the order of rows. Each value counts with its place and with
+    whether it is null; maps are hashed by their sorted entries. Two sums of 64-bit hashes with different seeds."""
+    kinds = dict(df.dtypes)
+
+    def value(c: str):
+        col = F.col(f"`{c}`")
+        return F.array_sort(F.map_entries(col)) if kinds[c].startswith("map<") else col
+
+    cells = [x for i, c in enumerate(df.columns) for x in (F.lit(i), F.col(f"`{c}`").isNull(), value(c))]
+    one, two = (F.sum(F.xxhash64(F.lit(seed), *cells).cast("decimal(38,0)")) for seed in (17, 91))
+    row = df.agg(F.count(F.lit(1)).alias("n"), one.alias("one"), two.alias("two")).first()
+    low = lambda v: int(v or 0) & (1 << 96) - 1
+    return f"{row['n']:x}-{low(row['one']):024x}-{low(row['two']):024x}-{'.'.join(f'{c}:{t}' for c, t in df.dtypes)}"
+
+
+def check_compatible(events: Events, support: Support) -> Report:
+    """Errors where dimension, coordinate names, coordinate systems, units or time domains of events and support differ."""
+    found = []
+    if len(events.coords) != len(support.coords):
+        found.append(Issue("error", "dimension", f"events have {len(events.coords)} coordinates, the support {len(support.coords)}"))
+    elif events.coords != support.coords:
+        found.append(Issue("error", "coordinate_names", f"{events.coords} and {support.coords}"))
+    for name in ("crs", "unit"):
+        a, b = getattr(events, name), getattr(support, name)
+        if a and b and a != b:
+            found.append(Issue("error", f"{name}_mismatch", f"{a} and {b}"))
+        elif (a is None) != (b is None):
+            found.append(Issue("warning", f"{name}_missing", f"only one side names its {name}"))
+    if (events.domain or LinearTime()) != (support.domain or LinearTime()):
+        found.append(Issue("error", "time_domain", f"{events.domain} and {support.domain}"))
+    return Report(tuple(found))
 
 
 @dataclass(frozen=True)
@@ -161,6 +223,22 @@ class Support:
     def measured(self) -> bool:
         return "measure" in self.df.columns
 
+    def check(self) -> Report:
+        """Finite coordinates and times, ids that are there and differ, positive measures; one aggregate."""
+        axes = [*self.coords, *(["time"] if "time" in self.df.columns else [])]
+        row = self.df.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_distinct("support_id").alias("ids"),
+            *[F.count_if(bad(F.col(c).cast("double"))).alias(f"bad_{c}") for c in axes],
+            (F.count_if(bad(F.col("measure")) | (F.col("measure") <= 0)) if self.measured else F.lit(0)).alias("bad_measure"),
+        ).first()
+        found = [Issue("error", "non_finite", f"{row[f'bad_{c}']} values of {c} are not finite") for c in axes if row[f"bad_{c}"]]
+        if row["ids"] < row["n"]:
+            found.append(Issue("error", "duplicate_ids", f"{row['n'] - row['ids']} ids repeat or are missing"))
+        if row["bad_measure"]:
+            found.append(Issue("error", "measure", f"{row['bad_measure']} measures are not positive"))
+        return Report(tuple(found))
+
     @classmethod
     def points(cls, df: DataFrame, coords: Sequence[str], *, support_id: str, time: str | None = None, measure: str | None = None, domain: TimeDomain | None = None, names: Sequence[str] | None = None) -> Support:
         axes = tuple(names or names_of(len(coords)))
@@ -177,8 +255,8 @@ class Support:
         """Cell centres over (x_min, y_min, x_max, y_max), row by row, x fastest; the last cell of an axis keeps the remainder."""
         x0, y0, x1, y1 = map(float, bounds)
         dx, dy = (resolution, resolution) if isinstance(resolution, (int, float)) else resolution
-        xs, ys = axis_cells(spark, x0, x1, float(dx), "x"), axis_cells(spark, y0, y1, float(dy), "y")
-        nx, ny = axis_count(x0, x1, float(dx)), axis_count(y0, y1, float(dy))
+        xs, ys = axis_cells(spark, x0, x1, float(dx), "x", close=True), axis_cells(spark, y0, y1, float(dy), "y", close=True)
+        nx, ny = axis_count(x0, x1, float(dx), close=True), axis_count(y0, y1, float(dy), close=True)
         df = ys.crossJoin(xs).select(
             (F.col("y_index") * nx + F.col("x_index")).alias("support_id"), "x", "y", (F.col("x_width") * F.col("y_width")).alias("measure")
         )
@@ -226,17 +304,20 @@ def _moments(ring) -> tuple[float, float, float]:
     return area, mx, my
 
 
-def axis_count(low: float, high: float, step: float) -> int:
-    """Cells of an axis: whole steps, and one more for a remainder beyond rounding error."""
+def axis_count(low: float, high: float, step: float, close: bool = False) -> int:
+    """Cells of an axis: whole steps, and one more for a remainder. A remainder is none if the last whole step ends within 1e-12
+    (or 1e-12 of the bound) of the bound; on axes of space (close), within 1e-8 and 1e-5 of the bound."""
     if not (math.isfinite(low) and math.isfinite(high) and high > low and step > 0):
         raise ValueError("an axis needs finite bounds in order and a positive step")
-    whole = math.floor((high - low) / step + 1e-9)
-    return max(1, whole + (high - low - whole * step > 1e-9 * step))
+    whole = math.floor((high - low) / step)
+    last = low + whole * step
+    done = abs(last - high) <= 1e-8 + 1e-5 * abs(high) if close else last >= high - max(1e-12, abs(high) * 1e-12)
+    return max(1, whole + (not done))
 
 
-def axis_cells(spark: SparkSession, low: float, high: float, step: float, name: str) -> DataFrame:
+def axis_cells(spark: SparkSession, low: float, high: float, step: float, name: str, close: bool = False) -> DataFrame:
     """(name_index, name, name_width): cell centres and widths along one axis."""
-    n = axis_count(low, high, step)
+    n = axis_count(low, high, step, close)
     start = F.lit(low) + F.col("id") * step
     end = F.when(F.col("id") == n - 1, F.lit(high)).otherwise(F.lit(low) + (F.col("id") + 1) * step)
     return spark.range(n).select(F.col("id").alias(f"{name}_index"), ((start + end) / 2).alias(name), (end - start).alias(f"{name}_width"))

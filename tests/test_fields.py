@@ -128,8 +128,8 @@ def test_matrix_bandwidth(spark):
 
 
 def test_leave_one_out_of_two(spark):
-    pairs = selection.pair_table(events(spark, [(0,), (2,)]))
-    got = selection.likelihood_scores(pairs, get_kernel("gaussian"), 1, selection.candidates(spark, [1.25])).first().score
+    pair = events(spark, [(0,), (2,)])
+    got = selection.likelihood_scores(pair, get_kernel("gaussian"), [1.25]).first().score
     assert got == pytest.approx(-math.log(math.exp(-0.5 * 1.6**2) / math.sqrt(2 * math.pi) / 1.25), rel=1e-12)
 
 
