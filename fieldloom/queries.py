@@ -426,7 +426,9 @@ def _accounts(spark, sf_dir, where: str = "true") -> Events:
 
 
 def _exposure(spark, sf_dir) -> DataFrame:
-    cells = read(spark, sf_dir, "customer").groupBy(F.floor((F.col("c_acctbal") + 1000) / 1000).alias("support_id")).agg(F.count(F.lit(1)).alias("amount"))
+    held = read(spark, sf_dir, "customer").groupBy(F.floor((F.col("c_acctbal") + 1000) / 1000).alias("support_id")).agg(F.count(F.lit(1)).alias("n"))
+    held = held.where(F.col("support_id").between(0, 11))
+    cells = _line(spark).df.select("support_id").join(held, "support_id", "left").select("support_id", F.coalesce("n", F.lit(0)).alias("amount"))
     return risk.exposure_from_amounts(_line(spark).df, cells, "amount")
 
 
@@ -461,23 +463,44 @@ def event_rate_minimum(spark, sf_dir):
     return _rate(spark, sf_dir, risk.DenominatorPolicy("minimum", floor=0.12))
 
 
-def _risk_field(spark, sf_dir, where: str) -> DataFrame:
-    return SpatialKDE("gaussian", 900.0).fit_evaluate(_accounts(spark, sf_dir, where), _line(spark))
+# cells wide and fine enough that both densities integrate to one
+_WIDE = "w AS (SELECT i AS support_id, i * 100.0 - 10000 + 50 AS gx, 100.0 AS measure FROM (SELECT unnest(range(300)) AS i))"
+
+
+def _risk_field(spark, sf_dir, where: str) -> risk.FieldView:
+    rows = spark.range(300).select("id", (F.col("id") * 100.0 - 10000 + 50).alias("x"), F.lit(100.0).alias("m"))
+    kde = SpatialKDE("gaussian", 900.0)
+    return risk.FieldView.of(kde.fit_evaluate(_accounts(spark, sf_dir, where), Support.points(rows, ("x",), support_id="id", measure="m")), kde)
 
 
 def _density_sql(where: str) -> str:
     k = kernel_sql("gaussian", "abs(gx - c_acctbal) / 900.0", 1, "900.0")
-    return f"SELECT support_id, gx, measure, sum({k}) / count(*) AS f FROM g CROSS JOIN (SELECT c_acctbal FROM customer WHERE {where}) GROUP BY ALL"
+    return f"SELECT support_id, gx, measure, sum({k}) / count(*) AS f FROM w CROSS JOIN (SELECT c_acctbal FROM customer WHERE {where}) GROUP BY ALL"
+
+
+_RISK = f"""WITH {_WIDE}, a AS ({_density_sql("c_mktsegment = 'BUILDING'")}), b AS ({_density_sql("c_mktsegment <> 'BUILDING'")}),
+    r AS (SELECT support_id, a.gx AS x, a.measure, a.f AS a, b.f AS b, greatest(b.f, 1e-9) AS e FROM a JOIN b USING (support_id))"""
+
+
+def _risk(spark, sf_dir) -> DataFrame:
+    case, control = _risk_field(spark, sf_dir, "c_mktsegment = 'BUILDING'"), _risk_field(spark, sf_dir, "c_mktsegment <> 'BUILDING'")
+    return risk.relative_risk(case, control, risk.DenominatorPolicy("minimum", floor=1e-9))
+
+
+@query(f"{_RISK} SELECT support_id, x, measure, round(a / e, 6) AS relative_risk, CASE WHEN a > 1e-300 THEN round(ln(a) - ln(e), 6) + 0.0 END AS log_relative_risk, b < 1e-9 AS adjusted_control_density FROM r")
+def relative_risk(spark, sf_dir):
+    found = _risk(spark, sf_dir).withColumn("log_relative_risk", F.when(F.col("case_density") > 1e-300, F.col("log_relative_risk")))
+    return rounded(found.select("support_id", "x", "measure", "relative_risk", "log_relative_risk", "adjusted_control_density"), "relative_risk", "log_relative_risk")
 
 
 @query(
-    f"""WITH {_RISK_GRID}, a AS ({_density_sql("c_mktsegment = 'BUILDING'")}), b AS ({_density_sql("c_mktsegment <> 'BUILDING'")})
-    SELECT support_id, a.gx AS x, a.measure, round(a.f / b.f, 6) AS relative_risk, round(ln(a.f) - ln(b.f), 6) + 0.0 AS log_relative_risk FROM a JOIN b USING (support_id)"""
+    f"""{_RISK} SELECT round(sum(a * measure), 6) AS case_integral, round(sum(b * measure), 6) AS control_integral, round(sum(e * measure), 6) AS effective_control_integral,
+        round(sum(a / e * b * measure) / sum(b * measure), 6) AS control_weighted_mean, round(sum(a * measure) / sum(e * measure), 6) AS effective_control_weighted_mean,
+        0 AS invalid, sum(CASE WHEN b < 1e-9 THEN 1 ELSE 0 END)::BIGINT AS adjusted FROM r"""
 )
-def relative_risk(spark, sf_dir):
-    case, control = _risk_field(spark, sf_dir, "c_mktsegment = 'BUILDING'"), _risk_field(spark, sf_dir, "c_mktsegment <> 'BUILDING'")
-    found = risk.relative_risk(case, control, mass_tolerance=None)
-    return rounded(found.select("support_id", "x", "measure", "relative_risk", "log_relative_risk"), "relative_risk", "log_relative_risk")
+def risk_summary(spark, sf_dir):
+    names = "case_integral control_integral effective_control_integral control_weighted_mean effective_control_weighted_mean".split()
+    return rounded(risk.risk_summary(_risk(spark, sf_dir)), *names).withColumn("invalid", F.lit(0))
 
 
 @query(
