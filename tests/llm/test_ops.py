@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -67,10 +68,21 @@ def test_exact_groups_on_odd_rows(odd):
     assert {(r.keep_id, r.group_size) for r in empty} == {(3, 3)}
     same = [r for r in rows if r.text in ("one two", "one  two")]
     assert {(r.keep_id, r.group_size) for r in same} == {(5, 4)} and [r.doc_id for r in same if r.kept] == [5]
-    assert drop_exact_copies(odd).columns == odd.columns
+    assert drop_exact_copies(odd).columns == odd.columns and {r.kept for r in drop_exact_copies(odd).collect()} == {"x", None}
     assert exact_groups(odd.limit(0)).count() == 0
 
 
+def test_heavy_groups_are_salted(spark):
+    rows = [(i, "a" * 40 + ("" if i % 3 else "b" * (i % 5))) for i in range(900)] + [(900 + i, f"text {i}") for i in range(100)]
+    found = {r.doc_id: r for r in exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), first_run=8).collect()}
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(text.replace(" ", ""), []).append(i)
+    assert len(found) == len(rows)
+    for members in groups.values():
+        assert {(found[i].keep_id, found[i].group_size) for i in members} == {(min(members), len(members))}
+
+
 def test_one_row_stays_of_each_group(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(None, "no id"), (None, "no  id"), (1, "long"), (None, "lo ng"), (7, "twice"), (7, "twice"), (7, "tw ice"), (8, "alone"), (9, text), (9, text), (9, text + " end")]
@@ -379,6 +391,94 @@ def test_toxicity_frames(spark, docs, odd, data):
     assert all(r.toxicity < 0.7 for r in toxicity.score(odd, untrained).collect())
 
 
+def plain_scores(net, texts):
+    """The network word by word: mean of three rows, every filter at every place, largest response."""
+    out = []
+    for text in texts:
+        words = [w for w in ("".join(c for c in w if c.isalnum()) for w in (text or "").lower().split()) if w]
+        rows = [[1 + zlib.crc32(k.encode()) % (toxicity.BUCKETS - 1) for k in (f"w:{w}", f"4:{w[:4]}", f"6:{w[:6]}")] for w in words]
+        vectors = [net.emb[r].astype(float).mean(axis=0) for r in rows] + [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - 1)
+        pooled = []
+        for kernel in net.filters:
+            for f in range(toxicity.FILTERS):
+                best = -math.inf
+                for i in range(len(vectors)):
+                    best = max(best, sum(float(vectors[i + j] @ kernel[j, :, f]) for j in range(len(kernel)) if i + j < len(vectors)))
+                pooled.append(max(0.0, best + float(net.bias[len(pooled)])))
+        z = float(np.dot(pooled, net.out.astype(float)) + net.base)
+        out.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    return out
+
+
+def test_toxicity_query_matches_a_plain_forward_loop(spark, docs, data):
+    fold = langid.held_out("doc_id", 3, 1)
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    net = toxicity.train(docs.where(~fold), labels.where(~fold))
+    rows = {r.doc_id: r.text for r in docs.where("length(text) < 4000 or text is null").collect()}
+    got = {r.doc_id: r.toxicity for r in toxicity.score(docs, net).collect() if r.doc_id in rows}
+    assert len(got) > 100 and np.allclose([got[i] for i in rows], plain_scores(net, rows.values()), atol=1e-5)
+
+
+def test_toxicity_gradients():
+    """Analytic gradients against differences of the loss, in double precision."""
+    r = np.random.default_rng(3)
+    net, words = toxicity.Network(), toxicity.Words()
+    for name in ("emb", "bias", "out"):
+        setattr(net, name, getattr(net, name).astype(float) + r.normal(0, 0.2, getattr(net, name).shape))
+    net.filters, net.base = [k.astype(float) for k in net.filters], float(net.base)
+    net.emb[0] = 0
+    texts = ["you are a fool", "what a lovely day it is", "fool", "a day"]
+    y = np.array([1.0, 0, 1, 0])
+    batch = [np.array(words.ids(t) + [0] * (max(toxicity.WIDTHS) - 1)) for t in texts]
+
+    def loss():
+        total = 0.0
+        for ids, label in zip(batch, y, strict=True):
+            v = net.emb[words.rows[ids]].mean(axis=1)
+            pooled = []
+            for kernel in net.filters:
+                z = [sum(v[i + j] @ kernel[j] for j in range(len(kernel)) if i + j < len(v)) for i in range(len(v))]
+                pooled += list(np.max(z, axis=0))
+            p = net.scores(np.maximum(np.array(pooled) + net.bias, 0)[None, :])[0]
+            total -= label * np.log(p) + (1 - label) * np.log(1 - p)
+        return total / len(batch) + 1e-4 / 2 * (net.out**2).sum()
+
+    grads, base, rows, word_grad = toxicity.gradients(net, words.rows, batch, y)
+    for param, grad in zip([*net.filters, net.bias, net.out], grads, strict=True):
+        for at in list(np.ndindex(param.shape))[:: max(1, param.size // 12)]:
+            held, param[at] = param[at], param[at] + 1e-6
+            up = loss()
+            param[at] = held - 1e-6
+            down = loss()
+            param[at] = held
+            assert math.isclose((up - down) / 2e-6, grad[at], rel_tol=1e-3, abs_tol=1e-6)
+    row = rows[1][0]  # one row of one word's three
+    want = word_grad[(rows == row).any(axis=1)].sum(axis=0) / 3
+    for k in range(toxicity.DIM):
+        held, net.emb[row, k] = net.emb[row, k], net.emb[row, k] + 1e-6
+        up = loss()
+        net.emb[row, k] = held - 1e-6
+        down = loss()
+        net.emb[row, k] = held
+        assert math.isclose((up - down) / 2e-6, want[k], rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_classifiers_on_held_out_rows(spark):
+    """Toxicity and quality of labelled rows that took no part in training, among 4,000 labels."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    fold = langid.held_out("doc_id", 3, 1)
+    held = labels.where(fold)
+    tox = toxicity.score(docs, toxicity.train(docs.where(~fold), labels.where(~fold))).join(held, "doc_id").where("toxic is not null")
+    found = tox.agg(F.avg((F.col("toxicity") >= 0.7).cast("int")).alias("all"), F.avg(F.when(F.col("toxic") == 1, (F.col("toxicity") >= 0.7).cast("int"))).alias("caught"),
+                    F.avg(F.when(F.col("toxic") == 0, (F.col("toxicity") < 0.7).cast("int"))).alias("left")).first()
+    assert found.caught >= 0.8 and found.left >= 0.98
+    net = quality.train(docs, labels.where(~fold))
+    good = quality.judged(docs, net, quality.site_means(docs, net)).join(held, "doc_id").where("quality is not null")
+    assert good.agg(F.avg((F.col("quality_kept") == (F.col("quality") == 1)).cast("int"))).first()[0] >= 0.97
+
+
 def test_thresholds_split_each_language():
     cut = toxicity.thresholds(np.array([0.9, 0.6, 0.4, 0.2, 0.5]), np.array([1, 1, 0, 0, 1]), ["a", "a", "a", "a", "b"])
     assert 0.4 < cut["a"] < 0.6 and cut["b"] == 0.7
@@ -392,11 +492,31 @@ def test_quality_posterior_matches_brute_force(spark, docs, data):
     rows = docs.select("doc_id", "text", "source", "lang").collect()
     e = {r.doc_id: float(net.evidence(quality.features(r.text)[None])[0]) for r in rows}
     p = {i: 1 / (1 + math.exp(-v)) for i, v in e.items()}
-    hosts = {r["host"]: r for r in sites.paths.select("host", "host_mean").distinct().collect()}
-    for r in rows[:50]:
-        mine = [p[x.doc_id] for x in rows if (x.source, x.lang) == (r.source, r.lang)]
-        m = hosts[r.source].host_mean
-        mean = (sum(mine) - p[r.doc_id] + sites.kappa * m) / (len(mine) - 1 + sites.kappa)
+
+    def sums(key):
+        out = {}
+        for r in rows:
+            s, n = out.get(key(r), (0.0, 0))
+            out[key(r)] = s + p[r.doc_id], n + 1
+        return out
+
+    def pseudo_count(groups, around):
+        if len(groups) < 2:
+            return 1.0
+        total = sum(n for _, n in groups.values())
+        v = sum(around(k) * (1 - around(k)) for k in groups) / len(groups)
+        spread = max((sum(n * (s / n - around(k)) ** 2 for k, (s, n) in groups.items()) - v * len(groups)) / total, 1e-6)
+        return min(max(v / spread - 1, 1.0), 1e6)
+
+    by_host, by_path = sums(lambda r: r.source), sums(lambda r: (r.source, r.lang))
+    mean = sum(p.values()) / len(p)
+    kappa_host = pseudo_count(by_host, lambda k: mean)
+    host_mean = {k: (s + kappa_host * mean) / (n + kappa_host) for k, (s, n) in by_host.items()}
+    kappa = pseudo_count(by_path, lambda k: host_mean[k[0]])
+    assert sites.kappa == pytest.approx(kappa, rel=1e-6) and sites.mean == pytest.approx(mean, rel=1e-9)
+    for r in rows:
+        total, n = by_path[r.source, r.lang]
+        mean = (total - p[r.doc_id] + kappa * host_mean[r.source]) / (n - 1 + kappa)
         assert got[r.doc_id].site_mean == pytest.approx(mean, rel=1e-6)
         assert got[r.doc_id].quality_score == pytest.approx(1 / (1 + math.exp(-e[r.doc_id] - math.log(mean / (1 - mean)))), rel=1e-6)
     wrong = labels.join(quality.judged(docs, net, sites), "doc_id").where(F.col("quality") != F.col("quality_kept").cast("int")).count()
