@@ -106,6 +106,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """df with columns named like these renamed, and the columns that give df back from what an operator returns."""
+    lower = {n.lower() for n in names}
+    new = {c: f"__aside_{i}" for i, c in enumerate(df.columns) if c.lower() in lower}
+    return df.withColumnsRenamed(new), [F.col(f"`{new.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of a column as text, modulo n; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -5,7 +5,8 @@ that is still undecided, groups by (group so far, those bytes) and keeps apart
   * groups of one document: decided, nothing equals it;
   * groups whose text ended inside the run: decided, all members are equal;
   * the rest: they go on to the next round, with a longer run.
-Equality is settled on the bytes themselves; no digest takes part. Runs grow by a constant factor, so a text of n
+Equality is settled on the bytes themselves; no digest takes part. A group of many rows is dealt to SALTS tasks when its rows take up
+what is known of their group: rows by their id, the group's one row copied. Runs grow by a constant factor, so a text of n
 bytes needs O(log n) rounds, and after the first round only documents that share a prefix with another one are read.
 """
 
@@ -14,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import ROW, checkpointed, row_keyed, stored
+from fieldloom.llm.common import ROW, aside, checkpointed, row_keyed, stored
 
+SALTS, HEAVY = 64, 1000  # a group is heavy if it holds more than one in HEAVY of the rows that share a run, so there are few
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -70,7 +72,16 @@ def exact_groups(
         going = groups.where(F.length("run") == run).limit(1).count() > 0
         ended = F.length("run") < run
         shared = F.col("n").isNotNull()
-        out = cut.join(groups, ["gid", "run"], "left").select(
+        facts = groups.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+        if facts["most"] and facts["most"] > max(SALTS, facts["rows"] / HEAVY):
+            least = max(SALTS, facts["rows"] / HEAVY)
+            heavy = [r["h"] for r in groups.where(F.col("n") > least).select(F.xxhash64("gid", "run").alias("h")).collect()]  # at most HEAVY numbers
+            is_heavy = F.xxhash64("gid", "run").isin(heavy)
+            cut = cut.withColumn("salt", F.when(is_heavy, F.pmod(F.xxhash64("rank.id", "rank.row"), F.lit(SALTS))).otherwise(F.lit(0)))
+            groups = groups.withColumn("salt", F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        else:
+            cut, groups = cut.withColumn("salt", F.lit(0)), groups.withColumn("salt", F.lit(0))
+        out = cut.join(groups, ["gid", "run", "salt"], "left").select(
             "row",
             "rank",
             "sha",
@@ -102,6 +113,7 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs."""
-    found = exact_groups(docs, **options)
-    return found.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, with the columns of docs, whatever their names: one row of each group, as exact_groups keeps it."""
+    renamed, back = aside(docs, *ADDED)
+    found = exact_groups(renamed, **options)
+    return found.where("kept").select(*back)
