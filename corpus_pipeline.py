@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages over documents; each stage works on all rows that its predecessor kept."""
+"""A corpus pipeline of five stages over documents; each stage works on all rows that its predecessor kept.
+
+All stages take whole texts, of any length, and repeated rows one by one. A null text counts as empty, an empty table gives an empty
+result, and columns that bear the name of one that an operator adds keep their own values.
+"""
 
 from __future__ import annotations
 
@@ -7,27 +11,31 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import quality
 from fieldloom.llm.bpe import ByteBPE, encoded
-from fieldloom.llm.common import read, small_batches, stored
+from fieldloom.llm.common import Scratch, aside, read, small_batches
 from fieldloom.llm.exact_dedup import drop_exact_copies
 from fieldloom.llm.minhash import drop_near_copies
 from fieldloom.llm.mixing import mixed
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject: a posterior of one half or more. A null or empty text is judged by its
+    site alone, a null source or language is a site of its own; without labels of both kinds the evidence is zero and all stay."""
     small_batches(spark)
+    rows, back = aside(docs, "evidence", "site_mean", "quality_score", "quality_kept")
     net = quality.train(docs, read(spark, sf_dir, "labels"))
-    found = quality.judged(docs, net, quality.site_means(docs, net))
-    return found.where("quality_kept").select(*docs.columns)
+    found = quality.judged(rows, net, quality.site_means(docs, net))
+    return found.where("quality_kept").select(*back)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One row of each group of texts that are equal but for white space: that of the most code points, then of the smallest id, null
+    ids last. Null and blank texts are one group."""
     return drop_exact_copies(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: five words, similarity 0.8 or more."""
+    """One row of each component of near copies, that of the smallest id, null ids last: five words, similarity 0.8 or more. Null and
+    blank texts have no copies and stay."""
     small_batches(spark)
     return drop_near_copies(docs, similarity=(80, 100), n_bands=40)
 
@@ -42,10 +50,12 @@ def prefix_text(text: Column, tokens: Column) -> Column:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A prefix of each source, 90 percent of all tokens, by weights of language and source; each document once at most. The
-    last document of a source is cut to the tokens it still gives."""
+    last document of a source is cut to the tokens it still gives. A null language or source is a leaf of its own, ties of the seeded
+    order go by id, and documents without tokens are drawn with the prefix they fall in."""
     group = F.pmod(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"), F.lit(3))
+    rows, back = aside(docs, "mix_domain", "mix_lang", "mix_source", "epoch", "n_tokens", "take_tokens")
     found = mixed(
-        docs,
+        rows,
         share_of_supply=0.9,
         levels={"mix_domain": group, "mix_lang": F.col("lang"), "mix_source": F.col("source")},
         weights={"mix_lang": {"en": 6.0, "fr": 2.0, "de": 2.0, "es": 2.0}},
@@ -53,11 +63,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     part = F.col("take_tokens") < F.col("n_tokens")
     short = prefix_text(F.col("text"), F.col("take_tokens"))
     changed = {"text": short, "n_chars": F.length(short).cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return found.select(*[F.when(part, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in docs.columns])
+    return found.select(*[F.when(part, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else kept for c, kept in zip(docs.columns, back, strict=True)])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, packed, with digests of the ids and of the decoded bytes."""
+    """Token ids of every document, packed, with digests of the ids and of the decoded bytes; an empty text has none. Other columns than
+    doc_id, lang and source are left out."""
     import public_tokenizers
 
     small_batches(spark)
@@ -81,8 +92,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage keeps is written to the shared folder and read again by the next."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents; what a stage keeps is written to the shared folder, read by the next, and deleted after it."""
+    docs, former = read(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with former:
+            current = Scratch(spark)
+            docs, former = current.stored(stage(spark, docs, sf_dir), f"stage-{name}"), current
     return STAGES[-1][1](spark, docs, sf_dir)
