@@ -1,13 +1,14 @@
-"""Heat-equation smoothing on networks: finite elements on lixel meshes, solved component by component.
+"""Heat-equation smoothing on networks: finite elements on lixel meshes, solved tile by tile.
 
-Mesh nodes are network nodes, lixel ends, event offsets and points of a uniform mesh; assembly is a groupBy over segments.
-Components do not exchange heat, so each is a group of its own, inside one Arrow group: up to `most` mesh nodes its symmetric
-operator is diagonalised with numpy; beyond, it stays sparse and its exponential is a Chebyshev series to rounding, with
-memory in proportion to the mesh. Either way one component is one task.
+Mesh nodes are network nodes, lixel ends, event offsets and points of a uniform mesh; assembly happens inside the tiles. Components do
+not exchange heat, so each is a group of its own while it has few network nodes. A larger component is cut into square tiles, each with a
+margin so wide that what lies beyond it changes nothing in the tile by more than about 1e-12 of the largest value: heat kernels fall as
+exp(-d^2 / 4t) on any network. The work of a tile is that of its mesh nodes and of its network nodes, whatever the length of segments.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,40 +18,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.bandwidths import positive
-from fieldloom.operators.network import components
-from fieldloom.operators.selection import best, candidates
+from fieldloom.operators.heat_solver import chains, solve
+from fieldloom.operators.network import components, location_distances
+from fieldloom.operators.selection import Selection, best, minimise_log
 from fieldloom.operators.spatial import get_target
 from fieldloom.plans.lineage import cut
 from fieldloom.sources.network import Network
 
-GAP = 1e-9
+TILE = 2000  # network nodes of a component that is solved in one piece
+TAIL = 1e-12  # what a margin leaves out
 
 
-def mesh(network: Network, lixels: DataFrame, events: DataFrame, mesh_size: float | None = None) -> DataFrame:
-    """(component, edge_index, a, b, left, right): mesh segments between neighbouring breakpoints of each edge; a and b name the
-    mesh nodes. Breakpoints closer than a tolerance are one; the ends of the edge always stay."""
+def breakpoints(network: Network, lixels: DataFrame, events: DataFrame, mesh_size: float | None = None) -> DataFrame:
+    """(edge_index, raw, at, node, component, u, v, edge_length): every offset that the mesh must hold (raw), the breakpoint that stands
+    for it (at) and its mesh node. A breakpoint within a tolerance (1e-12, or 1e-12 of the edge) of the one before is that one; the
+    ends of the edge always stay."""
     if network.directed:
         raise ValueError("heat smoothing needs an undirected network")
     if network.edges.where("u = v").limit(1).count():
         raise ValueError("heat smoothing takes no loops")
     e = network.edges.select("edge_index", "u", "v", F.col("length").alias("edge_length"))
-    points = e.select("edge_index", F.lit(0.0).alias("at")).union(e.select("edge_index", "edge_length"))
-    points = points.union(lixels.select("edge_index", "start_offset")).union(events.select("edge_index", "offset"))
+    ends = e.select("edge_index", F.explode(F.array(F.lit(0.0), F.col("edge_length"))).alias("raw"))
+    cells = lixels.select("edge_index", F.explode(F.array("start_offset", "end_offset")).alias("raw"))
+    points = ends.union(cells).union(events.select("edge_index", "offset"))
     if mesh_size is not None:
-        n = F.greatest(F.lit(1), F.ceil(F.col("edge_length") / positive(mesh_size, "mesh size") - GAP)).cast("int")
+        n = F.greatest(F.lit(1), F.ceil(F.col("edge_length") / positive(mesh_size, "mesh size") - 1e-9)).cast("int")
         points = points.union(e.select("edge_index", "edge_length", F.explode(F.sequence(F.lit(0), n)).alias("i"), n.alias("n")).select("edge_index", F.col("edge_length") * F.col("i") / F.col("n")))
-    points = points.join(e, "edge_index").withColumn("at", F.when(F.col("at") <= GAP, 0.0).when(F.col("edge_length") - F.col("at") <= GAP, F.col("edge_length")).otherwise(F.col("at")))
-    # equal to the tolerance: one point per rounded offset
-    points = points.groupBy("edge_index", "u", "v", "edge_length", F.rint(F.col("at") / GAP).alias("slot")).agg(F.min("at").alias("at"))
-    name = F.when(F.col("at") == 0, F.concat(F.lit("n:"), F.col("u"))).when(F.col("at") == F.col("edge_length"), F.concat(F.lit("n:"), F.col("v"))).otherwise(F.concat(F.lit("e:"), F.col("edge_index"), F.lit(":"), F.col("slot").cast("long")))
-    points = points.withColumn("node", name)
-    along = Window.partitionBy("edge_index").orderBy("at")  # the breakpoints of one edge
-    segments = points.select("edge_index", "u", F.col("node").alias("a"), F.lead("node").over(along).alias("b"), F.col("at").alias("left"), F.lead("at").over(along).alias("right")).where("b is not null")
-    return segments.join(components(network).select(F.col("node_id").alias("u"), "component"), "u").drop("u")
+    tol = F.greatest(F.lit(1e-12), F.col("edge_length") * 1e-12)
+    points = points.distinct().join(e, "edge_index")
+    points = points.withColumn("near", F.when(F.col("raw") <= tol, 0.0).when(F.col("edge_length") - F.col("raw") <= tol, F.col("edge_length")).otherwise(F.col("raw")))
+    along = Window.partitionBy("edge_index").orderBy("near", "raw")  # the breakpoints of one edge
+    before = F.lag("near").over(along)
+    points = points.withColumn("kept", F.when(before.isNull() | (F.col("near") - before > tol), F.col("near")))
+    points = points.withColumn("at", F.last("kept", True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    name = F.when(F.col("at") == 0, F.concat(F.lit("n:"), F.col("u"))).when(F.col("at") == F.col("edge_length"), F.concat(F.lit("n:"), F.col("v")))
+    points = points.withColumn("node", name.otherwise(F.concat(F.lit("e:"), F.col("edge_index"), F.lit(":"), F.col("at").cast("string"))))
+    piece = components(network).select(F.col("node_id").alias("u"), "component")
+    return points.join(piece, "u").select("edge_index", "raw", "at", "node", "component", "u", "v", "edge_length")
+
+
+def segments_of(points: DataFrame) -> DataFrame:
+    """(component, edge_index, u, v, edge_length, a, b, left, right): mesh segments between neighbouring breakpoints of each edge; a and b
+    name the mesh nodes."""
+    places = points.groupBy("component", "edge_index", "u", "v", "edge_length", "at").agg(F.min("node").alias("a"))
+    along = Window.partitionBy("edge_index").orderBy("at")
+    lead = places.withColumn("b", F.lead("a").over(along)).withColumn("right", F.lead("at").over(along))
+    return lead.where("b is not null").select("component", "edge_index", "u", "v", "edge_length", "a", "b", F.col("at").alias("left"), "right")
+
+
+def mesh(network: Network, lixels: DataFrame, events: DataFrame, mesh_size: float | None = None) -> DataFrame:
+    """The mesh segments."""
+    return segments_of(breakpoints(network, lixels, events, mesh_size))
 
 
 def assembled(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lumped mass (component, node, mass) and stiffness (component, row, col, value) of the mesh."""
+    """Lumped mass (component, node, mass) and stiffness (component, row, col, value) of the mesh, for inspection."""
     size = F.col("right") - F.col("left")
     mass = segments.select("component", F.explode(F.array("a", "b")).alias("node"), (size / 2).alias("m")).groupBy("component", "node").agg(F.sum("m").alias("mass"))
     s = lambda r, c, v: F.struct(F.col(r).alias("row"), F.col(c).alias("col"), v.alias("value"))
@@ -58,112 +80,121 @@ def assembled(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return mass, parts.select("component", "x.*").groupBy("component", "row", "col").agg(F.sum("value").alias("value"))
 
 
-def _bessel(z: float) -> np.ndarray:
-    """exp(-z) I_k(z) for k = 0, 1, ... until it is below rounding, by downward recurrence; I_0 + 2 (I_1 + I_2 + ...) = exp(z)."""
-    n = int(9 * np.sqrt(z)) + 40
-    out = np.zeros(n + 2)
-    out[n] = 1e-280
-    for k in range(n, 0, -1):
-        out[k - 1] = out[k + 1] + 2 * k / z * out[k]
-        if out[k - 1] > 1e200:
-            out[k - 1 :] *= 1e-200
-    out = out[: n + 1] / out[: n + 1].max()
-    return out / (out[0] + 2 * out[1:].sum())
-
-
-def _series(row: np.ndarray, col: np.ndarray, value: np.ndarray, start: np.ndarray, weights: dict[float, np.ndarray], bound: float) -> dict[float, np.ndarray]:
-    """exp(-t A) start for each time t; A is sparse and symmetric with eigenvalues in [0, bound], weights[t] is _bessel(t bound / 2)."""
-    n = len(start)
-    step = lambda x: np.bincount(row, value * x[col], n) * (2 / bound) - x
-    old, now = start, step(start)
-    out = {t: w[0] * start for t, w in weights.items()}
-    for k in range(1, max(map(len, weights.values()))):
-        for t, w in weights.items():
-            if k < len(w):
-                out[t] += (-2.0 if k % 2 else 2.0) * w[k] * now
-        old, now = now, 2 * step(now) - old
-    return out
-
-
-def _evolve(most: int, tolerance: float):
+def _solved(times: list[float], tolerance: float, own: bool):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        nodes = sorted({n for k, n in zip(rows["kind"], rows["row"], strict=True) if k == 0})
-        at = {n: i for i, n in enumerate(nodes)}
-        n = len(nodes)
-        mass, stiff = np.zeros(n), []
-        sources: dict = {}
-        times: set[float] = set()
-        for kind, row, col, value, key in zip(rows["kind"], rows["row"], rows["col"], rows["value"], rows["key"], strict=True):
-            if kind == 0:
-                mass[at[row]] += value
-            elif kind == 1:
-                stiff.append((at[row], at[col], value))
-            elif kind == 2:
-                sources.setdefault(key, np.zeros(n))[at[row]] += value
-            else:
-                times.add(value)
-        root = 1 / np.sqrt(mass)
-        i, j = (np.array([x[k] for x in stiff], dtype=np.int64) for k in (0, 1))
-        entries = root[i] * np.array([x[2] for x in stiff], dtype=float) * root[j]
-        if n > most:
-            bound = float(np.bincount(i, abs(entries), n).max())
-            weights = {t: _bessel(t * bound / 2) for t in sorted(times)}
-        else:
-            dense = np.zeros((n, n))
-            np.add.at(dense, (i, j), entries)
-            values, vectors = np.linalg.eigh(dense)
-            values = np.maximum(values, 0)
-        out: dict = {k: [] for k in ("component", "key", "time", "node", "value")}
-        for key, s in sorted(sources.items(), key=lambda x: str(x[0])):
-            if n > most:
-                fields = _series(i, j, entries, root * s, weights, bound)
-            else:
-                coefficients = vectors.T @ (root * s)
-                fields = {t: vectors @ (np.exp(-t * values) * coefficients) for t in times}
-            for t in sorted(times):
-                found = root * fields[t]
-                if found.min() < -tolerance * max(1.0, abs(found).max()):
-                    raise ValueError("a heat field is negative beyond rounding")
-                found = np.maximum(found, 0)
-                total = float(mass @ found)
-                if total > 0:
-                    found *= s.sum() / total  # exact mass of the component
-                out["component"] += [rows["component"][0]] * n
-                out["key"] += [key] * n
-                out["time"] += [t] * n
-                out["node"] += nodes
-                out["value"] += found.tolist()
-        return pa.table(
-            {"component": pa.array(out["component"], pa.string()), "key": pa.array(out["key"], pa.string()), "time": pa.array(out["time"], pa.float64()), "node": pa.array(out["node"], pa.string()), "value": pa.array(out["value"], pa.float64())}
-        )
+        rows = table.sort_by([("edge_index", "ascending"), ("left", "ascending")])
+        kind = rows.column("kind").to_numpy()
+        parts = rows.filter(pa.array(kind == 0))
+        a, b = (np.array(parts.column(c).to_pylist(), dtype=object) for c in ("a", "b"))
+        nodes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+        inside = np.array([x.startswith("e:") for x in nodes])
+        order = np.argsort(inside, kind="stable")  # junctions first
+        rank = np.empty(len(nodes), int)
+        rank[order] = np.arange(len(nodes))
+        at, to = rank[number[: len(a)]], rank[number[len(a) :]]
+        size = parts.column("right").to_numpy() - parts.column("left").to_numpy()
+        edge = parts.column("edge_index").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], edge[1:] != edge[:-1]]))
+        count = np.diff([*first, len(edge)]) - 1
+        groups = chains(at[first], to[first + count], first, count, size, to)
+        mass = np.bincount(at, size / 2, len(nodes)) + np.bincount(to, size / 2, len(nodes))
+        mine = np.zeros(len(nodes), bool)
+        mine[at] |= parts.column("own_a").to_numpy(zero_copy_only=False)
+        mine[to] |= parts.column("own_b").to_numpy(zero_copy_only=False)
+        given = rows.filter(pa.array(kind == 1))
+        keys, key = np.unique(np.array(given.column("key").to_pylist(), dtype=object).astype(str), return_inverse=True)
+        place = {n: i for i, n in enumerate(nodes[order])}
+        source = np.zeros((len(nodes), len(keys)))
+        spot = np.array([place.get(n, -1) for n in given.column("a").to_pylist()], dtype=int)
+        np.add.at(source, (spot[spot >= 0], key[spot >= 0]), given.column("value").to_numpy()[spot >= 0])
+        heat, back = solve(groups, int((~inside).sum()), mass, source, times, own)
+        if heat.size and heat.min() < -tolerance * max(1.0, np.abs(heat).max()):
+            raise ValueError("a heat field is negative beyond rounding")
+        heat, names = np.maximum(heat, 0), nodes[order][mine]
+        many = len(names)
+        out = [
+            pa.table({
+                "component": pa.array([table.column("component")[0].as_py()] * many, pa.string()), "key": pa.array([k] * many, pa.string()),
+                "time": pa.array(np.full(many, t)), "node": pa.array(names.tolist(), pa.string()), "value": pa.array(heat[i, mine, j]), "own": pa.array(back[i, mine]),
+            })
+            for i, t in enumerate(times) for j, k in enumerate(keys)
+        ]
+        return pa.concat_tables(out) if out else _EMPTY
 
     return run
 
 
-def evolve(segments: DataFrame, sources: DataFrame, times: Sequence[float], *, most: int = 4096, tolerance: float = 1e-10) -> DataFrame:
-    """(component, key, time, node, value): nodal heat after each time from sources (component, node, key, value). One
-    diagonalisation of a component serves all its sources and times; beyond `most` mesh nodes one series serves all times of a source."""
-    mass, stiff = assembled(segments)
-    spark = segments.sparkSession
-    clock = candidates(spark, times, "value")
-    used = sources.select("component").distinct()
-    none = F.lit(None).cast("string")
-    rows = (
-        mass.select("component", F.lit(0).alias("kind"), F.col("node").alias("row"), none.alias("col"), F.col("mass").alias("value"), none.alias("key"))
-        .union(stiff.select("component", F.lit(1), "row", "col", "value", none))
-        .join(used, "component", "left_semi")
-        .union(sources.select("component", F.lit(2), "node", none, "value", F.col("key").cast("string")))
-        .union(used.crossJoin(F.broadcast(clock)).select("component", F.lit(3), none, none, "value", none))
-    )
-    return rows.groupBy("component").applyInArrow(_evolve(most, tolerance), "component string, key string, time double, node string, value double")
+_EMPTY = pa.table({n: pa.array([], k) for n, k in (("component", pa.string()), ("key", pa.string()), ("time", pa.float64()), ("node", pa.string()), ("value", pa.float64()), ("own", pa.float64()))})
+_SCHEMA = "component string, key string, time double, node string, value double, own double"
 
 
-def event_nodes(segments: DataFrame, events: DataFrame) -> DataFrame:
+def evolve(
+    segments: DataFrame, sources: DataFrame, times: Sequence[float], *, nodes: DataFrame | None = None, own: bool = False, tile: int = TILE, tolerance: float = 1e-9
+) -> DataFrame:
+    """(component, key, time, node, value, own): nodal heat after each time from sources (component, node, key, value); own is what a unit
+    source at the node leaves there, if asked for. nodes (node_id, x, y) allow large components to be cut into tiles; without them a
+    component is one group. Nodes without heat from any source of their tile may be missing."""
+    times = [positive(t, "diffusion time") for t in sorted(set(times))]
+    used = sources.select("component").distinct()
+    rows = segments.join(used, "component", "left_semi")
+    sizes = rows.groupBy("component").agg(F.count_distinct(F.col("u")).alias("n"))
+    large = cut(sizes.where(F.col("n") > tile).select("component")) if nodes is not None else None
+    if large is None or not large.limit(1).count():
+        whole = rows.withColumn("tile", F.col("component")).withColumn("own_a", F.lit(True)).withColumn("own_b", F.lit(True))
+        return _grouped(whole, sources.withColumn("tile", F.col("component")), times, tolerance, own)
+    small = rows.join(large, "component", "left_anti").withColumn("tile", F.col("component")).withColumn("own_a", F.lit(True)).withColumn("own_b", F.lit(True))
+    tiled = _tiles(rows.join(large, "component", "left_semi"), nodes, times, tile)
+    given = sources.join(large, "component", "left_anti").withColumn("tile", F.col("component")).select("tile", *sources.columns)
+    # a source goes to every tile that holds its node
+    held = tiled.select("tile", F.explode(F.array("a", "b")).alias("node")).distinct()
+    given = given.unionByName(sources.join(large, "component", "left_semi").join(held, "node").select("tile", *sources.columns))
+    return _grouped(small.select(*tiled.columns).union(tiled), given, times, tolerance, own)
+
+
+def _grouped(segments: DataFrame, sources: DataFrame, times: list[float], tolerance: float, own: bool) -> DataFrame:
+    none, zero = F.lit(None).cast("string"), F.lit(None).cast("double")
+    no = F.lit(False)
+    rows = segments.select("tile", "component", F.lit(0).alias("kind"), "edge_index", "a", "b", "left", "right", "own_a", "own_b", none.alias("key"), zero.alias("value"))
+    rows = rows.union(
+        sources.select("tile", "component", F.lit(1), F.lit(None).cast("long"), "node", none, zero, zero, no, no, F.col("key").cast("string"), F.col("value").cast("double"))
+    )
+    return rows.groupBy("tile").applyInArrow(_solved(times, tolerance, own), _SCHEMA)
+
+
+def _tiles(segments: DataFrame, nodes: DataFrame, times: list[float], tile: int) -> DataFrame:
+    """Segments of large components with tile, own_a and own_b: each edge goes to all tiles from whose nodes it is within the margin; a
+    mesh node belongs to the tile of the nearer end of its edge."""
+    at = lambda n: nodes.select(F.col("node_id").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
+    edges = segments.select("component", "edge_index", "u", "v", "edge_length").distinct().join(at("u"), "u").join(at("v"), "v")
+    edges = cut(edges)
+    chord = F.hypot(F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy"))
+    row = edges.agg(
+        F.min(F.when(chord > 0, F.col("edge_length") / chord)).alias("ratio"), F.max("ux").alias("x1"), F.min("ux").alias("x0"), F.max("uy").alias("y1"), F.min("uy").alias("y0"),
+        F.count_distinct("u").alias("n"),
+    ).first()
+    reach = math.sqrt(4 * max(times) * math.log(1 / TAIL)) / min(1.0, row["ratio"] or 1.0)
+    margin = 2 * reach  # a node nearer to one end of an edge may be reached by way of the other
+    side = math.sqrt(max(row["x1"] - row["x0"], 1e-300) * max(row["y1"] - row["y0"], 1e-300) * tile / 4 / row["n"])
+    side = max(side, 2 * reach)
+    cell = lambda c: F.floor(c / side).cast("long")
+    span = lambda c: F.sequence(cell(F.col(c) - margin), cell(F.col(c) + margin))
+    near = edges.select("edge_index", F.explode(span("ux")).alias("cx"), "uy").withColumn("cy", F.explode(span("uy"))).drop("uy")
+    near = near.union(edges.select("edge_index", F.explode(span("vx")).alias("cx"), "vy").withColumn("cy", F.explode(span("vy"))).drop("vy")).distinct()
+    home = edges.select("edge_index", F.struct(cell(F.col("ux")).alias("cx"), cell(F.col("uy")).alias("cy")).alias("hu"), F.struct(cell(F.col("vx")).alias("cx"), cell(F.col("vy")).alias("cy")).alias("hv"))
+    rows = segments.join(home, "edge_index").join(near, "edge_index")
+    here = F.struct("cx", "cy")
+    nearer = lambda c: F.when(F.col(c) * 2 <= F.col("edge_length"), F.col("hu")).otherwise(F.col("hv")) == here
+    key = F.concat_ws(":", "component", "cx", "cy")
+    out = rows.select("component", "edge_index", "a", "b", "left", "right", key.alias("tile"), nearer("left").alias("own_a"), nearer("right").alias("own_b"))
+    busy = out.groupBy("tile").agg(F.bool_or(F.col("own_a") | F.col("own_b")).alias("busy")).where("busy").select("tile")
+    kept = out.join(busy, "tile", "left_semi")
+    return cut(kept.select("tile", "component", "edge_index", "a", "b", "left", "right", "own_a", "own_b"))
+
+
+def event_nodes(points: DataFrame, events: DataFrame) -> DataFrame:
     """(event_id, weight, component, node): the mesh node of each event."""
-    ends = segments.select("component", "edge_index", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("left").alias("at")), F.struct(F.col("b").alias("node"), F.col("right").alias("at")))).alias("p")).select("component", "edge_index", "p.*").distinct()
-    near = events.join(ends, "edge_index").where(F.abs(F.col("offset") - F.col("at")) <= 2 * GAP)
-    return near.groupBy("event_id", "weight").agg(F.min_by(F.struct("component", "node"), F.abs(F.col("offset") - F.col("at"))).alias("p")).select("event_id", "weight", "p.*")
+    at = points.select("edge_index", F.col("raw").alias("offset"), "component", "node")
+    return events.join(at, ["edge_index", "offset"]).select("event_id", "weight", "component", "node")
 
 
 @dataclass(frozen=True)
@@ -173,7 +204,7 @@ class HeatNetworkExperiment:
     times: Sequence[float]
     mesh_size: float | None = None
     target: str = "density"
-    most: int = 4096
+    tile: int = TILE
 
     def evaluate(self, network: Network, events: DataFrame, lixels: DataFrame) -> DataFrame:
         """(batch_index, diffusion_time, lixel columns, density or intensity) for events (event_id, edge_index, offset, weight).
@@ -181,47 +212,153 @@ class HeatNetworkExperiment:
         events = cut(events)  # read several times; often the result of snapping
         target = get_target(self.target)
         total = (events.agg(F.sum("weight").alias("w")).first()["w"] or 0.0) if target == "density" else 1.0
-        segments = cut(mesh(network, lixels, events, self.mesh_size))
-        sources = event_nodes(segments, events).groupBy("component", "node").agg((F.sum("weight") / total).alias("value")).withColumn("key", F.lit("all"))
-        heat = evolve(segments, sources, sorted(set(map(float, self.times))), most=self.most).select("time", "node", "value")
-        ends = segments.join(heat.select(F.col("node").alias("a"), "time", F.col("value").alias("l")), "a").join(heat.select(F.col("node").alias("b"), "time", F.col("value").alias("r")), ["b", "time"])
-        cells = lixels.select("lixel_id", "edge_index", "start_offset", "end_offset")
-        inside = ends.join(cells, "edge_index").where((F.col("left") >= F.col("start_offset") - 2 * GAP) & (F.col("right") <= F.col("end_offset") + 2 * GAP))
-        area = inside.groupBy("lixel_id", "time").agg(F.sum((F.col("right") - F.col("left")) * (F.col("l") + F.col("r")) / 2).alias("area"))
+        points = cut(breakpoints(network, lixels, events, self.mesh_size))
+        segments = cut(segments_of(points))
+        sources = event_nodes(points, events).groupBy("component", "node").agg((F.sum("weight") / total).alias("value")).withColumn("key", F.lit("all"))
+        heat = cut(evolve(segments, sources, self.times, nodes=network.nodes, tile=self.tile).select("time", "node", "value"))
+        area = lixel_areas(segments, heat, lixels)
         batches = lixels.sparkSession.createDataFrame([(i, float(t)) for i, t in enumerate(self.times)], "batch_index int, diffusion_time double")
         grid = lixels.crossJoin(F.broadcast(batches))
         out = grid.join(area.withColumnRenamed("time", "diffusion_time"), ["lixel_id", "diffusion_time"], "left")
         return out.withColumn(target, F.coalesce(F.col("area") / F.col("length"), F.lit(0.0))).drop("area")
 
 
-@dataclass(frozen=True)
-class HeatNetworkKDE:
-    """One diffusion time."""
+def with_ends(segments: DataFrame, heat: DataFrame) -> DataFrame:
+    """segments with the nodal values l and r of their ends, by time; heat has time, node and value, one source."""
+    left = heat.select(F.col("node").alias("a"), "time", F.col("value").alias("l"))
+    return segments.join(left, "a").join(heat.select(F.col("node").alias("b"), "time", F.col("value").alias("r")), ["b", "time"])
 
-    diffusion_time: float = 1.0
-    mesh_size: float | None = None
-    target: str = "density"
 
-    def evaluate(self, network: Network, events: DataFrame, lixels: DataFrame) -> DataFrame:
-        found = HeatNetworkExperiment((positive(self.diffusion_time, "diffusion time"),), self.mesh_size, self.target).evaluate(network, events, lixels)
-        return found.drop("batch_index", "diffusion_time")
+def lixel_areas(segments: DataFrame, heat: DataFrame, lixels: DataFrame) -> DataFrame:
+    """(lixel_id, time, area): trapezoids of the field over each lixel. A segment lies in the last lixel that starts at or before its
+    middle, found in one ordered pass over the edge."""
+    starts = lixels.select("edge_index", F.col("start_offset").alias("at"), F.lit(0).alias("kind"), "lixel_id", *[F.lit(None).cast("double").alias(c) for c in ("left", "right")])
+    middles = segments.select("edge_index", ((F.col("left") + F.col("right")) / 2).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("lixel_id"), "left", "right")
+    along = Window.partitionBy("edge_index").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    of = starts.union(middles).withColumn("lixel_id", F.last("lixel_id", True).over(along)).where("kind = 1 and lixel_id is not null").select("edge_index", "left", "right", "lixel_id")
+    return (
+        with_ends(segments, heat).join(of, ["edge_index", "left", "right"])
+        .groupBy("lixel_id", "time").agg(F.sum((F.col("right") - F.col("left")) * (F.col("l") + F.col("r")) / 2).alias("area"))
+    )
 
 
-def heat_likelihood(network: Network, events: DataFrame, lixels: DataFrame, times: Sequence[float], mesh_size: float | None = None, floor: float = 1e-300) -> DataFrame:
-    """(h, score) for each diffusion time h: negative leave-one-out log likelihood over unit sources at the events."""
+def squared_integral(segments: DataFrame, heat: DataFrame) -> DataFrame:
+    """(time, square): the exact integral of the squared field, which is linear on each segment."""
+    l, r = F.col("l"), F.col("r")
+    return with_ends(segments, heat).groupBy("time").agg(F.sum((F.col("right") - F.col("left")) * (l * l + l * r + r * r) / 3).alias("square"))
+
+
+def equivalent_bandwidth(diffusion_time: float) -> float:
+    """The Gaussian bandwidth that spreads as heat does on a line."""
+    return math.sqrt(2 * positive(diffusion_time, "diffusion time"))
+
+
+def heat_scores(
+    network: Network, events: DataFrame, lixels: DataFrame, times: Sequence[float], *, objective: str = "likelihood", mesh_size: float | None = None, floor: float = 1e-300,
+    tile: int = TILE, prepared: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """(h, score) for each diffusion time h: the negative leave-one-out log likelihood, or least squares with the exact integral of the
+    squared field. The others' heat at an event is all of it less its own, so the work does not grow with the pairs of events."""
+    if objective not in ("likelihood", "least_squares"):
+        raise ValueError("objective is likelihood or least_squares")
     events = cut(events)
-    segments = cut(mesh(network, lixels, events, mesh_size))
-    at = cut(event_nodes(segments, events))
-    heat = evolve(segments, at.select("component", "node", F.col("event_id").cast("string").alias("key"), F.lit(1.0).alias("value")), times)
-    seen = heat.join(at.select("node", F.col("event_id").cast("string").alias("i"), F.col("weight").alias("w_i")), "node")
-    own = at.select(F.col("event_id").cast("string").alias("key"), F.col("weight").alias("w_j"))
-    sums = seen.join(own, "key").where("key <> i").groupBy("time", "i", "w_i").agg(F.sum(F.col("value") * F.col("w_j")).alias("s"))
+    points, segments = prepared or _prepared(network, events, lixels, mesh_size)
+    at = cut(event_nodes(points, events))
     total = events.agg(F.sum("weight").alias("w")).first()["w"]
-    base = at.select(F.col("event_id").cast("string").alias("i"), F.col("weight").alias("w_i")).crossJoin(F.broadcast(candidates(events.sparkSession, times, "time")))
-    f = F.when(total - F.col("w_i") > 0, F.coalesce("s", F.lit(0.0)) / (total - F.col("w_i"))).otherwise(0.0)
-    rows = base.join(sums, ["time", "i", "w_i"], "left")
-    return rows.groupBy(F.col("time").alias("h")).agg((-F.sum(F.col("w_i") * F.log(F.greatest(f, F.lit(floor)))) / F.sum("w_i")).alias("score"))
+    if events.where(total - F.col("weight") <= 0).limit(1).count():
+        raise ValueError("leave-one-out needs weight besides each event")
+    sources = at.groupBy("component", "node").agg(F.sum("weight").alias("value")).withColumn("key", F.lit("all"))
+    heat = cut(evolve(segments, sources, times, nodes=network.nodes, own=True, tile=tile).select("time", "node", "value", "own"))
+    others = F.greatest(F.lit(0.0), F.col("value") - F.col("weight") * F.col("own"))
+    loo = at.join(heat, "node").select("time", "weight", (others / (total - F.col("weight"))).alias("f"))
+    w = F.col("weight")
+    if objective == "likelihood":
+        score = -F.sum(w * F.log(F.greatest(F.col("f"), F.lit(floor)))) / F.sum("weight")
+        return loo.groupBy(F.col("time").alias("h")).agg(score.alias("score"))
+    cross = loo.groupBy("time").agg((F.sum(w * F.col("f")) / F.sum("weight")).alias("cross"))
+    density = heat.select("time", "node", (F.col("value") / total).alias("value"))
+    return squared_integral(segments, density).join(cross, "time").select(F.col("time").alias("h"), (F.col("square") - 2 * F.col("cross")).alias("score"))
+
+
+def heat_likelihood(network: Network, events: DataFrame, lixels: DataFrame, times: Sequence[float], mesh_size: float | None = None, floor: float = 1e-300) -> DataFrame:
+    """heat_scores by likelihood."""
+    return heat_scores(network, events, lixels, times, mesh_size=mesh_size, floor=floor)
+
+
+def _prepared(network: Network, events: DataFrame, lixels: DataFrame, mesh_size: float | None) -> tuple[DataFrame, DataFrame]:
+    points = cut(breakpoints(network, lixels, events, mesh_size))
+    return points, cut(segments_of(points))
 
 
 def best_heat_time(scores: DataFrame) -> DataFrame:
     return best(scores)
+
+
+def heat_time_bounds(network: Network, events: DataFrame) -> tuple[float, float]:
+    """Half the squares of distances between events: from a fifth of the 5th percentile (or 1e-6 of the median) to twice the 95th."""
+    places = events.select(F.col("event_id").alias("source"), "edge_index", "offset")
+    d = location_distances(network, places, places.withColumnRenamed("source", "target"), None, directed=False).where("source < target and distance > 0")
+    q = d.agg(F.percentile("distance", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q")).first()["q"]
+    if q is None:
+        raise ValueError("automatic bounds need two events a positive distance apart")
+    low = max(0.2 * q[0], 1e-6 * q[1])
+    high = max(2 * q[2], low * math.sqrt(10))
+    return low * low / 2, high * high / 2
+
+
+@dataclass(frozen=True)
+class _HeatCV:
+    bounds: tuple[float, float] | None = None
+    mesh_size: float | None = None
+    tolerance: float = 1e-5
+    most: int = 200
+    floor: float = 1e-300
+
+    method = ""
+
+    def select(self, network: Network, events: DataFrame, lixels: DataFrame) -> Selection:
+        """The diffusion time of the smallest score; the mesh is built once, each evaluation is a job."""
+        events = cut(events)
+        prepared = _prepared(network, events, lixels, self.mesh_size)
+        bounds = self.bounds or heat_time_bounds(network, events)
+
+        def score(t: float) -> float:
+            return float(heat_scores(network, events, lixels, [t], objective=self.method, floor=self.floor, prepared=prepared).first()["score"])
+
+        t, s, trace = minimise_log(score, bounds, self.tolerance, self.most)
+        return Selection(t, s, tuple(trace), bounds, f"heat_{self.method}")
+
+
+@dataclass(frozen=True)
+class HeatLikelihoodCV(_HeatCV):
+    """Leave-one-out likelihood of a diffusion time."""
+
+    method = "likelihood"
+
+
+@dataclass(frozen=True)
+class HeatLeastSquaresCV(_HeatCV):
+    """Least squares of a diffusion time."""
+
+    method = "least_squares"
+
+
+def get_heat_time(value: object, network: Network, events: DataFrame, lixels: DataFrame) -> tuple[float, Selection | None]:
+    """A positive number, or the choice of anything with select(network, events, lixels)."""
+    if hasattr(value, "select"):
+        found = value.select(network, events, lixels)
+        return found.bandwidth, found
+    return positive(value, "diffusion time"), None
+
+
+@dataclass(frozen=True)
+class HeatNetworkKDE:
+    """One diffusion time: a number or a selector."""
+
+    diffusion_time: object = 1.0
+    mesh_size: float | None = None
+    target: str = "density"
+
+    def evaluate(self, network: Network, events: DataFrame, lixels: DataFrame) -> DataFrame:
+        t, _ = get_heat_time(self.diffusion_time, network, events, lixels)
+        return HeatNetworkExperiment((t,), self.mesh_size, self.target).evaluate(network, events, lixels).drop("batch_index", "diffusion_time")

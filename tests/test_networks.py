@@ -2,10 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions.time import LinearTime
+from fieldloom.operators import heat
 from fieldloom.operators.heat import HeatNetworkKDE
 from fieldloom.operators.network import NetworkKDE, TemporalNetworkKDE, components, location_distances, propagate, traversal
 from fieldloom.sources.network import Network, arixels, snap
@@ -108,29 +110,82 @@ def test_heat_on_an_interval(spark):
     for r in f:
         want = series(r.start_offset, r.end_offset) if r.edge_index == 0 else 0.0
         assert r.density == pytest.approx(want, abs=4e-3)
-    assert sum(r.density * r.length for r in f) == pytest.approx(1.0, abs=1e-12)
+    assert sum(r.density * r.length for r in f) == pytest.approx(1.0, abs=1e-9)
     assert components(two).select("component").distinct().count() == 2
 
 
-def test_heat_of_large_components_matches_the_diagonalised_one():
-    import numpy as np
-    import pyarrow as pa
-
-    from fieldloom.operators.heat import _evolve
-
-    r = np.random.default_rng(3)
-    n, rows = 90, []
-    links = [(i, i + 1) for i in range(n - 1)] + [tuple(map(int, r.choice(n, 2, replace=False))) for _ in range(40)]
-    for a, b in links:
-        size = float(r.uniform(0.001, 1.0))
-        rows += [(0, f"{x:03}", None, size / 2, None) for x in (a, b)]
-        rows += [(1, f"{x:03}", f"{y:03}", v / size, None) for x, y, v in ((a, a, 1), (b, b, 1), (a, b, -1), (b, a, -1))]
-    rows += [(2, "004", None, 0.25, "p"), (2, "050", None, 0.75, "p"), (2, "031", None, 1.0, "q")]
-    rows += [(3, None, None, t, None) for t in (1e-7, 0.02, 1.5)]
-    kinds = (pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string())
-    table = pa.table({c: pa.array([x[k] for x in rows], t) for k, (c, t) in enumerate(zip(("kind", "row", "col", "value", "key"), kinds))})
-    table = table.append_column("component", pa.array(["c"] * len(rows)))
-    small, large = (_evolve(most, 1e-10)(table).to_pydict() for most in (4096, 10))
-    assert {k: small[k] for k in ("component", "key", "time", "node")} == {k: large[k] for k in ("component", "key", "time", "node")}
-    assert len(small["value"]) == 2 * 3 * n
-    assert large["value"] == pytest.approx(small["value"], rel=1e-8, abs=1e-9)
+def plain_heat(segments, times):
+    """exp(-t M^-1 S) M^-1 as a dense matrix for each time, by diagonalisation, with the names of the nodes and their masses."""
+    rows = segments.collect()
+    names = sorted({n for r in rows for n in (r.a, r.b)})
+    at = {n: i for i, n in enumerate(names)}
+    mass, stiff = np.zeros(len(names)), np.zeros((len(names), len(names)))
+    for r in rows:
+        i, j, size = at[r.a], at[r.b], r.right - r.left
+        mass[[i, j]] += size / 2
+        stiff[i, i] += 1 / size
+        stiff[j, j] += 1 / size
+        stiff[i, j] -= 1 / size
+        stiff[j, i] -= 1 / size
+    root = 1 / np.sqrt(mass)
+    values, vectors = np.linalg.eigh(root[:, None] * stiff * root)
+    return names, mass, [root[:, None] * (vectors * np.exp(-t * np.maximum(values, 0))) @ vectors.T * root for t in times]
+
+
+def heat_case(spark, size, n, seed=5):
+    r = np.random.default_rng(seed)
+    net = Network.grid(spark, size, size)
+    edges = 2 * size * (size + 1)
+    rows = [(i, int(r.integers(0, edges)), float(r.choice([0.0, 0.25, r.random()])), float(r.uniform(0.5, 2))) for i in range(n)]
+    return net, spark.createDataFrame(rows, EVENT), net.lixels(0.5)
+
+
+def test_heat_matches_diagonalisation_and_tiles_match_the_whole(spark):
+    net, events, cells = heat_case(spark, 9, 40)
+    points = heat.breakpoints(net, cells, events)
+    segments, times = heat.segments_of(points), [0.01, 0.08]
+    names, mass, matrices = plain_heat(segments, times)
+    sources = heat.event_nodes(points, events).select("component", "node", F.lit("all").alias("key"), F.col("weight").alias("value"))
+    given = np.zeros(len(names))
+    for r in sources.collect():
+        given[names.index(r.node)] += r.value
+    for tile in (5, 1000):
+        rows = heat.evolve(segments, sources, times, nodes=net.nodes, own=True, tile=tile).collect()
+        assert len(rows) >= (len(names) * 2 if tile == 1000 else 1) and len({(r.time, r.node) for r in rows}) == len(rows)
+        for t, matrix in zip(times, matrices, strict=True):
+            got = {r.node: (r.value, r.own) for r in rows if r.time == t}
+            want = matrix @ given
+            assert np.allclose([got.get(n, (0.0, 0))[0] for n in names], want, atol=1e-9 * want.max())
+            assert all(math.isclose(got[n][1], matrix[i, i], rel_tol=1e-8) for i, n in enumerate(names) if n in got)
+
+
+def test_heat_scores_match_all_pairs(spark):
+    net, events, cells = heat_case(spark, 3, 25)
+    points, times = heat.breakpoints(net, cells, events), [0.02, 0.3]
+    names, mass, matrices = plain_heat(heat.segments_of(points), times)
+    rows = heat.event_nodes(points, events).orderBy("event_id").collect()
+    at, w = [names.index(r.node) for r in rows], np.array([r.weight for r in rows])
+    likelihood = {r.h: r.score for r in heat.heat_scores(net, events, cells, times).collect()}
+    squares = {r.h: r.score for r in heat.heat_scores(net, events, cells, times, objective="least_squares").collect()}
+    ends = [(names.index(r.a), names.index(r.b), r.right - r.left) for r in heat.segments_of(points).collect()]
+    for t, matrix in zip(times, matrices, strict=True):
+        pairs = matrix[np.ix_(at, at)]
+        np.fill_diagonal(pairs, 0)
+        f = (w @ pairs) / (w.sum() - w)
+        assert math.isclose(likelihood[t], -(w @ np.log(f)) / w.sum(), rel_tol=1e-7)
+        density = matrix[:, at] @ w / w.sum()
+        square = sum(size * (density[i] ** 2 + density[i] * density[j] + density[j] ** 2) / 3 for i, j, size in ends)
+        assert math.isclose(squares[t], square - 2 * (w @ f) / w.sum(), rel_tol=1e-7)
+
+
+def test_heat_selectors(spark):
+    net, events, cells = heat_case(spark, 2, 12)
+    low, high = heat.heat_time_bounds(net, events)
+    assert 0 < low < high
+    for selector in (heat.HeatLikelihoodCV(most=6), heat.HeatLeastSquaresCV(bounds=(0.01, 1.0), most=6)):
+        found = selector.select(net, events, cells)
+        assert len(found.trace) <= 6 and found.score == min(s for _, s in found.trace) and found.bounds[0] <= found.bandwidth <= found.bounds[1]
+    field = HeatNetworkKDE(heat.HeatLikelihoodCV(bounds=(0.05, 0.2), most=3)).evaluate(net, events, cells)
+    assert math.isclose(field.agg(F.sum(F.col("density") * F.col("length"))).first()[0], 1.0, rel_tol=1e-9) and heat.equivalent_bandwidth(2.0) == 2.0
+
+
