@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.kernels import Kernel, get_kernel
-from fieldloom.functions.time import TimeDomain, temporal_kernel
+from fieldloom.functions.time import TimeDomain, images, temporal_kernel
 from fieldloom.operators.bandwidths import positive
 from fieldloom.operators.spatial import get_target
 from fieldloom.plans.lineage import cut
 from fieldloom.sources.network import Network
+from fieldloom.sources.planar import Issue, Report, bad
 
 EPS = 1e-12
 
 
-def node_distances(network: Network, starts: DataFrame, cutoff: float | None, *, weight: str = "length", directed: bool | None = None) -> DataFrame:
-    """(source, node, distance) from starts (source, node, distance): shortest paths up to the cutoff.
+def node_distances(network: Network, starts: DataFrame, cutoff: float | str | None, *, weight: str = "length", directed: bool | None = None) -> DataFrame:
+    """(source, node, distance) from starts (source, node, distance): shortest paths up to the cutoff, which is a number or, for starts with a
+    column cutoff, that of each source ("cutoff").
 
     A frontier of improved nodes is joined with the adjacency, the least distance of each (source, node) is kept, and only
     improvements go on. The work is that of the nodes within reach, for all sources at once.
     """
     adjacency = cut(network.adjacency(directed, weight))
+    own = isinstance(cutoff, str)
+    reach = cut(starts.groupBy("source").agg(F.max("cutoff").alias("cutoff"))) if own else None
     known = cut(starts.groupBy("source", "node").agg(F.min("distance").alias("distance")))
     frontier = known
     while True:
         step = frontier.join(adjacency, F.col("node") == F.col("from_node")).select("source", F.col("to_node").alias("node"), (F.col("distance") + F.col("weight")).alias("new"))
-        if cutoff is not None:
+        if own:
+            step = step.join(reach, "source").where(F.col("new") <= F.col("cutoff") + EPS)
+        elif cutoff is not None:
             step = step.where(F.col("new") <= cutoff + EPS)
         step = step.groupBy("source", "node").agg(F.min("new").alias("new"))
         better = step.join(known, ["source", "node"], "left").where(F.col("distance").isNull() | (F.col("new") < F.col("distance") - EPS))
@@ -52,13 +59,15 @@ def _options(at: DataFrame, network: Network, key: str, weight: str, directed: b
 
 
 def location_distances(
-    network: Network, sources: DataFrame, targets: DataFrame, cutoff: float | None, *, weight: str = "length", directed: bool | None = None
+    network: Network, sources: DataFrame, targets: DataFrame, cutoff: float | str | None, *, weight: str = "length", directed: bool | None = None
 ) -> DataFrame:
     """(source, target, distance) between places (id columns source / target, edge_index, offset); pairs beyond the cutoff or out of
-    reach are missing."""
+    reach are missing. The cutoff is a number, or "cutoff" for sources with a column of that name."""
     one_way = network.is_directed(directed)
     leave = _options(sources, network, "source", weight, one_way, True)
-    reach = node_distances(network, leave.select("source", "node", F.col("extra").alias("distance")), cutoff, weight=weight, directed=directed)
+    starts = leave.select("source", "node", F.col("extra").alias("distance"))
+    own = sources.select("source", "cutoff").distinct() if cutoff == "cutoff" else None
+    reach = node_distances(network, starts if own is None else starts.join(own, "source"), cutoff, weight=weight, directed=directed)
     arrive = _options(targets, network, "target", weight, one_way, False)
     through = reach.join(arrive, "node").select("source", "target", (F.col("distance") + F.col("extra")).alias("distance"))
     s = leave.select("source", "edge_index", F.col("position").alias("p")).distinct()
@@ -68,7 +77,9 @@ def location_distances(
         same = same.where(F.col("q") >= F.col("p"))
     same = same.select("source", "target", F.abs(F.col("q") - F.col("p")).alias("distance"))
     out = through.union(same)
-    if cutoff is not None:
+    if own is not None:
+        out = out.join(own, "source").where(F.col("distance") <= F.col("cutoff") + EPS).select("source", "target", "distance")
+    elif cutoff is not None:
         out = out.where(F.col("distance") <= cutoff + EPS)
     return out.groupBy("source", "target").agg(F.min("distance").alias("distance"))
 
@@ -87,23 +98,25 @@ def traversal(network: Network, node: str, cutoff: float, *, weight: str = "leng
 
 @dataclass(frozen=True)
 class JunctionPolicy:
-    """How a coefficient splits at a node of n branches. forward and back are multipliers for other branches and the way back;
-    start is for a source on the node."""
+    """How a coefficient splits at a node of n branches: multipliers, as columns of n, for the other branches, for the way back, and for
+    a source on the node. A policy that follows paths needs a kernel with reach; the simple one takes shortest paths instead."""
 
     name: str
+    forward: Callable[[Column], Column]
+    back: Callable[[Column], Column] = lambda n: F.lit(0.0)
+    start: Callable[[Column], Column] = lambda n: 2.0 / n
     undirected_only: bool = False
+    path_based: bool = True
 
-    def forward(self, n: Column) -> Column:
-        return {"simple": F.lit(1.0), "discontinuous": F.when(n > 1, 1.0 / F.greatest(n - 1, F.lit(1))).otherwise(0.0), "continuous": 2.0 / n}[self.name]
 
-    def back(self, n: Column) -> Column:
-        return 2.0 / n - 1.0 if self.name == "continuous" else F.lit(0.0)
-
-    def start(self, n: Column) -> Column:
-        return F.lit(1.0) if self.name == "simple" else 2.0 / n
-
-
-POLICIES = {p.name: p for p in (JunctionPolicy("simple"), JunctionPolicy("discontinuous"), JunctionPolicy("continuous", True))}
+POLICIES = {
+    p.name: p
+    for p in (
+        JunctionPolicy("simple", lambda n: F.lit(1.0), start=lambda n: F.lit(1.0), path_based=False),
+        JunctionPolicy("discontinuous", lambda n: F.when(n > 1, 1.0 / F.greatest(n - 1, F.lit(1))).otherwise(0.0)),
+        JunctionPolicy("continuous", lambda n: 2.0 / n, lambda n: 2.0 / n - 1.0, undirected_only=True),
+    )
+}
 
 
 def get_policy(policy: str | JunctionPolicy) -> JunctionPolicy:
@@ -237,10 +250,12 @@ class NetworkKNNBandwidth:
 
 @dataclass(frozen=True)
 class NetworkKDE:
-    """Density or intensity at lixel centres. Path policies need a kernel with reach; the simple policy takes shortest paths."""
+    """Density or intensity at lixel centres. Path policies need a kernel with reach; the simple policy takes shortest paths. The bandwidth
+    is a number, the name of a column of the events, anything with resolve(network, events, directed) -> (source, h), or anything with
+    select(network, events, lixels) -> Selection."""
 
     kernel: str | Kernel = "epanechnikov"
-    bandwidth: float | NetworkKNNBandwidth = 1.0
+    bandwidth: object = 1.0
     policy: str = "discontinuous"
     target: str = "density"
     directed: bool | None = None
@@ -251,15 +266,18 @@ class NetworkKDE:
         """(source, target, k) for events (event_id, edge_index, offset) and lixel centres."""
         kernel = get_kernel(self.kernel)
         sources = events.select(F.col("event_id").alias("source"), "edge_index", "offset")
-        if isinstance(self.bandwidth, NetworkKNNBandwidth):
+        if hasattr(self.bandwidth, "resolve"):
             sources = sources.join(self.bandwidth.resolve(network, events, self.directed), "source")
+        elif isinstance(self.bandwidth, str):
+            sources = sources.join(events.select(F.col("event_id").alias("source"), F.col(self.bandwidth).alias("h")), "source")
         else:
             sources = sources.withColumn("h", F.lit(positive(self.bandwidth)))
         targets = lixels.select(F.col("lixel_id").alias("target"), "edge_index", F.col("center_offset").alias("offset"))
-        if get_policy(self.policy).name == "simple":
-            most = sources.agg(F.max("h").alias("h")).first()["h"]
-            cutoff = most * kernel.reach if kernel.reach is not None and most is not None else None
-            d = location_distances(network, sources, targets, cutoff, directed=self.directed)
+        if not get_policy(self.policy).path_based:
+            if kernel.reach is None:
+                d = location_distances(network, sources, targets, None, directed=self.directed)
+            else:  # each source as far as its own bandwidth
+                d = location_distances(network, sources.withColumn("cutoff", F.col("h") * kernel.reach), targets, "cutoff", directed=self.directed)
             return kernel_from_distances(d.join(sources.select("source", "h"), "source"), kernel, F.col("h")).where("k <> 0")
         if kernel.reach is None:
             raise ValueError("path policies need a kernel with reach")
@@ -271,6 +289,10 @@ class NetworkKDE:
     def evaluate(self, network: Network, events: DataFrame, lixels: DataFrame) -> DataFrame:
         """lixels with density or intensity; events have event_id, edge_index, offset and weight."""
         events = cut(events)  # read several times; often the result of snapping
+        require_events(network, events)
+        if hasattr(self.bandwidth, "select") and not hasattr(self.bandwidth, "resolve"):
+            chosen = self.bandwidth.select(network, events, lixels, kernel=self.kernel, policy=self.policy, directed=self.directed)
+            return replace(self, bandwidth=chosen.bandwidth).evaluate(network, events, lixels)
         target = get_target(self.target)
         total = (events.agg(F.sum("weight").alias("w")).first()["w"] or 0.0) if target == "density" else 1.0
         w = events.select(F.col("event_id").alias("source"), (F.col("weight") / total).alias("a"))
@@ -278,24 +300,132 @@ class NetworkKDE:
         return lixels.join(sums, "lixel_id", "left").withColumn(target, F.greatest(F.lit(0.0), F.coalesce("__f", F.lit(0.0)))).drop("__f")
 
 
+def require_events(network: Network, events: DataFrame) -> None:
+    """Stop where events (event_id, edge_index, offset, weight) repeat an id, lie beyond their edge, name an unknown edge, or have weights
+    that are negative, not finite, or all zero."""
+    found = network.check_places(events, "event_id")
+    w = events.agg(F.count_if(bad(F.col("weight")) | (F.col("weight") < 0)).alias("bad"), F.count_if(F.col("weight") > 0).alias("positive")).first() if "weight" in events.columns else None
+    if w is not None and (w["bad"] or not w["positive"]):
+        found = found.combine(Report((Issue("error", "weights", f"{w['bad']} weights are negative or not finite, {w['positive']} are positive"),)))
+    found.raise_for_errors()
+
+
+@dataclass(frozen=True)
+class NetworkTimeBandwidths:
+    """Spatial and temporal bandwidths: each a number or the name of a column of the events."""
+
+    spatial: float | str
+    temporal: float | str
+
+    @property
+    def adaptive(self) -> bool:
+        return isinstance(self.spatial, str) or isinstance(self.temporal, str)
+
+    def resolve(self, network: Network, events: DataFrame, domain: TimeDomain, directed: bool | None = None) -> DataFrame:
+        """(source, h, ht)."""
+        value = lambda v, n: F.col(v).cast("double") if isinstance(v, str) else F.lit(positive(v, n))
+        out = events.select(F.col("event_id").alias("source"), value(self.spatial, "spatial bandwidth").alias("h"), value(self.temporal, "temporal bandwidth").alias("ht"))
+        if out.where(bad(F.col("h")) | bad(F.col("ht")) | (F.col("h") <= 0) | (F.col("ht") <= 0)).limit(1).count():
+            raise ValueError("bandwidths of events are positive and finite")
+        return out
+
+
+@dataclass(frozen=True)
+class NetworkTimeKNNBandwidth:
+    """Each event's network distance to its spatial_k-th, and its time to its temporal_k-th nearest other event; two ranks of their own."""
+
+    spatial_k: int
+    temporal_k: int
+    spatial_multiplier: float = 1.0
+    temporal_multiplier: float = 1.0
+    minimum_spatial: float | None = None
+    minimum_temporal: float | None = None
+
+    def resolve(self, network: Network, events: DataFrame, domain: TimeDomain, directed: bool | None = None) -> DataFrame:
+        """(source, h, ht)."""
+        events = cut(events)
+        n = events.count()
+        if not 1 <= self.spatial_k <= n - 1 or not 1 <= self.temporal_k <= n - 1:
+            raise ValueError(f"k must be between 1 and {n - 1}")
+        space = NetworkKNNBandwidth(self.spatial_k, self.spatial_multiplier, self.minimum_spatial).resolve(network, events, directed)
+        found = time_ranks(events, self.temporal_k, domain)
+        ht = F.col("distance") * self.temporal_multiplier
+        if self.minimum_temporal is not None:
+            ht = F.greatest(ht, F.lit(float(self.minimum_temporal)))
+        out = cut(space.join(found.select("source", ht.alias("ht")), "source"))
+        if out.where("ht <= 0").limit(1).count():
+            raise ValueError("some temporal k-th distances are zero; set a minimum")
+        return out
+
+
+def time_ranks(events: DataFrame, k: int, domain: TimeDomain) -> DataFrame:
+    """(source, distance): time from each event to its k-th nearest other one. In order of time the k nearest are among the k events before
+    and the k after; on a cycle the events of the neighbouring turns are put before and behind."""
+    own = events.select(F.col("event_id").alias("source"), F.col("time").cast("double").alias("t"))
+    if domain.period is not None:
+        own = own.select("source", domain.canonical(F.col("t")).alias("t"))
+        turns = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
+        own = own.select("source", turns.alias("turn"), "t").withColumn("t", F.col("t") + F.col("turn") * domain.period)
+    else:
+        own = own.withColumn("turn", F.lit(0))
+    blocks = own.agg(F.count(F.lit(1)).alias("n")).first()["n"] // 200_000 + 1
+    cuts = sorted(set(own.agg(F.percentile_approx("t", [i / blocks for i in range(1, blocks)], 10_000).alias("q")).first()["q"])) if blocks > 1 else []
+    block = F.lit(0)
+    for c in cuts:  # one border for each 200,000 events
+        block = block + (F.col("t") > c).cast("int")
+    own = cut(own.withColumn("block", block))
+    ends = own.withColumn("up", F.row_number().over(Window.partitionBy("block").orderBy("t"))).withColumn("down", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("t"))))
+    # the first and the last k of a block are also seen by the blocks beside it; a block holds more than k rows unless it is the only one
+    shared = ends.where(F.col("down") <= k).select("source", "turn", "t", (F.col("block") + 1).alias("block"), F.lit(False).alias("mine"))
+    shared = shared.union(ends.where(F.col("up") <= k).select("source", "turn", "t", (F.col("block") - 1).alias("block"), F.lit(False)))
+    rows = own.select("source", "turn", "t", "block", F.lit(True).alias("mine")).union(shared)
+    order = Window.partitionBy("block").orderBy("t", "source")
+    near = F.array_sort(F.transform(F.concat(F.collect_list("t").over(order.rowsBetween(-k, -1)), F.collect_list("t").over(order.rowsBetween(1, k))), lambda x: F.abs(x - F.col("t"))))
+    found = rows.select("source", "turn", "mine", F.element_at(near, k).alias("distance")).where("mine and turn = 0")
+    return found.select("source", "distance" if domain.period is None else F.least("distance", F.lit(domain.period / 2)).alias("distance"))
+
+
 @dataclass(frozen=True)
 class TemporalNetworkKDE:
-    """Network kernels times temporal kernels on lixels times time cells; the two factors meet only in the last sum."""
+    """Network kernels times temporal kernels on lixels times time cells; the two factors meet only in the last sum. The temporal bandwidth
+    is a number or the name of a column of the events; bandwidths, if given, sets both (NetworkTimeBandwidths or
+    NetworkTimeKNNBandwidth)."""
 
     network_kde: NetworkKDE
-    temporal_bandwidth: float
+    temporal_bandwidth: float | str | None
     domain: TimeDomain
     temporal_kernel: str | Kernel = "gaussian"
     target: str = "density"
+    bandwidths: object = None
 
     def evaluate(self, network: Network, events: DataFrame, lixels: DataFrame, cells: DataFrame) -> DataFrame:
         """(lixel_id, time_index, time, density or intensity, measure); events also have time."""
         events = cut(events)
-        target = get_target(self.target)
+        require_events(network, events)
+        if events.where(bad(F.col("time").cast("double"))).limit(1).count():
+            raise ValueError("some times are not finite")
+        target, kde = get_target(self.target), self.network_kde
         total = (events.agg(F.sum("weight").alias("w")).first()["w"] or 0.0) if target == "density" else 1.0
-        space = self.network_kde.kernel_values(network, events, lixels).where("k <> 0")
-        own = events.select(F.col("event_id").alias("source"), (F.col("weight") / total).alias("a"), F.col("time").alias("s"))
-        k = temporal_kernel(self.temporal_kernel, F.col("time") - F.col("s"), positive(self.temporal_bandwidth), self.domain)
+        how = self.bandwidths
+        if how is not None:
+            found = how.resolve(network, events, self.domain, kde.directed).select(F.col("source").alias("event_id"), F.col("h").alias("__h"), F.col("ht").alias("__ht"))
+            events, kde = cut(events.join(found, "event_id")), replace(kde, bandwidth="__h")
+            ht = F.col("__ht")
+        elif isinstance(self.temporal_bandwidth, str):
+            events = events.withColumn("__ht", F.col(self.temporal_bandwidth).cast("double"))
+            ht = F.col("__ht")
+        else:
+            ht = positive(self.temporal_bandwidth)
+        most = None
+        if isinstance(ht, Column):
+            top = events.agg(F.max(ht).alias("top"), F.count_if(bad(ht) | (ht <= 0)).alias("bad")).first()
+            if top["bad"]:
+                raise ValueError("temporal bandwidths of events are positive and finite")
+            most = images(get_kernel(self.temporal_kernel), top["top"], self.domain.period) if self.domain.period is not None else None
+        space = kde.kernel_values(network, events, lixels).where("k <> 0")
+        extra = ["__ht"] if isinstance(ht, Column) else []
+        own = events.select(F.col("event_id").alias("source"), (F.col("weight") / total).alias("a"), F.col("time").alias("s"), *extra)
+        k = temporal_kernel(self.temporal_kernel, F.col("time") - F.col("s"), ht, self.domain, most=most)
         when = own.crossJoin(F.broadcast(cells)).select("source", "time_index", (F.col("a") * k).alias("b"))  # cells of one axis
         sums = space.join(when, "source").groupBy(F.col("target").alias("lixel_id"), "time_index").agg(F.sum(F.col("k") * F.col("b")).alias("__f"))
         grid = lixels.select("lixel_id", "length").crossJoin(F.broadcast(cells))

@@ -1,17 +1,19 @@
-"""Cross-validation on networks and in network-time: candidate grids over distances that are computed once."""
+"""Cross-validation on networks and in network-time: grids of candidates and bounded minimisation over distances or stretches that are
+taken once."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.kernels import Kernel, get_kernel
 from fieldloom.functions.time import TimeDomain, images, temporal_kernel
-from fieldloom.operators.network import kernel_from_stretches, location_distances, propagate
-from fieldloom.operators.selection import best, candidates
+from fieldloom.operators.network import get_policy, kernel_from_stretches, location_distances, propagate, require_events
+from fieldloom.operators.selection import Selection, best, bounds_of, candidates, checked, minimise_log
 from fieldloom.plans.lineage import cut
 from fieldloom.sources.network import Network
 
@@ -20,21 +22,42 @@ def _places(events: DataFrame, name: str) -> DataFrame:
     return events.select(F.col("event_id").alias(name), "edge_index", "offset")
 
 
-def event_kernels(network: Network, events: DataFrame, targets: DataFrame, hs: Sequence[float], kernel: Kernel, policy: str, directed: bool | None = None) -> DataFrame:
-    """(h, source, target, k) for every candidate, from distances or stretches out to the largest."""
-    grid = F.broadcast(candidates(events.sparkSession, hs))
-    if policy == "simple":
-        cutoff = max(hs) * kernel.reach if kernel.reach is not None else None
-        d = cut(location_distances(network, _places(events, "source"), targets, cutoff, directed=directed))
-        return d.crossJoin(grid).select("h", "source", "target", kernel.scaled(F.col("distance"), F.col("h"), 1).alias("k"))
-    if kernel.reach is None:
-        raise ValueError("path policies need a kernel with reach")
-    found = cut(propagate(network, _places(events, "source"), max(hs) * kernel.reach, policy=policy, directed=directed))
-    parts = [kernel_from_stretches(found, targets, kernel, F.lit(float(h))).withColumn("h", F.lit(float(h))) for h in hs]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("h", "source", "target", "k")
+@dataclass(frozen=True)
+class Prepared:
+    """Distances or stretches from events to targets out to the largest bandwidth, written once; kernels of any bandwidth up to it."""
+
+    found: DataFrame
+    targets: DataFrame
+    kernel: Kernel
+    paths: bool
+    most: float
+
+    @classmethod
+    def of(cls, network: Network, events: DataFrame, targets: DataFrame, most: float, kernel: Kernel, policy: object, directed: bool | None = None) -> Prepared:
+        rule = get_policy(policy)
+        if rule.path_based and kernel.reach is None:
+            raise ValueError("path policies need a kernel with reach")
+        cutoff = most * kernel.reach if kernel.reach is not None else None
+        places = _places(events, "source")
+        found = propagate(network, places, cutoff, policy=rule, directed=directed) if rule.path_based else location_distances(network, places, targets, cutoff, directed=directed)
+        return cls(cut(found), targets, kernel, rule.path_based, most)
+
+    def kernels(self, h: float) -> DataFrame:
+        """(source, target, k)."""
+        if h > self.most * (1 + 1e-12) and self.kernel.reach is not None:
+            raise ValueError("the bandwidth is above what was prepared")
+        if self.paths:
+            return kernel_from_stretches(self.found, self.targets, self.kernel, F.lit(float(h)))
+        return self.found.select("source", "target", self.kernel.scaled(F.col("distance"), float(h), 1).alias("k"))
+
+    def grid(self, hs: Sequence[float]) -> DataFrame:
+        """(h, source, target, k) for every candidate."""
+        parts = [self.kernels(h).select(F.lit(float(h)).alias("h"), "source", "target", "k") for h in hs]
+        return functools.reduce(DataFrame.union, parts)
+
+
+def _lixel_places(lixels: DataFrame) -> DataFrame:
+    return lixels.select(F.col("lixel_id").alias("target"), "edge_index", F.col("center_offset").alias("offset"))
 
 
 def _leave_one_out(kernels: DataFrame, events: DataFrame, by: Sequence[str], grid: DataFrame) -> DataFrame:
@@ -51,6 +74,35 @@ def _likelihood(loo: DataFrame, by: Sequence[str], floor: float) -> DataFrame:
     return loo.groupBy(*by).agg((-F.sum(F.col("w_i") * F.log(F.greatest(F.col("f"), F.lit(floor)))) / F.sum("w_i")).alias("score"))
 
 
+def _field(kernels: DataFrame, events: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., target, f): the density at targets of positive weights that sum to one."""
+    total = events.agg(F.sum("weight").alias("w")).first()["w"]
+    own = events.select(F.col("event_id").alias("source"), (F.col("weight") / total).alias("a"))
+    return kernels.join(own, "source").groupBy(*by, "target").agg(F.sum(F.col("a") * F.col("k")).alias("f"))
+
+
+def _least_squares(loo: DataFrame, field: DataFrame, measures: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., score): the sum of squares of the field (by..., cells, f) over its cells (with their measure), less twice the mean of loo."""
+    keys = [c for c in measures.columns if c != "measure"]
+    square = field.join(measures, keys).groupBy(*by).agg(F.sum(F.col("f") * F.col("f") * F.col("measure")).alias("square"))
+    cross = loo.groupBy(*by).agg((F.sum(F.col("w_i") * F.col("f")) / F.sum("w_i")).alias("cross"))
+    return cross.join(square, list(by), "left").select(*by, (F.coalesce("square", F.lit(0.0)) - 2 * F.col("cross")).alias("score"))
+
+
+def check_selection(network: Network, events: DataFrame) -> None:
+    """Valid events, at least two positive weights, and weight besides each event."""
+    require_events(network, events)
+    row = events.agg(F.count_if(F.col("weight") > 0).alias("n"), F.max("weight").alias("most"), F.sum("weight").alias("total")).first()
+    if row["n"] < 2 or row["total"] - row["most"] <= 0:
+        raise ValueError("selection needs at least two positive weights")
+
+
+def distance_bounds(network: Network, events: DataFrame, directed: bool | None = None) -> tuple[float, float]:
+    """Bounds of a bandwidth from the positive distances between all ordered pairs of events that reach each other."""
+    d = location_distances(network, _places(events, "source"), _places(events, "target"), None, directed=directed)
+    return bounds_of(d.where("source <> target").select("distance"))
+
+
 @dataclass(frozen=True)
 class NetworkBandwidthGrid:
     """Likelihood or least-squares scores of scalar bandwidths on a network."""
@@ -58,59 +110,156 @@ class NetworkBandwidthGrid:
     hs: Sequence[float]
     objective: str = "likelihood"
     kernel: str | Kernel = "epanechnikov"
-    policy: str = "simple"
+    policy: object = "simple"
     directed: bool | None = None
     floor: float = 1e-300
 
-    def scores(self, network: Network, events: DataFrame, lixels: DataFrame | None = None) -> DataFrame:
-        events, kernel = cut(events), get_kernel(self.kernel)
-        grid = candidates(events.sparkSession, self.hs)
-        pairs = event_kernels(network, events, _places(events, "target"), self.hs, kernel, self.policy, self.directed)
-        loo = _leave_one_out(pairs, events, ["h"], grid)
+    def scores(self, network: Network, events: DataFrame, lixels: DataFrame | None = None, prepared: tuple[Prepared, Prepared | None] | None = None) -> DataFrame:
+        """(h, score); prepared holds kernels among events and, for least squares, from events to lixels."""
+        events = cut(events) if prepared is None else events
+        hs = checked(self.hs)
+        among, to_lixels = prepared or self.prepare(network, events, lixels, max(hs))
+        loo = _leave_one_out(among.grid(hs), events, ["h"], candidates(events.sparkSession, hs))
         if self.objective == "likelihood":
             return _likelihood(loo, ["h"], self.floor)
-        if lixels is None:
+        measures = lixels.select(F.col("lixel_id").alias("target"), F.col("length").alias("measure"))
+        return _least_squares(loo, _field(to_lixels.grid(hs), events, ["h"]), measures, ["h"])
+
+    def prepare(self, network: Network, events: DataFrame, lixels: DataFrame | None, most: float) -> tuple[Prepared, Prepared | None]:
+        if self.objective not in ("likelihood", "least_squares"):
+            raise ValueError("objective is likelihood or least_squares")
+        if self.objective == "least_squares" and lixels is None:
             raise ValueError("least squares needs lixels")
-        places = lixels.select(F.col("lixel_id").alias("target"), "edge_index", F.col("center_offset").alias("offset"))
-        field = event_kernels(network, events, places, self.hs, kernel, self.policy, self.directed)
-        total = events.agg(F.sum("weight").alias("w")).first()["w"]
-        own = events.select(F.col("event_id").alias("source"), (F.col("weight") / total).alias("a"))
-        f = field.join(own, "source").groupBy("h", "target").agg(F.sum(F.col("a") * F.col("k")).alias("f"))
-        square = f.join(lixels.select(F.col("lixel_id").alias("target"), "length"), "target").groupBy("h").agg(F.sum(F.col("f") * F.col("f") * F.col("length")).alias("square"))
-        cross = loo.groupBy("h").agg((F.sum(F.col("w_i") * F.col("f")) / F.sum("w_i")).alias("cross"))
-        return square.join(cross, "h").select("h", (F.col("square") - 2 * F.col("cross")).alias("score"))
+        check_selection(network, events)
+        kernel = get_kernel(self.kernel)
+        among = Prepared.of(network, events, _places(events, "target"), most, kernel, self.policy, self.directed)
+        if self.objective == "likelihood":
+            return among, None
+        if among.paths:  # the same stretches serve both
+            return among, replace(among, targets=_lixel_places(lixels))
+        return among, Prepared.of(network, events, _lixel_places(lixels), most, kernel, self.policy, self.directed)
 
     def best(self, network: Network, events: DataFrame, lixels: DataFrame | None = None) -> DataFrame:
         return best(self.scores(network, events, lixels))
 
 
+@dataclass(frozen=True)
+class _NetworkCV:
+    bounds: tuple[float, float] | None = None
+    tolerance: float = 1e-5
+    most: int = 200
+    floor: float = 1e-300
+
+    method = ""
+
+    def select(
+        self, network: Network, events: DataFrame, lixels: DataFrame | None = None, *, kernel: str | Kernel = "epanechnikov", policy: object = "simple", directed: bool | None = None
+    ) -> Selection:
+        """The scalar bandwidth of the smallest score. Distances or stretches are taken once, out to the upper bound; each evaluation is a
+        job over them. Without bounds these come from the distances between all pairs of events."""
+        events = cut(events)
+        check_selection(network, events)
+        bounds = self.bounds or distance_bounds(network, events, directed)
+        grid = NetworkBandwidthGrid((bounds[1],), self.method, kernel, policy, directed, self.floor)
+        prepared = grid.prepare(network, events, lixels, bounds[1])
+
+        def score(h: float) -> float:
+            return float(replace(grid, hs=(min(h, bounds[1]),)).scores(network, events, lixels, prepared).first()["score"])
+
+        h, s, trace = minimise_log(score, bounds, self.tolerance, self.most)
+        return Selection(h, s, tuple(trace), bounds, f"network_{self.method}")
+
+
+@dataclass(frozen=True)
+class NetworkLikelihoodCV(_NetworkCV):
+    """Leave-one-out likelihood of a network bandwidth; also a bandwidth of NetworkKDE."""
+
+    method = "likelihood"
+
+
+@dataclass(frozen=True)
+class NetworkLeastSquaresCV(_NetworkCV):
+    """Least squares of a network bandwidth over lixels; also a bandwidth of NetworkKDE."""
+
+    method = "least_squares"
+
+
 @dataclass(frozen=True)
 class NetworkTimeBandwidthExperiment:
-    """Leave-one-out likelihood over pairs of network and temporal bandwidths; the two factors meet once per pair of events."""
+    """Scores of pairs of network and temporal bandwidths, by leave-one-out likelihood or by least squares over arixels; the two factors
+    meet once per pair of events. joint takes the smallest joint score; separate takes the best of each kind on its own and
+    reports their joint score."""
 
     spatial: Sequence[float]
     temporal: Sequence[float]
     domain: TimeDomain
     kernel: str | Kernel = "epanechnikov"
     temporal_kernel: str | Kernel = "gaussian"
-    policy: str = "continuous"
+    policy: object = "continuous"
     directed: bool | None = None
     floor: float = 1e-300
+    objective: str = "likelihood"
+    mode: str = "joint"
 
-    def scores(self, network: Network, events: DataFrame) -> DataFrame:
-        """(h, ht, score)."""
-        events = cut(events)
-        spark = events.sparkSession
-        space = event_kernels(network, events, _places(events, "target"), self.spatial, get_kernel(self.kernel), self.policy, self.directed).where("k <> 0")
-        a = events.select(F.col("event_id").alias("source"), F.col("time").alias("s"))
-        b = events.select(F.col("event_id").alias("target"), F.col("time").alias("t"))
-        clock = candidates(spark, self.temporal, "ht")
+    def _prepared(self, network: Network, events: DataFrame, lixels: DataFrame | None) -> tuple[Prepared, Prepared | None]:
+        if self.mode not in ("joint", "separate"):
+            raise ValueError("mode is joint or separate")
+        grid = NetworkBandwidthGrid(self.spatial, self.objective, self.kernel, self.policy, self.directed)
+        return grid.prepare(network, events, lixels, max(checked(self.spatial)))
+
+    def _clock(self, dt: Column) -> Column:
         kt = get_kernel(self.temporal_kernel)
         most = max(images(kt, h, self.domain.period) for h in self.temporal) if self.domain.period else None
-        k = temporal_kernel(kt, F.col("t") - F.col("s"), F.col("ht"), self.domain, most=most)
-        both = space.join(a, "source").join(b, "target").crossJoin(F.broadcast(clock)).withColumn("k", F.col("k") * k)
-        grid = candidates(spark, self.spatial).crossJoin(clock)
-        return _likelihood(_leave_one_out(both, events, ["h", "ht"], grid), ["h", "ht"], self.floor)
+        return temporal_kernel(kt, dt, F.col("ht"), self.domain, most=most)
+
+    def scores(self, network: Network, events: DataFrame, lixels: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+        """(h, ht, score); least squares needs lixels and time cells (time_index, time, time_width)."""
+        events = cut(events)
+        return self._joint(events, self._prepared(network, events, lixels), lixels, cells)
+
+    def _joint(self, events: DataFrame, prepared: tuple[Prepared, Prepared | None], lixels: DataFrame | None, cells: DataFrame | None) -> DataFrame:
+        spark, hs, clock = events.sparkSession, checked(self.spatial), candidates(events.sparkSession, self.temporal, "ht")
+        among, to_lixels = prepared
+        own, other = (events.select(F.col("event_id").alias(n), F.col("time").alias(t)) for n, t in (("source", "s"), ("target", "t")))
+        both = among.grid(hs).where("k <> 0").join(own, "source").join(other, "target").crossJoin(F.broadcast(clock))
+        both = both.withColumn("k", F.col("k") * self._clock(F.col("t") - F.col("s")))
+        loo = _leave_one_out(both, events, ["h", "ht"], candidates(spark, hs).crossJoin(clock))
+        if self.objective == "likelihood":
+            return _likelihood(loo, ["h", "ht"], self.floor)
+        if cells is None:
+            raise ValueError("least squares needs time cells")
+        when = own.crossJoin(F.broadcast(cells)).crossJoin(F.broadcast(clock)).select("source", "ht", "time_index", self._clock(F.col("time") - F.col("s")).alias("c"))
+        field = to_lixels.grid(hs).where("k <> 0").join(when, "source").withColumn("k", F.col("k") * F.col("c"))
+        measures = lixels.select(F.col("lixel_id").alias("target"), "length").crossJoin(F.broadcast(cells.select("time_index", "time_width")))
+        measures = measures.select("target", "time_index", (F.col("length") * F.col("time_width")).alias("measure"))
+        return _least_squares(loo, _field(field, events, ["h", "ht", "time_index"]), measures, ["h", "ht"])
 
-    def run(self, network: Network, events: DataFrame) -> DataFrame:
-        return best(self.scores(network, events), ("h", "ht"))
+    def marginal_scores(self, network: Network, events: DataFrame, lixels: DataFrame | None = None, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(h, score) by space alone and (ht, score) by time alone."""
+        events = cut(events)
+        return self._marginal(network, events, self._prepared(network, events, lixels), lixels, cells)
+
+    def _marginal(self, network, events, prepared, lixels, cells):
+        space = NetworkBandwidthGrid(self.spatial, self.objective, self.kernel, self.policy, self.directed, self.floor).scores(network, events, lixels, prepared)
+        clock = candidates(events.sparkSession, self.temporal, "ht")
+        own, other = (events.select(F.col("event_id").alias(n), F.col("time").alias(t)) for n, t in (("source", "s"), ("target", "t")))
+        pairs = own.crossJoin(other).crossJoin(F.broadcast(clock)).select("ht", "source", "target", self._clock(F.col("t") - F.col("s")).alias("k"))
+        loo = _leave_one_out(pairs, events, ["ht"], clock)
+        if self.objective == "likelihood":
+            return space, _likelihood(loo, ["ht"], self.floor)
+        if cells is None:
+            raise ValueError("least squares needs time cells")
+        when = own.crossJoin(F.broadcast(cells)).crossJoin(F.broadcast(clock)).select("ht", "source", F.col("time_index").alias("target"), self._clock(F.col("time") - F.col("s")).alias("k"))
+        measures = cells.select(F.col("time_index").alias("target"), F.col("time_width").alias("measure"))
+        return space, _least_squares(loo, _field(when, events, ["ht"]), measures, ["ht"])
+
+    def run(self, network: Network, events: DataFrame, lixels: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+        """One row (h, ht, score)."""
+        events = cut(events)
+        prepared = self._prepared(network, events, lixels)
+        joint = self._joint(events, prepared, lixels, cells)
+        if self.mode == "joint":
+            return best(joint, ("h", "ht"))
+        space, when = self._marginal(network, events, prepared, lixels, cells)
+        picks = best(space).select("h").crossJoin(best(when, ("ht",)).select("ht"))  # one row each
+        return joint.join(F.broadcast(picks), ["h", "ht"])

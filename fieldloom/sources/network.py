@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.plans.pairs import all_pairs
-from fieldloom.sources.planar import Events, Issue, Report
+from fieldloom.sources.planar import Events, Issue, Report, bad, fingerprint
 
 TOLERANCE = 1e-9
+# Names of common geographic coordinate systems, in degrees.
+GEOGRAPHIC = frozenset("EPSG:4326 EPSG:4269 EPSG:4258 EPSG:4283 EPSG:4674 EPSG:4490 OGC:CRS84 WGS84".split())
 
 
 @dataclass(frozen=True)
@@ -64,9 +66,12 @@ class Network:
         return cls(nodes, edges, directed, crs)
 
     @classmethod
-    def from_tables(cls, nodes: DataFrame, edges: DataFrame, *, directed: bool = False, crs: str | None = None) -> Network:
+    def from_tables(cls, nodes: DataFrame, edges: DataFrame, *, directed: bool = False, crs: str | None = None, require_projected: bool = False) -> Network:
         """From node (node_id, x, y) and edge (edge_index, u, v [, length, cost, geometry]) tables, as a graph has them: a missing
-        geometry is the straight line, a missing length the geometry's, a missing cost the length."""
+        geometry is the straight line, a missing length the geometry's, a missing cost the length. A geographic coordinate system is refused
+        if projected coordinates are required, as for graphs of streets in degrees."""
+        if require_projected and (crs is None or str(crs).upper().replace(" ", "") in GEOGRAPHIC):
+            raise ValueError("the network needs projected coordinates; its system is " + str(crs))
         e = edges
         if "geometry" not in e.columns:
             a = nodes.select(F.col("node_id").alias("u"), F.struct("x", "y").alias("p"))
@@ -94,6 +99,20 @@ class Network:
         )
         return cls.from_lines(lines, edge_index="edge_index", u="u", v="v", directed=directed)
 
+    @classmethod
+    def shape(cls, spark: SparkSession, name: str, spacing: float = 1.0) -> Network:
+        """Small networks by name: t (three arms), cross (four arms), ring (four edges in a square), disconnected (two lines apart)."""
+        ends = {
+            "t": [((0, 0), (-1, 0)), ((0, 0), (1, 0)), ((0, 0), (0, -1))],
+            "cross": [((0, 0), (1, 0)), ((0, 0), (0, 1)), ((0, 0), (-1, 0)), ((0, 0), (0, -1))],
+            "ring": [((0, 0), (1, 0)), ((1, 0), (1, 1)), ((1, 1), (0, 1)), ((0, 1), (0, 0))],
+            "disconnected": [((0, 0), (1, 0)), ((10, 0), (11, 0))],
+        }.get(name)
+        if ends is None:
+            raise ValueError("the shapes are t, cross, ring and disconnected")
+        rows = [(i, [(x * float(spacing), y * float(spacing)) for x, y in line]) for i, line in enumerate(ends)]
+        return cls.from_lines(spark.createDataFrame(rows, "edge_index long, geometry array<struct<x:double,y:double>>"), edge_index="edge_index")
+
     def oriented(self, directed: bool | None = None, weight: str = "length") -> DataFrame:
         """(edge_index, direction, from_node, to_node, length, weight): each edge forward, and backward unless directed."""
         forward = self.edges.select("edge_index", F.lit(1).alias("direction"), F.col("u").alias("from_node"), F.col("v").alias("to_node"), "length", F.col(weight).alias("weight"))
@@ -135,6 +154,49 @@ class Network:
             found.append(Issue("warning", "missing_crs", "no coordinate system is given"))
         return Report(tuple(found))
 
+    def check_places(self, places: DataFrame, key: str) -> Report:
+        """Errors of places (key, edge_index, offset) on the network: ids that repeat or are missing, unknown edges, offsets that are not
+        finite or lie off their edge by more than 1e-9."""
+        e = self.edges.select("edge_index", F.col("length").alias("__length"))
+        off = F.col("offset").cast("double")
+        row = places.select(key, "edge_index", "offset").join(e, "edge_index", "left").agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("ids"), F.count_if(F.col("__length").isNull()).alias("unknown"),
+            F.count_if(bad(off) | (off < -TOLERANCE) | (off > F.col("__length") + TOLERANCE)).alias("off"),
+        ).first()
+        found = []
+        if row["ids"] < row["n"]:
+            found.append(Issue("error", "duplicate_ids", f"{row['n'] - row['ids']} ids repeat or are missing"))
+        if row["unknown"]:
+            found.append(Issue("error", "unknown_edge", f"{row['unknown']} places name no edge of the network"))
+        if row["off"]:
+            found.append(Issue("error", "offset", f"{row['off']} offsets lie off their edges"))
+        return Report(tuple(found))
+
+    def check_lixels(self, lixels: DataFrame) -> Report:
+        """Errors where lixels do not cover each edge from end to end without gaps, within 1e-9 or 1e-12 of the edge."""
+        along = Window.partitionBy("edge_index").orderBy("start_offset")
+        gap = F.abs(F.col("start_offset") - F.coalesce(F.lag("end_offset").over(along), F.lit(0.0)))
+        held = lixels.select("edge_index", "lixel_id", "end_offset", gap.alias("gap"), (F.col("end_offset") <= F.col("start_offset")).alias("empty"))
+        held = held.groupBy("edge_index").agg(F.max("gap").alias("gap"), F.max("end_offset").alias("end"), F.count_if("empty").alias("empty"), F.count(F.lit(1)).alias("n"))
+        tol = F.greatest(F.lit(1e-9), F.col("length") * 1e-12)
+        rows = self.edges.select("edge_index", "length").join(held, "edge_index", "full")
+        row = rows.agg(
+            F.count_if(F.col("n").isNull()).alias("bare"), F.count_if(F.col("length").isNull()).alias("unknown"),
+            F.count_if((F.col("gap") > tol) | (F.abs(F.col("end") - F.col("length")) > tol) | (F.col("empty") > 0)).alias("broken"),
+        ).first()
+        found = [Issue("error", c, f"{row[c]} edges") for c in ("bare", "unknown", "broken") if row[c]]
+        repeated = lixels.groupBy("lixel_id").count().where("count > 1").limit(1).count()
+        return Report((*found, *([Issue("error", "duplicate_ids", "lixel ids repeat")] if repeated else [])))
+
+    def fingerprint(self) -> str:
+        """A hash of nodes, edges and direction."""
+        return f"{fingerprint(self.nodes)}/{fingerprint(self.edges)}/{self.directed}"
+
+    def summary(self) -> DataFrame:
+        """One row: nodes, edges, total length, direction."""
+        n = self.nodes.agg(F.count(F.lit(1)).alias("n_nodes"))
+        return self.edges.agg(F.count(F.lit(1)).alias("n_edges"), F.sum("length").alias("total_length")).crossJoin(F.broadcast(n)).withColumn("directed", F.lit(self.directed))
+
     def lixels(self, target: float) -> DataFrame:
         """(lixel_id, edge_index, lixel, start_offset, end_offset, center_offset, length, center_x, center_y): edges cut into pieces of
         the target length, the last one shorter; ids are edge by edge."""

@@ -6,10 +6,21 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.functions.time import LinearTime
+from fieldloom.functions.time import CyclicTime, LinearTime
 from fieldloom.operators import heat
+from fieldloom.operators import network_selection as selection
 from fieldloom.operators.heat import HeatNetworkKDE
-from fieldloom.operators.network import NetworkKDE, TemporalNetworkKDE, components, location_distances, propagate, traversal
+from fieldloom.operators.network import (
+    JunctionPolicy,
+    NetworkKDE,
+    NetworkTimeBandwidths,
+    NetworkTimeKNNBandwidth,
+    TemporalNetworkKDE,
+    components,
+    location_distances,
+    propagate,
+    traversal,
+)
 from fieldloom.sources.network import Network, arixels, snap
 from fieldloom.sources.planar import Events, axis_cells
 
@@ -189,3 +200,126 @@ def test_heat_selectors(spark):
     assert math.isclose(field.agg(F.sum(F.col("density") * F.col("length"))).first()[0], 1.0, rel_tol=1e-9) and heat.equivalent_bandwidth(2.0) == 2.0
 
 
+def timed_case(spark, n=14, seed=2):
+    r = np.random.default_rng(seed)
+    rows = [(i, int(r.integers(0, 24)), float(r.random()), float(r.uniform(0.5, 2)), float(r.uniform(0, 24))) for i in range(n)]
+    net = Network.grid(spark, 3, 3)
+    return net, spark.createDataFrame(rows, EVENT + ", time double"), rows
+
+
+def plain_distances(rows, size=3):
+    """Shortest paths between places on a full grid: steps across and along between the ends of their edges."""
+    across = (size + 1) * size
+
+    def ends(e):
+        if e < across:
+            return (e // size, e % size), (e // size, e % size + 1)
+        e -= across
+        return (e // (size + 1), e % (size + 1)), (e // (size + 1) + 1, e % (size + 1))
+
+    n = len(rows)
+    out = np.zeros((n, n))
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            ways = [abs(a[2] - b[2])] if a[1] == b[1] else []
+            for p, x in zip(ends(a[1]), (a[2], 1 - a[2]), strict=True):
+                for q, y in zip(ends(b[1]), (b[2], 1 - b[2]), strict=True):
+                    ways.append(x + y + abs(p[0] - q[0]) + abs(p[1] - q[1]))
+            out[i, j] = min(ways)
+    return out
+
+
+def epanechnikov(u):
+    return np.where(u <= 1, 0.75 * (1 - u * u), 0.0)
+
+
+def test_network_selectors_match_all_pairs(spark):
+    net, events, rows = timed_case(spark)
+    d, w = plain_distances(rows), np.array([r[3] for r in rows])
+    off = d[~np.eye(len(rows), dtype=bool)]
+    q = np.quantile(off[off > 0], [0.05, 0.5, 0.95])
+    low = max(0.2 * q[0], 1e-6 * q[1])
+    assert np.allclose(selection.distance_bounds(net, events), (low, max(2 * q[2], 10 * low)))
+
+    def loo(h):
+        k = epanechnikov(d / h) / h
+        np.fill_diagonal(k, 0)
+        return (w @ k) / (w.sum() - w)
+
+    def likelihood(h):
+        return -(w @ np.log(np.maximum(loo(h), 1e-300))) / w.sum()
+
+    found = selection.NetworkLikelihoodCV(bounds=(1.0, 4.0), most=5).select(net, events)
+    assert all(math.isclose(s, likelihood(h), rel_tol=1e-9) for h, s in found.trace) and found.score == min(s for _, s in found.trace)
+    cells = net.lixels(0.25)
+    places = [(0, r.edge_index, r.center_offset, 0, 0) for r in cells.orderBy("lixel_id").collect()]
+    cross = plain_distances([*rows, *places])[: len(rows), len(rows) :]
+    squares = selection.NetworkLeastSquaresCV(bounds=(1.0, 4.0), most=3).select(net, events, cells)
+    for h, s in squares.trace:
+        f = (w / w.sum()) @ (epanechnikov(cross / h) / h)
+        assert math.isclose(s, (f * f).sum() * 0.25 - 2 * (w @ loo(h)) / w.sum(), rel_tol=1e-9)
+    kde = NetworkKDE(bandwidth=selection.NetworkLikelihoodCV(bounds=(1.0, 4.0), most=3), policy="simple").evaluate(net, events, cells)
+    assert kde.where("density > 0").count() > 0
+
+
+@pytest.mark.parametrize("mode", ["joint", "separate"])
+def test_network_time_experiments_match_all_pairs(spark, mode):
+    net, events, rows = timed_case(spark)
+    d, w, t = plain_distances(rows), np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    lixels, cells = net.lixels(0.5), axis_cells(spark, 0.0, 24.0, 6.0, "time")
+    places = [(0, r.edge_index, r.center_offset, 0, 0) for r in lixels.orderBy("lixel_id").collect()]
+    cross, centres, a = plain_distances([*rows, *places])[: len(rows), len(rows) :], np.arange(4) * 6 + 3.0, w / w.sum()
+    gauss = lambda u, h: np.exp(-0.5 * (u / h) ** 2) / h / math.sqrt(2 * math.pi)
+
+    def loo(k):
+        k = k.copy()
+        np.fill_diagonal(k, 0)
+        return (w @ k) / (w.sum() - w)
+
+    joint, space, when = {}, {}, {}
+    for h in (1.0, 2.0):
+        ks, kc = epanechnikov(d / h) / h, epanechnikov(cross / h) / h
+        space[h] = ((a @ kc) ** 2).sum() * 0.5 - 2 * a @ loo(ks)
+        for ht in (3.0, 8.0):
+            kt, kf = gauss(t[:, None] - t[None, :], ht), gauss(centres[:, None] - t[None, :], ht)
+            when[ht] = ((kf @ a) ** 2).sum() * 6 - 2 * a @ loo(kt)
+            joint[h, ht] = (((kf * a) @ kc) ** 2).sum() * 0.5 * 6 - 2 * a @ loo(ks * kt)
+    run = selection.NetworkTimeBandwidthExperiment((1.0, 2.0), (3.0, 8.0), LinearTime(), policy="simple", objective="least_squares", mode=mode)
+    got = run.run(net, events, lixels, cells).first()
+    want = min(joint, key=joint.get) if mode == "joint" else (min(space, key=space.get), min(when, key=when.get))
+    assert (got.h, got.ht) == want and math.isclose(got.score, joint[want], rel_tol=1e-9)
+
+
+def test_network_time_bandwidths(spark):
+    net, events, rows = timed_case(spark)
+    d, t = plain_distances(rows), np.array([r[4] for r in rows])
+    for domain, gap in ((LinearTime(), abs(t[:, None] - t[None, :])), (CyclicTime(24.0), np.minimum(abs(t[:, None] - t[None, :]), 24 - abs(t[:, None] - t[None, :])))):
+        got = {r.source: (r.h, r.ht) for r in NetworkTimeKNNBandwidth(2, 3, 1.5, 2.0).resolve(net, events, domain).collect()}
+        for i in range(len(rows)):
+            assert np.allclose(got[i], (np.sort(np.delete(d[i], i))[1] * 1.5, np.sort(np.delete(gap[i], i))[2] * 2.0))
+    lixels, cells = net.lixels(0.5), axis_cells(spark, 0.0, 24.0, 6.0, "time")
+    kde = TemporalNetworkKDE(NetworkKDE(policy="simple"), None, LinearTime(), bandwidths=NetworkTimeBandwidths("h", "ht"))
+    with_widths = events.withColumn("h", 1.0 + F.col("event_id") % 2).withColumn("ht", 2.0 + F.col("event_id") % 3)
+    got = {(r.lixel_id, r.time_index): r.density for r in kde.evaluate(net, with_widths, lixels, cells).collect()}
+    places = [(0, r.edge_index, r.center_offset, 0, 0) for r in lixels.orderBy("lixel_id").collect()]
+    cross, w = plain_distances([*rows, *places])[: len(rows), len(rows) :], np.array([r[3] for r in rows])
+    h, ht = 1.0 + np.arange(len(rows)) % 2, 2.0 + np.arange(len(rows)) % 3
+    for k in range(4):
+        when = np.exp(-0.5 * ((k * 6 + 3 - t) / ht) ** 2) / ht / math.sqrt(2 * math.pi)
+        f = (w / w.sum() * when) @ (epanechnikov(cross / h[:, None]) / h[:, None])
+        assert np.allclose([got[i, k] for i in range(len(places))], f, rtol=1e-9)
+
+
+def test_checks_of_places_and_lixels(spark):
+    net, events, _ = timed_case(spark)
+    assert net.check_places(events, "event_id").valid and net.check_lixels(net.lixels(0.3)).valid
+    bad = spark.createDataFrame([(1, 0, 1.5, 1.0), (1, 999, 0.5, 1.0), (2, 0, float("nan"), 1.0)], EVENT)
+    assert {i.code for i in net.check_places(bad, "event_id").errors} == {"duplicate_ids", "unknown_edge", "offset"}
+    assert {i.code for i in net.check_lixels(net.lixels(0.3).where("lixel_id > 2 and edge_index <> 5")).errors} == {"bare", "broken"}
+    assert Network.shape(spark, "t").summary().first().n_nodes == 4 and components(Network.shape(spark, "disconnected")).select("component").distinct().count() == 2
+    with pytest.raises(ValueError):
+        Network.from_tables(net.nodes, net.edges, crs="EPSG:4326", require_projected=True)
+    rule = JunctionPolicy("halves", lambda n: F.lit(0.5), start=lambda n: F.lit(1.0))
+    field = NetworkKDE(bandwidth=1.0, policy=rule).evaluate(Network.shape(spark, "cross"), spark.createDataFrame([(0, 0, 0.5, 1.0)], EVENT), Network.shape(spark, "cross").lixels(0.5))
+    got = {r.edge_index: r.density for r in field.where("start_offset = 0").collect()}
+    assert math.isclose(got[1], 0.5 * 0.75 * (1 - 0.75**2)) and got[1] == got[2] == got[3]
