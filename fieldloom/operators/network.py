@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -235,14 +236,30 @@ class NetworkKNNBandwidth:
         """(source, h) for events (event_id, edge_index, offset)."""
         events = cut(events)
         places = events.select(F.col("event_id").alias("source"), "edge_index", "offset")
-        d = location_distances(network, places, places.withColumnRenamed("source", "target"), self.cutoff, directed=directed)
-        ranked = d.where("source <> target").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("distance")))
+        n, total = places.count(), network.edges.agg(F.sum("length").alias("t")).first()["t"] or 0.0
+        if not 1 <= self.k <= n - 1:
+            raise ValueError(f"k must be between 1 and {n - 1}")
+        # rounds: the reach starts where about k neighbours are expected and doubles for sources that have found fewer
+        reach, pending, parts = max(total * self.k / n, 1e-12), places, []
+        targets = places.withColumnRenamed("source", "target")
+        while True:
+            last = reach >= (total if self.cutoff is None else self.cutoff)
+            limit = self.cutoff if last else reach
+            d = location_distances(network, pending, targets, limit, directed=directed).where("source <> target")
+            ranked = d.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("distance")))
+            found = cut(ranked.where(F.col("rank") <= self.k).where(F.col("rank") == self.k).select("source", "distance"))
+            parts.append(found)
+            pending = cut(pending.join(found.select("source"), "source", "left_anti"))
+            left = pending.limit(1).count()
+            if last or not left:
+                break
+            reach *= 2
+        if left:
+            raise ValueError("some events have too few others in reach")
         h = F.col("distance") * self.multiplier
         if self.minimum is not None:
             h = F.greatest(h, F.lit(float(self.minimum)))
-        out = cut(ranked.where(F.col("rank") <= self.k).where(F.col("rank") == self.k).select("source", h.alias("h")))
-        if out.count() < places.count():
-            raise ValueError("some events have too few others in reach")
+        out = cut(functools.reduce(DataFrame.union, parts).select("source", h.alias("h")))
         if out.where("h <= 0").limit(1).count():
             raise ValueError("some k-th distances are zero; set a minimum bandwidth")
         return out
@@ -340,6 +357,7 @@ class NetworkTimeKNNBandwidth:
     temporal_multiplier: float = 1.0
     minimum_spatial: float | None = None
     minimum_temporal: float | None = None
+    cutoff: float | None = None  # how far spatial neighbours are looked for
 
     def resolve(self, network: Network, events: DataFrame, domain: TimeDomain, directed: bool | None = None) -> DataFrame:
         """(source, h, ht)."""
@@ -347,7 +365,7 @@ class NetworkTimeKNNBandwidth:
         n = events.count()
         if not 1 <= self.spatial_k <= n - 1 or not 1 <= self.temporal_k <= n - 1:
             raise ValueError(f"k must be between 1 and {n - 1}")
-        space = NetworkKNNBandwidth(self.spatial_k, self.spatial_multiplier, self.minimum_spatial).resolve(network, events, directed)
+        space = NetworkKNNBandwidth(self.spatial_k, self.spatial_multiplier, self.minimum_spatial, self.cutoff).resolve(network, events, directed)
         found = time_ranks(events, self.temporal_k, domain)
         ht = F.col("distance") * self.temporal_multiplier
         if self.minimum_temporal is not None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Callable
 
@@ -229,20 +228,19 @@ def bandwidth_bounds(spark, sf_dir):
 @query()
 def likelihood_cv_trace(spark, sf_dir):
     """Bounded minimisation over log h: the trace of its evaluations."""
-    found = selection.LikelihoodCV(tolerance=1e-3, most=14).select(suppliers(spark, sf_dir))
+    found = selection.LikelihoodCV().select(suppliers(spark, sf_dir))
     return found.to_frame(spark)
 
 
 PARTS = (1.0, 900.0, 50.0, 1000.0)
-_PARTS = "p AS (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part WHERE p_retailprice BETWEEN 900 AND 1000)"
+_PARTS = "p AS (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part)"
 _PARTS_GRID = """g AS (SELECT y * 7 + x AS support_id, 1 + 3.5 + x * 7.0 AS gx, 900 + 5.0 + y * 10.0 AS gy, 70.0 AS measure
     FROM (SELECT unnest(range(7)) AS x), (SELECT unnest(range(10)) AS y))"""
 
 
 def parts(spark: SparkSession, sf_dir: str) -> Events:
     """Parts by size and price, inside their rectangle."""
-    rows = read(spark, sf_dir, "part").where(F.col("p_retailprice").between(900, 1000))
-    return Events.from_frame(rows, ("p_size", "p_retailprice"), event_id="p_partkey")
+    return Events.from_frame(read(spark, sf_dir, "part"), ("p_size", "p_retailprice"), event_id="p_partkey")
 
 
 def parts_grid(spark: SparkSession) -> Support:
@@ -278,7 +276,19 @@ def quadrature_renormalization(spark, sf_dir):
     return rounded(kde.fit_evaluate(parts(spark, sf_dir), parts_grid(spark)), "density", scale=1000)
 
 
-@query()
+def _axis_mass_sql(axis: str, low: float, high: float, h: float) -> str:
+    """Normal mass of each distinct value of an axis between two bounds, by Simpson's rule over 400 panels."""
+    at = f"({low} + k * {(high - low) / 400})"
+    return f"""(SELECT {axis} AS v, sum(CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * power(({at} - {axis}) / {h}, 2)))
+        * {(high - low) / 1200 / h / math.sqrt(2 * math.pi)!r} AS mass FROM (SELECT DISTINCT {axis} FROM p) CROSS JOIN (SELECT unnest(range(401)) AS k) GROUP BY {axis})"""
+
+
+@query(
+    f"""WITH {_PARTS}, {_PARTS_GRID}, a AS {_axis_mass_sql("x", 1.0, 50.0, 6.0)}, b AS {_axis_mass_sql("y", 900.0, 1000.0, 6.0)}, n AS (SELECT count(*) AS n FROM p)
+    SELECT support_id, gx AS x, gy AS y, measure, round(1000 * sum({kernel_sql("gaussian", "sqrt(power(gx - p.x, 2) + power(gy - p.y, 2)) / 6.0", 2, "6.0")}
+        / (a.mass * b.mass)) / max(n), 6) + 0.0 AS density
+    FROM g CROSS JOIN p JOIN a ON p.x = a.v JOIN b ON p.y = b.v CROSS JOIN n GROUP BY ALL"""
+)
 def rectangle_gaussian_mass(spark, sf_dir):
     """Renormalised by the exact Gaussian mass in the rectangle; its integral is near 1."""
     kde = SpatialKDE("gaussian", 6.0, boundary=Boundary.rectangle(PARTS), boundary_correction="renormalization")
@@ -298,30 +308,49 @@ def points_outside_boundary(spark, sf_dir):
 
 
 @query(
-    """SELECT count(*) AS n, count(*) - count(DISTINCT (l_quantity, l_extendedprice)) AS repeated,
-        sum(CASE WHEN l_discount IS NULL OR l_discount > 1 THEN 1 ELSE 0 END)::BIGINT AS bad_weights, round(sum(1 - l_discount), 4) AS weight FROM lineitem"""
+    """SELECT 'warning' AS severity, 'duplicate_coordinates' AS code, (count(*) - count(DISTINCT (l_quantity, l_extendedprice))) || ' events repeat a point' AS message
+    FROM lineitem HAVING count(*) > count(DISTINCT (l_quantity, l_extendedprice))
+    UNION ALL SELECT 'error', 'duplicate_ids', (count(*) - count(DISTINCT l_orderkey * 100 + l_linenumber)) || ' ids repeat or are missing'
+    FROM lineitem HAVING count(*) > count(DISTINCT l_orderkey * 100 + l_linenumber)
+    UNION ALL SELECT 'warning', 'missing_crs', 'no coordinate system is given'"""
 )
 def event_quality(spark, sf_dir):
-    rows = sales(spark, sf_dir, True).df
-    return rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.count(F.lit(1)) - F.count_distinct(F.struct("x", "y"))).alias("repeated"),
-        F.count_if(F.col("weight").isNull() | (F.col("weight") < 0)).alias("bad_weights"),
-        F.round(F.sum("weight"), 4).alias("weight"),
-    )
+    return sales(spark, sf_dir, True).check(unique_ids=True).to_frame(spark)
+
+
+@query("SELECT count(*) AS n_events, round(sum(1 - l_discount), 4) AS total_weight, min(l_quantity)::DOUBLE AS min_x, max(l_quantity)::DOUBLE AS max_x, round(min(l_extendedprice / 1000), 6) AS min_y, round(max(l_extendedprice / 1000), 6) AS max_y FROM lineitem")
+def event_summary(spark, sf_dir):
+    found = sales(spark, sf_dir, True).summary()
+    return found.withColumns({"total_weight": F.round("total_weight", 4), "min_y": F.round("min_y", 6), "max_y": F.round("max_y", 6)})
+
+
+@query("SELECT count(*) AS stored, round(sum(l_quantity * l_extendedprice / 1000), 2) AS moment FROM lineitem")
+def stored_bundle(spark, sf_dir):
+    """Events saved as a bundle, loaded and verified by their hash."""
+    import uuid
+
+    from fieldloom.plans.lineage import cut
+    from fieldloom.sources import store
+
+    events = sales(spark, sf_dir).df
+    cut(spark.range(1))  # makes sure that there is a shared folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/bundle-{uuid.uuid4().hex}"
+    store.save(path, {"events": events}, {"unit": "thousand"})
+    tables, _ = store.load(spark, path)
+    return tables["events"].agg(F.count(F.lit(1)).alias("stored"), F.round(F.sum(F.col("x") * F.col("y")), 2).alias("moment"))
 
 
 @query(
-    """WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS v FROM embeddings), t AS (SELECT vec_id AS id, v AS tv FROM e WHERE vec_id % 25 = 0)
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS v FROM embeddings), t AS (SELECT vec_id AS id, v AS tv FROM e)
     SELECT id AS support_id, round(sum(exp(-0.5 * power(array_distance(v, tv), 2) / 4.0)) / count(*), 6) + 0.0 AS kernel_mean FROM t CROSS JOIN e GROUP BY id"""
 )
-def embedding_kde_64d(spark, sf_dir, whole=False):
-    """Mean unscaled Gaussian kernel in 64 dimensions, over array columns, at every 25th vector."""
+def embedding_kde_64d(spark, sf_dir):
+    """Mean unscaled Gaussian kernel in 64 dimensions, over array columns, at every vector."""
     from fieldloom.functions.kernels import array_squared_distance
     from fieldloom.plans.pairs import all_pairs
 
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    places = rows.where("true" if whole else "vec_id % 25 = 0").select(F.col("vec_id").alias("support_id"), F.col("embedding").alias("place"))
+    places = rows.select(F.col("vec_id").alias("support_id"), F.col("embedding").alias("place"))
     pairs = all_pairs(places, rows)
     k = F.exp(array_squared_distance(F.col("embedding"), F.col("place")) * (-0.5 / 4.0))
     return rounded(pairs.groupBy("support_id").agg(F.avg(k).alias("kernel_mean")), "kernel_mean")
@@ -358,6 +387,23 @@ def cyclic_canonicalize(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("time"), 6).alias("low"), F.round(F.max("time"), 6).alias("high"), F.round(F.avg("time"), 6).alias("mean"))
 
 
+@query(
+    f"""WITH {GRID_SQL} SELECT i * 273 + support_id AS support_id, gx AS x, gy AS y, i * 7.0 + CASE WHEN i = 3 THEN 1.5 ELSE 3.5 END AS time,
+        measure * CASE WHEN i = 3 THEN 3.0 ELSE 7.0 END AS measure FROM g CROSS JOIN (SELECT unnest(range(4)) AS i)"""
+)
+def space_time_grid(spark, sf_dir):
+    return sales_grid(spark).over_time(spark, 7.0, domain=DAY).df
+
+
+@query(
+    f"""WITH {_HOURS}, d AS (SELECT abs(t - 12.0) - 24 * floor(abs(t - 12.0) / 24) AS gap FROM v)
+    SELECT count(*) AS n, round(avg(least(gap, 24 - gap)), 6) AS mean, round(max(least(gap, 24 - gap)), 6) AS most FROM d"""
+)
+def cyclic_distance(spark, sf_dir):
+    gap = DAY.distance(F.col("time") - 12.0)
+    return visits(spark, sf_dir, LinearTime()).df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(gap), 6).alias("mean"), F.round(F.max(gap), 6).alias("most"))
+
+
 @query(
     f"""WITH {_HOURS}, g AS (SELECT unnest(range(200)) AS i), p AS (SELECT i, (i % 10) * 20.0 + 5.0 AS gx, floor(i / 10) * 36.0 + 18.0 AS gt FROM g)
     SELECT i AS support_id, gx AS x, gt AS time, 720.0 AS measure, round(100000 * sum({kernel_sql("gaussian", "abs(gx - x) / 10.0", 1, "10.0")}
@@ -382,11 +428,11 @@ def st_kde_cyclic_grid(spark, sf_dir):
     return rounded(found, "density", scale=10000)
 
 
-_ST = "q AS (SELECT o_orderkey AS id, o_totalprice / 1000 AS x, (epoch_us(o_orderdate) - epoch_us(TIMESTAMP '2024-01-01')) / 8.64e10 AS t FROM orders WHERE o_orderkey % 100 = 0)"
+_ST = "q AS (SELECT o_orderkey AS id, o_totalprice / 1000 AS x, (epoch_us(o_orderdate) - epoch_us(TIMESTAMP '2024-01-01')) / 8.64e10 AS t FROM orders)"
 
 
-def _orders_sample(spark, sf_dir, whole: bool = False) -> Events:
-    rows = read(spark, sf_dir, "orders").where("true" if whole else "o_orderkey % 100 = 0")
+def _orders(spark, sf_dir) -> Events:
+    rows = read(spark, sf_dir, "orders")
     return Events.from_frame(rows, (F.col("o_totalprice") / 1000,), event_id="o_orderkey", time=offset(F.col("o_orderdate"), "days", ORIGIN))
 
 
@@ -398,14 +444,14 @@ def _experiment_sql(tail: str) -> str:
 
 
 @query(_experiment_sql("SELECT hs, ht, round(score, 6) AS score FROM s"))
-def st_experiment(spark, sf_dir, whole=False):
-    found = SpatiotemporalBandwidthExperiment((20.0, 40.0, 80.0), (60.0, 180.0)).scores(_orders_sample(spark, sf_dir, whole))
+def st_experiment(spark, sf_dir):
+    found = SpatiotemporalBandwidthExperiment((20.0, 40.0, 80.0), (60.0, 180.0)).scores(_orders(spark, sf_dir))
     return rounded(found.select("hs", "ht", "score"), "score")
 
 
 @query(_experiment_sql("SELECT hs, ht, round(score, 6) AS score FROM s ORDER BY s.score, hs, ht LIMIT 1"))
-def st_experiment_best(spark, sf_dir, whole=False):
-    return rounded(SpatiotemporalBandwidthExperiment((20.0, 40.0, 80.0), (60.0, 180.0)).run(_orders_sample(spark, sf_dir, whole)), "score")
+def st_experiment_best(spark, sf_dir):
+    return rounded(SpatiotemporalBandwidthExperiment((20.0, 40.0, 80.0), (60.0, 180.0)).run(_orders(spark, sf_dir)), "score")
 
 
 # --- exposure and risk -----------------------------------------------------------------------------------------------
@@ -527,7 +573,7 @@ _EDGES = """e AS (
     UNION ALL
     SELECT 72 + r * 9 + c, c, r, c, r + 1, r * 9 + c, (r + 1) * 9 + c FROM (SELECT unnest(range(8)) AS r), (SELECT unnest(range(9)) AS c)
 )"""
-_CALLS = "p AS (SELECT o_orderkey AS id, o_totalprice / 62500 AS x, (o_custkey % 100) / 12.5 AS y, (o_orderkey % 24)::DOUBLE AS hour FROM orders WHERE o_orderkey % 50 = 0)"
+_CALLS = "p AS (SELECT o_orderkey AS id, o_totalprice / 62500 AS x, (o_custkey % 100) / 12.5 AS y, (o_orderkey % 24)::DOUBLE AS hour FROM orders)"
 _SNAP = f"""{_EDGES}, {_CALLS}, n AS (
     SELECT id, x, y, hour, edge_index, x0, y0, x1, y1, u, v, greatest(0.0, least(1.0, (x - x0) * (x1 - x0) + (y - y0) * (y1 - y0))) AS t FROM p CROSS JOIN e
 ), m AS (SELECT *, sqrt(power(x - x0 - t * (x1 - x0), 2) + power(y - y0 - t * (y1 - y0), 2)) AS d FROM n),
@@ -548,16 +594,16 @@ def streets(spark: SparkSession):
     return Network.grid(spark, BLOCKS, BLOCKS)
 
 
-def calls(spark: SparkSession, sf_dir: str, whole: bool = False) -> Events:
-    """Every 50th order, or each one, as a point in the street grid."""
-    rows = read(spark, sf_dir, "orders").where("true" if whole else "o_orderkey % 50 = 0")
+def calls(spark: SparkSession, sf_dir: str) -> Events:
+    """Every order as a point in the street grid."""
+    rows = read(spark, sf_dir, "orders")
     return Events.from_frame(rows, (F.col("o_totalprice") / 62500, (F.col("o_custkey") % 100) / 12.5), event_id="o_orderkey")
 
 
-def snapped_calls(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def snapped_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.sources.network import accepted, snap
 
-    found = accepted(snap(streets(spark), calls(spark, sf_dir, whole), 0.4))
+    found = accepted(snap(streets(spark), calls(spark, sf_dir), 0.4))
     return found.select("event_id", "edge_index", "offset", "weight", (F.col("event_id") % 24).cast("double").alias("time"))
 
 
@@ -582,18 +628,19 @@ def network_components(spark, sf_dir):
     f"""WITH {_SNAP} SELECT id AS event_id, edge_index, round(pos, 6) AS offset, round(snap_distance, 6) AS snap_distance, candidates, status
     FROM s WHERE status <> 'beyond_max_distance'"""
 )
-def snap_events(spark, sf_dir, whole=False):
+def snap_events(spark, sf_dir):
     from fieldloom.sources.network import accepted, snap
 
-    found = accepted(snap(streets(spark), calls(spark, sf_dir, whole), 0.4))
+    found = accepted(snap(streets(spark), calls(spark, sf_dir), 0.4))
     return rounded(found.select("event_id", "edge_index", "offset", "snap_distance", "candidates", "status"), "offset", "snap_distance")
 
 
-@query(f"WITH {_SNAP} SELECT id AS event_id, status AS reason FROM s WHERE status = 'beyond_max_distance'")
-def snap_rejected(spark, sf_dir, whole=False):
+@query(f"WITH {_SNAP} SELECT id AS event_id, status AS reason, round(snap_distance, 6) AS nearest_distance, candidates AS candidate_count FROM s WHERE status = 'beyond_max_distance'")
+def snap_rejected(spark, sf_dir):
     from fieldloom.sources.network import rejected, snap
 
-    return rejected(snap(streets(spark), calls(spark, sf_dir, whole), 0.4)).select("event_id", "reason")
+    found = rejected(snap(streets(spark), calls(spark, sf_dir), 0.4)).select("event_id", "reason", "nearest_distance", "candidate_count")
+    return rounded(found, "nearest_distance")
 
 
 _LIXELS = """x AS (SELECT edge_index * 4 + k AS lixel_id, edge_index, u, v, x0, y0, x1, y1, k * 0.3 AS start_offset,
@@ -624,11 +671,11 @@ _TO_LIXELS = """d AS (
     f"""WITH {_SNAP}, {_LIXELS}, {_WAYS}, {_TO_LIXELS} SELECT lixel_id, count(*) AS sources, round(min(distance), 6) AS nearest, round(avg(distance), 6) AS mean
     FROM d WHERE distance <= 2.2 + 1e-12 GROUP BY lixel_id"""
 )
-def network_distances(spark, sf_dir, whole=False):
+def network_distances(spark, sf_dir):
     """Per lixel, the events within 2.2 along the streets."""
     from fieldloom.operators.network import location_distances
 
-    s = snapped_calls(spark, sf_dir, whole).select(F.col("event_id").alias("source"), "edge_index", "offset")
+    s = snapped_calls(spark, sf_dir).select(F.col("event_id").alias("source"), "edge_index", "offset")
     t = streets(spark).lixels(0.3).select(F.col("lixel_id").alias("target"), "edge_index", F.col("center_offset").alias("offset"))
     d = location_distances(streets(spark), s, t, 2.2)
     found = d.groupBy(F.col("target").alias("lixel_id")).agg(F.count(F.lit(1)).alias("sources"), F.min("distance").alias("nearest"), F.avg("distance").alias("mean"))
@@ -639,18 +686,18 @@ def network_distances(spark, sf_dir, whole=False):
     f"""WITH {_SNAP}, {_LIXELS}, {_WAYS}, {_TO_LIXELS}, cnt AS (SELECT count(DISTINCT id) AS n FROM z)
     SELECT lixel_id, round(100 * sum({kernel_sql("epanechnikov", "distance / 1.5", 1, "1.5")}) / max(n), 6) + 0.0 AS density FROM d CROSS JOIN cnt GROUP BY lixel_id"""
 )
-def network_kde_simple(spark, sf_dir, whole=False):
+def network_kde_simple(spark, sf_dir):
     from fieldloom.operators.network import NetworkKDE
 
-    found = NetworkKDE("epanechnikov", 1.5, "simple").evaluate(streets(spark), snapped_calls(spark, sf_dir, whole), streets(spark).lixels(0.3))
+    found = NetworkKDE("epanechnikov", 1.5, "simple").evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.3))
     return rounded(found.select("lixel_id", "density"), "density", scale=100)
 
 
 def _path_kde(policy: str):
-    def run(spark, sf_dir, whole=False):
+    def run(spark, sf_dir):
         from fieldloom.operators.network import NetworkKDE
 
-        found = NetworkKDE("epanechnikov", 1.5, policy).evaluate(streets(spark), snapped_calls(spark, sf_dir, whole), streets(spark).lixels(0.3))
+        found = NetworkKDE("epanechnikov", 1.5, policy).evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.3))
         return rounded(found.select("lixel_id", "density"), "density", scale=100)
 
     return run
@@ -689,18 +736,25 @@ query(_path_sql("discontinuous"), "network_kde_discontinuous")(_path_kde("discon
 query(_path_sql("continuous"), "network_kde_continuous")(_path_kde("continuous"))
 
 
+# Events nearer than one block lie on one edge or on edges that meet, so only those are paired.
+_NEAR = """i AS (SELECT * FROM s WHERE status <> 'beyond_max_distance'), near AS (
+    SELECT a.edge_index AS ea, b.edge_index AS eb, a.u AS au, a.v AS av, b.u AS bu, b.v AS bv FROM e a JOIN e b ON a.u IN (b.u, b.v) OR a.v IN (b.u, b.v)
+), d AS (
+    SELECT a.id, b.id AS other, a.hour, b.hour AS other_hour, CASE WHEN ea = eb THEN abs(a.pos - b.pos) ELSE least(
+        CASE WHEN au = bu THEN a.pos + b.pos ELSE 9 END, CASE WHEN au = bv THEN a.pos + 1 - b.pos ELSE 9 END,
+        CASE WHEN av = bu THEN 1 - a.pos + b.pos ELSE 9 END, CASE WHEN av = bv THEN 2 - a.pos - b.pos ELSE 9 END) END AS distance
+    FROM near JOIN i a ON a.edge_index = ea JOIN i b ON b.edge_index = eb WHERE a.id <> b.id
+)"""
+
+
 @query(
-    f"""WITH {_SNAP}, {_WAYS.split("," + chr(10) + "c AS")[0]}, d AS (
-        SELECT a.id, b.id AS other, min(least(a.extra + b.extra + abs(a.node % 9 - b.node % 9) + abs(a.node // 9 - b.node // 9),
-            CASE WHEN a.edge_index = b.edge_index THEN abs(a.pos - b.pos) ELSE 1e9 END)) AS distance
-        FROM z a JOIN z b ON a.id <> b.id GROUP BY a.id, b.id
-    ), q AS (SELECT id, distance, row_number() OVER (PARTITION BY id ORDER BY distance) AS k FROM d)
+    f"""WITH {_SNAP}, {_NEAR}, q AS (SELECT id, distance, row_number() OVER (PARTITION BY id ORDER BY distance) AS k FROM d)
     SELECT id AS source, round(greatest(distance, 0.01), 6) AS h FROM q WHERE k = 3"""
 )
-def network_knn_bandwidth(spark, sf_dir, whole=False):
+def network_knn_bandwidth(spark, sf_dir):
     from fieldloom.operators.network import NetworkKNNBandwidth
 
-    return rounded(NetworkKNNBandwidth(3, minimum=0.01).resolve(streets(spark), snapped_calls(spark, sf_dir, whole)), "h")
+    return rounded(NetworkKNNBandwidth(3, minimum=0.01, cutoff=0.9).resolve(streets(spark), snapped_calls(spark, sf_dir)), "h")
 
 
 @query(
@@ -735,71 +789,137 @@ def arixels(spark, sf_dir):
     SELECT lixel_id, i AS time_index, i * 6 + 3.0 AS time, round(1000 * sum({kernel_sql("epanechnikov", "distance / 1.5", 1, "1.5")} * b) / max(n), 6) + 0.0 AS density
     FROM d JOIN k USING (id) CROSS JOIN cnt GROUP BY lixel_id, i"""
 )
-def network_time_kde(spark, sf_dir, whole=False):
+def network_time_kde(spark, sf_dir):
     from fieldloom.operators.network import NetworkKDE, TemporalNetworkKDE
     from fieldloom.sources.planar import axis_cells
 
     cells = axis_cells(spark, 0.0, 24.0, 6.0, "time")
     kde = TemporalNetworkKDE(NetworkKDE("epanechnikov", 1.5, "simple"), 3.0, CyclicTime(24.0))
-    found = kde.evaluate(streets(spark), snapped_calls(spark, sf_dir, whole), streets(spark).lixels(0.3), cells)
+    found = kde.evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.3), cells)
     return rounded(found.drop("measure"), "density", scale=1000)
 
 
+@query(
+    f"""WITH {_SNAP}, {_NEAR}, q AS (SELECT id, distance, row_number() OVER (PARTITION BY id ORDER BY distance) AS k FROM d),
+    c AS (SELECT id, least(abs(hour - h), 24 - abs(hour - h)) AS gap, n FROM i CROSS JOIN (SELECT hour AS h, count(*) AS n FROM i GROUP BY hour)),
+    r AS (SELECT id, gap, sum(n) OVER (PARTITION BY id ORDER BY gap) AS seen FROM c), t AS (SELECT id, min(gap) AS gap FROM r WHERE seen >= 41 GROUP BY id)
+    SELECT id AS source, round(greatest(distance, 0.01), 6) AS h, round(greatest(gap * 2, 0.5), 6) AS ht FROM q JOIN t USING (id) WHERE k = 3"""
+)
+def network_time_knn_bandwidth(spark, sf_dir):
+    """The third neighbour along the streets (within 0.9) and the fortieth around the clock."""
+    from fieldloom.operators.network import NetworkTimeKNNBandwidth
+
+    found = NetworkTimeKNNBandwidth(3, 40, 1.0, 2.0, 0.01, 0.5, cutoff=0.9).resolve(streets(spark), snapped_calls(spark, sf_dir), DAY)
+    return rounded(found, "h", "ht")
+
+
+# A line of 64 cells with customers' orders on its mesh nodes: cosines diagonalise its mass and stiffness.
+_HEAT = """orders_at AS (SELECT o_custkey % 65 AS j, count(*)::DOUBLE AS c FROM orders GROUP BY 1), waves AS (
+    SELECT k, (2 - 2 * cos(pi() * k / 64)) * 4096 AS rate, CASE WHEN k IN (0, 64) THEN 1.0 ELSE 0.5 END AS norm FROM (SELECT unnest(range(65)) AS k)
+), times AS (SELECT unnest([0.0005, 0.004])::DOUBLE AS t),
+spectrum AS (SELECT k, rate, norm, sum(c * cos(pi() * k * j / 64)) / norm AS a FROM waves CROSS JOIN orders_at GROUP BY k, rate, norm),
+heat AS (SELECT t, j, sum(exp(-rate * t) * a * cos(pi() * k * j / 64)) AS u, sum(exp(-rate * t) / norm * power(cos(pi() * k * j / 64), 2)) AS own
+    FROM spectrum CROSS JOIN times CROSS JOIN (SELECT unnest(range(65)) AS j) GROUP BY t, j),
+total AS (SELECT sum(c) AS s FROM orders_at)"""
+
+
+def _heated_line(spark, sf_dir):
+    from fieldloom.sources.network import Network
+
+    line = spark.createDataFrame([(0, [(0.0, 0.0), (1.0, 0.0)])], "edge_index long, geometry array<struct<x:double,y:double>>")
+    net = Network.from_lines(line, edge_index="edge_index")
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.lit(0).cast("long").alias("edge_index"), ((F.col("o_custkey") % 65) / 64.0).alias("offset"), F.lit(1.0).alias("weight"))
+    return net, rows, net.lixels(1 / 64)
+
+
+@query(
+    f"""WITH {_HEAT} SELECT CAST(CASE WHEN t = 0.0005 THEN 0 ELSE 1 END AS INT) AS batch_index, t AS diffusion_time, j AS lixel_id,
+        round((u + lead(u) OVER (PARTITION BY t ORDER BY j)) / 2 / s, 6) AS density FROM heat CROSS JOIN total QUALIFY j < 64"""
+)
+def heat_line(spark, sf_dir):
+    """Heat of all orders on a line, for two diffusion times."""
+    from fieldloom.operators.heat import HeatNetworkExperiment
+
+    found = HeatNetworkExperiment((0.0005, 0.004)).evaluate(*_heated_line(spark, sf_dir))
+    return rounded(found.select("batch_index", "diffusion_time", "lixel_id", "density"), "density")
+
+
+def _heat_scores(objective):
+    def run(spark, sf_dir):
+        from fieldloom.operators.heat import heat_scores
+
+        net, rows, cells = _heated_line(spark, sf_dir)
+        return rounded(heat_scores(net, rows, cells, (0.0005, 0.004), objective=objective), "score")
+
+    return run
+
+
+_HEAT_LOO = f"{_HEAT}, loo AS (SELECT t, j, c, (u - own) / (s - 1) AS f FROM heat JOIN orders_at USING (j) CROSS JOIN total)"
+query(f"WITH {_HEAT_LOO} SELECT t AS h, round(-sum(c * ln(greatest(f, 1e-300))) / sum(c), 6) AS score FROM loo GROUP BY t", "heat_likelihood_grid")(_heat_scores("likelihood"))
+query(
+    f"""WITH {_HEAT_LOO}, ends AS (SELECT t, j, u / s AS l, lead(u) OVER (PARTITION BY t ORDER BY j) / s AS r FROM heat CROSS JOIN total), squares AS (
+        SELECT t, sum((l * l + l * r + r * r) / 192) AS square FROM ends WHERE j < 64 GROUP BY t
+    ) SELECT t AS h, round(max(square) - 2 * sum(c * f) / sum(c), 6) AS score FROM loo JOIN squares USING (t) GROUP BY t""",
+    "heat_least_squares_grid",
+)(_heat_scores("least_squares"))
+
+
 @query()
-def heat_density(spark, sf_dir, whole=False):
+def heat_density(spark, sf_dir):
     """Heat fields on lixels for three diffusion times."""
     from fieldloom.operators.heat import HeatNetworkExperiment
 
-    found = HeatNetworkExperiment((0.05, 0.2, 0.5)).evaluate(streets(spark), snapped_calls(spark, sf_dir, whole), streets(spark).lixels(0.5))
+    found = HeatNetworkExperiment((0.05, 0.2, 0.5)).evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.5))
     return rounded(found.select("batch_index", "diffusion_time", "lixel_id", "density"), "density", scale=100)
 
 
 @query("SELECT unnest([0.05, 0.2, 0.5])::DOUBLE AS diffusion_time, 1.0 AS mass")
-def heat_mass(spark, sf_dir, whole=False):
+def heat_mass(spark, sf_dir):
     """Heat moves and is not lost."""
     from fieldloom.operators.heat import HeatNetworkExperiment
 
-    found = HeatNetworkExperiment((0.05, 0.2, 0.5)).evaluate(streets(spark), snapped_calls(spark, sf_dir, whole), streets(spark).lixels(0.5))
+    found = HeatNetworkExperiment((0.05, 0.2, 0.5)).evaluate(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.5))
     return found.groupBy("diffusion_time").agg(F.round(F.sum(F.col("density") * F.col("length")), 6).alias("mass"))
 
 
 @query(
-    f"""WITH {_SNAP}, {_WAYS.split("," + chr(10) + "c AS")[0]}, h AS (SELECT unnest([0.8, 1.6])::DOUBLE AS h), d AS (
-        SELECT a.id, b.id AS other, min(least(a.extra + b.extra + abs(a.node % 9 - b.node % 9) + abs(a.node // 9 - b.node // 9),
-            CASE WHEN a.edge_index = b.edge_index THEN abs(a.pos - b.pos) ELSE 1e9 END)) AS distance
-        FROM z a JOIN z b ON a.id <> b.id GROUP BY a.id, b.id
-    ), f AS (SELECT h, id, sum({kernel_sql("epanechnikov", "distance / h", 1, "h")}) / count(*) AS f FROM d CROSS JOIN h GROUP BY h, id)
-    SELECT h, round(-avg(ln(greatest(f, 1e-300))), 6) AS score FROM f GROUP BY h"""
+    f"""WITH {_SNAP}, {_NEAR}, h AS (SELECT unnest([0.2, 0.4])::DOUBLE AS h), cnt AS (SELECT count(*) AS n FROM i),
+    f AS (SELECT h, id, sum({kernel_sql("epanechnikov", "distance / h", 1, "h")}) / (max(n) - 1) AS f FROM d CROSS JOIN h CROSS JOIN cnt WHERE distance <= 0.4 GROUP BY h, id)
+    SELECT h, round(-avg(ln(greatest(coalesce(f, 0), 1e-300))), 6) AS score FROM (SELECT id FROM i) CROSS JOIN h LEFT JOIN f USING (id, h) GROUP BY h"""
 )
-def network_likelihood_grid(spark, sf_dir, whole=False):
+def network_likelihood_grid(spark, sf_dir):
     from fieldloom.operators.network_selection import NetworkBandwidthGrid
 
-    return rounded(NetworkBandwidthGrid((0.8, 1.6)).scores(streets(spark), snapped_calls(spark, sf_dir, whole)), "score")
+    return rounded(NetworkBandwidthGrid((0.2, 0.4)).scores(streets(spark), snapped_calls(spark, sf_dir)), "score")
 
 
 @query(
-    f"""WITH {_SNAP}, {_WAYS.split("," + chr(10) + "c AS")[0]}, h AS (SELECT unnest([1.0, 2.0])::DOUBLE AS h), g AS (SELECT unnest([4.0, 12.0])::DOUBLE AS ht), d AS (
-        SELECT a.id, b.id AS other, min(least(a.extra + b.extra + abs(a.node % 9 - b.node % 9) + abs(a.node // 9 - b.node // 9),
-            CASE WHEN a.edge_index = b.edge_index THEN abs(a.pos - b.pos) ELSE 1e9 END)) AS distance
-        FROM z a JOIN z b ON a.id <> b.id GROUP BY a.id, b.id
-    ), f AS (
-        SELECT h, ht, d.id, sum({kernel_sql("epanechnikov", "distance / h", 1, "h")} * {kernel_sql("gaussian", "abs(p.hour - q.hour) / ht", 1, "ht")}) / count(*) AS f
-        FROM d JOIN s p ON d.id = p.id JOIN s q ON d.other = q.id CROSS JOIN h CROSS JOIN g GROUP BY h, ht, d.id
-    ) SELECT h, ht, round(-avg(ln(greatest(f, 1e-300))), 6) AS score FROM f GROUP BY h, ht"""
+    f"""WITH {_SNAP}, {_LIXELS}, {_NEAR}, h AS (SELECT unnest([0.2, 0.4])::DOUBLE AS h), cnt AS (SELECT count(*) AS n FROM i),
+    f AS (SELECT h, sum({kernel_sql("epanechnikov", "distance / h", 1, "h")}) / (max(n) - 1) / max(n) AS loo FROM d CROSS JOIN h CROSS JOIN cnt WHERE distance <= 0.4 GROUP BY h),
+    to_lixels AS (
+        SELECT lixel_id, end_offset - start_offset AS size, CASE WHEN ea = eb THEN abs(a.pos - y.pos) ELSE least(
+            CASE WHEN au = bu THEN a.pos + y.pos ELSE 9 END, CASE WHEN au = bv THEN a.pos + 1 - y.pos ELSE 9 END,
+            CASE WHEN av = bu THEN 1 - a.pos + y.pos ELSE 9 END, CASE WHEN av = bv THEN 2 - a.pos - y.pos ELSE 9 END) END AS distance
+        FROM near JOIN i a ON a.edge_index = ea JOIN y ON y.edge_index = eb
+    ), g AS (SELECT h, lixel_id, size, sum({kernel_sql("epanechnikov", "distance / h", 1, "h")}) / max(n) AS g FROM to_lixels CROSS JOIN h CROSS JOIN cnt WHERE distance <= 0.4 GROUP BY h, lixel_id, size),
+    q AS (SELECT h, sum(g * g * size) AS square FROM g GROUP BY h)
+    SELECT h, round(square - 2 * loo, 6) AS score FROM q JOIN f USING (h)"""
 )
-def network_time_experiment(spark, sf_dir, whole=False):
-    from fieldloom.operators.network_selection import NetworkTimeBandwidthExperiment
+def network_least_squares_grid(spark, sf_dir):
+    from fieldloom.operators.network_selection import NetworkBandwidthGrid
 
-    found = NetworkTimeBandwidthExperiment((1.0, 2.0), (4.0, 12.0), LinearTime(), policy="simple").scores(streets(spark), snapped_calls(spark, sf_dir, whole))
+    found = NetworkBandwidthGrid((0.2, 0.4), "least_squares").scores(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.3))
     return rounded(found, "score")
 
 
-# --- whole tables ----------------------------------------------------------------------------------------------------
+@query(
+    f"""WITH {_SNAP}, {_NEAR}, h AS (SELECT unnest([0.2, 0.4])::DOUBLE AS h), g AS (SELECT unnest([4.0, 12.0])::DOUBLE AS ht), cnt AS (SELECT count(*) AS n FROM i), f AS (
+        SELECT h, ht, id, sum({kernel_sql("epanechnikov", "distance / h", 1, "h")} * {kernel_sql("gaussian", "abs(hour - other_hour) / ht", 1, "ht")}) / (max(n) - 1) AS f
+        FROM d CROSS JOIN h CROSS JOIN g CROSS JOIN cnt WHERE distance <= 0.4 GROUP BY h, ht, id
+    ) SELECT h, ht, round(-avg(ln(greatest(coalesce(f, 0), 1e-300))), 6) AS score FROM (SELECT id FROM i) CROSS JOIN h CROSS JOIN g LEFT JOIN f USING (id, h, ht) GROUP BY h, ht"""
+)
+def network_time_experiment(spark, sf_dir):
+    from fieldloom.operators.network_selection import NetworkTimeBandwidthExperiment
 
-#: Their SQL takes every 50th or 100th order, or every 25th vector. NAME_all runs over all of them and has no SQL.
-SAMPLED = (
-    "snap_events snap_rejected network_distances network_kde_simple network_kde_discontinuous network_kde_continuous network_knn_bandwidth network_time_kde "
-    "heat_density heat_mass network_likelihood_grid network_time_experiment st_experiment st_experiment_best embedding_kde_64d"
-).split()
-for _name in SAMPLED:
-    query(name=f"{_name}_all")(functools.partial(QUERIES[_name], whole=True))
+    found = NetworkTimeBandwidthExperiment((0.2, 0.4), (4.0, 12.0), LinearTime(), policy="simple").scores(streets(spark), snapped_calls(spark, sf_dir))
+    return rounded(found, "score")

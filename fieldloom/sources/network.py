@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.plans.pairs import all_pairs
+from fieldloom.plans.lineage import cut
 from fieldloom.sources.planar import Events, Issue, Report, bad, fingerprint
 
 TOLERANCE = 1e-9
@@ -255,26 +256,8 @@ def point_at(geometry: Column, fraction: Column) -> Column:
     return F.aggregate(steps, start, walk)
 
 
-def snap(network: Network, events: Events, max_distance: float | None = None, tie_tolerance: float = 1e-9, endpoint_tolerance: float = 1e-9) -> DataFrame:
-    """Every event with its nearest edge: event_id, x, y, weight, edge_index, offset, snapped_x, snapped_y, snap_distance, candidates,
-    status. Of edges within the tie tolerance the lowest index wins. Status, in this precedence: beyond_max_distance (rejected),
-    snapped_to_u, snapped_to_v, ambiguous_nearest, snapped.
-
-    With a maximal distance, segments are keyed by the cells they touch and only neighbouring cells are compared; events without
-    such a segment are rejected with null distance unless an edge is found. Without one, every segment is compared.
-    """
-    pts = events.df.select("event_id", F.col(events.coords[0]).alias("x"), F.col(events.coords[1]).alias("y"), "weight")
-    segs = network.segments()
-    if max_distance is None:
-        pairs = all_pairs(segs, pts)
-    else:
-        width = float(max_distance)
-        longest = segs.agg(F.max(F.greatest(F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by")))).alias("m")).first()["m"] or 0.0
-        width = max(width, longest / 16, 1e-12)  # a segment touches few cells
-        c = lambda v: F.floor(v / width).cast("long")
-        span = lambda a, b: F.explode(F.sequence(c(F.least(a, b)) - 1, c(F.greatest(a, b)) + 1))
-        keyed = segs.withColumn("cx", span(F.col("ax"), F.col("bx"))).withColumn("cy", span(F.col("ay"), F.col("by")))
-        pairs = pts.withColumn("cx", c(F.col("x"))).withColumn("cy", c(F.col("y"))).join(keyed, ["cx", "cy"], "left")
+def _to_segments(pairs: DataFrame) -> DataFrame:
+    """One row per event and edge with its nearest point m, the first along the edge among equals, from events paired with segments."""
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     square = dx * dx + dy * dy
     t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / F.nullif(square, F.lit(0.0))))).otherwise(0.0)
@@ -283,14 +266,50 @@ def snap(network: Network, events: Events, max_distance: float | None = None, ti
         "event_id", "x", "y", "weight", "edge_index", "edge_length", px.alias("px"), py.alias("py"), F.hypot(F.col("x") - px, F.col("y") - py).alias("d"),
         (F.when(F.col("drawn") > 0, (F.col("before") + t * F.sqrt(square)) / F.nullif(F.col("drawn"), F.lit(0.0))) * F.col("edge_length")).alias("offset"),
     )
-    # one row per event and edge: the nearest point, the first along the edge among equals
-    per_edge = near.groupBy("event_id", "x", "y", "weight", "edge_index").agg(F.min(F.struct("d", "offset", "px", "py", "edge_length")).alias("m"))
-    lowest = F.min("m.d").over(Window.partitionBy("event_id"))  # a handful of near edges per event
-    tied = per_edge.withColumn("low", lowest).where(F.col("edge_index").isNull() | (F.col("m.d") - F.col("low") <= tie_tolerance))
+    return near.groupBy("event_id", "x", "y", "weight", "edge_index").agg(F.min(F.struct("d", "offset", "px", "py", "edge_length")).alias("m"))
+
+
+def snap(network: Network, events: Events, max_distance: float | None = None, tie_tolerance: float = 1e-9, endpoint_tolerance: float = 1e-9) -> DataFrame:
+    """Every event with its nearest edge: event_id, x, y, weight, edge_index, offset, snapped_x, snapped_y, snap_distance, candidates,
+    status. Of edges within the tie tolerance the lowest index wins. Status, in this precedence: beyond_max_distance (rejected),
+    snapped_to_u, snapped_to_v, ambiguous_nearest, snapped.
+
+    Segments are keyed by the cells they touch, and only neighbouring cells are compared. The search starts with the maximal distance, or
+    with the mean length of a segment, and doubles for events that have found none yet, so that rejected ones know their nearest
+    edge as well.
+    """
+    events.check().raise_for_errors()
+    events.require_ids()
+    pts = events.df.select("event_id", F.col(events.coords[0]).alias("x"), F.col(events.coords[1]).alias("y"), "weight")
+    segs = cut(network.segments())
+    longest, middle = F.greatest(F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by"))), F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
+    corners = [f(g).alias(n) for n, f, g in (("x0", F.min, F.least("ax", "bx")), ("x1", F.max, F.greatest("ax", "bx")), ("y0", F.min, F.least("ay", "by")), ("y1", F.max, F.greatest("ay", "by")))]
+    s = segs.agg(F.max(longest).alias("longest"), F.avg(middle).alias("mean"), F.count_if(bad(middle)).alias("bad"), *corners).first()
+    if s["longest"] is None or s["bad"]:
+        raise ValueError("the network has no edges, or coordinates that are not finite")
+    e = pts.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    across = math.hypot(max(s["x1"], e["x1"]) - min(s["x0"], e["x0"]), max(s["y1"], e["y1"]) - min(s["y0"], e["y0"]))
+    reach = float(max_distance) if max_distance is not None else s["mean"]
+    reach, pending, parts = max(reach, across * 1e-6, 1e-12), pts, []
+    while True:
+        width = max(reach, s["longest"] / 16)  # a segment touches few cells
+        c = lambda v: F.floor(v / width).cast("long")  # noqa: B023, E731
+        span = lambda a, b: F.explode(F.sequence(c(F.least(a, b)) - 1, c(F.greatest(a, b)) + 1))  # noqa: B023, E731
+        keyed = segs.withColumn("cx", span(F.col("ax"), F.col("bx"))).withColumn("cy", span(F.col("ay"), F.col("by")))
+        pairs = pending.withColumn("cx", c(F.col("x"))).withColumn("cy", c(F.col("y"))).join(keyed, ["cx", "cy"])
+        per_edge = _to_segments(pairs)
+        low = F.min("m.d").over(Window.partitionBy("event_id"))  # a handful of near edges per event
+        found = cut(per_edge.withColumn("low", low).where((F.col("low") <= reach) & (F.col("m.d") - F.col("low") <= tie_tolerance)))
+        parts.append(found)
+        pending = cut(pending.join(found.select("event_id").distinct(), "event_id", "left_anti"))
+        if reach > across or not pending.limit(1).count():
+            break
+        reach *= 2
+    tied = functools.reduce(DataFrame.union, parts)
     best = tied.groupBy("event_id", "x", "y", "weight").agg(F.min_by("m", "edge_index").alias("m"), F.min("edge_index").alias("edge_index"), F.count("edge_index").alias("candidates"), F.min("low").alias("snap_distance"))
     off, length = F.col("m.offset"), F.col("m.edge_length")
     at_u, at_v = off <= endpoint_tolerance, length - off <= endpoint_tolerance
-    gone = F.col("edge_index").isNull() | (F.col("snap_distance") > max_distance) if max_distance is not None else F.lit(False)
+    gone = F.col("snap_distance") > max_distance if max_distance is not None else F.lit(False)
     status = (
         F.when(gone, "beyond_max_distance").when(at_u, "snapped_to_u").when(at_v, "snapped_to_v").when(F.col("candidates") > 1, "ambiguous_nearest").otherwise("snapped")
     )
