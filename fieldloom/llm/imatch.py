@@ -210,8 +210,8 @@ def fingerprints(docs: DataFrame, lex: list[str], *, text_cols: tuple[str, ...]
             _PRINTERS[key] = Printer(lexicon_now)
         printer = _PRINTERS[key]
         for columns in texts:
-            rows = zip(*(c.to_pylist() for c in columns), strict=True)
-            made = [[printer.fingerprint(t) for t in row] for row in rows]
+            # one text at a time: some are very long
+            made = [[printer.fingerprint(c[i].as_py()) for c in columns] for i in range(len(columns[0]))]
             yield pa.StructArray.from_arrays([pa.array([m[i] for m in made], pa.string()) for i in range(len(columns))], [f"f{i}" for i in range(len(columns))])
 
     def single(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -161,6 +161,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I-Match fingerprints of every document and of its edited text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    small_batches(spark, 64)  # each row holds three texts
     return imatch.edited_pairs(docs, imatch.lexicon(docs))
 
 
