@@ -83,6 +83,8 @@ def kth_distances(
     spans = [box[f"d{i}"] for i in range(len(s_cols)) if box[f"d{i}"]]
     ends = points.select(*[F.col(s).alias(t) for s, t in zip(s_cols, t_cols, strict=True)]).union(targets.select(*t_cols))
     corners = ends.agg(*[(F.max(c) - F.min(c)).alias(c) for c in t_cols]).first()
+    if any(corners[c] is None or not math.isfinite(corners[c]) for c in t_cols):
+        raise ValueError("some coordinates are not finite")
     across = math.sqrt(sum(corners[c] ** 2 for c in t_cols))  # no target is further from a source
     reach = (math.prod(spans) * need / box["n"]) ** (1 / len(spans)) if spans else 1.0
     pending, done = targets, []
@@ -97,7 +99,7 @@ def kth_distances(
         if not pending.limit(1).count():
             break
         if reach > 2 * across + 1e-300:
-            raise ValueError("some targets are near no source: are all coordinates finite?")
+            raise ValueError("some targets are near no source: some coordinates are missing or not finite")
         reach *= 2
     out = done[0]
     for part in done[1:]:

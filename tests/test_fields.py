@@ -10,9 +10,9 @@ from fieldloom.functions.kernels import get_kernel
 from fieldloom.functions.time import CyclicTime, LinearTime
 from fieldloom.operators import risk, selection
 from fieldloom.operators.bandwidths import AbramsonBandwidth, BalloonKNNBandwidth, BandwidthMatrix, KNNBandwidth, kth_distances
-from fieldloom.operators.spacetime import SpatiotemporalKDE
-from fieldloom.operators.spatial import SpatialKDE, integral, to_grid, with_wkt
-from fieldloom.sources.planar import Boundary, Events, Support
+from fieldloom.operators.spacetime import PairAsset, SpatiotemporalBandwidthExperiment, SpatiotemporalKDE
+from fieldloom.operators.spatial import Metric, SpatialKDE, integral, to_grid, with_wkt
+from fieldloom.sources.planar import Boundary, Events, Support, axis_count, fingerprint
 from fieldloom.sources.store import load, save
 from fieldloom.streaming.fields import field_sink, merged_field
 
@@ -240,3 +240,124 @@ def test_whole_tables_are_covered(spark, data):
     want = {r.vec_id: np.exp(((v - x) ** 2).sum(axis=1) / -8).mean() for r, x in zip(rows, v, strict=True)}
     got = {r.support_id: r.kernel_mean for r in QUERIES["embedding_kde_64d_all"](spark, data).collect()}
     assert got == pytest.approx(want, abs=2e-6)
+
+
+def frame(spark, rows, schema="x double"):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_rows_without_ids_stay_apart(spark):
+    repeated = Events.from_frame(frame(spark, [(0.0,), (0.0,), (1.0,)]), ("x",))
+    assert sorted(r.bandwidth for r in KNNBandwidth(1, minimum=0.1).resolve(repeated).collect()) == [0.1, 0.1, 1.0]
+    rows = Events.from_frame(frame(spark, [(0.0,), (0.0,), (1.0,), (3.0,)]), ("x",))
+    h = {}
+    for x in (0.0, 1.0, 3.0):
+        h[x] = sum(math.exp(-0.5 * (x - y) ** 2) for y in (0, 0, 1, 3)) / 4 / math.sqrt(2 * math.pi)
+    g = math.exp((2 * math.log(h[0.0]) + math.log(h[1.0]) + math.log(h[3.0])) / 4)
+    width = {x: min(5.0, max(0.2, (f / g) ** -0.5)) for x, f in h.items()}
+    want = sum(math.exp(-0.5 * (y / width[y]) ** 2) / width[y] for y in (0.0, 0.0, 1.0, 3.0)) / 4 / math.sqrt(2 * math.pi)
+    at = Support.points(frame(spark, [(0, 0.0)], "id long, x double"), ("x",), support_id="id")
+    assert SpatialKDE("gaussian", AbramsonBandwidth(1.0)).fit_evaluate(rows, at).first().density == pytest.approx(want)
+    same = Events.from_frame(frame(spark, [(1, 0.0), (1, 1.0)], "id long, x double"), ("x",), event_id="id")
+    with pytest.raises(ValueError, match="unique"):
+        KNNBandwidth(1).resolve(same)
+    assert not same.check(unique_ids=True).valid
+
+
+def test_missing_coordinates_end_the_search(spark):
+    rows = Events.from_frame(frame(spark, [(float(i),) for i in range(50)] + [(None,)]), ("x",))
+    with pytest.raises(ValueError):
+        KNNBandwidth(2).resolve(rows)
+    targets, sources = frame(spark, [(1, float("nan"))], "t long, tx double"), frame(spark, [(float(i),) for i in range(50)])
+    with pytest.raises(ValueError, match="finite"):
+        kth_distances(targets, sources, ["tx"], ["x"], "t", 2, brute_rows=1)
+
+
+def test_bounds_take_each_pair_once(spark):
+    rows = Events.from_frame(frame(spark, [(x,) for x in (0.0, 1.0, 3.0, 7.0, 7.5)]), ("x",))
+    row = selection.bandwidth_bounds(selection.pair_distances(rows)).first()
+    assert (row.lower, row.upper) == pytest.approx((0.145, 14.55))
+
+
+def test_axes_of_space_and_time_end_by_their_own_rules():
+    assert axis_count(499_000, 500_003, 100, close=True) == 10 and axis_count(499_000, 500_003, 100) == 11
+    assert axis_count(0, 1, 0.3) == 4 and axis_count(0, 1, 0.3, close=True) == 4 and axis_count(0, 1, 5) == 1
+
+
+def test_hashes_tell_nulls_columns_and_types_apart(spark):
+    one = frame(spark, [(None, 1), (2, 3)], "a int, b int")
+    assert fingerprint(one) == fingerprint(one.orderBy("b"))
+    for other in ([(1, None), (2, 3)], [(None, 1), (3, 2)], [(None, 1)]):
+        assert fingerprint(one) != fingerprint(frame(spark, other, "a int, b int"))
+    assert fingerprint(one) != fingerprint(frame(spark, [(None, 1), (2, 3)], "a long, b int"))
+    maps = frame(spark, [({"a": 1, "b": 2},)], "m map<string,int>")
+    assert fingerprint(maps) == fingerprint(frame(spark, [({"b": 2, "a": 1},)], "m map<string,int>"))
+
+
+def test_points_from_geometry(spark):
+    rows = Events.from_points(frame(spark, [("POINT (1 2.5)",), ("point(-3e1 4)",)], "geometry string"))
+    assert sorted((r.x, r.y) for r in rows.df.collect()) == [(-30.0, 4.0), (1.0, 2.5)]
+    with pytest.raises(ValueError):
+        Events.from_points(frame(spark, [("LINESTRING (0 0, 1 1)",)], "geometry string"))
+
+
+def test_matrix_bandwidths_are_renormalised_by_their_mass(spark):
+    h = ((9.0, 4.0), (4.0, 4.0))
+    box = (0.0, 0.0, 10.0, 8.0)
+    rows = Events.from_frame(frame(spark, [(1.0, 1.0), (9.0, 4.0)], "x double, y double"), ("x", "y"))
+    kde = SpatialKDE("gaussian", BandwidthMatrix(h), boundary=Boundary.rectangle(box), boundary_correction="renormalization")
+    assert integral(kde.fit_evaluate(rows, Support.grid(spark, box, 0.05)), "density") == pytest.approx(1.0, abs=2e-4)
+
+
+def test_metrics_corrections_and_tails_can_be_given(spark):
+    rows = Events.from_frame(frame(spark, [(0.0, 0.0), (2.0, 1.0)], "x double, y double"), ("x", "y"))
+    at = Support.points(frame(spark, [(0, 1.0, 1.0)], "id long, x double, y double"), ("x", "y"), support_id="id")
+    block = Metric("blocks", lambda a, b: (F.abs(a[0] - b[0]) + F.abs(a[1] - b[1])) ** 2, lambda a, b: (abs(a[0] - b[0]) + abs(a[1] - b[1])) ** 2)
+    want = (math.exp(-2) + math.exp(-0.5)) / 2 / (2 * math.pi)
+    for metric in (block, Metric("blocks", block.squared)):
+        assert SpatialKDE("gaussian", 1.0, metric=metric).fit_evaluate(rows, at).first().density == pytest.approx(want)
+
+    class Doubled:
+        name = "doubled"
+
+        def apply(self, fitted):
+            return fitted.rows.withColumn("a", F.col("a") * 2)
+
+    plain = SpatialKDE("gaussian", 1.0).fit_evaluate(rows, at).first().density
+    kde = SpatialKDE("gaussian", 1.0, boundary=Boundary.rectangle((-9, -9, 9, 9)), boundary_correction=Doubled())
+    assert kde.fit_evaluate(rows, at).first().density == pytest.approx(2 * plain)
+    assert SpatialKDE("gaussian", 1.0, tail_tolerance=1e-12).fit_evaluate(rows, at).first().density == pytest.approx(plain, rel=1e-9)
+    with pytest.raises(ValueError):
+        get_kernel("gaussian").check_values(frame(spark, [(-1.0,)]), "x", 2)
+
+
+def test_risk_needs_the_same_cells_and_estimators(spark):
+    cells = frame(spark, [(0, 1.0, 0.5), (1, 1.0, 0.5)], "support_id long, measure double, density double")
+    for other in (cells.where("support_id = 0"), cells.withColumn("measure", F.lit(2.0))):
+        with pytest.raises(ValueError, match="same cells"):
+            risk.relative_risk(cells, other)
+    for amounts in ([(0, 1.0)], [(0, 1.0), (1, -5.0)], [(0, 1.0), (1, 1.0), (1, 1.0)], [(0, 1.0), (1, 1.0), (2, 1.0)]):
+        with pytest.raises(ValueError):
+            risk.exposure_from_amounts(cells, frame(spark, amounts, "support_id long, n double"), "n")
+    tiny = cells.withColumn("density", F.when(F.col("support_id") == 0, 1.0 - 1e-310).otherwise(1e-310))
+    with pytest.raises(ValueError, match="overflows"):
+        risk.relative_risk(cells, tiny)
+    one, two = (risk.FieldView.of(cells, SpatialKDE("gaussian", h)) for h in (1.0, 2.0))
+    with pytest.raises(ValueError, match="bandwidths"):
+        risk.relative_risk(one, two)
+    found = risk.risk_summary(risk.relative_risk(one, one)).first()
+    assert (found.case_integral, found.control_weighted_mean, found.invalid) == (1.0, 1.0, 0)
+    grid = Support.grid(spark, (0, 0, 2, 2), 1.0)
+    risk.describe_support(grid).require_same(risk.describe_support(Support.grid(spark, (0, 0, 2, 2), 1.0)))
+    with pytest.raises(ValueError):
+        risk.describe_support(grid).require_same(risk.describe_support(Support.grid(spark, (0, 0, 2, 2), 0.5)))
+
+
+def test_pair_assets_give_the_same_scores_and_know_their_events(spark):
+    rows = Events.from_frame(frame(spark, [(i, i % 5 + 0.1 * i, 3.0 * i) for i in range(12)], "id long, x double, t double"), ("x",), event_id="id", time="t")
+    run = SpatiotemporalBandwidthExperiment((0.5, 1.0), (4.0, 9.0))
+    asset = PairAsset.of(rows)
+    a, b = ({(r.hs, r.ht): (r.score, r.spatial_score, r.temporal_score) for r in x.collect()} for x in (run.scores(rows), run.scores(rows, asset)))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-9) for k in a)
+    with pytest.raises(ValueError, match="other events"):
+        run.scores(Events.from_frame(rows.df.where("event_id < 9"), ("x",), event_id="event_id", time="time"), asset)
