@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import imatch, langid, quality, toxicity
+from fieldloom.llm import codes, divergence, imatch, langid, quality, toxicity
 from fieldloom.llm.bpe import ByteBPE, encoded
 from fieldloom.llm.common import read as read_table
 from fieldloom.llm.common import small_batches
@@ -17,6 +17,7 @@ from fieldloom.llm.html_text import extracted
 from fieldloom.llm.minhash import near_components
 from fieldloom.llm.mixing import mixed
 from fieldloom.llm.sharding import shard_plan
+from fieldloom.llm.simhash import simhash_components
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -165,12 +166,109 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_pairs(docs, imatch.lexicon(docs))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose fingerprints differ in three bits or fewer."""
+    return simhash_components(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ from one another, and by which terms from the language."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings: eight parts, sixteen entries, six rounds."""
+    coded, books = codes.compressed(read_table(spark, sf_dir, "embeddings"))
+    found = codes.with_label_error(coded).withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_language_id, op3_sharding, op4_toxicity, op5_minhash_near_dedup, op6_byte_bpe, op7_exact_dedup, op8_quality, op9_html_extraction, op10_fingerprints)
+    for f in (
+        op1_mixing, op2_language_id, op3_sharding, op4_toxicity, op5_minhash_near_dedup, op6_byte_bpe, op7_exact_dedup, op8_quality, op9_html_extraction, op10_fingerprints, op11_simhash_near_dedup, op12_source_divergence, op13_vector_codes,
+    )
 } | {"pipeline": corpus_pipeline.run}
 
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """SQL of op13_vector_codes: one pair of tables a round."""
+    steps = [
+        f"""k AS (
+            SELECT vec_id, label, embedding AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id NOT IN (
+                SELECT vec_id FROM (SELECT vec_id, unnest(embedding) AS c FROM embeddings) WHERE c IS NULL OR NOT isfinite(c))
+        ), x AS MATERIALIZED (
+            SELECT vec_id, (i - 1) // (len(e) // {parts}) AS part, (i - 1) % (len(e) // {parts}) AS place,
+                   CAST(floor(4096 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS c
+            FROM (SELECT vec_id, e, unnest(range(1, len(e) + 1)) AS i FROM k)
+        ), b0 AS MATERIALIZED (
+            SELECT part, entry, place, c FROM x
+            JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < {entries}) USING (vec_id)
+        )"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""d{r} AS (
+            SELECT vec_id, part, entry, CAST(sum((x.c - b.c) * (x.c - b.c)) AS BIGINT) AS d
+            FROM x JOIN b{r} b USING (part, place) GROUP BY vec_id, part, entry
+        ), a{r} AS MATERIALIZED (
+            SELECT vec_id, part, entry, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1
+        )"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""m{r} AS (
+            SELECT part, entry, place, sum(c)::BIGINT AS s, count(*) AS n FROM x JOIN a{r} USING (vec_id, part) GROUP BY part, entry, place
+        ), b{r + 1} AS MATERIALIZED (
+            SELECT part, entry, place, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c
+            FROM b{r} LEFT JOIN m{r} USING (part, entry, place)
+        )"""
+            )
+    steps.append(
+        f"""o AS (
+            SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+            FROM a{rounds} GROUP BY vec_id
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, place)) FROM b{rounds}) AS codebooks_sha256
+        FROM o JOIN k USING (vec_id)"""
+    )
+    return "WITH " + ", ".join(steps)
+
+
 ORACLES: dict[str, str] = {
+    "op13_vector_codes": _codes_sql(),
+    "op12_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+        l AS (SELECT lang, count(*) AS v, sum(lang_n)::BIGINT AS lang_total FROM kept GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        m AS (
+            SELECT lang, source, total, coalesce(v, 0) AS v, lang_total
+            FROM g LEFT JOIN (SELECT lang, source, sum(n)::BIGINT AS total FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN l USING (lang)
+        ), p AS (
+            SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 5) // (coalesce(total, 0) + 5 * v) AS p,
+                   1 + 1000000000 * (lang_n + 5) // (lang_total + 5 * v) AS q
+            FROM m JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)
+        ), pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+                SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+                FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+            ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        ), terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+        u AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+            FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+        )
+        SELECT lang, source, part, item, value, rank FROM u WHERE part = 'pair' OR rank <= 50
+    """,
     "op1_mixing": _mixing_sql(),
     "op7_exact_dedup": r"""
         WITH d AS (
