@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import without
+from fieldloom.llm.common import each, without
 
 LEAF = 24  # bytes encoded directly
 HELD = 100_000  # pieces kept by a worker in each of two generations
@@ -150,23 +150,23 @@ class ByteBPE:
 
         def encode(texts: pa.Array) -> pa.Array:
             run = _coder(shared, pattern).encode
-            return pa.array([run(t) for t in texts.to_pylist()], pa.binary())
+            return pa.array([run(t) for t in each(texts)], pa.binary())
 
         def decode(ids: pa.Array) -> pa.Array:
             run = _coder(shared, pattern).decode
-            return pa.array([run(v) for v in ids.to_pylist()], pa.binary())
+            return pa.array([run(v) for v in each(ids)], pa.binary())
 
         def unpack(ids: pa.Array) -> pa.Array:
-            values = [np.frombuffer(v, "<u4").astype(np.int32) for v in ids.to_pylist()]
+            values = [np.frombuffer(v, "<u4").astype(np.int32) for v in each(ids)]
             ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.empty(0, np.int32)])))
 
         def pack(ids: pa.Array) -> pa.Array:
-            return pa.array([np.array(v or [], "<u4").tobytes() for v in ids.to_pylist()], pa.binary())
+            return pa.array([np.array(v or [], "<u4").tobytes() for v in each(ids)], pa.binary())
 
         def both(texts: pa.Array) -> pa.Array:
             run = _coder(shared, pattern)
-            ids = [run.encode(t) for t in texts.to_pylist()]
+            ids = [run.encode(t) for t in each(texts)]
             parts = [pa.array(ids, pa.binary()), pa.array([run.decode(v) for v in ids], pa.binary())]
             return pa.StructArray.from_arrays(parts, ["token_ids", "decoded"])
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Hand Python at most so many rows at once: texts are long, and a worker's memory should not follow Spark's 10,000."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def each(column: pa.Array | pa.ChunkedArray) -> Iterator:
+    """The values of a column one at a time, so that Python holds one text besides the batch; Spark bounds a batch by
+    spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set."""
+    return (v.as_py() for v in column)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows, so that what is made of a batch is handed on piece by piece."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def scratch_dir(spark: SparkSession) -> str:

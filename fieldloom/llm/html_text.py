@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import without
+from fieldloom.llm.common import each, without
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -375,11 +375,11 @@ def main_text(page: str | None) -> str:
 
 
 def _text_column(pages: pa.Array) -> pa.Array:
-    return pa.array([main_text(p) for p in pages.to_pylist()], pa.string())
+    return pa.array([main_text(p) for p in each(pages)], pa.string())
 
 
 def _block_column(pages: pa.Array) -> pa.Array:
-    rows = [[{"text": b.text, "good": b.label == "good", "heading": b.heading} for b in blocks(p)] for p in pages.to_pylist()]
+    rows = [[{"text": b.text, "good": b.label == "good", "heading": b.heading} for b in blocks(p)] for p in each(pages)]
     kind = pa.list_(pa.struct([("text", pa.string()), ("good", pa.bool_()), ("heading", pa.bool_())]))
     return pa.array(rows, kind)
 

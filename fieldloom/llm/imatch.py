@@ -5,8 +5,9 @@ documents. A document's terms are its distinct lexicon terms in sorted order. Ra
 each of several rates, are fixed by a seed; a fingerprint is one hash per subset, over the document's terms in
 that subset. Two documents are as alike as the share of equal hashes, at the rate where subsets catch a term or two.
 
-A text with fewer than FEW lexicon terms is printed over all its terms, in or out of the lexicon, with the same subsets; a text
-without any term by a hash of itself. Only blank texts have a fingerprint of zeros.
+Texts of few lexicon terms are not told apart by these alone. So every fingerprint has a second, smaller half, made in the same way over the
+text's terms out of the lexicon, or over the text itself if it has no term. Both halves count in proportion to the terms that
+they stand for, a lexicon term as much as WEIGHT others. Only blank texts have a fingerprint of zeros.
 
 The band is set by shares of the number of documents, so the lexicon's size is bounded by
 (distinct terms of a mean document) / (lower share), however large the corpus: it can be broadcast.
@@ -25,11 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import stored
+from fieldloom.llm.common import each, stored, without
 
 RATES, SUBSETS = 10, 16  # rates 1, 1/2, ..., 1/512
 LOW, HIGH = 0.0005, 0.2  # shares of all documents
-FEW = 4  # fewer lexicon terms than these do not tell texts apart
+OTHERS = 16  # subsets of the second half
+WEIGHT = 2
 _HELD = 200_000
 
 
@@ -53,7 +55,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text in each(batch.column(0)):
             held.update(terms(text))
             if len(held) > _HELD:
                 yield emit()
@@ -78,25 +80,44 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _SALT = _mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _values(found: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in found], dtype=np.uint64)
+
+
+def _slots(values: np.ndarray, seed: int, subsets: int) -> np.ndarray:
+    """(terms, subsets): rate * subsets + subset for the finest rate at which a subset holds a term; coarser rates hold it as well."""
+    s = np.arange(subsets, dtype=np.uint64)
+    u = (_mix(values[:, None] ^ (np.uint64(seed * 1000003) + s)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    return (np.minimum(np.floor(-np.log2(np.maximum(u, 1e-300))), RATES - 1).astype(np.int16) * subsets + np.arange(subsets)).astype(np.int16)
+
+
+def _hashes(values: np.ndarray, slots: np.ndarray, subsets: int) -> np.ndarray:
+    """A hash for each rate and subset, the coarsest rate first, zero where it holds no term. The hash of a subset's sorted terms is the sum
+    of their mixed values, modulo 2^64, mixed again."""
+    mixed, slots, n = _mix(values[:, None] ^ _SALT[:subsets]).ravel(), slots.ravel(), RATES * subsets
+    # halves of 32 bits add up exactly as doubles, up to two million terms
+    low = np.bincount(slots, (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), n).astype(np.uint64)
+    high = np.bincount(slots, (mixed >> np.uint64(32)).astype(np.float64), n).astype(np.uint64)
+    sums = (low + (high << np.uint64(32))).reshape(RATES, subsets)
+    sizes = np.bincount(slots, minlength=n).reshape(RATES, subsets)
+    sums, sizes = (np.cumsum(x[::-1], axis=0, dtype=x.dtype)[::-1] for x in (sums, sizes))
+    return np.where(sizes > 0, (_mix(sums) >> np.uint64(32)) | np.uint64(1), np.uint64(0))
+
+
 @dataclass
 class Lexicon:
     """Sorted terms with their values and, for each subset, the slot of the finest rate at which it holds them."""
 
     terms: list[str]
     values: np.ndarray
-    slots: np.ndarray  # (terms, SUBSETS): rate * SUBSETS + subset; coarser rates hold the term as well
-
+    slots: np.ndarray
     seed: int = 1
     key: str = field(default_factory=lambda: uuid.uuid4().hex)  # tells lexicons apart in workers that stay
 
     @classmethod
     def of(cls, found: list[str], seed: int = 1) -> Lexicon:
-        values = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in found], dtype=np.uint64)
-        cols = []
-        for s in range(SUBSETS):
-            u = (_mix(values ^ np.uint64(seed * 1000003 + s)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-            cols.append(np.minimum(np.floor(-np.log2(np.maximum(u, 1e-300))), RATES - 1).astype(np.int16) * SUBSETS + s)
-        return cls(found, values, np.stack(cols, axis=1).astype(np.int16), seed)
+        values = _values(found)
+        return cls(found, values, _slots(values, seed, SUBSETS), seed)
 
 
 class Printer:
@@ -107,65 +128,67 @@ class Printer:
         self.place = {t: i for i, t in enumerate(lex.terms)}
         self.last: tuple[str, str] = ("", "")
 
-    def places(self, text: str) -> np.ndarray:
-        """Rows of the lexicon that the text holds, sorted."""
-        rows = set(map(self.place.get, terms(text)))
-        rows.discard(None)
-        return np.array(sorted(rows), dtype=np.int64)
-
     def fingerprint(self, text: str | None) -> str:
-        """RATES * SUBSETS hashes of 8 hex digits, the finest rate last; zeros where a subset holds no term of the text.
-        With fewer than FEW lexicon terms all terms of the text count; without any term the text itself is the term.
-
-        The hash of a subset's sorted terms is the sum of their mixed values, modulo 2^64.
-        """
+        """RATES * SUBSETS hashes of 8 hex digits over the lexicon terms of the text, then RATES * OTHERS of 4 over its other terms, or over
+        the text without white space if it has no term; the finest rate last, zeros where a subset holds no term."""
         text = text or ""
         if text == self.last[0] and self.last[1]:
             return self.last[1]
-        at = self.places(text)
-        lex = self.lex
-        if len(at) < FEW and (own := sorted(terms(text)) or ["".join(text.split())]) != [""]:
-            lex, at = Lexicon.of(own, lex.seed), np.arange(len(own))
-        mixed = _mix(lex.values[at][:, None] ^ _SALT).ravel()
-        slots = lex.slots[at].ravel()
-        n = RATES * SUBSETS
-        # halves of 32 bits add up exactly as doubles, up to two million terms
-        low = np.bincount(slots, (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), n).astype(np.uint64)
-        high = np.bincount(slots, (mixed >> np.uint64(32)).astype(np.float64), n).astype(np.uint64)
-        sums = (low + (high << np.uint64(32))).reshape(RATES, SUBSETS)
-        sizes = np.bincount(slots, minlength=n).reshape(RATES, SUBSETS)
-        sums, sizes = (np.cumsum(x[::-1], axis=0, dtype=x.dtype)[::-1] for x in (sums, sizes))
-        made = np.where(sizes > 0, (_mix(sums) >> np.uint64(32)) | np.uint64(1), np.uint64(0)).astype(">u4").tobytes().hex()
+        found = terms(text)
+        own = sorted(t for t in found if t not in self.place)
+        if not found and (bare := "".join(text.split())):
+            own = [bare]
+        at = np.array(sorted(self.place[t] for t in found if t in self.place), dtype=np.int64)
+        first = _hashes(self.lex.values[at], self.lex.slots[at], SUBSETS)
+        values = _values(own)
+        second = _hashes(values, _slots(values, self.lex.seed, OTHERS), OTHERS) & np.uint64(0xFFFF)
+        made = first.astype(">u4").tobytes().hex() + second.astype(">u2").tobytes().hex()
         self.last = (text, made)
         return made
 
 
+def _half(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The largest share of equal hashes over the rates, and a number that grows with the terms that both stand for. Subsets without terms on
+    either side do not count, and a rate needs half of its subsets to count."""
+    some = ((x | y) != 0).sum(axis=1)
+    same = ((x == y) & (x != 0)).sum(axis=1)
+    share = np.where(2 * some >= x.shape[1], same / np.maximum(some, 1), 0.0).max()
+    return float(share), 2.0 ** (some.sum() / x.shape[1]) - 1
+
+
 def likeness(a: str, b: str) -> float:
-    """The largest share of equal hashes over the rates; subsets without terms on either side do not count, and a rate needs
-    half of its subsets to count. Without such a rate: 1 if the fingerprints are equal, else 0."""
+    """How alike the halves of two fingerprints are, in proportion to the terms that they stand for; 1 if the fingerprints are equal."""
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(v), ">u4").reshape(-1, SUBSETS) for v in (a, b))
-    some = ((x | y) != 0).sum(axis=1)
-    same = ((x == y) & (x != 0)).sum(axis=1)
-    return float(np.where(2 * some >= SUBSETS, same / np.maximum(some, 1), 0.0).max())
+    n = RATES * SUBSETS * 8
+    (s, m), (t, k) = (
+        _half(*(np.frombuffer(bytes.fromhex(v[part]), kind).reshape(RATES, -1) for v in (a, b))) for part, kind in ((slice(0, n), ">u4"), (slice(n, None), ">u2"))
+    )
+    return float((WEIGHT * m * s + k * t) / (WEIGHT * m + k))
 
 
 _PRINTERS: dict[str, Printer] = {}
 
 
+SAMPLED = 20
+
+
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_block: int = 2000) -> DataFrame:
     """(id, text, next_text): each document with the next in ascending id; the last with the first. Nulls count as empty.
 
-    Ids are cut into blocks at approximate quantiles; inside a block the next row is a window's, and the last row of
-    a block takes the first text of the next block. Null ids come first; rows that repeat an id follow one another in
-    the order of their texts.
+    Ids, of any type that has an order, are cut into blocks at quantiles of a sample, about SAMPLED ids a block, by a hash of the id; inside
+    a block the next row is a window's, and the last row of a block takes the first text of the next block. Null ids come first; rows that repeat an id follow one another in
+    the order of their texts. Texts of any length are taken whole; other columns are left out. An empty table gives an empty result.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     n = rows.count()
     parts = max(1, min(10_000, n // per_block))
-    cuts = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"] if parts > 1 else None
-    cuts = sorted(set(cuts or []))
+    cuts = []
+    if parts > 1:
+        every = max(1, n // (SAMPLED * parts))
+        sample = rows.select("id").where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).distinct()
+        found = [r["id"] for r in sample.orderBy("id").collect()]  # some SAMPLED * parts ids
+        cuts = [found[i] for i in sorted({i * len(found) // parts for i in range(1, parts)} - {0})]
     block = F.lit(0)
     if cuts:
         # binary search over the cuts, as array arithmetic: how many cuts are not above the id
@@ -198,8 +221,9 @@ def _halve(acc, edges):
 
 
 def fingerprints(docs: DataFrame, lex: list[str], *, text_cols: tuple[str, ...] = ("text",), seed: int = 1) -> DataFrame:
-    """docs with fingerprint_<column> for each text column. A null text counts as empty; the fingerprint of a blank text is
-    all zeros, and of no other."""
+    """docs with fingerprint_<column> for each text column; a column of docs that is named like that is replaced. A null text counts as empty;
+    the fingerprint of a blank text is all zeros, and of no other. Texts of any length count as a whole, repeated rows one by one, and an
+    empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(Lexicon.of(lex, seed))
 
     def run(texts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -220,16 +244,16 @@ def fingerprints(docs: DataFrame, lex: list[str], *, text_cols: tuple[str, ...]
     kind = ", ".join(f"f{i} string" for i in range(len(text_cols)))
     if len(text_cols) == 1:
         single.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        made = F.arrow_udf(single, kind)(F.col(text_cols[0]))
+        made = F.arrow_udf(single, kind)(F.col(f"`{text_cols[0]}`"))
     else:
         run.__annotations__ = {"texts": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
-        made = F.arrow_udf(run, kind)(*[F.col(c) for c in text_cols])
-    names = [F.col(f"`{c}`") for c in docs.columns]
+        made = F.arrow_udf(run, kind)(*[F.col(f"`{c}`") for c in text_cols])
+    names = [F.col(f"`{c}`") for c in without(docs, *(f"fingerprint_{c}" for c in text_cols)).columns]
     return docs.select(*names, made.alias("__f")).select(*names, *[F.col(f"__f.f{i}").alias(f"fingerprint_{c}") for i, c in enumerate(text_cols)])
 
 
 def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([likeness(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+    return pa.array([likeness(x, y) for x, y in zip(each(a), each(b), strict=True)], pa.float64())
 
 
 def like(a: str, b: str):

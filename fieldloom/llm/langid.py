@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import without
+from fieldloom.llm.common import each, without
 
 ORDER = 4
 SAMPLE = 400
@@ -60,7 +60,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for lang, text in zip(each(batch.column(0)), each(batch.column(1)), strict=True):
             data = _padded(text or "")
             for depth in range(ORDER + 1):
                 held.setdefault((lang, depth), []).append(_grams(data, depth))
@@ -264,7 +264,8 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
             _SCORERS.clear()
             _SCORERS[model_now.key] = _Scorer(model_now)
         for batch in texts:
-            yield found(batch.to_pylist(), _SCORERS[model_now.key])
+            parts = [found(batch.slice(i, 500).to_pylist(), _SCORERS[model_now.key]) for i in range(0, len(batch), 500)]
+            yield pa.concat_arrays(parts) if parts else found([], _SCORERS[model_now.key])
 
     column.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     score = F.arrow_udf(column, "lang_pred string, score double, bits_per_byte double")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import ROW, Scratch, checkpointed, checkpointed_any, row_keyed, stored
+from fieldloom.llm.common import ROW, Scratch, checkpointed, checkpointed_any, each, row_keyed, slices, stored
 
 ROWS, BANDS = 5, 26  # a pair of similarity 0.85 shares no band with probability 3e-7
 STEP = 1.05  # sizes of one bucket differ by less than this factor
@@ -98,9 +98,9 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def _sketch(k: int, rows: int, n_bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, keys, found = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in each(batch.column(1)):
                 s = shingle_set(text, k)
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -115,8 +115,8 @@ def _sketch(k: int, rows: int, n_bands: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, k).tobytes() for t in batch.column(1).to_pylist()]
+        for batch in slices(batches):
+            sets = [shingle_set(t, k).tobytes() for t in each(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
     return run

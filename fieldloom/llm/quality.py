@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import stored, without
+from fieldloom.llm.common import each, stored, without
 
 SAMPLE = 3000
 _SIGNS = [ord(c) for c in "!#$%&*|<>{}=_~^@"]
@@ -103,7 +103,7 @@ def train(
 
 
 def _feature_column(texts: pa.Array) -> pa.Array:
-    return pa.array([features(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+    return pa.array([features(t) for t in each(texts)], pa.list_(pa.float64()))
 
 
 def _evidence(net: Classifier, text: Column, spark) -> Column:
@@ -111,9 +111,9 @@ def _evidence(net: Classifier, text: Column, spark) -> Column:
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            x = np.array([features(t) for t in batch.to_pylist()]).reshape(-1, _FEATURES)
+            x = np.array([features(t) for t in each(batch)]).reshape(-1, _FEATURES)
             found = shared.value.evidence(x)
-            found[[not t for t in batch.to_pylist()]] = 0.0
+            found[[not t for t in each(batch)]] = 0.0
             yield pa.array(found, pa.float64())
 
     run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}

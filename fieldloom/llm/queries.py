@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from fieldloom.llm import codes, divergence, imatch, langid, quality, toxicity
 from fieldloom.llm.bpe import ByteBPE, encoded
-from fieldloom.llm.common import read as read_table
-from fieldloom.llm.common import small_batches
+from fieldloom.llm.common import read
 from fieldloom.llm.exact_dedup import exact_groups
 from fieldloom.llm.html_text import extracted
 from fieldloom.llm.minhash import near_components
@@ -20,12 +19,6 @@ from fieldloom.llm.sharding import shard_plan
 from fieldloom.llm.simhash import simhash_components
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table, with the session set for long texts."""
-    small_batches(spark)
-    return read_table(spark, sf_dir, table)
-
-
 MIX_LEVELS = ("domain", "lang", "source")
 MIX_WEIGHTS = {"domain": {"d0": 5.0, "d1": 3.0, "d2": 2.0}, "lang": {"en": 4.0, "fr": 3.0, "de": 2.0, "es": 1.0}, "source": {"src0": 3.0}}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 2, 17
@@ -162,23 +155,22 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I-Match fingerprints of every document and of its edited text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    small_batches(spark, 64)  # each row holds three texts
     return imatch.edited_pairs(docs, imatch.lexicon(docs))
 
 
 def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose fingerprints differ in three bits or fewer."""
-    return simhash_components(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash_components(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the sources of each language differ from one another, and by which terms from the language."""
-    return divergence.audit(read_table(spark, sf_dir, "documents"))
+    return divergence.audit(read(spark, sf_dir, "documents"))
 
 
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product codes of all embeddings: eight parts, sixteen entries, six rounds."""
-    coded, books = codes.compressed(read_table(spark, sf_dir, "embeddings"))
+    coded, books = codes.compressed(read(spark, sf_dir, "embeddings"))
     found = codes.with_label_error(coded).withColumn("codebooks_sha256", F.lit(codes.digest(books)))
     return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
 

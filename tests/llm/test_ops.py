@@ -656,7 +656,7 @@ def test_next_document(spark, docs, per_block):
 def test_fingerprints_on_odd_rows(odd):
     lex = imatch.lexicon(odd)
     assert imatch.edited_pairs(odd, lex).count() == len(ODD) and imatch.edited_pairs(odd.limit(0), lex).count() == 0
-    assert imatch.likeness("0" * 1280, "0" * 1280) == 1.0
+    assert imatch.likeness("0" * 1920, "0" * 1600) == 1.0
 
 
 def test_texts_outside_the_lexicon_are_told_apart():
@@ -664,13 +664,83 @@ def test_texts_outside_the_lexicon_are_told_apart():
     rare = " ".join(f"rare{i}" for i in range(40))
     texts = ["This.", "Re.", "Lllldoado.", "!!! ???", "... ---", "known this", "known that", rare, " ".join(f"odd{i}" for i in range(40))]
     prints = [printer.fingerprint(t) for t in texts]
-    assert "0" * 1280 not in prints
+    assert "0" * 1920 not in prints
     for a, b in itertools.combinations(prints, 2):
         assert imatch.likeness(a, b) < 0.8
     assert max(imatch.likeness(a, b) for a, b in itertools.combinations(prints[:5], 2)) == 0
     assert imatch.likeness(prints[-2], prints[-1]) == 0 and imatch.likeness(prints[0], printer.fingerprint("this")) == 1
     assert imatch.likeness(printer.fingerprint(rare), printer.fingerprint(rare.replace("rare39", "new"))) > 0.8
-    assert {printer.fingerprint(t) for t in (None, "", " \n")} == {"0" * 1280}
+    assert {printer.fingerprint(t) for t in (None, "", " \n")} == {"0" * 1920}
+
+
+def plain_print(text, lex, seed=1):
+    """(rate, subset) to the set of terms, of both halves, by the definition."""
+    found = imatch.terms(text)
+    known = {t for t in found if t in lex}
+    rest = found - known or ({"".join((text or "").split())} - {""} if not found else set())
+    halves = []
+    for some, n in ((known, imatch.SUBSETS), (rest, imatch.OTHERS)):
+        held = {}
+        for t in some:
+            finest = imatch._slots(imatch._values([t]), seed, n)[0]
+            for s in range(n):
+                for rate in range(int(finest[s]) // n + 1):
+                    held.setdefault((rate, s), set()).add(t)
+        halves.append((held, n))
+    return halves
+
+
+def plain_likeness(a, b):
+    total = weights = 0.0
+    for (x, n), (y, _), w in zip(a, b, (imatch.WEIGHT, 1)):
+        best = size = 0.0
+        for rate in range(imatch.RATES):
+            some = [s for s in range(n) if (rate, s) in x or (rate, s) in y]
+            same = [s for s in some if x.get((rate, s)) == y.get((rate, s))]
+            size += len(some) / n
+            if 2 * len(some) >= n:
+                best = max(best, len(same) / len(some))
+        m = w * (2**size - 1)
+        total, weights = total + m * best, weights + m
+    return total / weights
+
+
+def test_likeness_matches_sets_of_terms(docs):
+    lex = imatch.lexicon(docs)
+    known, printer = set(lex), imatch.Printer(imatch.Lexicon.of(lex))
+    texts = [r.text for r in docs.orderBy("doc_id").limit(40).collect()] + ["This.", "!!! ???", "known this", " ".join(lex[:3]), " ".join(lex[:4])]
+    pairs = list(zip(texts, texts[1:])) + [(t, t[: len(t) * 3 // 4] + " other words") for t in texts]
+    for a, b in pairs:
+        if printer.fingerprint(a) == printer.fingerprint(b):
+            assert plain_print(a, known) == plain_print(b, known)
+        else:  # 16 bits of a hash may meet by chance
+            assert imatch.likeness(printer.fingerprint(a), printer.fingerprint(b)) == pytest.approx(plain_likeness(plain_print(a, known), plain_print(b, known)), abs=0.02)
+
+
+def test_no_number_of_lexicon_terms_changes_the_likeness_of_near_copies():
+    lex = [f"term{i}" for i in range(50)]
+    printer = imatch.Printer(imatch.Lexicon.of(lex))
+    others = [f"other{i}" for i in range(60)]
+    for n in range(12):
+        text = " ".join(lex[:n] + others)
+        more, word = (imatch.likeness(printer.fingerprint(text), printer.fingerprint(f"{text} {w}")) for w in (lex[n], "new"))
+        assert more > 0.75 and word > 0.75
+
+
+@pytest.mark.parametrize("n,per_block", [(5000, 1000), (300, 7)])
+def test_ids_may_be_text(spark, n, per_block):
+    some = spark.range(n).select(F.concat(F.lit("d"), F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("own").alias("fingerprint_text"))
+    got = {r.id: r.next_text for r in imatch.with_next(some, per_block=per_block).collect()}
+    order = sorted(got)
+    assert len(order) == n and all(got[a] == f"text {b[1:]}" for a, b in zip(order, order[1:] + order[:1]))
+    assert imatch.fingerprints(some.limit(3), ["text"]).select("fingerprint_text").where("fingerprint_text = 'own'").count() == 0
+
+
+def test_queries_leave_the_session_alone(spark, data):
+    before = dict(spark.conf.getAll)
+    for name in ("op9_html_extraction", "op10_fingerprints", "op11_simhash_near_dedup", "op13_vector_codes"):
+        QUERIES[name](spark, data)
+    assert dict(spark.conf.getAll) == before
 
 
 def test_hypergeometric_law():
