@@ -1,18 +1,20 @@
-"""Heat on one tile of a network: the inverse Laplace transform of resolvents, in numpy.
+"""Heat on a network: the inverse Laplace transform of resolvents, in numpy.
 
-exp(-t M^-1 S) M^-1 s is a sum over a parabolic contour of solutions x of (z M + S) x = s. Mesh nodes inside edges form chains; they are
-eliminated edge by edge, which leaves a system of the junctions. That is solved densely if small, else by blocks of breadth-first
-levels, which only touch their neighbours. The steps do not depend on how short the mesh segments are.
+exp(-t M^-1 S) M^-1 s is a sum over a parabolic contour of solutions x of (z M + S) x = s, for some z. Mesh nodes inside edges form chains.
+A chain is eliminated on its own, for all z: what is left of it are three numbers for its ends, and what its sources give to the ends. The
+system of the ends (junctions) is solved densely if small, else by blocks of breadth-first levels, which only touch their
+neighbours. Then each chain gets its own heat back from that of its ends. Short mesh segments cost no steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 
 POINTS = 28  # of the upper half of the contour: errors near 1e-12 of the largest value
-DENSE, HELD = 256, 1 << 21  # junctions solved densely; complex numbers held at once
+DENSE, HELD = 256, 1 << 18  # junctions solved densely; complex numbers of an array held at once
 
 
 def contour(t: float, n: int = POINTS) -> tuple[np.ndarray, np.ndarray]:
@@ -23,33 +25,88 @@ def contour(t: float, n: int = POINTS) -> tuple[np.ndarray, np.ndarray]:
     return z, step * np.exp(z * t) * 2j * mu * (1j * u + 1) / (np.pi * 1j)
 
 
-@dataclass
-class Chains:
-    """Edges with about as many inner nodes, side by side: ends u and v (junctions), conductances k from u to v, inner nodes (-1
-    beyond the last) and how many there are."""
+def contours(times: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """The points and weights of all times, one after the other."""
+    z, weight = zip(*map(contour, times), strict=True)
+    return np.concatenate(z), np.concatenate(weight)
+
 
-    u: np.ndarray
-    v: np.ndarray
-    k: np.ndarray  # (edges, most + 1)
-    inner: np.ndarray  # (edges, most)
-    count: np.ndarray
+def summed(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """(..., points) to (..., times)."""
+    return (x * weight).real.reshape(*x.shape[:-1], -1, POINTS).sum(axis=-1)
 
 
-def chains(u: np.ndarray, v: np.ndarray, first: np.ndarray, count: np.ndarray, size: np.ndarray, inner: np.ndarray) -> list[Chains]:
-    """Edges grouped by their number of inner nodes, by powers of two. Segments of an edge stand together from `first`; inner holds the
-    node at the right end of each segment."""
-    out = []
-    grade = np.where(count > 0, np.ceil(np.log2(np.maximum(count, 1))).astype(int), -1)
+@dataclass
+class Chains:
+    """Chains side by side, of up to `most` inner nodes each, eliminated for all z; arrays are (inner node, chain, z)."""
+
+    k: np.ndarray  # (chain, most + 1): conductances, zero beyond the last
+    count: np.ndarray  # inner nodes
+    along: np.ndarray  # (most - 1, chain, 1)
+    f: np.ndarray
+    local: np.ndarray  # of the inverse with both ends held at zero
+    alpha: np.ndarray  # what a unit at the first end gives to the inner nodes
+    beta: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: list[np.ndarray], z: np.ndarray) -> Chains:
+        """Chains from the lengths of their segments."""
+        n, count = len(sizes), np.array([len(x) - 1 for x in sizes])
+        most = int(count.max())
+        length = np.full((n, most + 1), np.inf)
+        for i, x in enumerate(sizes):
+            length[i, : len(x)] = x
+        k, there = 1 / length, (np.arange(most) < count[:, None]).T
+        left, right = k[:, :-1].T, np.where(there, k[:, 1:].T, 0.0)
+        mass = np.where(there, (length[:, :-1] + length[:, 1:]).T / 2, 1.0)
+        d = np.where(there[..., None], z * mass[..., None] + (left + right)[..., None], 1.0)
+        along = np.where(there[1:], k[:, 1:-1].T, 0.0)[..., None]
+        f, back, alpha, beta = d.copy(), d.copy(), np.zeros_like(d), np.zeros_like(d)
+        for i in range(1, most):
+            f[i] -= along[i - 1] ** 2 / f[i - 1]
+        for i in range(most - 2, -1, -1):
+            back[i] -= along[i] ** 2 / back[i + 1]
+        alpha[0] = left[0][:, None] / back[0]
+        for i in range(1, most):
+            alpha[i] = alpha[i - 1] * along[i - 1] / back[i]
+        ends = np.zeros((most, n, 1))
+        ends[count - 1, np.arange(n), 0] = k[np.arange(n), count]
+        beta[-1] = ends[-1] / f[-1]
+        for i in range(most - 2, -1, -1):
+            beta[i] = (ends[i] + along[i] * beta[i + 1]) / f[i]
+        return cls(k, count, along, f, 1 / (f + back - d), alpha, beta)
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(chain, z): what the ends are to themselves and to one another once the inner nodes are gone."""
+        every = np.arange(len(self.count))
+        first, last = self.k[:, :1], self.k[every, self.count][:, None]
+        return first * (1 - self.alpha[0]), -first * self.beta[0], last * (1 - self.beta[self.count - 1, every])
+
+    def driven(self, chain: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """(inner node, row, z): heat of inner nodes with both ends held at zero, from sources (inner node, row) of a chain for each row."""
+        f, along = self.f[:, chain], self.along[:, chain]
+        p = np.repeat(given.astype(complex)[..., None], f.shape[2], axis=2)
+        for i in range(1, len(p)):
+            p[i] += along[i - 1] / f[i - 1] * p[i - 1]
+        p[-1] /= f[-1]
+        for i in range(len(p) - 2, -1, -1):
+            p[i] = (p[i] + along[i] * p[i + 1]) / f[i]
+        return p
+
+    def drives(self, chain: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, z): what driven heat gives to either end."""
+        rows = np.arange(len(chain))
+        return self.k[chain, :1] * p[0], self.k[chain, self.count[chain]][:, None] * p[self.count[chain] - 1, rows]
+
+
+def batches(counts: np.ndarray, points: int) -> Iterator[np.ndarray]:
+    """Places of chains with about as many inner nodes, by powers of two, few enough to be held at once."""
+    grade = np.ceil(np.log2(np.maximum(counts, 1))).astype(int)
     for g in np.unique(grade):
         at = np.flatnonzero(grade == g)
-        most = int(count[at].max())
-        place = first[at][:, None] + np.arange(most + 1)
-        inside = np.arange(most + 1) <= count[at][:, None]
-        place = np.minimum(place, len(size) - 1)
-        k = np.where(inside, 1 / size[place], 0.0)
-        nodes = np.where(np.arange(most) < count[at][:, None], inner[place[:, :most]], -1)
-        out.append(Chains(u[at], v[at], k, nodes, count[at]))
-    return out
+        few = max(1, HELD // (points << int(g)))
+        for i in range(0, len(at), few):
+            yield at[i : i + few]
 
 
 def _levels(n: int, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
@@ -134,72 +191,22 @@ class _Junctions:
         return out
 
 
-def solve(groups: list[Chains], n_junctions: int, mass: np.ndarray, sources: np.ndarray, times: list[float], own: bool = False):
-    """Nodal heat of each time, (times, nodes, sources), from nodal sources (nodes, sources); and, if own, what a unit source at each node
-    leaves there, (times, nodes). The first n_junctions nodes are junctions."""
-    n, width = sources.shape
-    heat, self_heat = np.zeros((len(times), n, width)), np.zeros((len(times), n))
-    a, b = (np.concatenate([getattr(g, x) for g in groups]) for x in ("u", "v"))
-    junctions = _Junctions(n_junctions, _levels(n_junctions, a, b) if n_junctions > DENSE else [np.arange(n_junctions)])
-    for when, t in enumerate(times):
-        for z, weight in zip(*contour(t), strict=True):
-            row, col, value = [np.arange(n_junctions)], [np.arange(n_junctions)], [z * mass[:n_junctions]]
-            rhs = sources[:n_junctions].astype(complex)
-            kept = []
-            for g in groups:
-                last = g.k[np.arange(len(g.u)), g.count]
-                if g.inner.shape[1] == 0:
-                    uu = vv = g.k[:, 0].astype(complex)
-                    uv = -uu
-                    kept.append(None)
-                else:
-                    there = g.inner >= 0
-                    m = np.where(there, mass[g.inner], 1.0)
-                    left, right = g.k[:, :-1], np.where(there, g.k[:, 1:], 0.0)
-                    d = np.where(there, z * m + left + right, 1.0)
-                    along = np.where(there[:, 1:], g.k[:, 1:-1], 0.0)  # between inner neighbours
-                    f, back = d.copy(), d.copy()
-                    for i in range(1, d.shape[1]):
-                        f[:, i] -= along[:, i - 1] ** 2 / f[:, i - 1]
-                    for i in range(d.shape[1] - 2, -1, -1):
-                        back[:, i] -= along[:, i] ** 2 / back[:, i + 1]
-                    alpha, beta = np.zeros_like(d), np.zeros_like(d)
-                    p = np.where(there[..., None], sources[g.inner], 0.0).astype(complex)
-                    ends = np.zeros_like(d)
-                    ends[np.arange(len(g.u)), g.count - 1] = last
-                    alpha[:, 0] = g.k[:, 0] / back[:, 0]
-                    for i in range(1, d.shape[1]):
-                        alpha[:, i] = alpha[:, i - 1] * along[:, i - 1] / back[:, i]
-                        p[:, i] += (along[:, i - 1] / f[:, i - 1])[:, None] * p[:, i - 1]
-                    beta[:, -1] = ends[:, -1] / f[:, -1]
-                    p[:, -1] /= f[:, -1][:, None]
-                    for i in range(d.shape[1] - 2, -1, -1):
-                        beta[:, i] = (ends[:, i] + along[:, i] * beta[:, i + 1]) / f[:, i]
-                        p[:, i] = (p[:, i] + along[:, i][:, None] * p[:, i + 1]) / f[:, i][:, None]
-                    end = g.count - 1
-                    at_end = np.arange(len(g.u)), end
-                    uu, uv, vv = g.k[:, 0] * (1 - alpha[:, 0]), -g.k[:, 0] * beta[:, 0], last * (1 - beta[at_end])
-                    np.add.at(rhs, g.u, g.k[:, 0][:, None] * p[:, 0])
-                    np.add.at(rhs, g.v, last[:, None] * p[at_end])
-                    kept.append((there, alpha, beta, p, 1 / (f + back - d)))
-                row += [g.u, g.v, g.u, g.v]
-                col += [g.u, g.v, g.v, g.u]
-                value += [uu, vv, uv, uv]
-            junctions.factor(np.concatenate(row), np.concatenate(col), np.concatenate(value))
-            x = junctions.solve(rhs)
-            heat[when, :n_junctions] += (weight * x).real
-            if own:
-                junctions.selected()
-                every = np.arange(n_junctions)
-                self_heat[when, :n_junctions] += (weight * junctions.entries(every, every)).real
-            for g, parts in zip(groups, kept, strict=True):
-                if parts is None:
-                    continue
-                there, alpha, beta, p, local = parts
-                found = p + alpha[..., None] * x[g.u][:, None] + beta[..., None] * x[g.v][:, None]
-                heat[when, g.inner[there]] += (weight * found[there]).real
-                if own:
-                    guu, gvv, guv = (junctions.entries(*e)[:, None] for e in ((g.u, g.u), (g.v, g.v), (g.u, g.v)))
-                    mine = local + alpha**2 * guu + beta**2 * gvv + 2 * alpha * beta * guv
-                    self_heat[when, g.inner[there]] += (weight * mine[there]).real
-    return heat, self_heat
+def solve(
+    a: np.ndarray, b: np.ndarray, ends: tuple[np.ndarray, np.ndarray, np.ndarray], mass: np.ndarray, sources: np.ndarray, z: np.ndarray, own: bool = False
+) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Solutions (junctions, keys, z) from sources (junctions, keys, z); if own, the inverse at each junction (junctions, z) and between the
+    ends of each chain (chains, z) as well. Chains lead from a to b, with ends (chains, z) each."""
+    n = len(mass)
+    junctions = _Junctions(n, _levels(n, a, b) if n > DENSE else [np.arange(n)])
+    every = np.arange(n)
+    row, col = np.concatenate([every, a, b, a, b]), np.concatenate([every, a, b, b, a])
+    out = np.zeros(sources.shape, complex)
+    self_heat, cross = (np.zeros((n, len(z)), complex), np.zeros((len(a), len(z)), complex)) if own else (None, None)
+    for i, at in enumerate(z):
+        uu, uv, vv = (e[:, i] for e in ends)
+        junctions.factor(row, col, np.concatenate([at * mass, uu, vv, uv, uv]))
+        out[:, :, i] = junctions.solve(sources[:, :, i])
+        if own:
+            junctions.selected()
+            self_heat[:, i], cross[:, i] = junctions.entries(every, every), junctions.entries(a, b)
+    return out, self_heat, cross

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.functions.kernels import get_kernel
 from fieldloom.functions.time import CyclicTime, LinearTime
 from fieldloom.operators import heat
 from fieldloom.operators import network_selection as selection
@@ -17,6 +18,7 @@ from fieldloom.operators.network import (
     NetworkTimeKNNBandwidth,
     TemporalNetworkKDE,
     components,
+    kernel_from_stretches,
     location_distances,
     propagate,
     traversal,
@@ -323,3 +325,64 @@ def test_checks_of_places_and_lixels(spark):
     field = NetworkKDE(bandwidth=1.0, policy=rule).evaluate(Network.shape(spark, "cross"), spark.createDataFrame([(0, 0, 0.5, 1.0)], EVENT), Network.shape(spark, "cross").lixels(0.5))
     got = {r.edge_index: r.density for r in field.where("start_offset = 0").collect()}
     assert math.isclose(got[1], 0.5 * 0.75 * (1 - 0.75**2)) and got[1] == got[2] == got[3]
+
+
+@pytest.mark.parametrize("policy", ["discontinuous", "continuous"])
+def test_merged_paths_carry_the_sum_of_all_paths(spark, policy):
+    net = Network.grid(spark, 8, 8, 1.0)
+    at = spark.createDataFrame([(0, 40, 0.25), (1, 40, 0.0)], "source int, edge_index long, offset double")
+    places = net.lixels(0.5).select(F.col("lixel_id").alias("target"), "edge_index", F.col("center_offset").alias("offset"))
+    kernel, h = get_kernel("epanechnikov"), 5.0
+
+    def values(found):
+        return {(r.source, r.target): r.k for r in kernel_from_stretches(found.withColumn("h", F.lit(h)), places, kernel, F.col("h")).collect()}
+
+    one, all_paths = (propagate(net, at, h, policy=policy, merged=m) for m in (True, False))
+    n, many = (x.where("source = 0").count() for x in (one, all_paths))
+    assert n < many / (4 if policy == "continuous" else 1.5)
+    want = values(all_paths)
+    got = values(one)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-10) for k in want)
+
+
+def test_far_propagation_is_polynomial(spark):
+    net = Network.grid(spark, 8, 8, 1.0)
+    at = spark.createDataFrame([(0, 40, 0.25)], "source int, edge_index long, offset double")
+    sizes = {h: propagate(net, at, float(h)).count() for h in (5, 10)}
+    assert sizes[10] < 6 * sizes[5] and sizes[10] < 3000
+    with pytest.raises(RuntimeError):
+        propagate(net, at, 10.0, max_records=sizes[10] - 1)
+
+
+def test_breakpoints_do_not_chain(spark):
+    line = network(spark, [[(0, 0), (1, 0)]])
+    offsets = [0.3 + i * 0.6e-12 for i in range(6)]
+    rows = spark.createDataFrame([(i, 0, o, 1.0) for i, o in enumerate(offsets)], EVENT)
+    points = heat.breakpoints(line, line.lixels(1.0), rows).where("raw > 0.2 and raw < 0.4").collect()
+    assert len(points) == 6 and all(abs(r["raw"] - r["at"]) <= 1.0001e-12 for r in points) and len({r["at"] for r in points}) == 3
+
+
+def test_heat_with_pieces_matches_the_whole(spark):
+    net, events, cells = heat_case(spark, 3, 60, seed=8)
+    points = heat.breakpoints(net, cells, events, 0.11)
+    segments = heat.segments_of(points)
+    nodes = heat.event_nodes(points, events)
+    sources = nodes.select("component", "node", (F.col("event_id") % 2).cast("string").alias("key"), F.col("weight").alias("value"))
+    names, _, (matrix,) = plain_heat(segments, [0.05])
+    for piece, tile in ((1, 1000), (3, 1000), (4, 6)):
+        rows = heat.evolve(segments, sources, [0.05], nodes=net.nodes, own=True, piece=piece, tile=tile).collect()
+        for key in ("0", "1"):
+            given = np.zeros(len(names))
+            for r in sources.where(F.col("key") == key).collect():
+                given[names.index(r.node)] += r.value
+            got = {r.node: (r.value, r.own) for r in rows if r.key == key}
+            assert np.allclose([got.get(n, (0.0, 0))[0] for n in names], matrix @ given, atol=1e-9 * (matrix @ given).max())
+            assert all(math.isclose(got[n][1], matrix[i, i], rel_tol=1e-8) for i, n in enumerate(names) if n in got)
+
+
+def test_an_edge_of_many_offsets_is_no_group(spark):
+    line = network(spark, [[(0, 0), (1, 0)]])
+    n = 40_000
+    rows = spark.range(n).select(F.col("id").alias("event_id"), F.lit(0).cast("long").alias("edge_index"), ((F.col("id") + 0.5) / n).alias("offset"), F.lit(1.0).alias("weight"))
+    found = HeatNetworkKDE(0.01).evaluate(line, rows, line.lixels(0.05)).collect()
+    assert all(r.density == pytest.approx(1.0, abs=1e-7) for r in found)
