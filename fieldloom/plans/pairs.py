@@ -27,11 +27,11 @@ def _bytes(name: str, kind: str) -> Column:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether df has at most `rows` rows and `size` bytes, as measured on its rows; reads no more than it must to know."""
+    """Whether df has at most `rows` rows and `size` bytes, as measured on its rows: a count and a sum in each task, no rows move."""
     width = F.lit(0)
     for name, kind in df.dtypes:
         width = width + _bytes(name, kind)
-    found = df.limit(rows + 1).select(width.cast("long").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("b")).first()
+    found = df.select(width.cast("long").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("b")).first()
     return found["n"] <= rows and (found["b"] or 0) <= size
 
 

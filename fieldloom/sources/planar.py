@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.time import LinearTime, TimeDomain
 from fieldloom.plans.lineage import cut
+from fieldloom.sources import polygons
 
 
 @dataclass(frozen=True)
@@ -323,12 +327,25 @@ def axis_cells(spark: SparkSession, low: float, high: float, step: float, name:
     return spark.range(n).select(F.col("id").alias(f"{name}_index"), ((start + end) / 2).alias(name), (end - start).alias(f"{name}_width"))
 
 
+MANY_EDGES = 64  # beyond them, a boundary is an index in the tasks instead of a term for each edge
+
+
 @dataclass(frozen=True)
 class Boundary:
-    """A polygon, or several: rings of (x, y); holes are further rings of the same polygon. Points on an edge are inside."""
+    """A polygon, or several: rings of (x, y); holes are further rings of the same polygon. Points on an edge are inside. Polygons may
+    overlap: the boundary is what any of them covers."""
 
     polygons: tuple[tuple[tuple[tuple[float, float], ...], ...], ...]
 
+    @functools.cached_property
+    def dissolved(self) -> Boundary:
+        """The same area as polygons without common area."""
+        return self if len(self.polygons) == 1 else Boundary(polygons.union(self.polygons))
+
+    @functools.cached_property
+    def _index(self) -> polygons.Edges:
+        return polygons.Edges(self.polygons)
+
     @classmethod
     def rectangle(cls, bounds: tuple[float, float, float, float]) -> Boundary:
         x0, y0, x1, y1 = map(float, bounds)
@@ -348,29 +365,45 @@ class Boundary:
         area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in self._edges())) / 2
         return abs(area - (x1 - x0) * (y1 - y0)) <= 1e-12 * max(1.0, area)
 
-    def _edges(self):
-        for polygon in self.polygons:
-            for ring in polygon:
+    def _edges(self, polygon: tuple | None = None):
+        for rings in self.polygons if polygon is None else (polygon,):
+            for ring in rings:
                 yield from zip(ring, (*ring[1:], ring[0]), strict=True)
 
+    def _asked(self, index: polygons.Edges, question: str, kind: str, x: Column, y: Column) -> Column:
+        """A question to an index of edges, which goes to the tasks with the plan: it is as large as the boundary."""
+
+        def run(px: pa.Array, py: pa.Array) -> pa.Array:
+            at = (np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in (px, py))
+            return pa.array(getattr(index, question)(*at))
+
+        return F.arrow_udf(run, kind)(x.cast("double"), y.cast("double"))
+
     def covers(self, x: Column, y: Column) -> Column:
         """Whether a point is inside or on the boundary."""
         if self.is_rectangle():
             x0, y0, x1, y1 = self.bounds
             return x.between(x0, x1) & y.between(y0, y1)
-        crossings, on_edge = F.lit(0), F.lit(False)
-        for (ax, ay), (bx, by) in self._edges():
-            if ay != by:
-                at = (bx - ax) * (y - ay) / (by - ay) + ax
-                crossings = crossings + (((F.lit(ay) > y) != (F.lit(by) > y)) & (x < at)).cast("int")
-            cross = (x - ax) * (by - ay) - (y - ay) * (bx - ax)
-            on_edge = on_edge | ((cross == 0) & x.between(min(ax, bx), max(ax, bx)) & y.between(min(ay, by), max(ay, by)))
-        return on_edge | (crossings % 2 == 1)
+        if sum(1 for _ in self._edges()) > MANY_EDGES:
+            return self._asked(self._index, "covers", "boolean", x, y)
+        found = F.lit(False)
+        for polygon in self.polygons:
+            crossings = F.lit(0)
+            for (ax, ay), (bx, by) in self._edges(polygon):
+                if ay != by:
+                    at = (bx - ax) * (y - ay) / (by - ay) + ax
+                    crossings = crossings + (((F.lit(ay) > y) != (F.lit(by) > y)) & (x < at)).cast("int")
+                cross = (x - ax) * (by - ay) - (y - ay) * (bx - ax)
+                found = found | ((cross == 0) & x.between(min(ax, bx), max(ax, bx)) & y.between(min(ay, by), max(ay, by)))
+            found = found | (crossings % 2 == 1)
+        return found
 
     def edge_distance(self, x: Column, y: Column) -> Column:
-        """Distance of a point to the nearest edge."""
-        found = []
-        for (ax, ay), (bx, by) in self._edges():
+        """Distance of a point to the nearest edge of the dissolved boundary."""
+        found, edges = [], list(self.dissolved._edges())
+        if len(edges) > MANY_EDGES:
+            return self._asked(self.dissolved._index, "distance", "double", x, y)
+        for (ax, ay), (bx, by) in edges:
             dx, dy = bx - ax, by - ay
             length = dx * dx + dy * dy
             t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * dx + (y - ay) * dy) / length)) if length else F.lit(0.0)
@@ -386,7 +419,7 @@ class Boundary:
         found = []
         for i in range(n):
             left, right = x0 + (x1 - x0) * i / n, x0 + (x1 - x0) * (i + 1) / n
-            strips = [[_cut(_cut(ring, 0, left, 1), 0, right, -1) for ring in polygon] for polygon in self.polygons]
+            strips = [[_cut(_cut(ring, 0, left, 1), 0, right, -1) for ring in polygon] for polygon in self.dissolved.polygons]
             for j in range(n):
                 low, high = y0 + (y1 - y0) * j / n, y0 + (y1 - y0) * (j + 1) / n
                 area = mx = my = 0.0

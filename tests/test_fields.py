@@ -208,7 +208,7 @@ def test_store_round_trip(spark, tmp_path):
     save(str(tmp_path / "b"), {"t": df}, {"unit": "m"})
     tables, meta = load(spark, str(tmp_path / "b"))
     assert tables["t"].count() == 5 and meta == {"unit": "m"}
-    spark.range(4).withColumn("x", F.col("id") * 0.5).write.mode("overwrite").parquet(str(tmp_path / "b" / "t"))
+    spark.range(4).withColumn("x", F.col("id") * 0.5).write.mode("overwrite").parquet(str(next((tmp_path / "b").glob("version-*")) / "t"))
     with pytest.raises(ValueError):
         load(spark, str(tmp_path / "b"))
 
@@ -233,12 +233,12 @@ def test_whole_tables_are_covered(spark, data):
     from fieldloom.queries import QUERIES
 
     orders = {r[0] for r in spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey").collect()}
-    near, far = ({r.event_id for r in QUERIES[n](spark, data).collect()} for n in ("snap_events_all", "snap_rejected_all"))
+    near, far = ({r.event_id for r in QUERIES[n](spark, data).collect()} for n in ("snap_events", "snap_rejected"))
     assert near | far == orders and not near & far
     rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()
     v = np.array([r.embedding for r in rows], dtype=float)
     want = {r.vec_id: np.exp(((v - x) ** 2).sum(axis=1) / -8).mean() for r, x in zip(rows, v, strict=True)}
-    got = {r.support_id: r.kernel_mean for r in QUERIES["embedding_kde_64d_all"](spark, data).collect()}
+    got = {r.support_id: r.kernel_mean for r in QUERIES["embedding_kde_64d"](spark, data).collect()}
     assert got == pytest.approx(want, abs=2e-6)
 
 
@@ -361,3 +361,89 @@ def test_pair_assets_give_the_same_scores_and_know_their_events(spark):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-9) for k in a)
     with pytest.raises(ValueError, match="other events"):
         run.scores(Events.from_frame(rows.df.where("event_id < 9"), ("x",), event_id="event_id", time="time"), asset)
+
+
+def test_overlapping_polygons_are_united(spark):
+    two = Boundary(((((0, 0), (2, 0), (2, 2), (0, 2)),), (((1, 1), (3, 1), (3, 3), (1, 3)),)))
+    at = frame(spark, [(1.5, 1.5), (0.5, 2.5), (2.0, 2.0), (2.5, 2.5), (3.0, 1.0), (2.5, 0.5), (1.2, 1.5)], "x double, y double")
+    rows = at.select(two.covers(F.col("x"), F.col("y")).alias("c"), two.edge_distance(F.col("x"), F.col("y")).alias("d")).collect()
+    assert [r.c for r in rows] == [True, False, True, True, True, False, True]
+    assert rows[0].d == pytest.approx(math.hypot(0.5, 0.5)) and rows[2].d == pytest.approx(1.0) and rows[6].d == pytest.approx(math.hypot(0.2, 0.5))
+    assert sum(a for _, _, a in two.clipped_cells(7)) == pytest.approx(7.0, abs=1e-12)
+    united = two.dissolved.polygons
+    assert len(united) == 1 and len(united[0]) == 1 and len(united[0][0]) == 8
+
+
+def test_unions_keep_holes_and_shared_edges():
+    from fieldloom.sources.polygons import union
+
+    def area(polygons):
+        rings = [[sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(r, (*r[1:], r[0]), strict=True)) / 2 for r in polygon] for polygon in polygons]
+        assert all(r[0] > 0 and all(h < 0 for h in r[1:]) for r in rings)
+        return sum(map(sum, rings))
+
+    box = lambda x, y, w, h: ((x, y), (x + w, y), (x + w, y + h), (x, y + h))
+    frame_of_four = tuple((b,) for b in (box(0, 0, 4, 1), box(0, 3, 4, 1), box(0, 0, 1, 4), box(3, 0, 1, 4)))
+    found = union(frame_of_four)
+    assert area(found) == pytest.approx(12) and [len(p) for p in found] == [2]
+    assert area(union(((box(0, 0, 1, 1),), (box(1, 0, 1, 1),)))) == 2 and len(union(((box(0, 0, 1, 1),), (box(1, 0, 1, 1),)))) == 1
+    assert len(union(((box(0, 0, 1, 1),), (box(1, 1, 1, 1),)))) == 2  # they touch at a point
+    assert area(union(((box(0, 0, 4, 4), box(1, 1, 2, 2)[::-1]), (box(1.5, 1.5, 1, 1),)))) == pytest.approx(13)
+    assert area(union(((box(0, 0, 2, 2),), (box(0, 0, 2, 2),), (box(0.5, 0.5, 1, 1),)))) == 4
+
+
+def test_a_coast_of_many_vertices(spark):
+    import numpy as np
+
+    n = 100_000
+    turn = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    far = 1 + 0.2 * np.sin(9 * turn) + 0.001 * np.sin(5000 * turn)
+    coast = Boundary((((tuple(zip((far * np.cos(turn)).tolist(), (far * np.sin(turn)).tolist(), strict=True))),),))
+    rng = np.random.default_rng(1)
+    at = rng.uniform(-1.3, 1.3, (2000, 2))
+    rows = frame(spark, [(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "i int, x double, y double")
+    got = rows.select("i", coast.covers(F.col("x"), F.col("y")).alias("c"), coast.edge_distance(F.col("x"), F.col("y")).alias("d")).orderBy("i").collect()
+    angle = np.arctan2(at[:, 1], at[:, 0])
+    gap = np.hypot(*at.T) - (1 + 0.2 * np.sin(9 * angle) + 0.001 * np.sin(5000 * angle))
+    clear = np.abs(gap) > 1e-4
+    assert [r.c for r, ok in zip(got, clear, strict=True) if ok] == (gap[clear] < 0).tolist()
+    vertices = np.stack([far * np.cos(turn), far * np.sin(turn)], axis=1)
+    for i in range(0, 2000, 100):
+        assert got[i].d == pytest.approx(np.hypot(*(vertices - at[i]).T).min(), abs=2e-4)
+    assert coast.outside(rows) == sum(not r.c for r in got)
+
+
+def test_large_and_small_boundaries_agree(spark):
+    ring = tuple((math.cos(i / 30 * 2 * math.pi), math.sin(i / 30 * 2 * math.pi)) for i in range(30))
+    hole = tuple((x / 2, y / 2) for x, y in ring)
+    one = Boundary(((ring, hole),))
+    rows = frame(spark, [(x / 4, y / 4) for x in range(-5, 6) for y in range(-5, 6)] + [ring[3], hole[4], (None, 0.0)], "x double, y double")
+    import numpy as np
+
+    table = rows.select("x", "y", one.covers(F.col("x"), F.col("y")).alias("c"), one.edge_distance(F.col("x"), F.col("y")).alias("d")).collect()
+    x, y = (np.array([np.nan if r[i] is None else r[i] for r in table]) for i in (0, 1))
+    assert one._index.covers(x, y).tolist() == [bool(r.c) for r in table]
+    assert one._index.distance(x, y)[:-1].tolist() == pytest.approx([r.d for r in table[:-1]])
+
+
+def test_bundles_are_swapped_as_a_whole(spark, tmp_path):
+    from fieldloom.sources import store
+
+    path, a, b = str(tmp_path / "bundle"), frame(spark, [(1.0,)]), frame(spark, [(2.0,), (3.0,)])
+    store.save(path, {"a": a, "b": b}, {"n": 1}, sources={"events": fingerprint(a)})
+    with pytest.raises(FileExistsError):
+        store.save(path, {"a": b})
+    failing = b.select(F.raise_error(F.lit("stop")).cast("double").alias("x"))
+    with pytest.raises(Exception, match="stop"):
+        store.save(path, {"a": b, "b": failing}, {"n": 2}, overwrite=True)
+    tables, about = store.load(spark, path, sources={"events": a})
+    assert about == {"n": 1} and tables["a"].count() == 1 and tables["b"].count() == 2
+    with pytest.raises(ValueError, match="prepared"):
+        store.load(spark, path, sources={"events": b})
+    for n in (2, 3):
+        store.save(path, {"a": b}, {"n": n}, overwrite=True)
+    tables, about = store.load(spark, path)
+    assert about == {"n": 3} and set(tables) == {"a"}
+    import os
+
+    assert len([x for x in os.listdir(path) if x.startswith("version-")]) == 3  # the last two, and the one that failed
