@@ -15,6 +15,7 @@ The band is set by shares of the number of documents, so the lexicon's size is b
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -26,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import each, stored, without
+from fieldloom.llm.common import each, slices, stored, without
 
 RATES, SUBSETS = 10, 16  # rates 1, 1/2, ..., 1/512
+OTHER_RATES = 8  # of the second half, which has as many subsets
 LOW, HIGH = 0.0005, 0.2  # shares of all documents
-OTHERS = 16  # subsets of the second half
 WEIGHT = 2
 _HELD = 200_000
 
@@ -91,17 +92,28 @@ def _slots(values: np.ndarray, seed: int, subsets: int) -> np.ndarray:
     return (np.minimum(np.floor(-np.log2(np.maximum(u, 1e-300))), RATES - 1).astype(np.int16) * subsets + np.arange(subsets)).astype(np.int16)
 
 
-def _hashes(values: np.ndarray, slots: np.ndarray, subsets: int) -> np.ndarray:
-    """A hash for each rate and subset, the coarsest rate first, zero where it holds no term. The hash of a subset's sorted terms is the sum
-    of their mixed values, modulo 2^64, mixed again."""
-    mixed, slots, n = _mix(values[:, None] ^ _SALT[:subsets]).ravel(), slots.ravel(), RATES * subsets
+_LEADING = np.array([8 - int(b).bit_length() for b in range(256)], dtype=np.int16)
+
+
+def _other_slots(values: np.ndarray, seed: int) -> np.ndarray:
+    """As _slots, for SUBSETS subsets and OTHER_RATES rates, from a byte of two mixed values for each subset."""
+    mixed = _mix(values[:, None] ^ (np.uint64(seed * 1000003) + np.arange(1, SUBSETS // 8 + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    rate = np.minimum(_LEADING[np.ascontiguousarray(mixed).view(np.uint8).reshape(len(values), SUBSETS)], OTHER_RATES - 1)
+    return rate * np.int16(SUBSETS) + np.arange(SUBSETS, dtype=np.int16)
+
+
+def _hashes(values: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """(rates, SUBSETS): a hash for each rate and subset, those of the first half before those of the second, the coarsest rate first, zero
+    where it holds no term. The hash of a subset's sorted terms is the sum of their values, modulo 2^64, mixed with the subset's own salt."""
+    slots, n = slots.ravel(), (RATES + OTHER_RATES) * SUBSETS
     # halves of 32 bits add up exactly as doubles, up to two million terms
-    low = np.bincount(slots, (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), n).astype(np.uint64)
-    high = np.bincount(slots, (mixed >> np.uint64(32)).astype(np.float64), n).astype(np.uint64)
-    sums = (low + (high << np.uint64(32))).reshape(RATES, subsets)
-    sizes = np.bincount(slots, minlength=n).reshape(RATES, subsets)
-    sums, sizes = (np.cumsum(x[::-1], axis=0, dtype=x.dtype)[::-1] for x in (sums, sizes))
-    return np.where(sizes > 0, (_mix(sums) >> np.uint64(32)) | np.uint64(1), np.uint64(0))
+    low = np.bincount(slots, (values & np.uint64(0xFFFFFFFF)).astype(np.float64).repeat(SUBSETS), n).astype(np.uint64)
+    high = np.bincount(slots, (values >> np.uint64(32)).astype(np.float64).repeat(SUBSETS), n).astype(np.uint64)
+    sums = (low + (high << np.uint64(32))).reshape(-1, SUBSETS)
+    sizes = np.bincount(slots, minlength=n).reshape(-1, SUBSETS)
+    for x in (sums, sizes):
+        x[:RATES], x[RATES:] = x[RATES - 1 :: -1].cumsum(axis=0)[::-1], x[: RATES - 1 : -1].cumsum(axis=0)[::-1]
+    return np.where(sizes > 0, (_mix(sums ^ _SALT) >> np.uint64(32)) | np.uint64(1), np.uint64(0))
 
 
 @dataclass
@@ -129,20 +141,21 @@ class Printer:
         self.last: tuple[str, str] = ("", "")
 
     def fingerprint(self, text: str | None) -> str:
-        """RATES * SUBSETS hashes of 8 hex digits over the lexicon terms of the text, then RATES * OTHERS of 4 over its other terms, or over
+        """RATES * SUBSETS hashes of 8 hex digits over the lexicon terms of the text, then OTHER_RATES * SUBSETS of 6 over its other terms, or over
         the text without white space if it has no term; the finest rate last, zeros where a subset holds no term."""
         text = text or ""
         if text == self.last[0] and self.last[1]:
             return self.last[1]
         found = terms(text)
-        own = sorted(t for t in found if t not in self.place)
+        place = self.place
+        own = [t for t in found if t not in place]
         if not found and (bare := "".join(text.split())):
             own = [bare]
-        at = np.array(sorted(self.place[t] for t in found if t in self.place), dtype=np.int64)
-        first = _hashes(self.lex.values[at], self.lex.slots[at], SUBSETS)
+        at = np.sort(np.array([place[t] for t in found if t in place], dtype=np.int64))
         values = _values(own)
-        second = _hashes(values, _slots(values, self.lex.seed, OTHERS), OTHERS) & np.uint64(0xFFFF)
-        made = first.astype(">u4").tobytes().hex() + second.astype(">u2").tobytes().hex()
+        slots = np.concatenate([self.lex.slots[at], _other_slots(values, self.lex.seed) + np.int16(RATES * SUBSETS)])
+        hashed = _hashes(np.concatenate([self.lex.values[at], values]), slots)
+        made = hashed[:RATES].astype(">u4").tobytes().hex() + hashed[RATES:].astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes().hex()
         self.last = (text, made)
         return made
 
@@ -156,20 +169,32 @@ def _half(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(share), 2.0 ** (some.sum() / x.shape[1]) - 1
 
 
+def _parsed(made: str) -> tuple[np.ndarray, np.ndarray]:
+    n, raw = RATES * SUBSETS * 4, np.frombuffer(bytes.fromhex(made), np.uint8)
+    second = raw[n:].reshape(-1, 3) @ np.array([65536, 256, 1], dtype=np.uint32)
+    return raw[:n].view(">u4").reshape(-1, SUBSETS), second.reshape(-1, SUBSETS)
+
+
 def likeness(a: str, b: str) -> float:
     """How alike the halves of two fingerprints are, in proportion to the terms that they stand for; 1 if the fingerprints are equal."""
     if a == b:
         return 1.0
-    n = RATES * SUBSETS * 8
-    (s, m), (t, k) = (
-        _half(*(np.frombuffer(bytes.fromhex(v[part]), kind).reshape(RATES, -1) for v in (a, b))) for part, kind in ((slice(0, n), ">u4"), (slice(n, None), ">u2"))
-    )
+    (x, u), (y, v) = map(_parsed, (a, b))
+    (s, m), (t, k) = _half(x, y), _half(u, v)
     return float((WEIGHT * m * s + k * t) / (WEIGHT * m + k))
 
 
 _PRINTERS: dict[str, Printer] = {}
 
 
+def _printer(lex: Lexicon) -> Printer:
+    """The printer of a lexicon, made once in a worker."""
+    if lex.key not in _PRINTERS:
+        _PRINTERS.clear()
+        _PRINTERS[lex.key] = Printer(lex)
+    return _PRINTERS[lex.key]
+
+
 SAMPLED = 20
 
 
@@ -227,12 +252,7 @@ def fingerprints(docs: DataFrame, lex: list[str], *, text_cols: tuple[str, ...]
     shared = docs.sparkSession.sparkContext.broadcast(Lexicon.of(lex, seed))
 
     def run(texts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        lexicon_now = shared.value
-        key = lexicon_now.key
-        if key not in _PRINTERS:
-            _PRINTERS.clear()
-            _PRINTERS[key] = Printer(lexicon_now)
-        printer = _PRINTERS[key]
+        printer = _printer(shared.value)
         for columns in texts:
             # one text at a time: some are very long
             made = [[printer.fingerprint(c[i].as_py()) for c in columns] for i in range(len(columns[0]))]
@@ -268,16 +288,25 @@ def edited_pairs(docs: DataFrame, lex: list[str], *, id_col: str = "doc_id", tex
     Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     An empty table gives an empty result; a single document is followed by itself.
     """
-    rows = with_next(docs, id_col=id_col, text_col=text_col).withColumn(
-        "edited", F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 4)))"), F.expr("left(next_text, int(floor(length(text) / 4)))"))
-    )
-    made = fingerprints(rows, lex, text_cols=("text", "edited", "next_text"))
-    return made.select(
-        F.col("id").alias(id_col),
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.col("fingerprint_text").alias("fingerprint"),
-        F.col("fingerprint_edited").alias("edited_fingerprint"),
-        like("fingerprint_text", "fingerprint_edited").alias("near_edited"),
-        like("fingerprint_text", "fingerprint_next_text").alias("near_next"),
-    )
+    rows = with_next(docs, id_col=id_col, text_col=text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(Lexicon.of(lex))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        printer = _printer(shared.value)
+        for batch in slices(batches):
+            out = []
+            for text, after in zip(each(batch.column(1)), each(batch.column(2)), strict=True):
+                n = len(text) // 4
+                edited = text[: len(text) - n] + after[:n]
+                mine, other = printer.fingerprint(text), printer.fingerprint(edited)
+                digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+                out.append((len(text), digest, mine, other, likeness(mine, other), likeness(mine, printer.fingerprint(after))))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), _PAIR_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *_PAIR])
+
+    made = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return made.withColumnRenamed("id", id_col)
+
+
+_PAIR = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_PAIR_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
