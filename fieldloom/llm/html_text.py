@@ -38,14 +38,15 @@ MARKS = frozenset(
     pagination pager search widget toolbar skip copyright legal disclaimer complementary contentinfo alert""".split()
 )
 SOFT = frozenset("search legal share sharing related alert banner promotion disclaimer copyright skip subscription".split())
+HAVING = frozenset("with without has have no non not hide show enable enabled disable disabled plus".split())
 FILLER = frozenset(
     """site page main top bottom left right first last primary secondary global box bar area section block wrap wrapper container
     inner outer list item items link links content panel slot unit row col column module group body form field input button
     buttons icon icons post posts article articles thread title text js ui the to in a is has header results""".split()
 )
 BLOCKS = frozenset(
-    """address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer
-    form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td
+    """address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer
+    form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td
     tfoot th thead tr ul""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -152,6 +153,7 @@ class Block:
     heading: bool
     linked: int  # characters inside links
     label: str = ""
+    link_like: bool = False
     stops: int = 0
     words: int = 0
 
@@ -181,13 +183,19 @@ class _Page:
     where: dict[str, list[int]] = field(default_factory=dict)
 
     def text(self, raw: str) -> None:
+        if self.stack[-1].out and not self.around().out:
+            return  # an inline part that is no article text, within a block that may be
         self.parts.append(raw)
         if self.stack[-1].link:
             self.linked += len("".join(html.unescape(raw).split()))
 
+    def around(self) -> _Open:
+        """The nearest open block. It tells what its text is, whatever inline elements were left open."""
+        return self.stack[self.stack[-1].block]
+
     def cut(self) -> None:
         if self.parts:
-            top, text = self.stack[-1], " ".join(html.unescape("".join(self.parts)).split())
+            top, text = self.around(), " ".join(html.unescape("".join(self.parts)).split())
             if text:
                 self.blocks.append(Block(text, top.out or (top.header and not top.heading), top.soft, top.article, top.heading, self.linked))
             self.parts.clear()
@@ -212,9 +220,27 @@ class _Page:
                 self.close(places[-1])
 
 
+def _marks(words: list[str]) -> tuple[bool, bool]:
+    """Whether the words of a class, an id or a role mark an element, and whether they only may.
+
+    Words of one letter say nothing. A name is a mark if all its words are marks or say nothing, or if the last word that says something is
+    one: reader-comments are comments; but a part that has or is without something (with-sidebar) is not that. A mark that other words
+    follow (newsletter-archive) may be one; the density of the text decides."""
+    said = [w for w in words if len(w) > 1 and w not in FILLER]
+    found = [w for w in said if w in MARKS]
+    if not found or any(w in HAVING for w in words):
+        return False, False
+    hard = any(w not in SOFT for w in found)
+    if len(found) == len(said):
+        return hard, not hard
+    if said[-1] in MARKS:
+        return said[-1] not in SOFT, said[-1] in SOFT
+    return False, said[0] in MARKS and said[0] not in SOFT
+
+
 def _marked(name: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool, bool]:
     """Whether class, id, role or hiding marks the element as no article text, does so by a word that may mean something else,
-    or marks it as a header. A class counts if all its words are marks or say nothing; one mark among other words does not."""
+    or marks it as a header."""
     if "hidden" in attrs and attrs["hidden"].lower() != "until-found" or attrs.get("aria-hidden", "").lower() == "true" or _HIDES.search(attrs.get("style", "")):
         return True, False, False
     hard = soft = header = False
@@ -222,10 +248,8 @@ def _marked(name: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool,
         for value in (x for key in ("class", "id", "role") for x in attrs.get(key, "").split()):
             words = [x.lower() for x in _PART.findall(value)]
             header = header or (bool(words) and "header" in words and all(w in FILLER for w in words))
-            found = [w for w in words if w in MARKS]
-            if found and all(w in MARKS or w in FILLER for w in words):
-                only_soft = all(w in SOFT for w in found)
-                hard, soft = hard or not only_soft or not inside, soft or only_soft
+            sure, may = _marks(words)
+            hard, soft = hard or sure or may and not inside and all(w in MARKS or w in FILLER for w in words), soft or may
     return hard or (header and not inside), soft, header
 
 
@@ -300,6 +324,7 @@ def _label(found: list[Block]) -> None:
     for b in found:
         words = _WORD.findall(b.text.lower())
         b.words, b.stops = len(words), sum(map(STOP_WORDS.__contains__, words))
+        b.link_like = b.linked > 0.6 * len("".join(b.text.split()))
     total = sum(b.words for b in found)
     known = sum(b.stops for b in found) >= 0.02 * total  # a language of the list; else length and links decide
     size: dict[int, int] = {}
@@ -308,17 +333,17 @@ def _label(found: list[Block]) -> None:
             size[b.article] = size.get(b.article, 0) + len(b.text)
     inside = sum(n for a, n in size.items() if a)
     whole = inside >= 0.25 * max(1, sum(size.values()))  # the page marks its article, and most of its text stands there
-    for b in found:
+    for i, b in enumerate(found):
         n, density = len(b.text), b.stops / max(1, b.words)
         plain = len("".join(b.text.split()))
         links = b.linked / max(1, plain)
-        claim = b.text.startswith(("©", "Copyright ©")) and not b.article
-        if b.out or (whole and not b.article) or claim:
+        if b.out or (whole and not b.article):
             b.label = "bad"
         elif b.soft:  # a name such as search or legal: long plain prose may be article text after all
             b.label = "near" if n >= LONG and links < 0.1 and (not known or density >= HIGH) else "bad"
         elif links > (0.6 if b.article else 0.3):
-            b.label = "bad" if n >= SHORT or not b.article or links > 0.9 else "near"
+            among = any(x.article == b.article and x.link_like for x in found[max(0, i - 1) : i] + found[i + 1 : i + 2])
+            b.label = "near" if b.article and not among else "bad"
         elif b.heading:
             b.label = "near"
         elif n < SHORT:
@@ -367,6 +392,11 @@ def _inherit(found: list[Block], whole: bool) -> None:
         b.label = "kept" if label == "good" else "dropped"
     for b in found:
         b.label = "good" if b.label in ("good", "kept") else "bad"
+    # at the end of the text, a claim of copyright outside articles and a lone link are none
+    for b in reversed(found):
+        if b.label == "good" and not b.link_like and (b.article or not b.text.startswith(("©", "Copyright ©"))):
+            break
+        b.label = "bad"
 
 
 def main_text(page: str | None) -> str:

@@ -626,6 +626,42 @@ def test_extraction_on_odd_rows(spark):
     assert html_text.extracted(df.limit(0)).count() == 0
 
 
+LINK = "A paragraph that is one link and runs on for more than seventy characters in all"
+
+
+@pytest.mark.parametrize(
+    "inside,want",
+    [
+        ("<p>before <span class='ad'>BUYNOW</span> after {p}</p>", "before after {p}"),
+        ("<p>{p} <span hidden>SECRET</span></p>", "{p}"),
+        ("<p>{p} <svg><text>ICON</text></svg></p>", "{p}"),
+        ("<p>{p} <video>no video here</video>end</p>", "{p} end"),
+        ("<p>Real text. {p} <span class='ad'>x</p><p>{p} two</p>", "Real text. {p}\n{p} two"),
+        ("<p>before <label>Pick <select><option>a<option>b</select></label> after {p}</p>", "before after {p}"),
+        ("<p>{p} <button>Send</button>and more</p>", "{p} and more"),
+        ("<p>{p}</p><div class='reader-comments'><p>{p}</p></div>", "{p}"),
+        ("<p>{p}</p><div class='user-comments'><p>{p}</p></div>", "{p}"),
+        ("<p>{p}</p><div class='ad-300x250'><p>{p}</p></div>", "{p}"),
+        ("<div class='story with-sidebar has-comments'><p>{p}</p></div>", "{p}"),
+        ("<p>{p}</p><ul><li><a href='x'>Another story that you may like to read now</a></li><li><a href='y'>One more story of this kind for you</a></li></ul>", "{p}"),
+    ],
+)
+def test_inline_parts_marks_and_links(inside, want):
+    for page in (f"<html><body><article>{inside}</article></body></html>", f"<html><body>{inside}</body></html>"):
+        assert html_text.main_text(page.replace("{p}", PROSE.strip())) == want.replace("{p}", PROSE.strip())
+
+
+def test_a_lone_link_stays_inside_an_article():
+    assert html_text.main_text(PAGE % f"<p><a href='x'>{LINK}</a></p>").split("\n")[2] == LINK
+    assert LINK not in html_text.main_text(f"<article><p>{PROSE}</p><p><a href='x'>{LINK}</a></p></article>")
+
+
+def test_a_claim_stays_where_text_follows():
+    prose = PROSE.strip()
+    page = f"<body><p>{prose}</p><p>© marks a work whose rights are held. {prose}</p><p>{prose}</p><p>© 2024 The Site. All rights are reserved. {prose}</p></body>"
+    assert html_text.main_text(page) == f"{prose}\n© marks a work whose rights are held. {prose}\n{prose}"
+
+
 def test_edited_texts_and_fingerprints(docs):
     lex = imatch.lexicon(docs)
     rows = imatch.edited_pairs(docs, lex).orderBy("doc_id").collect()
