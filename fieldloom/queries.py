@@ -388,11 +388,18 @@ def cyclic_canonicalize(spark, sf_dir):
 
 
 @query(
-    f"""WITH {GRID_SQL} SELECT i * 273 + support_id AS support_id, gx AS x, gy AS y, i * 7.0 + CASE WHEN i = 3 THEN 1.5 ELSE 3.5 END AS time,
-        measure * CASE WHEN i = 3 THEN 3.0 ELSE 7.0 END AS measure FROM g CROSS JOIN (SELECT unnest(range(4)) AS i)"""
+    """WITH m AS (
+        SELECT CAST(floor(max(l_quantity) / 5) AS BIGINT) + 1 AS nx, CAST(floor(max(l_extendedprice) / 5000) AS BIGINT) + 1 AS ny,
+               (SELECT CAST(floor((max(epoch_us(ts)) - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9 / 168) AS BIGINT) + 1 FROM events) AS nt FROM lineitem
+    ), i AS (SELECT unnest(range(nx)) AS x, nx, ny, nt FROM m), j AS (SELECT *, unnest(range(ny)) AS y FROM i), k AS (SELECT *, unnest(range(nt)) AS t FROM j)
+    SELECT (t * ny + y) * nx + x AS support_id, x * 5 + 2.5 AS x, y * 5 + 2.5 AS y, t * 168 + 84.0 AS time, 4200.0 AS measure FROM k"""
 )
 def space_time_grid(spark, sf_dir):
-    return sales_grid(spark).over_time(spark, 7.0, domain=DAY).df
+    """Cells over all quantities and prices that occur, and over the weeks in which events do."""
+    most = read(spark, sf_dir, "lineitem").agg(F.max("l_quantity").alias("q"), F.max("l_extendedprice").alias("p")).first()
+    last = read(spark, sf_dir, "events").agg(F.max(offset(F.col("ts"), "hours", ORIGIN)).alias("t")).first()["t"]
+    nx, ny, nt = (int(v // w) + 1 for v, w in ((most["q"], 5), (most["p"], 5000), (last, 168)))
+    return Support.grid(spark, (0.0, 0.0, 5.0 * nx, 5.0 * ny), 5.0).over_time(spark, 168.0, bounds=(0.0, 168.0 * nt)).df
 
 
 @query(
@@ -607,21 +614,73 @@ def snapped_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "edge_index", "offset", "weight", (F.col("event_id") % 24).cast("double").alias("time"))
 
 
-@query(f"WITH {_EDGES} SELECT edge_index, u::VARCHAR AS u, v::VARCHAR AS v, 1.0 AS length FROM e")
+# Regions, their nations, and the customers and suppliers of these, as a network: an account is as far off as its balance is large.
+_TRADE = """te AS (
+    SELECT CAST(n_nationkey AS BIGINT) AS edge_index, 'r' || n_regionkey AS u, 'n' || n_nationkey AS v, 10.0 + n_nationkey AS length FROM nation
+    UNION ALL SELECT 100 + 2 * c_custkey, 'n' || c_nationkey, 'c' || c_custkey, 1 + abs(c_acctbal) / 1000 FROM customer
+    UNION ALL SELECT 101 + 2 * s_suppkey, 'n' || s_nationkey, 's' || s_suppkey, 1 + abs(s_acctbal) / 1000 FROM supplier
+), tn AS (
+    SELECT 'r' || r_regionkey AS node_id, r_regionkey * 100.0 AS x, 0.0 AS y FROM region
+    UNION ALL SELECT 'n' || n_nationkey, n_nationkey * 10.0, 10.0 FROM nation
+    UNION ALL SELECT 'c' || c_custkey, c_custkey % 1000, 20.0 FROM customer
+    UNION ALL SELECT 's' || s_suppkey, s_suppkey % 1000, 30.0 FROM supplier
+)"""
+
+
+def trade(spark: SparkSession, sf_dir: str):
+    from fieldloom.sources.network import Network
+
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    region, nation, customer, supplier = (read(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier"))
+    away = lambda c: 1 + F.abs(F.col(c)) / 1000
+    number = lambda c: F.col(c).cast("long")
+    edge = lambda df, i, u, v, size: df.select(i.alias("edge_index"), u.alias("u"), v.alias("v"), size.cast("double").alias("length"))
+    edges = edge(nation, number("n_nationkey"), name("r", "n_regionkey"), name("n", "n_nationkey"), 10.0 + F.col("n_nationkey"))
+    edges = edges.union(edge(customer, 100 + 2 * number("c_custkey"), name("n", "c_nationkey"), name("c", "c_custkey"), away("c_acctbal")))
+    edges = edges.union(edge(supplier, 101 + 2 * number("s_suppkey"), name("n", "s_nationkey"), name("s", "s_suppkey"), away("s_acctbal")))
+    node = lambda df, n, x, y: df.select(n.alias("node_id"), x.cast("double").alias("x"), F.lit(y).alias("y"))
+    nodes = node(region, name("r", "r_regionkey"), F.col("r_regionkey") * 100, 0.0).union(node(nation, name("n", "n_nationkey"), F.col("n_nationkey") * 10, 10.0))
+    nodes = nodes.union(node(customer, name("c", "c_custkey"), F.col("c_custkey") % 1000, 20.0)).union(node(supplier, name("s", "s_suppkey"), F.col("s_suppkey") % 1000, 30.0))
+    return Network.from_tables(nodes, edges)
+
+
+@query(
+    """WITH m AS (SELECT (SELECT count(*) FROM nation) AS rows, (SELECT count(*) FROM supplier) AS cols),
+    h AS (SELECT (rows + 1) * cols AS across, rows * (cols + 1) AS along, cols FROM m),
+    a AS (SELECT unnest(range(across)) AS i, cols, across FROM h), b AS (SELECT unnest(range(along)) AS k, cols, across FROM h)
+    SELECT i AS edge_index, CAST(i // cols * (cols + 1) + i % cols AS VARCHAR) AS u, CAST(i // cols * (cols + 1) + i % cols + 1 AS VARCHAR) AS v, 1.0 AS length FROM a
+    UNION ALL SELECT across + k, CAST(k AS VARCHAR), CAST(k + cols + 1 AS VARCHAR), 1.0 FROM b"""
+)
 def grid_network_edges(spark, sf_dir):
-    return streets(spark).edges.select("edge_index", "u", "v", "length")
+    """A grid with a row of blocks for each nation and a column for each supplier."""
+    from fieldloom.sources.network import Network
+
+    rows, columns = (read(spark, sf_dir, t).count() for t in ("nation", "supplier"))
+    return Network.grid(spark, rows, columns).edges.select("edge_index", "u", "v", "length")
 
 
-@query(f"WITH {_EDGES} SELECT count(*) AS edges, 0 AS loops, 0 AS bad_lengths, 0 AS endpoint_mismatches, 0 AS parallel_pairs FROM e")
+@query(
+    f"""WITH {_TRADE} SELECT count(*) AS edges, count(*) FILTER (WHERE u = v) AS loops, count(*) FILTER (WHERE NOT length > 0) AS bad_lengths, 0 AS endpoint_mismatches,
+    count(*) - count(DISTINCT (least(u, v), greatest(u, v))) AS parallel_pairs FROM te"""
+)
 def network_quality(spark, sf_dir):
-    return streets(spark).quality()
+    return trade(spark, sf_dir).quality()
 
 
-@query("SELECT 1 AS components, 81 AS nodes")
+@query(
+    """WITH s AS (
+        SELECT n_regionkey, count(*) AS n FROM (
+            SELECT n_regionkey FROM nation UNION ALL SELECT n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey
+            UNION ALL SELECT n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT r_regionkey FROM region
+        ) GROUP BY n_regionkey
+    ) SELECT count(*) AS components, CAST(sum(n) AS BIGINT) AS nodes, max(n) AS largest, min(n) AS smallest FROM s"""
+)
 def network_components(spark, sf_dir):
+    """Regions do not trade with one another."""
     from fieldloom.operators.network import components
 
-    return components(streets(spark)).agg(F.count_distinct("component").alias("components"), F.count(F.lit(1)).alias("nodes"))
+    sizes = components(trade(spark, sf_dir)).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("components"), F.sum("n").alias("nodes"), F.max("n").alias("largest"), F.min("n").alias("smallest"))
 
 
 @query(
@@ -648,12 +707,18 @@ _LIXELS = """x AS (SELECT edge_index * 4 + k AS lixel_id, edge_index, u, v, x0,
 y AS (SELECT *, (start_offset + end_offset) / 2 AS pos FROM x)"""
 
 
+_TRADE_LIXELS = """tl AS (SELECT *, CAST(greatest(1, ceil(length / 2.5 - 1e-9)) AS BIGINT) AS n FROM te),
+tf AS (SELECT *, sum(n) OVER (ORDER BY edge_index) - n AS first FROM tl), tk AS (SELECT *, unnest(range(n)) AS k FROM tf),
+ty AS (SELECT CAST(first + k AS BIGINT) AS lixel_id, edge_index, u, v, length AS whole, k * 2.5 AS start_offset, CASE WHEN k = n - 1 THEN length ELSE (k + 1) * 2.5 END AS end_offset FROM tk)"""
+
+
 @query(
-    f"""WITH {_EDGES}, {_LIXELS} SELECT lixel_id, edge_index, round(start_offset, 6) AS start_offset, round(end_offset, 6) AS end_offset,
-        round(end_offset - start_offset, 6) AS length, round(x0 + pos * (x1 - x0), 6) AS center_x, round(y0 + pos * (y1 - y0), 6) AS center_y FROM y"""
+    f"""WITH {_TRADE}, {_TRADE_LIXELS} SELECT lixel_id, edge_index, round(start_offset, 6) AS start_offset, round(end_offset, 6) AS end_offset,
+        round(end_offset - start_offset, 6) AS length, round(a.x + (b.x - a.x) * (start_offset + end_offset) / 2 / whole, 6) AS center_x,
+        round(a.y + (b.y - a.y) * (start_offset + end_offset) / 2 / whole, 6) AS center_y FROM ty JOIN tn a ON u = a.node_id JOIN tn b ON v = b.node_id"""
 )
 def lixels(spark, sf_dir):
-    found = streets(spark).lixels(0.3).drop("center_offset")
+    found = trade(spark, sf_dir).lixels(2.5).drop("center_offset")
     return rounded(found, "start_offset", "end_offset", "length", "center_x", "center_y")
 
 
@@ -758,28 +823,33 @@ def network_knn_bandwidth(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_EDGES}, o AS (SELECT edge_index, u AS f, v AS t, FALSE AS reversed FROM e UNION ALL SELECT edge_index, v, u, TRUE FROM e),
-    d AS (SELECT *, abs(f % 9 - 40 % 9) + abs(f // 9 - 40 // 9) AS s FROM o)
-    SELECT edge_index, f::VARCHAR AS from_node, t::VARCHAR AS to_node, reversed, s::DOUBLE AS start_distance, least(s + 1, 2.5)::DOUBLE AS end_distance,
-        (least(s + 1, 2.5) - s)::DOUBLE AS reached_fraction FROM d WHERE s < 2.5"""
+    f"""WITH {_TRADE}, near AS (SELECT 'r0' AS node, 0.0 AS d UNION ALL SELECT v, length FROM te WHERE u = 'r0'),
+    far AS (SELECT * FROM near UNION ALL SELECT v, d + length FROM te JOIN near ON u = node WHERE node <> 'r0'),
+    o AS (SELECT edge_index, u AS f, v AS t, length, FALSE AS reversed FROM te UNION ALL SELECT edge_index, v, u, length, TRUE FROM te)
+    SELECT edge_index, f AS from_node, t AS to_node, reversed, round(d, 6) AS start_distance, round(least(d + length, 30.0), 6) AS end_distance,
+        round((least(d + length, 30.0) - d) / length, 6) AS reached_fraction FROM o JOIN far ON f = node WHERE d < 30.0"""
 )
 def traversal(spark, sf_dir):
+    """All edges within 30 of the first region."""
     from fieldloom.operators.network import traversal as run
 
-    return run(streets(spark), "40", 2.5)
+    return rounded(run(trade(spark, sf_dir), "r0", 30.0), "start_distance", "end_distance", "reached_fraction")
 
 
 @query(
-    f"""WITH {_EDGES}, {_LIXELS}, t AS (SELECT i, i * 7.0 + 3.5 - CASE WHEN i = 3 THEN 2.0 ELSE 0 END AS time, CASE WHEN i = 3 THEN 3.0 ELSE 7.0 END AS w FROM (SELECT unnest(range(4)) AS i))
-    SELECT i * 576 + lixel_id AS arixel_id, round(time, 6) AS time, round((end_offset - start_offset) * w, 6) AS arixel_measure FROM t CROSS JOIN y"""
+    f"""WITH {_TRADE}, {_TRADE_LIXELS}, years AS (SELECT unnest(range(a, b + 1)) - a AS i, a FROM (SELECT min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b FROM orders))
+    SELECT i * (SELECT count(*) FROM ty) + lixel_id AS arixel_id, a + i + 0.5 AS time, round(end_offset - start_offset, 6) AS arixel_measure FROM years CROSS JOIN ty"""
 )
 def arixels(spark, sf_dir):
+    """The pieces of the network in every year with orders."""
     from fieldloom.sources.network import arixels as build
     from fieldloom.sources.planar import axis_cells
 
-    cells = axis_cells(spark, 0.0, 24.0, 7.0, "time")
-    found = build(streets(spark).lixels(0.3), cells, 576).select("arixel_id", "time", "arixel_measure")
-    return rounded(found, "time", "arixel_measure")
+    year = F.year("o_orderdate")
+    span = read(spark, sf_dir, "orders").agg(F.min(year).alias("a"), F.max(year).alias("b")).first()
+    pieces = trade(spark, sf_dir).lixels(2.5)
+    cells = axis_cells(spark, float(span["a"]), float(span["b"] + 1), 1.0, "time")
+    return rounded(build(pieces, cells, pieces.count()).select("arixel_id", "time", "arixel_measure"), "time", "arixel_measure")
 
 
 @query(
@@ -873,6 +943,39 @@ def heat_density(spark, sf_dir):
     return rounded(found.select("batch_index", "diffusion_time", "lixel_id", "density"), "density", scale=100)
 
 
+def _heat_powers(steps: int = 48) -> str:
+    """Heat on the grid with mesh nodes at crossings and in the middle of streets: every node hands all it has to its neighbours at rate 8, so
+    heat is a sum of powers of one step with Poisson weights. Crossings hold a quarter of each street, middles a half."""
+    power = [
+        f"""p{k} AS MATERIALIZED (SELECT a AS node, sum(share * v) AS v FROM ways JOIN p{k - 1} ON b = node GROUP BY a)"""
+        for k in range(1, steps)
+    ]
+    every = " UNION ALL ".join(f"SELECT {k} AS k, node, v FROM p{k}" for k in range(steps))
+    return f"""WITH {_SNAP}, halves AS (SELECT edge_index, round(pos * 2) AS half, u, v FROM s WHERE status <> 'beyond_max_distance'),
+    given AS (SELECT CASE half WHEN 0 THEN u WHEN 2 THEN v ELSE 1000 + edge_index END AS node, count(*)::DOUBLE AS c FROM halves GROUP BY 1),
+    deg AS (SELECT n AS node, count(*)::DOUBLE AS d FROM (SELECT u AS n FROM e UNION ALL SELECT v FROM e) GROUP BY n),
+    ways AS (
+        SELECT node AS a, 1000 + edge_index AS b, 1 / d AS share FROM deg JOIN e ON node = u OR node = v
+        UNION ALL SELECT 1000 + edge_index, u, 0.5 FROM e UNION ALL SELECT 1000 + edge_index, v, 0.5 FROM e
+    ), mass AS (SELECT node, d / 4 AS m FROM deg UNION ALL SELECT 1000 + edge_index, 0.5 FROM e),
+    p0 AS MATERIALIZED (SELECT node, coalesce(c, 0) / m AS v FROM mass LEFT JOIN given USING (node)), {", ".join(power)},
+    times AS (SELECT unnest([0, 1, 2]) AS i, unnest([0.05, 0.2, 0.5])::DOUBLE AS t),
+    field AS (SELECT i, t, node, sum(exp(-8 * t + k * ln(8 * t) - lgamma(k + 1)) * v) AS f FROM ({every}) CROSS JOIN times GROUP BY i, t, node),
+    cells AS (SELECT edge_index * 2 AS lixel_id, u AS a, 1000 + edge_index AS b FROM e UNION ALL SELECT edge_index * 2 + 1, 1000 + edge_index, v FROM e)
+    SELECT CAST(x.i AS INT) AS batch_index, x.t AS diffusion_time, lixel_id, round(100 * (x.f + y.f) / 2 / (SELECT sum(c) FROM given), 6) AS density
+    FROM cells JOIN field x ON x.node = a JOIN field y ON y.node = b AND x.i = y.i"""
+
+
+@query(_heat_powers())
+def heat_at_halves(spark, sf_dir):
+    """Heat of all snapped orders, moved to the nearest half of their street, for three diffusion times; the component is cut into tiles."""
+    from fieldloom.operators.heat import HeatNetworkExperiment
+
+    moved = snapped_calls(spark, sf_dir).withColumn("offset", F.round(F.col("offset") * 2) / 2)
+    found = HeatNetworkExperiment((0.05, 0.2, 0.5), tile=60).evaluate(streets(spark), moved, streets(spark).lixels(0.5))
+    return rounded(found.select("batch_index", "diffusion_time", "lixel_id", "density"), "density", scale=100)
+
+
 @query("SELECT unnest([0.05, 0.2, 0.5])::DOUBLE AS diffusion_time, 1.0 AS mass")
 def heat_mass(spark, sf_dir):
     """Heat moves and is not lost."""
