@@ -73,7 +73,16 @@ def location_distances(
     through = reach.join(arrive, "node").select("source", "target", (F.col("distance") + F.col("extra")).alias("distance"))
     s = leave.select("source", "edge_index", F.col("position").alias("p")).distinct()
     t = arrive.select("target", "edge_index", F.col("position").alias("q")).distinct()
-    same = s.join(t, "edge_index")
+    if cutoff is None:
+        same = s.join(t, "edge_index")
+    else:  # places of one edge meet in bins as wide as the cutoff, or as the next power of two of each source's
+        s = s.join(own, "source") if own is not None else s.withColumn("cutoff", F.lit(float(cutoff)))
+        s = cut(s.withColumn("grade", F.ceil(F.log2(F.greatest(F.col("cutoff"), F.lit(1e-300)))).cast("int")))
+        grades = [r["grade"] for r in s.select("grade").distinct().collect()]  # at most some 2,000 powers of two
+        bin_of = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("grade"))).cast("long")
+        t = t.withColumn("grade", F.explode(F.array(*[F.lit(g) for g in grades]) if grades else F.array().cast("array<int>")))
+        t = t.withColumn("bin", F.explode(F.array(bin_of("q") - 1, bin_of("q"), bin_of("q") + 1)))
+        same = s.withColumn("bin", bin_of("p")).drop("cutoff").join(t, ["edge_index", "grade", "bin"])
     if one_way:
         same = same.where(F.col("q") >= F.col("p"))
     same = same.select("source", "target", F.abs(F.col("q") - F.col("p")).alias("distance"))
@@ -318,10 +327,14 @@ class NetworkKDE:
         if hasattr(self.bandwidth, "select") and not hasattr(self.bandwidth, "resolve"):
             chosen = self.bandwidth.select(network, events, lixels, kernel=self.kernel, policy=self.policy, directed=self.directed)
             return replace(self, bandwidth=chosen.bandwidth).evaluate(network, events, lixels)
+        return self.field(events, lixels, self.kernel_values(network, events, lixels))
+
+    def field(self, events: DataFrame, lixels: DataFrame, values: DataFrame) -> DataFrame:
+        """lixels with density or intensity from kernel values (source, target, k)."""
         target = get_target(self.target)
         total = (events.agg(F.sum("weight").alias("w")).first()["w"] or 0.0) if target == "density" else 1.0
         w = events.select(F.col("event_id").alias("source"), (F.col("weight") / total).alias("a"))
-        sums = self.kernel_values(network, events, lixels).join(w, "source").groupBy(F.col("target").alias("lixel_id")).agg(F.sum(F.col("a") * F.col("k")).alias("__f"))
+        sums = values.join(w, "source").groupBy(F.col("target").alias("lixel_id")).agg(F.sum(F.col("a") * F.col("k")).alias("__f"))
         return lixels.join(sums, "lixel_id", "left").withColumn(target, F.greatest(F.lit(0.0), F.coalesce("__f", F.lit(0.0)))).drop("__f")
 
 
@@ -424,8 +437,9 @@ class TemporalNetworkKDE:
     target: str = "density"
     bandwidths: object = None
 
-    def evaluate(self, network: Network, events: DataFrame, lixels: DataFrame, cells: DataFrame) -> DataFrame:
-        """(lixel_id, time_index, time, density or intensity, measure); events also have time."""
+    def evaluate(self, network: Network, events: DataFrame, lixels: DataFrame, cells: DataFrame, *, values: DataFrame | None = None) -> DataFrame:
+        """(lixel_id, time_index, time, density or intensity, measure); events also have time. values (source, target, k) are kernel values along
+        the network that have been prepared."""
         events = cut(events)
         require_events(network, events)
         if events.where(bad(F.col("time").cast("double"))).limit(1).count():
@@ -448,7 +462,7 @@ class TemporalNetworkKDE:
             if top["bad"]:
                 raise ValueError("temporal bandwidths of events are positive and finite")
             most = images(get_kernel(self.temporal_kernel), top["top"], self.domain.period) if self.domain.period is not None else None
-        space = kde.kernel_values(network, events, lixels).where("k <> 0")
+        space = (kde.kernel_values(network, events, lixels) if values is None else values).where("k <> 0")
         extra = ["__ht"] if isinstance(ht, Column) else []
         own = events.select(F.col("event_id").alias("source"), (F.col("weight") / total).alias("a"), F.col("time").alias("s"), *extra)
         k = temporal_kernel(self.temporal_kernel, F.col("time") - F.col("s"), ht, self.domain, most=most)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from fieldloom.operators import risk, selection
 from fieldloom.operators.bandwidths import AbramsonBandwidth, BalloonKNNBandwidth, BandwidthMatrix, KNNBandwidth
 from fieldloom.operators.spacetime import SpatiotemporalBandwidthExperiment, SpatiotemporalKDE
 from fieldloom.operators.spatial import SpatialKDE
+from fieldloom.plans.lineage import cut
 from fieldloom.sources.planar import Boundary, Events, Support
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +39,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, which driver and executors share."""
+    cut(spark.range(1))  # makes sure that there is one
+    return spark.sparkContext.getCheckpointDir()
+
+
 def kernel_sql(kernel: str, u: str, dim: int, h: str = "1") -> str:
     """SQL of a scaled kernel."""
     v, d = ball_volume(dim), dim
@@ -327,14 +335,10 @@ def event_summary(spark, sf_dir):
 @query("SELECT count(*) AS stored, round(sum(l_quantity * l_extendedprice / 1000), 2) AS moment FROM lineitem")
 def stored_bundle(spark, sf_dir):
     """Events saved as a bundle, loaded and verified by their hash."""
-    import uuid
-
-    from fieldloom.plans.lineage import cut
     from fieldloom.sources import store
 
     events = sales(spark, sf_dir).df
-    cut(spark.range(1))  # makes sure that there is a shared folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/bundle-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
     store.save(path, {"events": events}, {"unit": "thousand"})
     tables, _ = store.load(spark, path)
     return tables["events"].agg(F.count(F.lit(1)).alias("stored"), F.round(F.sum(F.col("x") * F.col("y")), 2).alias("moment"))
@@ -747,10 +751,11 @@ def network_distances(spark, sf_dir):
     return rounded(found, "nearest", "mean")
 
 
-@query(
-    f"""WITH {_SNAP}, {_LIXELS}, {_WAYS}, {_TO_LIXELS}, cnt AS (SELECT count(DISTINCT id) AS n FROM z)
+_SIMPLE_SQL = f"""WITH {_SNAP}, {_LIXELS}, {_WAYS}, {_TO_LIXELS}, cnt AS (SELECT count(DISTINCT id) AS n FROM z)
     SELECT lixel_id, round(100 * sum({kernel_sql("epanechnikov", "distance / 1.5", 1, "1.5")}) / max(n), 6) + 0.0 AS density FROM d CROSS JOIN cnt GROUP BY lixel_id"""
-)
+
+
+@query(_SIMPLE_SQL)
 def network_kde_simple(spark, sf_dir):
     from fieldloom.operators.network import NetworkKDE
 
@@ -758,6 +763,18 @@ def network_kde_simple(spark, sf_dir):
     return rounded(found.select("lixel_id", "density"), "density", scale=100)
 
 
+@query(_SIMPLE_SQL)
+def workspace_kde(spark, sf_dir):
+    """network_kde_simple from distances that were prepared farther than it needs, saved and loaded with all their checks."""
+    from fieldloom.operators.network import NetworkKDE
+    from fieldloom.operators.workspace import NetworkWorkspace
+
+    path = f"{shared_folder(spark)}/workspace-{uuid.uuid4().hex}"
+    NetworkWorkspace.of(streets(spark), snapped_calls(spark, sf_dir), streets(spark).lixels(0.3)).prepare_distances(1.8).save(path)
+    found = NetworkWorkspace.load(spark, path).evaluate(NetworkKDE("epanechnikov", 1.5, "simple"))
+    return rounded(found.select("lixel_id", "density"), "density", scale=100)
+
+
 def _path_kde(policy: str):
     def run(spark, sf_dir):
         from fieldloom.operators.network import NetworkKDE

@@ -23,6 +23,8 @@ from fieldloom.operators.network import (
     propagate,
     traversal,
 )
+from fieldloom.operators.workspace import NetworkWorkspace
+from fieldloom.sources import store
 from fieldloom.sources.network import Network, arixels, snap
 from fieldloom.sources.planar import Events, axis_cells
 
@@ -386,3 +388,59 @@ def test_an_edge_of_many_offsets_is_no_group(spark):
     rows = spark.range(n).select(F.col("id").alias("event_id"), F.lit(0).cast("long").alias("edge_index"), ((F.col("id") + 0.5) / n).alias("offset"), F.lit(1.0).alias("weight"))
     found = HeatNetworkKDE(0.01).evaluate(line, rows, line.lixels(0.05)).collect()
     assert all(r.density == pytest.approx(1.0, abs=1e-7) for r in found)
+
+
+@pytest.fixture(scope="module")
+def workspace(spark):
+    net = Network.grid(spark, 3, 3)
+    rows = [(i, int(e), float(o), float(w), float(t)) for i, (e, o, w, t) in enumerate(np.random.default_rng(4).uniform((0, 0, 0.5, 0), (24, 1, 2, 24), (20, 4)))]
+    return NetworkWorkspace.of(net, spark.createDataFrame(rows, EVENT + ", time double"), net.lixels(0.3))
+
+
+def test_workspaces_give_the_fields_they_were_prepared_for(spark, workspace, tmp_path):
+    made = workspace.prepare_distances(1.5).prepare_stretches("continuous", 1.5)
+    path = str(tmp_path / "w")
+    made.save(path)
+    loaded = NetworkWorkspace.load(spark, path)
+    for kde in (NetworkKDE("epanechnikov", 1.2, "simple"), NetworkKDE("quartic", 0.7, "simple", "intensity"), NetworkKDE("epanechnikov", 1.1, "continuous")):
+        want, got = ({r.lixel_id: r[kde.target] for r in rows.collect()} for rows in (kde.evaluate(made.network, made.events, made.lixels), loaded.evaluate(kde)))
+        assert got == pytest.approx(want, abs=1e-12)
+    kde, cells = TemporalNetworkKDE(NetworkKDE("epanechnikov", 1.2, "simple"), 3.0, CyclicTime(24.0)), axis_cells(spark, 0.0, 24.0, 6.0, "time")
+    want, got = (
+        {(r.lixel_id, r.time_index): r.density for r in rows.collect()} for rows in (kde.evaluate(made.network, made.events, made.lixels, cells), loaded.evaluate_over_time(kde, cells))
+    )
+    assert got == pytest.approx(want, abs=1e-12)
+    for kde in (NetworkKDE("epanechnikov", 1.6, "simple"), NetworkKDE("epanechnikov", 1.0, "discontinuous"), NetworkKDE("gaussian", 0.1, "simple")):
+        with pytest.raises(ValueError):
+            loaded.evaluate(kde)
+
+
+def test_stale_assets_are_refused(spark, workspace, tmp_path):
+    made = workspace.prepare_distances(1.0)
+    asset = made.assets["distances"]
+    other = NetworkWorkspace.of(made.network, made.events.where("event_id > 0"), made.lixels)
+    with pytest.raises(ValueError, match="other events"):
+        other.attach("distances", asset)
+    path = str(tmp_path / "w")
+    tables = {"nodes": made.network.nodes, "edges": made.network.edges, "events": other.events, "lixels": made.lixels, "asset_distances": asset.table}
+    about = {"kind": "distances", "cutoff": 1.0, "directed": False, "made_from": dict(asset.made_from), "policy": "simple"}
+    store.save(path, tables, {"workspace": 1, "directed": False, "crs": None, "assets": {"distances": about}})
+    with pytest.raises(ValueError, match="other events"):
+        NetworkWorkspace.load(spark, path)
+    pairs = location_distances(made.network, made._sources(), made._targets(), 1.0).collect()
+    assert asset.n_pairs() == len(pairs) and asset.density(20, 96) == len(pairs) / 1920
+    mine = sorted(r.distance for r in pairs if r.source == 3)
+    assert [r.distance for r in asset.neighbors(3).collect()] == pytest.approx(mine) and {r.source: r.n for r in asset.counts().collect()}[3] == len(mine)
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_places_of_one_edge_meet_within_the_cutoff(spark, directed):
+    line = network(spark, [[(0, 0), (100, 0)]], directed=directed)
+    at = np.random.default_rng(2).uniform(0, 100, 60)
+    places = spark.createDataFrame([(i, 0, float(x), float(0.5 + i % 7)) for i, x in enumerate(at)], "source long, edge_index long, offset double, cutoff double")
+    targets = places.select(F.col("source").alias("target"), "edge_index", "offset")
+    for cutoff in (0.7, 4.0, "cutoff"):
+        got = {(r.source, r.target): r.distance for r in location_distances(line, places, targets, cutoff).collect()}
+        reach = lambda i: 0.5 + i % 7 if cutoff == "cutoff" else cutoff
+        want = {(i, j): abs(x - y) for i, x in enumerate(at) for j, y in enumerate(at) if abs(x - y) <= reach(i) and (y >= x or not directed)}
+        assert got == pytest.approx(want)
