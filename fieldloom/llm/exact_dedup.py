@@ -41,7 +41,7 @@ def exact_groups(
     text_sha256 (of the normalised text). In a group the row with the most code points in its original text stays, then
     the one with the smallest id, a null id after all others, then any one row: kept is true for exactly one row of each
     group, though ids are null or repeat; keep_id is the id of that row. A null text counts as empty; empty texts equal
-    each other. Rows that repeat both id and text count separately in group_size. Input columns named like an added one are replaced. An empty table gives an empty result.
+    each other, and texts of any length are compared whole. Rows that repeat both id and text count separately in group_size. Input columns named like an added one are replaced. An empty table gives an empty result.
     """
     names = [c for c in (carry or docs.columns) if c.lower() not in ADDED]
     held = text_col in names  # then the bytes are cut from the text that travels anyway

@@ -267,8 +267,8 @@ def near_components(
     Words are the runs of [^\\x20\\x09-\\x0D], A-Z lower-cased. Documents link when their sets of distinct k-word shingles
     have similarity num/den or more; a document with fewer words has one shingle, its whole sequence. Null, empty and
     blank texts have no shingle and link with nothing. A null id is never linked: its component_id is null and it is
-    kept. Rows that repeat an id are linked by their texts alone; exactly one row of each component is kept. An empty
-    table gives an empty result.
+    kept. Rows that repeat an id are linked by their texts alone; exactly one row of each component is kept. Texts of any
+    length are taken whole; other columns of docs are not returned. An empty table gives an empty result.
     """
     options = {"text_col": text_col, "k": k, "similarity": similarity, "rows": rows, "n_bands": n_bands}
     name, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")

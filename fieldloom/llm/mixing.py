@@ -86,7 +86,8 @@ def mixed(
     level of its own (empty name). weights maps level names to node weights (default 1; 0 shuts a node out). tokens
     defaults to a quarter of the text's bytes, rounded up; null texts have none, and documents without tokens are drawn
     with the prefix they fall in, taking none. take_tokens is less than n_tokens for the last document of a
-    leaf only. Ties of the seeded key go by id; rows that repeat an id are drawn one by one. Carry columns named like an
+    leaf only. Ties of the seeded key go by id; rows that repeat an id are drawn one by one, and a text of any length
+    counts all its bytes. Carry columns named like an
     added one are replaced. An empty table gives an empty result.
     """
     tree = dict(levels or {"lang": F.col("lang"), "source": F.col("source")})

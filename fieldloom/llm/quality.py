@@ -174,7 +174,7 @@ def judged(
 ) -> DataFrame:
     """docs with evidence, site_mean, quality_score (posterior, 0 to 1) and quality_kept (posterior at or over the threshold).
 
-    A null or empty text is no evidence: it is judged by its site alone. Input columns named like an added one are
+    A null or empty text is no evidence: it is judged by its site alone. Texts of any length are judged as a whole. Input columns named like an added one are
     replaced; repeated rows are judged each; an empty table gives an empty result.
     """
     base = without(docs, "evidence", "site_mean", "quality_score", "quality_kept")

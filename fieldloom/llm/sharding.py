@@ -68,7 +68,8 @@ def shard_plan(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id", text
     """(id, size, text_crc32, law, shard, slot, grown_shard), one row per document; law is `rows`: shard sizes differ by one
     at most, the lower shards have the odd rows. size is the UTF-8 length of the text plus 1 (null: 1); text_crc32 is that
     of the text, 0 for null and empty. Slots of a shard run from 0 without gaps, in uniformly random order. Null ids are
-    placed by their text; rows that repeat id and text are placed one by one. An empty table gives an empty result.
+    placed by their text; rows that repeat id and text are placed one by one. Texts of any length
+    count as a whole; other columns of docs are not returned. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(
