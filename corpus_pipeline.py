@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over documents; each stage works on all rows that its predecessor kept.
 
 All stages take whole texts, of any length, and repeated rows one by one. A null text counts as empty, an empty table gives an empty
-result, and columns that bear the name of one that an operator adds keep their own values.
+result, and columns that bear the name of one that an operator adds keep their own values. Stages with Python workers set the session's
+rows a batch to 500, as the workers of one stage stay while the next one runs.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import quality
 from fieldloom.llm.bpe import ByteBPE, encoded
-from fieldloom.llm.common import Scratch, aside, read
+from fieldloom.llm.common import Scratch, aside, read, small_batches
 from fieldloom.llm.exact_dedup import drop_exact_copies
 from fieldloom.llm.minhash import drop_near_copies
 from fieldloom.llm.mixing import mixed
@@ -20,6 +21,7 @@ from fieldloom.llm.mixing import mixed
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject: a posterior of one half or more. A null or empty text is judged by its
     site alone, a null source or language is a site of its own; without labels of both kinds the evidence is zero and all stay."""
+    small_batches(spark)
     rows, back = aside(docs, "evidence", "site_mean", "quality_score", "quality_kept")
     net = quality.train(docs, read(spark, sf_dir, "labels"))
     found = quality.judged(rows, net, quality.site_means(docs, net))
@@ -35,6 +37,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies, that of the smallest id, null ids last: five words, similarity 0.8 or more. Null and
     blank texts have no copies and stay."""
+    small_batches(spark)
     return drop_near_copies(docs, similarity=(80, 100), n_bands=40)
 
 
@@ -69,6 +72,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id, lang and source are left out."""
     import public_tokenizers
 
+    small_batches(spark)
     coder = ByteBPE(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     found = encoded(docs.select("doc_id", "lang", "source", "text"), coder)
     return found.select(
