@@ -24,6 +24,7 @@ from fieldloom.operators.network import components, location_distances
 from fieldloom.operators.selection import Selection, best, minimise_log
 from fieldloom.operators.spatial import get_target
 from fieldloom.plans.lineage import cut
+from fieldloom.plans.quantiles import quantiles
 from fieldloom.sources.network import Network
 
 TILE = 2000  # ends of pieces of a component that is solved in one group
@@ -473,7 +474,7 @@ def heat_time_bounds(network: Network, events: DataFrame) -> tuple[float, float]
     """Half the squares of distances between events: from a fifth of the 5th percentile (or 1e-6 of the median) to twice the 95th."""
     places = events.select(F.col("event_id").alias("source"), "edge_index", "offset")
     d = location_distances(network, places, places.withColumnRenamed("source", "target"), None, directed=False).where("source < target and distance > 0")
-    q = d.agg(F.percentile("distance", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q")).first()["q"]
+    q = quantiles(d.select("distance"), (0.05, 0.5, 0.95))
     if q is None:
         raise ValueError("automatic bounds need two events a positive distance apart")
     low = max(0.2 * q[0], 1e-6 * q[1])

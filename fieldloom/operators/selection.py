@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.kernels import Kernel, get_kernel, squared_distance
+from fieldloom.plans.quantiles import pair_quantiles, quantiles
 from fieldloom.plans.sums import Columns, pair_sums, squares
 from fieldloom.sources.planar import Events
 
@@ -55,16 +56,36 @@ def pair_distances(events: Events) -> DataFrame:
     return t.join(s, F.col("i") < F.col("j")).select("i", "j", d.alias("distance"))
 
 
+SHARES = (0.05, 0.5, 0.95)
+
+
+def _bounds(q: Sequence[float] | None) -> tuple[float | None, float | None]:
+    if q is None:
+        return None, None
+    low = max(0.2 * q[0], 1e-6 * q[1])
+    return low, max(2 * q[2], 10 * low)
+
+
+def _bounds_row(spark: SparkSession, q: Sequence[float] | None) -> DataFrame:
+    return spark.createDataFrame([_bounds(q)], "lower double, upper double")
+
+
 def bandwidth_bounds(distances: DataFrame, approximate: bool = False) -> DataFrame:
-    """One row (lower, upper) from the quantiles of the positive, finite distances, each pair counted once. Exact quantiles hold
-    every different distance in one task; approximate ones do not."""
-    shares = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
-    q = F.percentile_approx("distance", shares, 100_000) if approximate else F.percentile("distance", shares)
+    """One row (lower, upper) from the quantiles of the positive, finite distances, each pair counted once. Exact quantiles take a few
+    passes over the distances, at once; approximate ones one pass, when read."""
+    if not approximate:
+        return _bounds_row(distances.sparkSession, quantiles(distances.select("distance"), SHARES))
+    q = F.percentile_approx("distance", F.array(*map(F.lit, SHARES)), 100_000)
     low = F.greatest(0.2 * F.col("q")[0], 1e-6 * F.col("q")[1])
     found = distances.where("distance > 0 and distance < double('infinity')").agg(q.alias("q"))
     return found.select(low.alias("lower"), F.greatest(2 * F.col("q")[2], 10 * low).alias("upper"))
 
 
+def event_bounds(events: Events) -> DataFrame:
+    """bandwidth_bounds of the distances between all events, exact, without a row for each pair."""
+    return _bounds_row(events.df.sparkSession, pair_quantiles(events.df, events.coords, SHARES))
+
+
 def leave_one_out(events: Events, kernel: Kernel, hs: Sequence[float], *, wide: bool = False, strict: bool = False) -> DataFrame:
     """(h, i, w_i, f): density at each event from the others; 0 without weight elsewhere, which is an error if strict. wide adds the
     weighted sum of the kernel with sqrt(2) times the bandwidth, itself included."""
@@ -195,13 +216,17 @@ class _CrossValidation:
     def select(self, events: Events) -> Selection:
         """One job per evaluation."""
         check_weights(events)
-        bounds = self.bounds or bounds_of(pair_distances(events))
+        bounds = self.bounds or _found(event_bounds(events))
         h, s, trace = minimise_log(lambda h: float(self._scores(events, h).first()["score"]), bounds, self.tolerance, self.most)
         return Selection(h, s, tuple(trace), bounds, self.method)
 
 
 def bounds_of(distances: DataFrame) -> tuple[float, float]:
-    row = bandwidth_bounds(distances).first()
+    return _found(bandwidth_bounds(distances))
+
+
+def _found(bounds: DataFrame) -> tuple[float, float]:
+    row = bounds.first()
     if row["lower"] is None:
         raise ValueError("automatic bounds need two places a positive distance apart")
     return row["lower"], row["upper"]

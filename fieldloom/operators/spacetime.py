@@ -40,7 +40,8 @@ class SpatiotemporalKDE:
         kernel = get_kernel(self.spatial_kernel)
         t_cols = [f"t_{c}" for c in support.coords]
         targets = support.df.select("support_id", *[F.col(c).cast("double").alias(t) for c, t in zip(support.coords, t_cols, strict=True)], F.col("time").alias("t_time"))
-        rows = events.df.select(*events.coords, "time", (F.col("weight") / total).alias("a"))
+        named = events.df.select("event_id", *events.coords, "time", (F.col("weight") / total).alias("a"))
+        rows = named.drop("event_id")
         coords, clock = list(events.coords), get_kernel(self.temporal_kernel)
         # axes on which the kernels end, in units of their reach
         axes = [(t, c, hs * kernel.reach) for t, c in zip(t_cols, coords, strict=True)] if kernel.reach is not None else []
@@ -59,7 +60,7 @@ class SpatiotemporalKDE:
             if axes and len(axes) <= 3:
                 scaled = lambda df, i: df.withColumns({f"__{i}{k}": F.col(axis[i]) / axis[2] for k, axis in enumerate(axes)})
                 names = [[f"__{i}{k}" for k in range(len(axes))] for i in (0, 1)]
-                pairs = near_pairs(scaled(targets, 0), scaled(rows, 1), *names, 1.0)
+                pairs = near_pairs(scaled(targets, 0), scaled(named, 1), *names, 1.0, ["event_id"])
             else:
                 pairs = all_pairs(targets, rows)
             d = F.sqrt(squared_distance([F.col(t) for t in t_cols], [F.col(c) for c in coords]))

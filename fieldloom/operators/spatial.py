@@ -245,9 +245,9 @@ class FittedSpatialKDE:
             if reach is None or balloon:
                 pairs = all_pairs(targets, rows)
             elif self._adaptive:
-                pairs = near_pairs_by_source(targets, rows, t_cols, coords, F.col("bandwidth") * reach)
+                pairs = near_pairs_by_source(targets, self.rows.drop("weight"), t_cols, coords, F.col("bandwidth") * reach, ["event_id"])
             else:
-                pairs = near_pairs(targets, rows, t_cols, coords, h * reach)
+                pairs = near_pairs(targets, self.rows.drop("weight"), t_cols, coords, h * reach, ["event_id"])
             sums = pairs.groupBy("support_id").agg(F.sum(F.col("a") * self._value(t_cols)).alias("__f"))
         value = F.greatest(F.lit(0.0), F.coalesce("__f", F.lit(0.0)))
         return support.df.join(sums, "support_id", "left").withColumn(self.spec.target, value).drop("__f")

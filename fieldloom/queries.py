@@ -230,7 +230,7 @@ def best_candidate(spark, sf_dir):
     SELECT round(lower, 6) AS lower, round(greatest(2 * c, 10 * lower), 6) AS upper FROM l"""
 )
 def bandwidth_bounds(spark, sf_dir):
-    return rounded(selection.bandwidth_bounds(selection.pair_distances(suppliers(spark, sf_dir))), "lower", "upper")
+    return rounded(selection.event_bounds(suppliers(spark, sf_dir)), "lower", "upper")
 
 
 @query()
