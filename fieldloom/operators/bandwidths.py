@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions.kernels import squared_distance
+from fieldloom.functions.kernels import get_kernel, squared_distance
+from fieldloom.plans import gauss
 from fieldloom.plans.lineage import cut
 from fieldloom.plans.pairs import all_pairs, near_pairs, small
 from fieldloom.sources.planar import Events, Support
@@ -176,7 +177,9 @@ class AbramsonBandwidth:
         events.require_ids()
         pilot = positive(self.pilot.select(events).bandwidth if hasattr(self.pilot, "select") else self.pilot, "pilot")
         places = Support(events.df.select(F.col("event_id").alias("support_id"), *events.coords), events.coords)
-        f = SpatialKDE(self.kernel, pilot).fit(events).evaluate(places)
+        field = lambda at: SpatialKDE(self.kernel, pilot).fit(events).evaluate(at)
+        f = self._by_cells(events, pilot, field)
+        f = field(places) if f is None else f
         f = f.select(F.col("support_id").alias("event_id"), F.greatest(F.col("density"), F.lit(self.density_floor)).alias("f"))
         rows = f.join(events.df.select("event_id", "weight"), "event_id")
         w = F.when(F.col("weight") > 0, F.col("weight"))
@@ -185,3 +188,13 @@ class AbramsonBandwidth:
         return rows.crossJoin(F.broadcast(mean)).select(
             "event_id", (pilot * F.greatest(F.lit(self.clip[0]), F.least(F.lit(self.clip[1]), factor))).alias("bandwidth")
         )
+
+    def _by_cells(self, events: Events, pilot: float, field) -> DataFrame | None:
+        """(support_id, density) at all events, where a Gaussian pilot can be summed by cells and there are many events."""
+        if get_kernel(self.kernel).name != "gaussian" or events.dim > 2 or events.df.count() <= gauss.ROWS:
+            return None
+        events.check().raise_for_errors()
+        rows = events.df.select(F.col("event_id").alias("support_id"), "weight", *events.coords)
+        scale = {"density": (2 * math.pi) ** (-events.dim / 2) / pilot**events.dim / events.total_weight()}
+        again = lambda at: field(Support(at.select("support_id", *events.coords), events.coords)).join(at.select("support_id", "weight"), "support_id")
+        return gauss.event_sums(rows, rows, ["support_id", "weight"], [[(c, c, pilot) for c in events.coords]], scale, "weight", "weight", [False], again)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.kernels import Kernel, get_kernel, squared_distance
+from fieldloom.plans import gauss
 from fieldloom.plans.quantiles import pair_quantiles, quantiles
 from fieldloom.plans.sums import Columns, pair_sums, squares
 from fieldloom.sources.planar import Events
@@ -101,7 +102,13 @@ def leave_one_out(events: Events, kernel: Kernel, hs: Sequence[float], *, wide:
             near = [np.where(own, 0.0, kernel.scaled_array(square, h, dim)) @ y["w_j"] for h in hs]
             return near + [kernel.scaled_array(square, h * math.sqrt(2), dim) @ y["w_j"] for h in hs if wide]
 
-        sums = pair_sums(t, s, ["i", "w_i"], fn, names)
+        direct = lambda rows: pair_sums(rows, s, ["i", "w_i"], fn, names)
+        if kernel.name == "gaussian" and dim <= 2 and events.df.count() > gauss.ROWS:
+            widths = [*hs, *(h * math.sqrt(2) for h in hs if wide)]
+            axes = [[(x, y, h) for x, y in zip(a, b, strict=True)] for h in widths]
+            scale = {m: (2 * math.pi) ** (-dim / 2) / h**dim for m, h in zip(names, widths, strict=True)}
+            sums = gauss.event_sums(t, s, ["i", "w_i"], axes, scale, "w_i", "w_j", [m.startswith("near") for m in names], direct)
+        sums = direct(t) if sums is None else sums
     if sums is None:
         d = F.sqrt(squared_distance([F.col(c) for c in a], [F.col(c) for c in b]))
         pairs = t.crossJoin(s).withColumn("d", d)

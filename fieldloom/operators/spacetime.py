@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from fieldloom.functions.time import LinearTime, TimeDomain, images, temporal_ar
 from fieldloom.operators.bandwidths import positive
 from fieldloom.operators.selection import best, check_weights, checked
 from fieldloom.operators.spatial import get_target
+from fieldloom.plans import gauss
 from fieldloom.plans.lineage import cut
 from fieldloom.plans.pairs import all_pairs, near_pairs
 from fieldloom.plans.sums import Columns, pair_sums, squares
@@ -140,7 +142,14 @@ class SpatiotemporalBandwidthExperiment:
                 both = [(x * y).sum(axis=1) for x in space for y in when]
                 return [x.sum(axis=1) for x in space] + [(w * y).sum(axis=1) for y in when] + both
 
-            sums = pair_sums(side("i", "w_i", "a"), side("j", "w_j", "b"), ["i", "w_i"], fn, names)
+            targets, sources = side("i", "w_i", "a"), side("j", "w_j", "b")
+            direct = lambda rows: pair_sums(rows, sources, ["i", "w_i"], fn, names)
+            if ks.name == kt.name == "gaussian" and dim == 1 and domain.period is None and events.df.count() > gauss.ROWS:
+                space, when = (a_cols[0], b_cols[0]), ("a_t", "b_t")
+                axes = [[(*space, h)] for h in spatial] + [[(*when, h)] for h in temporal] + [[(*space, spatial[a]), (*when, temporal[b])] for a, b in grid]
+                scale = {n: math.prod((2 * math.pi) ** -0.5 / x[2] for x in ax) for n, ax in zip(names, axes, strict=True)}
+                sums = gauss.event_sums(targets, sources, ["i", "w_i"], axes, scale, "w_i", "w_j", [True] * len(names), direct)
+            sums = direct(targets) if sums is None else sums
         if sums is None:
             pairs = asset.pairs if asset is not None else pair_table(events)
             space = [ks.scaled(F.col("distance"), h, events.dim) for h in spatial]

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,39 @@ def test_tasks_of_a_crowd_are_alike(spark, monkeypatch):
     assert sum(sizes[5000]) == sum(sizes[1 << 26])
     assert sizes[1 << 26][-1] > 4 * sizes[1 << 26][0]
     assert len(sizes[5000]) == 8 and sizes[5000][-1] <= 4 * (sizes[5000][3] + sizes[5000][4]) / 2
+
+
+def test_gaussian_sums_by_cells_equal_all_pairs(spark, monkeypatch):
+    """Crowds, weights, and events far from all others; no table of pairs is summed but for the few apart."""
+    from fieldloom.functions.kernels import get_kernel
+    from fieldloom.operators import selection
+    from fieldloom.operators.bandwidths import AbramsonBandwidth
+    from fieldloom.operators.spacetime import SpatiotemporalBandwidthExperiment
+    from fieldloom.plans import gauss
+
+    rng = np.random.default_rng(3)
+    x = np.r_[rng.normal(0, 1, 300), rng.uniform(-20, 20, 100), 26.0, 60.0, -45.5]
+    rows = [(i, float(a), float(rng.normal(0, 300)), float(1 + i % 3)) for i, a in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, x double, t double, w double")
+    line = Events.from_frame(df, ("x",), event_id="id", weight="w")
+    moving = Events.from_frame(df, ("x",), event_id="id", weight="w", time="t")
+    plane = Events.from_frame(df.withColumn("y", F.col("t") / 100), ("x", "y"), event_id="id", weight="w")
+    hs, g = [0.2, 0.7, 2.0], get_kernel("gaussian")
+
+    def all_of():
+        one = {(r.h, r.i): (r.f, r.wide) for r in selection.leave_one_out(line, g, hs, wide=True).collect()}
+        two = {(r.h, r.i): (r.f,) for r in selection.leave_one_out(plane, g, hs).collect()}
+        many = {(r.hs, r.ht): tuple(r)[2:] for r in SpatiotemporalBandwidthExperiment((0.5, 2.0), (60.0, 180.0)).scores(moving).collect()}
+        width = {r.event_id: (r.bandwidth,) for r in AbramsonBandwidth(0.8).resolve(line).collect()}
+        return one, two, many, width
+
+    want = all_of()
+    taken = []
+    whole = selection.pair_sums
+    monkeypatch.setattr(selection, "pair_sums", lambda rows, *more: taken.append(rows.count()) or whole(rows, *more))
+    monkeypatch.setattr(gauss, "ROWS", 0)
+    for a, b in zip(want, all_of(), strict=True):
+        assert a.keys() == b.keys()
+        for k in a:
+            assert np.allclose(a[k], b[k], rtol=1e-7, atol=1e-300), (k, a[k], b[k])
+    assert taken and max(taken) < 200
