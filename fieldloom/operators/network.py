@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,10 +14,12 @@ from fieldloom.functions.time import TimeDomain, images, temporal_kernel
 from fieldloom.operators.bandwidths import positive
 from fieldloom.operators.spatial import get_target
 from fieldloom.plans.lineage import cut
+from fieldloom.plans.pairs import _dealt, small
 from fieldloom.sources.network import Network
 from fieldloom.sources.planar import Issue, Report, bad
 
 EPS = 1e-12
+MOST_CELLS = 32  # time cells whose shares ride along with an event
 
 
 def node_distances(network: Network, starts: DataFrame, cutoff: float | str | None, *, weight: str = "length", directed: bool | None = None) -> DataFrame:
@@ -46,52 +48,83 @@ def node_distances(network: Network, starts: DataFrame, cutoff: float | str | No
         known = cut(known.union(frontier).groupBy("source", "node").agg(F.min("distance").alias("distance")))
 
 
-def _options(at: DataFrame, network: Network, key: str, weight: str, directed: bool, leaving: bool) -> DataFrame:
-    """(key, edge_index, position, node, extra): the nodes by which a place on an edge is left, or reached."""
-    e = network.edges.select("edge_index", "u", "v", F.col("length").alias("edge_length"), F.col(weight).alias("total"))
-    rows = at.select(key, "edge_index", "offset").join(e, "edge_index").withColumn("position", F.col("offset") / F.col("edge_length") * F.col("total"))
-    tol = F.greatest(F.lit(EPS), F.col("total") * EPS)
-    p, rest = F.col("position"), F.col("total") - F.col("position")
-    by_u, by_v = F.struct(F.col("u").alias("node"), p.alias("extra")), F.struct(F.col("v").alias("node"), rest.alias("extra"))
-    zero_u, zero_v = (F.struct(F.col(n).alias("node"), F.lit(0.0).alias("extra")) for n in ("u", "v"))
-    inside = F.array(by_v if leaving else by_u) if directed else F.array(by_u, by_v)
-    ways = F.when(p <= tol, F.array(zero_u)).when(rest <= tol, F.array(zero_v)).otherwise(inside)
-    return rows.select(key, "edge_index", "position", F.explode(ways).alias("way")).select(key, "edge_index", "position", "way.node", "way.extra")
+def _edge_ways(network: Network, used: DataFrame, wanted: DataFrame, cutoff: float | str | None, weight: str, directed: bool | None) -> DataFrame:
+    """(es, et, uu, uv, vu, vv): distances between the ends of edges that hold sources (es [, cutoff]) and of edges that hold targets (et). The
+    search starts once at each end of an edge, however many sources lie on it."""
+    e = network.edges.select("edge_index", "u", "v")
+    ends = used.join(e, F.col("es") == F.col("edge_index")).drop("edge_index")
+    starts = ends.select(F.explode(F.array("u", "v")).alias("node"), *(["cutoff"] if cutoff == "cutoff" else []))
+    starts = starts.groupBy("node").agg(F.max("cutoff").alias("cutoff")) if cutoff == "cutoff" else starts.distinct()
+    starts = starts.withColumn("source", F.col("node")).withColumn("distance", F.lit(0.0))
+    reach = node_distances(network, starts, cutoff, weight=weight, directed=directed).select(F.col("source").alias("from"), "node", "distance")
+    leave = ends.select("es", F.explode(F.array(F.struct(F.lit("u").alias("out"), F.col("u").alias("from")), F.struct(F.lit("v").alias("out"), F.col("v").alias("from")))).alias("w")).select("es", "w.*")
+    arrive = wanted.join(e, F.col("et") == F.col("edge_index"))
+    arrive = arrive.select("et", F.explode(F.array(F.struct(F.lit("u").alias("in"), F.col("u").alias("node")), F.struct(F.lit("v").alias("in"), F.col("v").alias("node")))).alias("w")).select("et", "w.*")
+    pairs = leave.join(reach, "from").join(arrive, "node")
+    one = lambda x, y: F.min(F.when((F.col("out") == x) & (F.col("in") == y), F.col("distance"))).alias(x + y)
+    return cut(pairs.groupBy("es", "et").agg(*[one(x, y) for x in "uv" for y in "uv"]))
+
+
+def _shared_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left and right joined on keys: left is sent to every task if it is small, else crowded keys are dealt."""
+    left = cut(left)
+    if small(left):
+        return right.join(F.broadcast(left), keys)
+    return _dealt(left, right, keys, left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__l")), [])
 
 
 def location_distances(
-    network: Network, sources: DataFrame, targets: DataFrame, cutoff: float | str | None, *, weight: str = "length", directed: bool | None = None
+    network: Network, sources: DataFrame, targets: DataFrame, cutoff: float | str | None, *, weight: str = "length", directed: bool | None = None, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """(source, target, distance) between places (id columns source / target, edge_index, offset); pairs beyond the cutoff or out of
-    reach are missing. The cutoff is a number, or "cutoff" for sources with a column of that name."""
-    one_way = network.is_directed(directed)
-    leave = _options(sources, network, "source", weight, one_way, True)
-    starts = leave.select("source", "node", F.col("extra").alias("distance"))
-    own = sources.select("source", "cutoff").distinct() if cutoff == "cutoff" else None
-    reach = node_distances(network, starts if own is None else starts.join(own, "source"), cutoff, weight=weight, directed=directed)
-    arrive = _options(targets, network, "target", weight, one_way, False)
-    through = reach.join(arrive, "node").select("source", "target", (F.col("distance") + F.col("extra")).alias("distance"))
-    s = leave.select("source", "edge_index", F.col("position").alias("p")).distinct()
-    t = arrive.select("target", "edge_index", F.col("position").alias("q")).distinct()
+    """(source, target, distance, carried columns of the sources) between places (id columns source / target, each id once, edge_index,
+    offset); pairs beyond the cutoff or out of reach are missing. The cutoff is a number, or "cutoff" for sources with a column of that name.
+
+    Distances are searched between the ends of edges, once for each edge; places are then met by their edges, and the least of their up to five
+    ways is taken in the row of the pair: no row is made for a pair and a way, and no pair is shuffled."""
+    one_way, own = network.is_directed(directed), cutoff == "cutoff"
+    e = network.edges.select("edge_index", F.col("length").alias("edge_length"), F.col(weight).alias("total"))
+    tol = F.greatest(F.lit(EPS), F.col("total") * EPS)
+
+    def placed(df: DataFrame, key: str, edge: str, at: str, by_u: str, by_v: str, leaving: bool, more: Sequence[str]) -> DataFrame:
+        rows = df.select(key, "edge_index", "offset", *more).join(F.broadcast(e) if small(e) else e, "edge_index")
+        rows = rows.withColumn(at, F.col("offset") / F.col("edge_length") * F.col("total"))
+        p, rest = F.col(at), F.col("total") - F.col(at)
+        p, rest = F.when(p <= tol, 0.0).otherwise(p), F.when(rest <= tol, 0.0).otherwise(rest)
+        if one_way:  # sources go on to v, targets are come to from u
+            p, rest = (F.when(p == 0, p), rest) if leaving else (p, F.when(rest == 0, rest))
+        return rows.select(key, F.col("edge_index").alias(edge), at, p.alias(by_u), rest.alias(by_v), *more)
+
+    s = placed(sources, "source", "es", "p", "a", "b", True, [*(["cutoff"] if own else []), *carry])
+    t = placed(targets, "target", "et", "q", "c", "d", False, [])
+    used = s.groupBy("es").agg(F.max("cutoff").alias("cutoff")) if own else s.select("es").distinct()
+    ways = _edge_ways(network, cut(used), cut(t.select("et").distinct()), cutoff, weight, directed)
+    through = F.least(*[F.col(x) + F.col(x2 + y2) + F.col(y) for x, x2 in (("a", "u"), ("b", "v")) for y, y2 in (("c", "u"), ("d", "v"))])
+    straight = F.when(F.col("q") >= F.col("p"), F.col("q") - F.col("p")) if one_way else F.abs(F.col("q") - F.col("p"))
+    out = ["source", "target", "distance", *carry]
     if cutoff is None:
-        same = s.join(t, "edge_index")
-    else:  # places of one edge meet in bins as wide as the cutoff, or as the next power of two of each source's
-        s = s.join(own, "source") if own is not None else s.withColumn("cutoff", F.lit(float(cutoff)))
-        s = cut(s.withColumn("grade", F.ceil(F.log2(F.greatest(F.col("cutoff"), F.lit(1e-300)))).cast("int")))
-        grades = [r["grade"] for r in s.select("grade").distinct().collect()]  # at most some 2,000 powers of two
-        bin_of = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("grade"))).cast("long")
-        t = t.withColumn("grade", F.explode(F.array(*[F.lit(g) for g in grades]) if grades else F.array().cast("array<int>")))
-        t = t.withColumn("bin", F.explode(F.array(bin_of("q") - 1, bin_of("q"), bin_of("q") + 1)))
-        same = s.withColumn("bin", bin_of("p")).drop("cutoff").join(t, ["edge_index", "grade", "bin"])
-    if one_way:
-        same = same.where(F.col("q") >= F.col("p"))
-    same = same.select("source", "target", F.abs(F.col("q") - F.col("p")).alias("distance"))
-    out = through.union(same)
-    if own is not None:
-        out = out.join(own, "source").where(F.col("distance") <= F.col("cutoff") + EPS).select("source", "target", "distance")
-    elif cutoff is not None:
-        out = out.where(F.col("distance") <= cutoff + EPS)
-    return out.groupBy("source", "target").agg(F.min("distance").alias("distance"))
+        met = _shared_join(ways.join(t, "et"), s, ["es"])
+        found = met.withColumn("distance", F.when(F.col("es") == F.col("et"), F.least(through, straight)).otherwise(through))
+        lone = t.join(ways.select("et", "es").where("es = et").select("et"), "et", "left_anti")  # an edge that does not lead back to itself
+        same = _shared_join(lone.withColumnRenamed("et", "es"), s, ["es"]).withColumn("distance", straight)
+        return found.select(*out).union(same.select(*out)).where("distance is not null")
+    s = s if own else s.withColumn("cutoff", F.lit(float(cutoff)))
+    limit = F.col("cutoff") + EPS
+    # along one edge: bins as wide as the cutoff, or as the next power of two of each source's
+    s = s.withColumn("grade", F.ceil(F.log2(F.greatest(F.col("cutoff"), F.lit(1e-300)))).cast("int"))
+    grades = [r["grade"] for r in s.select("grade").distinct().collect()]  # at most some 2,000 powers of two
+    bin_of = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("grade"))).cast("long")
+    near_t = t.withColumn("grade", F.explode(F.array(*[F.lit(g) for g in grades]) if grades else F.array().cast("array<int>")))
+    near_t = near_t.withColumn("bin", F.explode(F.array(bin_of("q") - 1, bin_of("q"), bin_of("q") + 1)))
+    own_ways = ways.where("es = et").drop("es")
+    near_t = near_t.join(F.broadcast(own_ways) if small(own_ways) else own_ways, "et", "left").withColumnRenamed("et", "es")
+    same = _shared_join(near_t, s.withColumn("bin", bin_of("p")), ["es", "grade", "bin"]).withColumn("distance", F.least(through, straight))
+    # by the ends: only places within the cutoff of an end of their edge
+    top = F.lit(float(cutoff)) if not own else F.lit(float(s.agg(F.max("cutoff").alias("c")).first()["c"] or 0.0))
+    least_way = F.least(*[F.col(w) for w in ("uu", "uv", "vu", "vv")])
+    ended = ways.join(t, "et").where(F.least("c", "d") + least_way <= top + EPS)
+    met = _shared_join(ended, s.where(F.least("a", "b") <= limit), ["es"])
+    met = met.where((F.col("es") != F.col("et")) | (F.abs(bin_of("p") - bin_of("q")) > 1)).withColumn("distance", through)
+    return same.where(F.col("distance") <= limit).select(*out).union(met.where(F.col("distance") <= limit).select(*out))
 
 
 def traversal(network: Network, node: str, cutoff: float, *, weight: str = "length", directed: bool | None = None) -> DataFrame:
@@ -223,9 +256,9 @@ def propagate(
     return out
 
 
-def kernel_from_distances(distances: DataFrame, kernel: Kernel, h: Column) -> DataFrame:
-    """(source, target, k) from (source, target, distance [, h])."""
-    return distances.select("source", "target", kernel.scaled(F.col("distance"), h, 1).alias("k"))
+def kernel_from_distances(distances: DataFrame, kernel: Kernel, h: Column, carry: Sequence[str] = ()) -> DataFrame:
+    """(source, target, k, carried columns) from (source, target, distance [, h], carried columns)."""
+    return distances.select("source", "target", kernel.scaled(F.col("distance"), h, 1).alias("k"), *carry)
 
 
 def kernel_from_stretches(stretches: DataFrame, targets: DataFrame, kernel: Kernel, h: Column) -> DataFrame:
@@ -296,10 +329,11 @@ class NetworkKDE:
     tolerance: float = 1e-12
     max_records: int = 100_000
 
-    def kernel_values(self, network: Network, events: DataFrame, lixels: DataFrame) -> DataFrame:
-        """(source, target, k) for events (event_id, edge_index, offset) and lixel centres."""
+    def kernel_values(self, network: Network, events: DataFrame, lixels: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+        """(source, target, k) for events (event_id, edge_index, offset) and lixel centres; the simple policy also hands on the columns of the
+        events that are to be carried."""
         kernel = get_kernel(self.kernel)
-        sources = events.select(F.col("event_id").alias("source"), "edge_index", "offset")
+        sources = events.select(F.col("event_id").alias("source"), "edge_index", "offset", *carry)
         if hasattr(self.bandwidth, "resolve"):
             sources = sources.join(self.bandwidth.resolve(network, events, self.directed), "source")
         elif isinstance(self.bandwidth, str):
@@ -309,10 +343,11 @@ class NetworkKDE:
         targets = lixels.select(F.col("lixel_id").alias("target"), "edge_index", F.col("center_offset").alias("offset"))
         if not get_policy(self.policy).path_based:
             if kernel.reach is None:
-                d = location_distances(network, sources, targets, None, directed=self.directed)
+                d = location_distances(network, sources, targets, None, directed=self.directed, carry=["h", *carry])
             else:  # each source as far as its own bandwidth
-                d = location_distances(network, sources.withColumn("cutoff", F.col("h") * kernel.reach), targets, "cutoff", directed=self.directed)
-            return kernel_from_distances(d.join(sources.select("source", "h"), "source"), kernel, F.col("h")).where("k <> 0")
+                d = location_distances(network, sources.withColumn("cutoff", F.col("h") * kernel.reach), targets, "cutoff", directed=self.directed, carry=["h", *carry])
+            return kernel_from_distances(d, kernel, F.col("h"), carry).where("k <> 0")
+        sources = sources.drop(*carry)
         if kernel.reach is None:
             raise ValueError("path policies need a kernel with reach")
         found = propagate(
@@ -327,14 +362,14 @@ class NetworkKDE:
         if hasattr(self.bandwidth, "select") and not hasattr(self.bandwidth, "resolve"):
             chosen = self.bandwidth.select(network, events, lixels, kernel=self.kernel, policy=self.policy, directed=self.directed)
             return replace(self, bandwidth=chosen.bandwidth).evaluate(network, events, lixels)
-        return self.field(events, lixels, self.kernel_values(network, events, lixels))
+        return self.field(events, lixels, self.kernel_values(network, events, lixels, ["weight"]))
 
     def field(self, events: DataFrame, lixels: DataFrame, values: DataFrame) -> DataFrame:
-        """lixels with density or intensity from kernel values (source, target, k)."""
+        """lixels with density or intensity from kernel values (source, target, k [, weight])."""
         target = get_target(self.target)
         total = (events.agg(F.sum("weight").alias("w")).first()["w"] or 0.0) if target == "density" else 1.0
-        w = events.select(F.col("event_id").alias("source"), (F.col("weight") / total).alias("a"))
-        sums = values.join(w, "source").groupBy(F.col("target").alias("lixel_id")).agg(F.sum(F.col("a") * F.col("k")).alias("__f"))
+        w = values if "weight" in values.columns else values.join(events.select(F.col("event_id").alias("source"), "weight"), "source")
+        sums = w.withColumn("a", F.col("weight") / total).groupBy(F.col("target").alias("lixel_id")).agg(F.sum(F.col("a") * F.col("k")).alias("__f"))
         return lixels.join(sums, "lixel_id", "left").withColumn(target, F.greatest(F.lit(0.0), F.coalesce("__f", F.lit(0.0)))).drop("__f")
 
 
@@ -462,12 +497,21 @@ class TemporalNetworkKDE:
             if top["bad"]:
                 raise ValueError("temporal bandwidths of events are positive and finite")
             most = images(get_kernel(self.temporal_kernel), top["top"], self.domain.period) if self.domain.period is not None else None
-        space = (kde.kernel_values(network, events, lixels) if values is None else values).where("k <> 0")
         extra = ["__ht"] if isinstance(ht, Column) else []
         own = events.select(F.col("event_id").alias("source"), (F.col("weight") / total).alias("a"), F.col("time").alias("s"), *extra)
         k = temporal_kernel(self.temporal_kernel, F.col("time") - F.col("s"), ht, self.domain, most=most)
         when = own.crossJoin(F.broadcast(cells)).select("source", "time_index", (F.col("a") * k).alias("b"))  # cells of one axis
-        sums = space.join(when, "source").groupBy(F.col("target").alias("lixel_id"), "time_index").agg(F.sum(F.col("k") * F.col("b")).alias("__f"))
+        times = [r["time_index"] for r in cells.select("time_index").distinct().limit(MOST_CELLS + 1).collect()]
+        if values is None and not get_policy(kde.policy).path_based and 0 < len(times) <= MOST_CELLS:
+            # the shares of few time cells ride along with their event, so that no pair is joined again
+            shares = when.groupBy(F.col("source").alias("event_id")).agg(F.map_from_entries(F.collect_list(F.struct("time_index", "b"))).alias("m"))
+            shares = shares.select("event_id", F.array(*[F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0.0)) for i in times]).alias("__b"))
+            space = kde.kernel_values(network, events.join(shares, "event_id"), lixels, ["__b"])
+            wide = space.groupBy(F.col("target").alias("lixel_id")).agg(*[F.sum(F.col("k") * F.get("__b", F.lit(j))).alias(f"f{j}") for j in range(len(times))])
+            sums = wide.select("lixel_id", F.explode(F.array(*[F.struct(F.lit(i).alias("time_index"), F.col(f"f{j}").alias("__f")) for j, i in enumerate(times)])).alias("r")).select("lixel_id", "r.*")
+        else:
+            space = (kde.kernel_values(network, events, lixels) if values is None else values).where("k <> 0")
+            sums = space.join(when, "source").groupBy(F.col("target").alias("lixel_id"), "time_index").agg(F.sum(F.col("k") * F.col("b")).alias("__f"))
         grid = lixels.select("lixel_id", "length").crossJoin(F.broadcast(cells))
         out = grid.join(sums, ["lixel_id", "time_index"], "left")
         return out.select("lixel_id", "time_index", "time", F.greatest(F.lit(0.0), F.coalesce("__f", F.lit(0.0))).alias(target), (F.col("length") * F.col("time_width")).alias("measure"))

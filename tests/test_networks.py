@@ -444,3 +444,38 @@ def test_places_of_one_edge_meet_within_the_cutoff(spark, directed):
         reach = lambda i: 0.5 + i % 7 if cutoff == "cutoff" else cutoff
         want = {(i, j): abs(x - y) for i, x in enumerate(at) for j, y in enumerate(at) if abs(x - y) <= reach(i) and (y >= x or not directed)}
         assert got == pytest.approx(want)
+
+
+def test_pairs_of_places_are_not_shuffled(spark):
+    """Distances equal brute force over nodes, directed or not, with own cutoffs; a pair is one row that goes straight to its target's sum."""
+    rng = np.random.default_rng(5)
+    lines = [[tuple(map(float, rng.integers(0, 4, 2))) for _ in range(2)] for _ in range(14)]
+    lines = [line for line in lines if line[0] != line[1]]
+    for one_way, cutoff in ((False, "cutoff"), (True, None)):
+        net = network(spark, lines, directed=one_way)
+        e = {r.edge_index: (r.u, r.v, r.length) for r in net.edges.collect()}
+        rows = [(i, int(k := rng.choice(list(e))), float(rng.choice([0.0, 1.0, rng.random()]) * e[k][2]), float(rng.uniform(0.1, 4))) for i in range(40)]
+        s = spark.createDataFrame(rows, "source long, edge_index long, offset double, cutoff double")
+        t = s.select(F.col("source").alias("target"), "edge_index", "offset")
+        names = sorted({n for u, v, _ in e.values() for n in (u, v)})
+        # a graph in which every place is a node
+        at = {n: i for i, n in enumerate(names)}
+        size = len(names) + len(rows)
+        far = np.full((size, size), np.inf)
+        for k, (u, v, length) in e.items():
+            stops = sorted([(0.0, at[u]), (length, at[v]), *((o, len(names) + i) for i, x, o, _ in rows if x == k)])
+            for (p, a), (q, b) in zip(stops, stops[1:], strict=False):
+                for x, y in ((a, b), *(() if one_way and q > p else ((b, a),))):
+                    far[x, y] = min(far[x, y], q - p + 1e-13)
+        np.fill_diagonal(far, 0.0)
+        for i in range(size):
+            far = np.minimum(far, far[:, i : i + 1] + far[i : i + 1])
+        want = far[len(names) :, len(names) :]
+        top = [np.inf if cutoff is None else r[3] for r in rows]
+        d = location_distances(net, s, t, cutoff, carry=["cutoff"] if cutoff is None else ())
+        got = [(r.source, r.target, r.distance) for r in d.collect()]
+        assert len({x[:2] for x in got}) == len(got)
+        assert {x[:2] for x in got} == {(i, j) for i in range(40) for j in range(40) if want[i, j] <= top[i] and np.isfinite(want[i, j])}
+        assert all(abs(want[i, j] - x) < 1e-9 for i, j, x in got)
+        plan = d.groupBy("target").count()._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(source" not in plan
