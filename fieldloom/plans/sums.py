@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.plans.lineage import cut
 from fieldloom.plans.pairs import small
 
 CELLS = 1 << 21  # pairs held at once
+BLOCK = 1 << 10  # vectors of a block
 Columns = dict[str, np.ndarray]
 #: Sums over the sources for each target; both come as columns.
 PairSum = Callable[[Columns, Columns], Sequence[np.ndarray]]
@@ -80,3 +82,32 @@ def squares(t: Columns, s: Columns, t_cols: Sequence[str], s_cols: Sequence[str]
         gap = t[a][:, None] - s[b][None, :]
         total = gap * gap if total is None else total + gap * gap
     return total
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of vectors: ids, and the vectors one after another."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, BLOCK):
+            batch = whole.slice(i, BLOCK)
+            held = np.array(batch.column(1).to_pylist(), dtype=float)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_pylist()], pa.list_(batch.schema.field(0).type)), pa.array([held.tobytes()], pa.binary())], ["ids", "held"])
+
+
+def vector_sums(rows: DataFrame, key: str, vector: str, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(key, total): for each row the sum of kernel(squared distance) over all rows, itself included; vectors of one length, without nulls.
+    Rows are packed into blocks of at most BLOCK vectors, and tasks get pairs of blocks: the work is that of all pairs, a task holds two blocks."""
+    kind = dict(rows.dtypes)[key]
+    kept = rows.select(F.col(key).alias("id"), vector).where(F.col(vector).isNotNull())
+    packed = cut(kept.mapInArrow(_packed, f"ids array<{kind}>, held binary"))
+    sides = packed.crossJoin(packed.select(F.col("held").alias("other")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = batch.column(0)[i].values
+                a = np.frombuffer(batch.column(1)[i].as_py()).reshape(len(ids), -1)
+                b = np.frombuffer(batch.column(2)[i].as_py()).reshape(-1, a.shape[1])
+                square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(kernel(np.maximum(square, 0.0)).sum(axis=1))], [key, "total"])
+
+    return sides.mapInArrow(run, f"`{key}` {kind}, total double").groupBy(key).agg(F.sum("total").alias("total"))

@@ -168,3 +168,15 @@ def test_gaussian_sums_by_cells_equal_all_pairs(spark, monkeypatch):
         for k in a:
             assert np.allclose(a[k], b[k], rtol=1e-7, atol=1e-300), (k, a[k], b[k])
     assert taken and max(taken) < 200
+
+
+def test_sums_over_vectors_meet_in_blocks(spark, monkeypatch):
+    """Blocks of seven vectors give the sums of all pairs; a null vector takes no part."""
+    from fieldloom.plans import sums
+
+    monkeypatch.setattr(sums, "BLOCK", 7)
+    v = np.random.default_rng(2).normal(size=(60, 5))
+    df = spark.createDataFrame([*((i, [float(c) for c in x]) for i, x in enumerate(v)), (60, None)], "id long, v array<double>").repartition(3)
+    got = {r.id: r.total for r in sums.vector_sums(df, "id", "v", lambda square: np.exp(-square)).collect()}
+    want = np.exp(-((v[:, None] - v[None, :]) ** 2).sum(axis=2)).sum(axis=1)
+    assert sorted(got) == list(range(60)) and np.allclose([got[i] for i in range(60)], want, rtol=1e-12)
