@@ -292,7 +292,7 @@ def snap(network: Network, events: Events, max_distance: float | None = None, ti
     reach = float(max_distance) if max_distance is not None else s["mean"]
     reach, pending, parts = max(reach, across * 1e-6, 1e-12), pts, []
     while True:
-        width = max(reach, s["longest"] / 16)  # a segment touches few cells
+        width = max((reach + tie_tolerance) * (1 + 1e-9), s["longest"] / 16)  # ties lie as far as the tolerance beyond; a segment touches few cells
         c = lambda v: F.floor(v / width).cast("long")  # noqa: B023, E731
         span = lambda a, b: F.explode(F.sequence(c(F.least(a, b)) - 1, c(F.greatest(a, b)) + 1))  # noqa: B023, E731
         keyed = segs.withColumn("cx", span(F.col("ax"), F.col("bx"))).withColumn("cy", span(F.col("ay"), F.col("by")))

@@ -52,6 +52,11 @@ def test_snapping(spark, junction):
         assert (got[2].status == "beyond_max_distance") == (limit is not None)
 
 
+def test_ties_just_beyond_the_reach_are_seen(spark):
+    e = Events.from_frame(spark.createDataFrame([(0, 0.4, 7.6)], "id long, x double, y double"), ("x", "y"), event_id="id")
+    assert [r.candidates for r in snap(Network.grid(spark, 8, 8), e, 0.4).collect()] == [2]  # 8 - 7.6 is 4e-16 above 0.4
+
+
 def test_lixels_and_arixels(spark, junction):
     lixels = junction.lixels(0.4)
     rows = lixels.orderBy("lixel_id").collect()
