@@ -273,6 +273,88 @@ def kernel_from_stretches(stretches: DataFrame, targets: DataFrame, kernel: Kern
     return hit.groupBy("source", "target").agg(F.sum(value).alias("k"))
 
 
+def _ranked(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """df with rank, from 0 on, in the order of these columns, which tell rows apart: parts by ranges, and a count of each part."""
+    ordered = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    base, rows = 0, []
+    for r in ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect():  # one row a partition
+        rows.append((r["__part"], base))
+        base += r["n"]
+    bases = F.broadcast(df.sparkSession.createDataFrame(rows, "__part int, __base long"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ordered.join(bases, "__part").withColumn("rank", F.col("__base") + within - 1).drop("__part", "__base")
+
+
+def _beside(df: DataFrame, order: Sequence[str], k: int, held: Sequence[str]) -> DataFrame:
+    """df with before and after: the held columns of the k rows before and after each in the order, in blocks of ranks that see their ends."""
+    size = max(k, 100_000)
+    rows = _ranked(df, order)
+    at, place = F.floor(F.col("rank") / size), F.col("rank") % size
+    blocks = F.array_compact(F.array(at, F.when(place < k, at - 1), F.when(place >= size - k, at + 1)))
+    rows = rows.withColumn("__own", at).withColumn("__block", F.explode(blocks))
+    along = Window.partitionBy("__block").orderBy("rank")
+    near = lambda a, b: F.collect_list(F.struct(*held)).over(along.rowsBetween(a, b))
+    rows = rows.withColumn("before", near(-k, -1)).withColumn("after", near(1, k))
+    return rows.where("__own = __block").drop("__own", "__block", "rank")
+
+
+def neighbour_distances(network: Network, places: DataFrame, k: int, n: int, total: float, cutoff: float | None, directed: bool | None) -> DataFrame:
+    """(source, distance) from each place (source, edge_index, offset) to its k-th nearest other one; those with fewer within the cutoff are
+    missing.
+
+    On its own edge a place looks at the k before and the k after. All others are come to by an end of the edge, and of these the k + 1 nearest
+    to a node (one may be the place itself) serve every place that leaves by it. No pairs are made; nodes search in rounds of a growing reach."""
+    one_way = network.is_directed(directed)
+    e = network.edges.select("edge_index", "u", "v", "length")
+    tol = F.greatest(F.lit(EPS), F.col("length") * EPS)
+    s = places.select("source", "edge_index", "offset").join(F.broadcast(e) if small(e) else e, "edge_index")
+    p, rest = F.col("offset"), F.col("length") - F.col("offset")
+    p, rest = F.when(p <= tol, 0.0).otherwise(p), F.when(rest <= tol, 0.0).otherwise(rest)
+    zero = lambda c: F.when(c == 0, c) if one_way else c
+    s = s.select("source", "edge_index", F.col("offset").alias("p"), "u", "v", zero(p).alias("a"), rest.alias("b"), p.alias("c"), zero(rest).alias("d"))
+    pending = cut(_beside(s, ["edge_index", "p", "source"], k, ["edge_index", "p", "source"]))
+    # the nearest places on the edges at each node; a loop brings a place twice
+    ends = pending.select("source", F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("c").alias("off")), F.struct(F.col("v").alias("node"), F.col("d").alias("off")))).alias("x"))
+    ends = ends.select("x.node", "source", "x.off").where("off is not null")
+    first = F.row_number().over(Window.partitionBy("node").orderBy("off", "source"))
+    ends = ends.withColumn("place", first).where(F.col("place") <= 2 * (k + 1)).groupBy("node", "source").agg(F.min("off").alias("off"))
+    ends = cut(ends)
+    reach, parts = max(8 * total * k / n, 1e-12), []
+    while True:
+        last = reach >= (total if cutoff is None else cutoff)
+        limit = cutoff if last else reach
+        nodes = pending.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        starts = nodes.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance"))
+        ways = node_distances(network, starts, limit, directed=directed).select(F.col("source").alias("from"), "node", "distance")
+        met = ways.join(ends, "node").groupBy("from", "source").agg(F.min(F.col("distance") + F.col("off")).alias("way"))
+        if limit is not None:
+            met = met.where(F.col("way") <= limit + EPS)
+        near = F.row_number().over(Window.partitionBy("from").orderBy("way", "source"))
+        met = met.withColumn("place", near).where(F.col("place") <= k + 1)
+        met = met.groupBy("from").agg(F.collect_list(F.struct("way", "source")).alias("others"))
+        lists = cut(nodes.join(met, F.col("node") == F.col("from"), "left").select("node", "others"))
+        rows = _shared_join(lists.select(F.col("node").alias("u"), F.col("others").alias("by_u")), pending, ["u"])
+        rows = _shared_join(lists.select(F.col("node").alias("v"), F.col("others").alias("by_v")), rows, ["v"])
+        gap = lambda x: x["p"] - F.col("p") if one_way else F.abs(x["p"] - F.col("p"))
+        straight = F.transform(F.filter(F.concat("before", "after"), lambda x: (x["edge_index"] == F.col("edge_index")) & (gap(x) >= 0)), lambda x: F.struct(gap(x).alias("way"), x["source"].alias("source")))
+        by = lambda c, leave: F.transform(F.coalesce(c, F.array()), lambda x: F.struct((F.col(leave) + x["way"]).alias("way"), x["source"].alias("source")))
+        every = F.filter(F.concat(straight, by("by_u", "a"), by("by_v", "b")), lambda x: x["way"].isNotNull() & (x["source"] != F.col("source")))
+        # in order of their ways; a place that is come to in several ways counts once, by the least
+        rows = rows.withColumn("every", F.array_sort(every)).withColumn("names", F.transform("every", lambda x: x["source"]))
+        kth = F.try_element_at(F.array_distinct("names"), F.lit(k))
+        rows = rows.withColumn("kth", kth).withColumn("distance", F.try_element_at("every", F.array_position("names", F.col("kth")).cast("int"))["way"])
+        rows = rows.where("distance is not null")
+        found = cut((rows if limit is None else rows.where(F.col("distance") <= limit + EPS)).select("source", "distance"))
+        parts.append(found)
+        if last:
+            break
+        pending = cut(pending.join(found.select("source"), "source", "left_anti"))
+        if not pending.limit(1).count():
+            break
+        reach *= 4
+    return functools.reduce(DataFrame.union, parts)
+
+
 @dataclass(frozen=True)
 class NetworkKNNBandwidth:
     """Each event's network distance to its k-th nearest other event; too few in reach is an error."""
@@ -289,27 +371,13 @@ class NetworkKNNBandwidth:
         n, total = places.count(), network.edges.agg(F.sum("length").alias("t")).first()["t"] or 0.0
         if not 1 <= self.k <= n - 1:
             raise ValueError(f"k must be between 1 and {n - 1}")
-        # rounds: the reach starts where about k neighbours are expected and doubles for sources that have found fewer
-        reach, pending, parts = max(total * self.k / n, 1e-12), places, []
-        targets = places.withColumnRenamed("source", "target")
-        while True:
-            last = reach >= (total if self.cutoff is None else self.cutoff)
-            limit = self.cutoff if last else reach
-            d = location_distances(network, pending, targets, limit, directed=directed).where("source <> target")
-            ranked = d.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("distance")))
-            found = cut(ranked.where(F.col("rank") <= self.k).where(F.col("rank") == self.k).select("source", "distance"))
-            parts.append(found)
-            pending = cut(pending.join(found.select("source"), "source", "left_anti"))
-            left = pending.limit(1).count()
-            if last or not left:
-                break
-            reach *= 2
-        if left:
+        found = neighbour_distances(network, places, self.k, n, total, self.cutoff, directed)
+        if found.count() < n:
             raise ValueError("some events have too few others in reach")
         h = F.col("distance") * self.multiplier
         if self.minimum is not None:
             h = F.greatest(h, F.lit(float(self.minimum)))
-        out = cut(functools.reduce(DataFrame.union, parts).select("source", h.alias("h")))
+        out = cut(found.select("source", h.alias("h")))
         if out.where("h <= 0").limit(1).count():
             raise ValueError("some k-th distances are zero; set a minimum bandwidth")
         return out
@@ -433,30 +501,23 @@ class NetworkTimeKNNBandwidth:
 
 
 def time_ranks(events: DataFrame, k: int, domain: TimeDomain) -> DataFrame:
-    """(source, distance): time from each event to its k-th nearest other one. In order of time the k nearest are among the k events before
-    and the k after; on a cycle the events of the neighbouring turns are put before and behind."""
+    """(source, distance): time from each event to its k-th nearest other one. Events of one time count as one row; in order of time the k
+    nearest are among the k times before and the k after. On a cycle the last k times are put before the first, and the first behind."""
     own = events.select(F.col("event_id").alias("source"), F.col("time").cast("double").alias("t"))
     if domain.period is not None:
         own = own.select("source", domain.canonical(F.col("t")).alias("t"))
-        turns = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-        own = own.select("source", turns.alias("turn"), "t").withColumn("t", F.col("t") + F.col("turn") * domain.period)
-    else:
-        own = own.withColumn("turn", F.lit(0))
-    blocks = own.agg(F.count(F.lit(1)).alias("n")).first()["n"] // 200_000 + 1
-    cuts = sorted(set(own.agg(F.percentile_approx("t", [i / blocks for i in range(1, blocks)], 10_000).alias("q")).first()["q"])) if blocks > 1 else []
-    block = F.lit(0)
-    for c in cuts:  # one border for each 200,000 events
-        block = block + (F.col("t") > c).cast("int")
-    own = cut(own.withColumn("block", block))
-    ends = own.withColumn("up", F.row_number().over(Window.partitionBy("block").orderBy("t"))).withColumn("down", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("t"))))
-    # the first and the last k of a block are also seen by the blocks beside it; a block holds more than k rows unless it is the only one
-    shared = ends.where(F.col("down") <= k).select("source", "turn", "t", (F.col("block") + 1).alias("block"), F.lit(False).alias("mine"))
-    shared = shared.union(ends.where(F.col("up") <= k).select("source", "turn", "t", (F.col("block") - 1).alias("block"), F.lit(False)))
-    rows = own.select("source", "turn", "t", "block", F.lit(True).alias("mine")).union(shared)
-    order = Window.partitionBy("block").orderBy("t", "source")
-    near = F.array_sort(F.transform(F.concat(F.collect_list("t").over(order.rowsBetween(-k, -1)), F.collect_list("t").over(order.rowsBetween(1, k))), lambda x: F.abs(x - F.col("t"))))
-    found = rows.select("source", "turn", "mine", F.element_at(near, k).alias("distance")).where("mine and turn = 0")
-    return found.select("source", "distance" if domain.period is None else F.least("distance", F.lit(domain.period / 2)).alias("distance"))
+    held = cut(own.groupBy("t").agg(F.count(F.lit(1)).alias("n")))
+    rows = held.withColumn("mine", F.lit(True))
+    if domain.period is not None:
+        turned = lambda order, turn: held.orderBy(order).limit(k).select((F.col("t") + turn * domain.period).alias("t"), "n", F.lit(False).alias("mine"))
+        rows = rows.union(turned(F.desc("t"), -1)).union(turned(F.col("t"), 1))
+    rows = _beside(rows, ["t", "mine"], k, ["t", "n"]).where("mine")
+    gaps = F.array_sort(F.transform(F.concat("before", "after"), lambda x: F.struct(F.abs(x["t"] - F.col("t")).alias("gap"), x["n"].alias("n"))))
+    start = F.struct((F.lit(k) - (F.col("n") - 1)).cast("long").alias("left"), F.lit(0.0).alias("gap"))
+    step = lambda acc, x: F.when(acc["left"] > 0, F.struct((acc["left"] - x["n"]).alias("left"), x["gap"].alias("gap"))).otherwise(acc)
+    found = rows.select("t", F.aggregate(gaps, start, step)["gap"].alias("distance"))
+    met = _shared_join(found, own, ["t"])
+    return met.select("source", "distance" if domain.period is None else F.least("distance", F.lit(domain.period / 2)).alias("distance"))
 
 
 @dataclass(frozen=True)

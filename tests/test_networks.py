@@ -14,6 +14,7 @@ from fieldloom.operators.heat import HeatNetworkKDE
 from fieldloom.operators.network import (
     JunctionPolicy,
     NetworkKDE,
+    NetworkKNNBandwidth,
     NetworkTimeBandwidths,
     NetworkTimeKNNBandwidth,
     TemporalNetworkKDE,
@@ -484,3 +485,17 @@ def test_pairs_of_places_are_not_shuffled(spark):
         assert all(abs(want[i, j] - x) < 1e-9 for i, j, x in got)
         plan = d.groupBy("target").count()._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(source" not in plan
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_neighbours_are_found_without_pairs(spark, directed, monkeypatch):
+    square = network(spark, [[(0, 0), (1, 0)], [(1, 0), (1, 1)], [(1, 1), (0, 1)], [(0, 1), (0, 0)], [(0, 0), (1, 1)]], directed=directed)
+    r = np.random.default_rng(8)
+    rows = [(i, int(e), float(min(o, 1.0)), 1.0, float(t)) for i, (e, o, t) in enumerate(zip(r.integers(0, 5, 40), r.choice([0.0, 0.25, 0.3, 0.7, 1.0], 40) + r.uniform(0, 0.01, 40) * (np.arange(40) % 3), r.integers(0, 24, 40)))]
+    events = spark.createDataFrame(rows, EVENT + ", time double")
+    places = [events.select(F.col("event_id").alias(n), "edge_index", "offset") for n in ("source", "target")]
+    pairs = location_distances(square, *places, None).where("source <> target").collect()
+    monkeypatch.setattr("fieldloom.operators.network.location_distances", lambda *a, **k: pytest.fail("pairs"))
+    for k in (1, 7):
+        got = {x.source: x.h for x in NetworkKNNBandwidth(k, minimum=1e-6).resolve(square, events).collect()}
+        assert got == pytest.approx({i: max(1e-6, sorted(x.distance for x in pairs if x.source == i)[k - 1]) for i in range(40)})
