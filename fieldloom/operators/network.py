@@ -14,6 +14,7 @@ from fieldloom.functions.time import TimeDomain, images, temporal_kernel
 from fieldloom.operators.bandwidths import positive
 from fieldloom.operators.spatial import get_target
 from fieldloom.plans.lineage import cut
+from fieldloom.plans.lines import tiled
 from fieldloom.plans.pairs import _dealt, small
 from fieldloom.sources.network import Network
 from fieldloom.sources.planar import Issue, Report, bad
@@ -139,6 +140,21 @@ def traversal(network: Network, node: str, cutoff: float, *, weight: str = "leng
     )
 
 
+def tiles(network: Network, events: DataFrame, targets: DataFrame | None, reach: float) -> tuple[DataFrame, int]:
+    """Events (event_id, edge_index, offset, weight [, time]) and targets (target, edge_index, offset; None: the events) in tiles of the edges of an
+    undirected network, for kernel sums along shortest paths up to the reach."""
+    e = network.edges.select("edge_index", F.col("length").alias("length"))
+    e = F.broadcast(e) if small(e) else e
+    time = F.col("time").cast("double") if "time" in events.columns else F.lit(None).cast("double")
+    p, rest = F.col("offset"), F.col("length") - F.col("offset")
+    s = events.select(F.col("event_id").alias("source"), "edge_index", "offset", F.col("weight").cast("double").alias("w"), time.alias("time")).join(e, "edge_index")
+    s = s.select("source", F.col("edge_index").alias("es"), p.alias("p"), p.alias("a"), rest.alias("b"), "length", "w", "time")
+    t = targets.join(e, "edge_index").select("target", F.col("edge_index").alias("et"), p.alias("q"), "length") if targets is not None else None
+    used = cut(s.select("es").distinct())
+    ways = _edge_ways(network, used, cut(t.select("et").distinct()) if t is not None else used.select(F.col("es").alias("et")), reach, "length", False)
+    return tiled(s, t, ways, reach)
+
+
 @dataclass(frozen=True)
 class JunctionPolicy:
     """How a coefficient splits at a node of n branches: multipliers, as columns of n, for the other branches, for the way back, and for

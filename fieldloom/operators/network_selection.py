@@ -4,17 +4,19 @@ taken once."""
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.kernels import Kernel, get_kernel
-from fieldloom.functions.time import TimeDomain, images, temporal_kernel
-from fieldloom.operators.network import get_policy, kernel_from_stretches, location_distances, propagate, require_events
+from fieldloom.functions.time import TimeDomain, images, temporal_array, temporal_kernel
+from fieldloom.operators.network import get_policy, kernel_from_stretches, location_distances, propagate, require_events, tiles
 from fieldloom.operators.selection import Selection, best, bounds_of, candidates, checked, minimise_log
 from fieldloom.plans.lineage import cut
+from fieldloom.plans.lines import network_sums
 from fieldloom.sources.network import Network
 
 
@@ -56,6 +58,39 @@ class Prepared:
         return functools.reduce(DataFrame.union, parts)
 
 
+@dataclass(frozen=True)
+class Tiled:
+    """Events and targets in tiles of the edges, for sums of kernels along shortest paths of any bandwidth up to the largest; no pairs."""
+
+    rows: DataFrame
+    parts: int
+    kernel: Kernel
+    most: float
+
+    @classmethod
+    def of(cls, network: Network, events: DataFrame, targets: DataFrame | None, most: float, kernel: Kernel) -> Tiled:
+        return cls(*tiles(network, events, targets, most * kernel.reach), kernel, most)
+
+    def sums(self, by: Sequence[str], grid: Sequence[Sequence[float]], hs: Sequence[float], clock: Callable | None = None) -> DataFrame:
+        """(by..., i, w_i, s) for the candidates of the grid, in the order of the sums."""
+        if max(hs) > self.most * (1 + 1e-12):
+            raise ValueError("the bandwidth is above what was prepared")
+        found = network_sums(self.rows, self.parts, self.kernel, hs, clock)
+        each = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(by, g, strict=True)], F.col("s")[i].alias("s")) for i, g in enumerate(grid)])
+        return found.select(F.col("id").alias("i"), F.col("w").alias("w_i"), F.explode(each).alias("c")).select(*[f"c.{n}" for n in by], "i", "w_i", "c.s")
+
+    def leave_one_out(self, events: DataFrame, by: Sequence[str], grid: Sequence[Sequence[float]], hs: Sequence[float], clock: Callable | None = None) -> DataFrame:
+        """(by..., i, w_i, f) over all events and candidates; f is 0 where nothing is in reach."""
+        total = events.agg(F.sum("weight").alias("w")).first()["w"]
+        f = F.when(total - F.col("w_i") > 0, F.col("s") / (total - F.col("w_i"))).otherwise(0.0)
+        return self.sums(by, grid, hs, clock).select(*by, "i", "w_i", F.greatest(F.lit(0.0), f).alias("f"))
+
+    def field(self, events: DataFrame, hs: Sequence[float]) -> DataFrame:
+        """(h, target, f): the density at targets of positive weights that sum to one."""
+        total = events.agg(F.sum("weight").alias("w")).first()["w"]
+        return self.sums(["h"], [(h,) for h in hs], hs).select("h", F.col("i").alias("target"), (F.col("s") / total).alias("f"))
+
+
 def _lixel_places(lixels: DataFrame) -> DataFrame:
     return lixels.select(F.col("lixel_id").alias("target"), "edge_index", F.col("center_offset").alias("offset"))
 
@@ -119,19 +154,30 @@ class NetworkBandwidthGrid:
         events = cut(events) if prepared is None else events
         hs = checked(self.hs)
         among, to_lixels = prepared or self.prepare(network, events, lixels, max(hs))
-        loo = _leave_one_out(among.grid(hs), events, ["h"], candidates(events.sparkSession, hs))
+        if isinstance(among, Tiled):
+            loo = among.leave_one_out(events, ["h"], [(h,) for h in hs], hs)
+        else:
+            loo = _leave_one_out(among.grid(hs), events, ["h"], candidates(events.sparkSession, hs))
         if self.objective == "likelihood":
             return _likelihood(loo, ["h"], self.floor)
         measures = lixels.select(F.col("lixel_id").alias("target"), F.col("length").alias("measure"))
-        return _least_squares(loo, _field(to_lixels.grid(hs), events, ["h"]), measures, ["h"])
+        field = to_lixels.field(events, hs) if isinstance(to_lixels, Tiled) else _field(to_lixels.grid(hs), events, ["h"])
+        return _least_squares(loo, field, measures, ["h"])
 
-    def prepare(self, network: Network, events: DataFrame, lixels: DataFrame | None, most: float) -> tuple[Prepared, Prepared | None]:
+    def prepare(self, network: Network, events: DataFrame, lixels: DataFrame | None, most: float, over_time: bool = False) -> tuple[Prepared | Tiled, Prepared | Tiled | None]:
+        """over_time: fields over lixels and time cells, which take pairs of events and lixels."""
         if self.objective not in ("likelihood", "least_squares"):
             raise ValueError("objective is likelihood or least_squares")
         if self.objective == "least_squares" and lixels is None:
             raise ValueError("least squares needs lixels")
         check_selection(network, events)
         kernel = get_kernel(self.kernel)
+        if not get_policy(self.policy).path_based and not network.is_directed(self.directed) and kernel.reach is not None and kernel.array is not None:
+            among = Tiled.of(network, events, None, most, kernel)
+            if self.objective == "likelihood":
+                return among, None
+            at = _lixel_places(lixels)
+            return among, Prepared.of(network, events, at, most, kernel, self.policy, self.directed) if over_time else Tiled.of(network, events, at, most, kernel)
         among = Prepared.of(network, events, _places(events, "target"), most, kernel, self.policy, self.directed)
         if self.objective == "likelihood":
             return among, None
@@ -205,13 +251,18 @@ class NetworkTimeBandwidthExperiment:
         if self.mode not in ("joint", "separate"):
             raise ValueError("mode is joint or separate")
         grid = NetworkBandwidthGrid(self.spatial, self.objective, self.kernel, self.policy, self.directed)
-        return grid.prepare(network, events, lixels, max(checked(self.spatial)))
+        return grid.prepare(network, events, lixels, max(checked(self.spatial)), True)
 
     def _clock(self, dt: Column) -> Column:
         kt = get_kernel(self.temporal_kernel)
         most = max(images(kt, h, self.domain.period) for h in self.temporal) if self.domain.period else None
         return temporal_kernel(kt, dt, F.col("ht"), self.domain, most=most)
 
+    def _clock_array(self) -> Callable:
+        kt, hts, domain = get_kernel(self.temporal_kernel), checked(self.temporal), self.domain
+        most = max(images(kt, h, domain.period) for h in hts) if domain.period else None
+        return lambda dt: np.stack([temporal_array(kt, dt, h, domain, most=most) for h in hts])
+
     def scores(self, network: Network, events: DataFrame, lixels: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
         """(h, ht, score); least squares needs lixels and time cells (time_index, time, time_width)."""
         events = cut(events)
@@ -221,9 +272,10 @@ class NetworkTimeBandwidthExperiment:
         spark, hs, clock = events.sparkSession, checked(self.spatial), candidates(events.sparkSession, self.temporal, "ht")
         among, to_lixels = prepared
         own, other = (events.select(F.col("event_id").alias(n), F.col("time").alias(t)) for n, t in (("source", "s"), ("target", "t")))
-        both = among.grid(hs).where("k <> 0").join(own, "source").join(other, "target").crossJoin(F.broadcast(clock))
-        both = both.withColumn("k", F.col("k") * self._clock(F.col("t") - F.col("s")))
-        loo = _leave_one_out(both, events, ["h", "ht"], candidates(spark, hs).crossJoin(clock))
+        if isinstance(among, Tiled) and get_kernel(self.temporal_kernel).array is not None:
+            loo = among.leave_one_out(events, ["h", "ht"], [(h, ht) for h in hs for ht in checked(self.temporal)], hs, self._clock_array())
+        else:
+            loo = self._paired(events, among, own, other, hs, clock)
         if self.objective == "likelihood":
             return _likelihood(loo, ["h", "ht"], self.floor)
         if cells is None:
@@ -234,12 +286,19 @@ class NetworkTimeBandwidthExperiment:
         measures = measures.select("target", "time_index", (F.col("length") * F.col("time_width")).alias("measure"))
         return _least_squares(loo, _field(field, events, ["h", "ht", "time_index"]), measures, ["h", "ht"])
 
+    def _paired(self, events, among, own, other, hs, clock) -> DataFrame:
+        both = among.grid(hs).where("k <> 0").join(own, "source").join(other, "target").crossJoin(F.broadcast(clock))
+        both = both.withColumn("k", F.col("k") * self._clock(F.col("t") - F.col("s")))
+        return _leave_one_out(both, events, ["h", "ht"], candidates(events.sparkSession, hs).crossJoin(clock))
+
     def marginal_scores(self, network: Network, events: DataFrame, lixels: DataFrame | None = None, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(h, score) by space alone and (ht, score) by time alone."""
         events = cut(events)
         return self._marginal(network, events, self._prepared(network, events, lixels), lixels, cells)
 
     def _marginal(self, network, events, prepared, lixels, cells):
+        if self.objective == "least_squares" and isinstance(prepared[0], Tiled):
+            prepared = prepared[0], Tiled.of(network, events, _lixel_places(lixels), prepared[0].most, prepared[0].kernel)
         space = NetworkBandwidthGrid(self.spatial, self.objective, self.kernel, self.policy, self.directed, self.floor).scores(network, events, lixels, prepared)
         clock = candidates(events.sparkSession, self.temporal, "ht")
         own, other = (events.select(F.col("event_id").alias(n), F.col("time").alias(t)) for n, t in (("source", "s"), ("target", "t")))

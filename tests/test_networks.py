@@ -499,3 +499,38 @@ def test_neighbours_are_found_without_pairs(spark, directed, monkeypatch):
     for k in (1, 7):
         got = {x.source: x.h for x in NetworkKNNBandwidth(k, minimum=1e-6).resolve(square, events).collect()}
         assert got == pytest.approx({i: max(1e-6, sorted(x.distance for x in pairs if x.source == i)[k - 1]) for i in range(40)})
+
+
+@pytest.mark.parametrize("kernel, crowded", [("epanechnikov", False), ("quartic", True), ("triangular", False), ("uniform", True)])
+def test_selection_sums_kernels_without_pairs(spark, kernel, crowded, monkeypatch):
+    bow = network(spark, [[(0, 0), (1, 0)], [(1, 0), (1, 1)], [(1, 1), (0, 1)], [(0, 1), (0, 0)], [(0, 0), (1, 1)], [(0, 0), (-1.5, 0.5), (0, 1)]])
+    r = np.random.default_rng(11)
+    length = {x.edge_index: x.length for x in bow.edges.collect()}
+    rows = [(i, int(e), float(length[int(e)] * o), float(w), float(t)) for i, (e, o, w, t) in enumerate(zip(r.integers(0, 6, 60), r.choice([0.0, 0.31, 1.0, 0.5], 60) * 0.9 + r.uniform(0, 0.1, 60), r.uniform(0.5, 2, 60), r.integers(0, 9, 60)))]
+    events, cells, w, t = spark.createDataFrame(rows, EVENT + ", time double"), bow.lixels(0.3), np.array([x[3] for x in rows]), np.array([x[4] for x in rows])
+    source, target = (events.select(F.col("event_id").alias(n), "edge_index", "offset") for n in ("source", "target"))
+    at = cells.select(F.col("lixel_id").alias("target"), "edge_index", F.col("center_offset").alias("offset"))
+    d, cross, size = np.zeros((60, 60)), np.zeros((60, at.count())), np.array([x.length for x in cells.orderBy("lixel_id").collect()])
+    for to, where in ((target, d), (at, cross)):
+        for x in location_distances(bow, source, to, None).collect():
+            where[x.source, x.target] = x.distance
+    monkeypatch.setattr("fieldloom.operators.network_selection.location_distances", lambda *a, **k: pytest.fail("pairs"))
+    if crowded:
+        monkeypatch.setattr("fieldloom.plans.lines.MOST", 10)
+        monkeypatch.setattr("fieldloom.plans.lines.BLOCK", 64)
+    f, hs, hts = get_kernel(kernel), (0.2, 1.7), (2.0, 5.0)
+    loo = lambda k: w @ (k * (1 - np.eye(60))) / (w.sum() - w)
+    plain, squares, joint = {}, {}, {}
+    for h in hs:
+        k = f.scaled_array(d * d, h, 1)
+        plain[h] = -(w @ np.log(np.maximum(loo(k), 1e-300))) / w.sum()
+        squares[h] = ((w / w.sum() @ f.scaled_array(cross * cross, h, 1)) ** 2) @ size - 2 * w @ loo(k) / w.sum()
+        for ht in hts:
+            both = k * get_kernel("gaussian").scaled_array((t[:, None] - t) ** 2, ht, 1)
+            joint[h, ht] = -(w @ np.log(np.maximum(loo(both), 1e-300))) / w.sum()
+    got = {x.h: x.score for x in selection.NetworkBandwidthGrid(hs, kernel=kernel).scores(bow, events).collect()}
+    assert got == pytest.approx(plain, rel=1e-9)
+    got = {x.h: x.score for x in selection.NetworkBandwidthGrid(hs, "least_squares", kernel).scores(bow, events, cells).collect()}
+    assert got == pytest.approx(squares, rel=1e-9)
+    run = selection.NetworkTimeBandwidthExperiment(hs, hts, LinearTime(), kernel, policy="simple")
+    assert {(x.h, x.ht): x.score for x in run.scores(bow, events).collect()} == pytest.approx(joint, rel=1e-9)
