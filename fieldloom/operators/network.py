@@ -195,6 +195,7 @@ def propagate(
     tolerance: float = 1e-12,
     max_records: int = 100_000,
     merged: bool = True,
+    entering: bool = False,
 ) -> DataFrame:
     """Signed stretches of edges reached from each source (source, edge_index, offset [, cutoff]): source, edge_index, direction,
     start_offset, end_offset, start_distance, end_distance, coefficient, depth, include_start.
@@ -204,7 +205,7 @@ def propagate(
     coefficients: their number follows the different distances and not the paths, which double at every junction. Distances that are
     parted by the border of that tolerance stay apart, which costs a row and changes nothing. A stretch whose coefficient is
     below the tolerance, after adding up, ends. A source with more than max_records stretches fails the job. merged=False gives a
-    stretch for each path.
+    stretch for each path. entering: sources (source, edge_index, direction, length, cutoff) stand at the end of an edge, having come along it.
     """
     rule, one_way = get_policy(policy), network.is_directed(directed)
     if one_way and rule.undirected_only:
@@ -212,6 +213,10 @@ def propagate(
     oriented = network.oriented(directed).select("edge_index", "direction", "from_node", "to_node", "length")
     degree = oriented.groupBy("from_node").agg(F.count(F.lit(1)).alias("degree"))
     branches = cut(oriented.join(degree, "from_node"))
+    if entering:
+        ends = branches.select("edge_index", "direction", "to_node", F.when(F.col("direction") > 0, F.col("length")).otherwise(0.0).alias("start_offset"))
+        state = sources.join(ends, ["edge_index", "direction"]).select("source", "cutoff", "edge_index", "direction", "to_node", "length", "start_offset", F.lit(0.0).alias("start_distance"), F.lit(1.0).alias("coefficient"), F.lit(True).alias("include_start"), F.lit(0).alias("depth"))
+        return _onward(cut(state), branches, rule, tolerance, max_records, merged)
     rows = sources.withColumn("cutoff", F.lit(float(cutoff))) if cutoff is not None else sources
     at = rows.select("source", "edge_index", "offset", "cutoff").join(network.edges.select("edge_index", "u", "v", "length"), "edge_index")
     tol = F.greatest(F.lit(EPS), F.col("length") * EPS)
@@ -229,7 +234,12 @@ def propagate(
         "source", "cutoff", "edge_index", "direction", F.when(F.col("direction") > 0, F.col("v")).otherwise(F.col("u")).alias("to_node"), "length",
         F.col("offset").alias("start_offset"), F.lit(0.0).alias("start_distance"), F.lit(1.0).alias("coefficient"), (F.col("direction") > 0).alias("include_start"),
     )
-    state = cut(first.union(second).withColumn("depth", F.lit(0)).where(F.abs("coefficient") >= tolerance))
+    return _onward(cut(first.union(second).withColumn("depth", F.lit(0)).where(F.abs("coefficient") >= tolerance)), branches, rule, tolerance, max_records, merged)
+
+
+def _onward(state: DataFrame, branches: DataFrame, rule: JunctionPolicy, tolerance: float, max_records: int, merged: bool) -> DataFrame:
+    """The stretches that follow from the first ones."""
+    start_offset = F.when(F.col("direction") > 0, F.lit(0.0)).otherwise(F.col("length"))
     fuzz = F.greatest(F.lit(EPS), F.col("cutoff") * EPS)
     full = F.when(F.col("direction") > 0, F.col("length") - F.col("start_offset")).otherwise(F.col("start_offset"))
     reached = F.least(full, F.greatest(F.lit(0.0), F.col("cutoff") - F.col("start_distance")))
@@ -272,6 +282,57 @@ def propagate(
     return out
 
 
+def _entered(network: Network, sources: DataFrame, rule: JunctionPolicy, directed: bool | None) -> DataFrame:
+    """(source, edge_index, direction, start_offset, include_start, coefficient, carried columns): the first stretches of sources (source, edge_index, offset, ...),
+    along their own edge or, on a node, along each of its edges."""
+    oriented = network.oriented(directed).select("edge_index", "direction", "from_node", "length")
+    degree = oriented.groupBy("from_node").agg(F.count(F.lit(1)).alias("degree"))
+    branches = cut(oriented.join(degree, "from_node"))
+    e = network.edges.select("edge_index", "u", "v", "length")
+    at = sources.join(F.broadcast(e) if small(e) else e, "edge_index")
+    tol = F.greatest(F.lit(EPS), F.col("length") * EPS)
+    at = at.withColumn("node", F.when(F.col("offset") <= tol, F.col("u")).when(F.col("length") - F.col("offset") <= tol, F.col("v")))
+    carried = [c for c in sources.columns if c not in ("edge_index", "offset")]
+    begin = F.when(F.col("direction") > 0, F.lit(0.0)).otherwise(F.col("length"))
+    ways = F.array(F.lit(1)) if network.is_directed(directed) else F.array(F.lit(1), F.lit(-1))
+    inner = at.where("node is null").withColumn("direction", F.explode(ways))
+    inner = inner.select(*carried, "edge_index", "direction", F.col("offset").alias("start_offset"), (F.col("direction") > 0).alias("include_start"), F.lit(1.0).alias("coefficient"))
+    on_node = at.where("node is not null").select(*carried, F.col("node").alias("from_node")).join(F.broadcast(branches) if small(branches) else branches, "from_node")
+    return inner.union(on_node.select(*carried, "edge_index", "direction", begin.alias("start_offset"), F.lit(True).alias("include_start"), rule.start(F.col("degree")).alias("coefficient")))
+
+
+def entry_kernels(network: Network, sources: DataFrame, targets: DataFrame, kernel: Kernel, rule: JunctionPolicy, directed: bool | None, tolerance: float, max_records: int) -> DataFrame:
+    """(target, k, carried columns of the sources), signed parts of kernel values of sources (source, edge_index, offset, h, ...), in rows that are not yet
+    added up.
+
+    Beyond its own edge, all that a source does follows from how it enters that edge's end: paths are followed once for each edge and direction, from
+    its beginning, and sources start somewhere along. Neither stretches nor pairs are stored or shuffled for a source."""
+    first = _entered(network, sources, rule, directed)
+    top = first.agg(F.max(F.col("h") * kernel.reach).alias("c")).first()["c"] or 0.0
+    e = network.edges.select("edge_index", "length")
+    roads = cut(first.groupBy("edge_index", "direction").agg(F.max(F.col("h") * kernel.reach).alias("cutoff")).join(e, "edge_index"))
+    # a path from just behind the beginning of each edge: what lies on later edges is as far from its end as from the source's own way out
+    stretches = propagate(network, roads.select(F.struct("edge_index", "direction").alias("source"), "edge_index", "direction", "length", "cutoff"), policy=rule, directed=directed, tolerance=tolerance, max_records=max_records, entering=True)
+    hit = cut(stretches.where("depth > 0")).select(F.col("source.edge_index").alias("own"), F.col("source.direction").alias("way"), "edge_index", "direction", "start_offset", "end_offset", "start_distance", F.col("coefficient").alias("share"))
+    tol = F.lit(EPS) * F.greatest(F.lit(1.0), F.lit(float(top)))
+    low, high = F.least("start_offset", "end_offset") - tol, F.greatest("start_offset", "end_offset") + tol
+    places = targets.select("target", "edge_index", "offset")
+    hit = hit.join(places, "edge_index").where(F.col("offset").between(low, high))
+    hit = hit.groupBy("own", "way", "target", (F.col("start_distance") + F.abs(F.col("offset") - F.col("start_offset"))).alias("beyond")).agg(F.sum("share").alias("share"))
+    hit = cut(hit.select(F.col("own").alias("edge_index"), F.col("way").alias("direction"), "target", "beyond", "share"))
+    fuzz = F.greatest(F.lit(EPS), F.col("h") * EPS)
+    value = lambda d, share: F.when(d <= F.col("h") * kernel.reach + fuzz, share * kernel.scaled(F.least(d, F.col("h") * kernel.reach), F.col("h"), 1)).otherwise(0.0)
+    carried = [c for c in sources.columns if c not in ("source", "edge_index", "offset", "h")]
+    rest = F.when(F.col("direction") > 0, F.col("length") - F.col("start_offset")).otherwise(F.col("start_offset"))
+    out = first.join(F.broadcast(e) if small(e) else e, "edge_index").withColumn("rest", rest)
+    far = _shared_join(hit, out, ["edge_index", "direction"])
+    far = far.where(F.col("rest") < F.col("h") * kernel.reach - fuzz).select("target", value(F.col("rest") + F.col("beyond"), F.col("coefficient") * F.col("share")).alias("k"), *carried)
+    near = _shared_join(places, first, ["edge_index"])
+    gap = (F.col("offset") - F.col("start_offset")) * F.col("direction")
+    near = near.where((gap >= -fuzz) & (F.col("include_start") | (F.abs(gap) > fuzz))).select("target", value(F.abs(gap), F.col("coefficient")).alias("k"), *carried)
+    return far.union(near).where("k <> 0")
+
+
 def kernel_from_distances(distances: DataFrame, kernel: Kernel, h: Column, carry: Sequence[str] = ()) -> DataFrame:
     """(source, target, k, carried columns) from (source, target, distance [, h], carried columns)."""
     return distances.select("source", "target", kernel.scaled(F.col("distance"), h, 1).alias("k"), *carry)
@@ -431,9 +492,10 @@ class NetworkKDE:
             else:  # each source as far as its own bandwidth
                 d = location_distances(network, sources.withColumn("cutoff", F.col("h") * kernel.reach), targets, "cutoff", directed=self.directed, carry=["h", *carry])
             return kernel_from_distances(d, kernel, F.col("h"), carry).where("k <> 0")
-        sources = sources.drop(*carry)
         if kernel.reach is None:
             raise ValueError("path policies need a kernel with reach")
+        if carry:  # parts of sums, which nobody needs by source
+            return entry_kernels(network, sources, targets, kernel, get_policy(self.policy), self.directed, self.tolerance, self.max_records)
         found = propagate(
             network, sources.withColumn("cutoff", F.col("h") * kernel.reach), policy=self.policy, directed=self.directed, tolerance=self.tolerance, max_records=self.max_records
         )

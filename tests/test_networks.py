@@ -534,3 +534,15 @@ def test_selection_sums_kernels_without_pairs(spark, kernel, crowded, monkeypatc
     assert got == pytest.approx(squares, rel=1e-9)
     run = selection.NetworkTimeBandwidthExperiment(hs, hts, LinearTime(), kernel, policy="simple")
     assert {(x.h, x.ht): x.score for x in run.scores(bow, events).collect()} == pytest.approx(joint, rel=1e-9)
+
+
+@pytest.mark.parametrize("policy", ["continuous", "discontinuous"])
+def test_paths_are_followed_once_for_each_edge(spark, policy, monkeypatch):
+    net = Network.grid(spark, 3, 3)
+    r = np.random.default_rng(5)
+    rows = [(i, int(e), float(o), float(w), float(h)) for i, (e, o, w, h) in enumerate(zip(r.integers(0, 24, 30), r.choice([0.0, 1.0, 0.15, 0.6, 0.83], 30), r.uniform(0.5, 2, 30), r.choice([0.4, 1.5, 2.3], 30)))]
+    events, cells = spark.createDataFrame(rows, EVENT + ", h double"), net.lixels(0.3)
+    kde = NetworkKDE("epanechnikov", "h", policy)
+    want = {x.lixel_id: x.density for x in kde.field(events, cells, kde.kernel_values(net, events, cells)).collect()}  # by stretches of each event
+    monkeypatch.setattr("fieldloom.operators.network.kernel_from_stretches", lambda *a, **k: pytest.fail("stretches of events"))
+    assert {x.lixel_id: x.density for x in kde.evaluate(net, events, cells).collect()} == pytest.approx(want, abs=1e-12)
