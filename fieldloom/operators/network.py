@@ -66,6 +66,12 @@ def _edge_ways(network: Network, used: DataFrame, wanted: DataFrame, cutoff: flo
     return cut(pairs.groupBy("es", "et").agg(*[one(x, y) for x in "uv" for y in "uv"]))
 
 
+def edge_ways(network: Network, sources: DataFrame, targets: DataFrame, cutoff: float, directed: bool | None = None) -> DataFrame:
+    """What location_distances searches: distances between the ends of the edges that hold sources and targets, of the size of the network."""
+    used, wanted = (cut(df.select(F.col("edge_index").alias(n)).distinct()) for df, n in ((sources, "es"), (targets, "et")))
+    return _edge_ways(network, used, wanted, cutoff, "length", directed)
+
+
 def _shared_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """left and right joined on keys: left is sent to every task if it is small, else crowded keys are dealt."""
     left = cut(left)
@@ -75,13 +81,13 @@ def _shared_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
 
 
 def location_distances(
-    network: Network, sources: DataFrame, targets: DataFrame, cutoff: float | str | None, *, weight: str = "length", directed: bool | None = None, carry: Sequence[str] = ()
+    network: Network, sources: DataFrame, targets: DataFrame, cutoff: float | str | None, *, weight: str = "length", directed: bool | None = None, carry: Sequence[str] = (), ways: DataFrame | None = None
 ) -> DataFrame:
     """(source, target, distance, carried columns of the sources) between places (id columns source / target, each id once, edge_index,
     offset); pairs beyond the cutoff or out of reach are missing. The cutoff is a number, or "cutoff" for sources with a column of that name.
 
     Distances are searched between the ends of edges, once for each edge; places are then met by their edges, and the least of their up to five
-    ways is taken in the row of the pair: no row is made for a pair and a way, and no pair is shuffled."""
+    ways is taken in the row of the pair: no row is made for a pair and a way, and no pair is shuffled. ways are those of edge_ways, if they are there."""
     one_way, own = network.is_directed(directed), cutoff == "cutoff"
     e = network.edges.select("edge_index", F.col("length").alias("edge_length"), F.col(weight).alias("total"))
     tol = F.greatest(F.lit(EPS), F.col("total") * EPS)
@@ -98,7 +104,7 @@ def location_distances(
     s = placed(sources, "source", "es", "p", "a", "b", True, [*(["cutoff"] if own else []), *carry])
     t = placed(targets, "target", "et", "q", "c", "d", False, [])
     used = s.groupBy("es").agg(F.max("cutoff").alias("cutoff")) if own else s.select("es").distinct()
-    ways = _edge_ways(network, cut(used), cut(t.select("et").distinct()), cutoff, weight, directed)
+    ways = _edge_ways(network, cut(used), cut(t.select("et").distinct()), cutoff, weight, directed) if ways is None else ways
     through = F.least(*[F.col(x) + F.col(x2 + y2) + F.col(y) for x, x2 in (("a", "u"), ("b", "v")) for y, y2 in (("c", "u"), ("d", "v"))])
     straight = F.when(F.col("q") >= F.col("p"), F.col("q") - F.col("p")) if one_way else F.abs(F.col("q") - F.col("p"))
     out = ["source", "target", "distance", *carry]

@@ -1,13 +1,13 @@
 """Workspaces: a network, its lixels and its events, with what was prepared from them, checked and kept as one.
 
 Distances and stretches are the dear part of a field on a network. A workspace holds them as tables (assets), each with the content hashes
-of what it was made from. Fields of any bandwidth within an asset's cutoff, at one time or over time cells, are then one join and one
+of what it was made from. Distances are kept as those between the ends of edges, from which pairs are made where they are added up. Fields of any bandwidth within an asset's cutoff, at one time or over time cells, are then one join and one
 sum. An asset that was made from other content is refused. Workspaces are saved as bundles, which are swapped as a whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.kernels import get_kernel
 from fieldloom.operators.bandwidths import positive
-from fieldloom.operators.network import NetworkKDE, TemporalNetworkKDE, get_policy, kernel_from_distances, kernel_from_stretches, location_distances, propagate, require_events
+from fieldloom.operators.network import NetworkKDE, TemporalNetworkKDE, edge_ways, get_policy, kernel_from_distances, kernel_from_stretches, location_distances, propagate, require_events
 from fieldloom.plans.lineage import cut
 from fieldloom.sources import store
 from fieldloom.sources.network import Network
@@ -26,7 +26,8 @@ VERSION = 1
 
 @dataclass(frozen=True)
 class Asset:
-    """A table prepared from events and lixels: distances (source, target, distance), or stretches of one junction policy; up to a cutoff."""
+    """A table prepared from events and lixels: distances (source, target, distance), or stretches of one junction policy; up to a cutoff. With
+    ways (distances between the ends of edges), which are kept in its place, the distances are made of them each time."""
 
     kind: str
     table: DataFrame
@@ -34,6 +35,7 @@ class Asset:
     directed: bool
     made_from: Mapping[str, str]
     policy: str = "simple"
+    ways: DataFrame | None = None
 
     def n_pairs(self) -> int:
         """Rows: pairs within the cutoff, or stretches."""
@@ -77,8 +79,12 @@ class NetworkWorkspace:
 
     def prepare_distances(self, cutoff: float, *, directed: bool | None = None) -> NetworkWorkspace:
         """With the distances of all events to all lixels within the cutoff."""
-        found = location_distances(self.network, self._sources(), self._targets(), positive(cutoff, "cutoff"), directed=directed)
-        return self.attach("distances", Asset("distances", cut(found), float(cutoff), self.network.is_directed(directed), dict(self.prints)))
+        ways = edge_ways(self.network, self._sources(), self._targets(), positive(cutoff, "cutoff"), directed)
+        return self.attach("distances", self._distances(ways, float(cutoff), self.network.is_directed(directed), dict(self.prints)))
+
+    def _distances(self, ways: DataFrame, cutoff: float, directed: bool, made_from: Mapping[str, str]) -> Asset:
+        pairs = location_distances(self.network, self._sources(), self._targets(), cutoff, directed=directed, ways=ways)
+        return Asset("distances", pairs, cutoff, directed, made_from, ways=ways)
 
     def prepare_stretches(self, policy: str, cutoff: float, *, directed: bool | None = None, max_records: int = 100_000) -> NetworkWorkspace:
         """With the stretches that a policy's paths take within the cutoff; a policy that follows no paths has none."""
@@ -102,8 +108,9 @@ class NetworkWorkspace:
                 found.append(Issue("error", "stale_asset", f"{name} was made from other {', '.join(other)}"))
         return Report(tuple(found))
 
-    def kernel_values(self, kde: NetworkKDE) -> DataFrame:
-        """(source, target, k) of a field with one bandwidth, from the assets."""
+    def kernel_values(self, kde: NetworkKDE, carry: Sequence[str] = ()) -> DataFrame:
+        """(source, target, k) of a field with one bandwidth, from the assets; with the columns of the events to be carried, if distances are kept as
+        ways between edges."""
         kernel, h = get_kernel(kde.kernel), positive(kde.bandwidth)
         if kernel.reach is None:
             raise ValueError("prepared fields need a kernel with reach")
@@ -111,13 +118,17 @@ class NetworkWorkspace:
         asset = self.assets.get(name)
         if asset is None or asset.cutoff < h * kernel.reach or asset.directed != self.network.is_directed(kde.directed):
             raise ValueError(f"no prepared {name} reach as far as {h * kernel.reach}, or they have another direction")
+        if asset.ways is not None:
+            sources = self.events.select(F.col("event_id").alias("source"), "edge_index", "offset", *carry)
+            d = location_distances(self.network, sources, self._targets(), h * kernel.reach, directed=asset.directed, carry=carry, ways=asset.ways)
+            return kernel_from_distances(d, kernel, F.lit(h), carry).where("k <> 0")
         if asset.kind == "distances":
             return kernel_from_distances(asset.table, kernel, F.lit(h)).where("k <> 0")
         return kernel_from_stretches(asset.table.withColumn("h", F.lit(h)), self._targets(), kernel, F.col("h"))
 
     def evaluate(self, kde: NetworkKDE) -> DataFrame:
         """lixels with density or intensity."""
-        return kde.field(self.events, self.lixels, self.kernel_values(kde))
+        return kde.field(self.events, self.lixels, self.kernel_values(kde, ["weight"]))
 
     def evaluate_over_time(self, kde: TemporalNetworkKDE, cells: DataFrame) -> DataFrame:
         """(lixel_id, time_index, time, density or intensity, measure); the distances serve every time cell and bandwidth of time."""
@@ -126,9 +137,9 @@ class NetworkWorkspace:
     def save(self, path: str, *, overwrite: bool = False) -> None:
         """As a bundle; readers see the old one or the new one."""
         tables = {"nodes": self.network.nodes, "edges": self.network.edges, "events": self.events, "lixels": self.lixels}
-        about = {n: {"kind": a.kind, "cutoff": a.cutoff, "directed": a.directed, "made_from": dict(a.made_from), "policy": a.policy} for n, a in self.assets.items()}
+        about = {n: {"kind": a.kind, "cutoff": a.cutoff, "directed": a.directed, "made_from": dict(a.made_from), "policy": a.policy, "ways": a.ways is not None} for n, a in self.assets.items()}
         metadata = {"workspace": VERSION, "directed": self.network.directed, "crs": self.network.crs, "assets": about}
-        store.save(path, {**tables, **{f"asset_{n}": a.table for n, a in self.assets.items()}}, metadata, overwrite=overwrite, sources=self.prints)
+        store.save(path, {**tables, **{f"asset_{n}": a.table if a.ways is None else a.ways for n, a in self.assets.items()}}, metadata, overwrite=overwrite, sources=self.prints)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> NetworkWorkspace:
@@ -139,5 +150,8 @@ class NetworkWorkspace:
         network = Network(tables["nodes"], tables["edges"], about["directed"], about["crs"])
         made = cls(network, tables["events"], tables["lixels"], {n: fingerprint(tables[n]) for n in ("nodes", "edges", "events", "lixels")})
         for name, a in about["assets"].items():
+            if a.get("ways"):
+                made = made.attach(name, made._distances(tables[f"asset_{name}"], a["cutoff"], a["directed"], a["made_from"]))
+                continue
             made = made.attach(name, Asset(a["kind"], tables[f"asset_{name}"], a["cutoff"], a["directed"], a["made_from"], a["policy"]))
         return made

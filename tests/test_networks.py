@@ -546,3 +546,12 @@ def test_paths_are_followed_once_for_each_edge(spark, policy, monkeypatch):
     want = {x.lixel_id: x.density for x in kde.field(events, cells, kde.kernel_values(net, events, cells)).collect()}  # by stretches of each event
     monkeypatch.setattr("fieldloom.operators.network.kernel_from_stretches", lambda *a, **k: pytest.fail("stretches of events"))
     assert {x.lixel_id: x.density for x in kde.evaluate(net, events, cells).collect()} == pytest.approx(want, abs=1e-12)
+
+
+def test_workspaces_keep_ways_between_edges_and_no_pairs(spark, workspace, tmp_path):
+    made = workspace.prepare_distances(1.5)
+    many = workspace.events.withColumn("event_id", F.explode(F.array(*[F.col("event_id") + 100 * i for i in range(5)])))
+    five = NetworkWorkspace.of(workspace.network, many, workspace.lixels).prepare_distances(1.5)
+    made.save(str(tmp_path / "a")), five.save(str(tmp_path / "b"))
+    rows = [store.load(spark, str(tmp_path / n))[0]["asset_distances"].count() for n in "ab"]
+    assert rows[0] == rows[1] and five.assets["distances"].n_pairs() == 5 * made.assets["distances"].n_pairs()
