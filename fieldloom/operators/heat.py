@@ -29,6 +29,7 @@ from fieldloom.sources.network import Network
 
 TILE = 2000  # ends of pieces of a component that is solved in one group
 PIECE = 1024  # mesh segments of an edge that are eliminated together
+NODES = 1 << 14  # mesh segments whose rows a task holds as Python objects
 TAIL = 1e-12  # what a margin leaves out
 
 
@@ -102,6 +103,18 @@ def _list(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
 
 
+def _some(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about NODES mesh segments, as values of rows become Python objects."""
+    for table in tables:
+        ends = table.column("sizes").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + NODES, "right")))
+            yield table.slice(start, stop - start)
+            start = stop
+
+
 def pieces_of(segments: DataFrame, sources: DataFrame, most: int = PIECE) -> DataFrame:
     """(component, edge_index, piece, u, v, edge_length, start, head, tail, sizes, names, given): each edge in pieces of at most so many segments. head and tail
     name the end nodes of a piece, names its inner nodes, given holds the sources (key, pos, value) on these."""
@@ -135,7 +148,7 @@ def _condense(times: list[float]):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, _ = contours(times)
         numbers, drive = pa.list_(pa.float64()), pa.list_(pa.struct([("key", pa.string()), ("pu", pa.list_(pa.float64())), ("pv", pa.list_(pa.float64()))]))
-        for table in tables:
+        for table in _some(tables):
             sizes = [np.array(x) for x in table.column("sizes").to_pylist()]
             given = [x or [] for x in table.column("given").to_pylist()]
             count = np.array([len(x) - 1 for x in sizes])
@@ -190,13 +203,16 @@ def _junctions(times: list[float], tolerance: float, own: bool):
                 e[~plain] = _complex(parts.column(name).filter(pa.array(~plain)))
             ends.append(e)
         place = {n: i for i, n in enumerate(nodes)}
-        drives = [(i, d) for i, x in enumerate(parts.column("drives").to_pylist()) for d in x or []]
-        keys = sorted({d["key"] for _, d in drives} | set(given.column("key").to_pylist()))
+        held = parts.column("drives").combine_chunks()
+        owner, drives = np.repeat(np.arange(len(held)), held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), held.flatten()
+        driven = drives.field("key").to_pylist()
+        keys = sorted(set(driven) | set(given.column("key").to_pylist()))
         at = {k: i for i, k in enumerate(keys)}
         sources = np.zeros((len(nodes), len(keys), len(z)), complex)
-        for i, d in drives:
-            sources[a[i], at[d["key"]]] += np.array(d["pu"]).view(complex)
-            sources[b[i], at[d["key"]]] += np.array(d["pv"]).view(complex)
+        if len(owner):
+            which = np.array([at[k] for k in driven])
+            np.add.at(sources, (a[owner], which), _complex(drives.field("pu")))
+            np.add.at(sources, (b[owner], which), _complex(drives.field("pv")))
         for n, k, v in zip(*(given.column(c).to_pylist() for c in ("head", "key", "value")), strict=True):
             if n in place:
                 sources[place[n], at[k]] += v
@@ -245,7 +261,7 @@ def _back(times: list[float], tolerance: float, own: bool):
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, weight = contours(times)
-        for table in tables:
+        for table in _some(tables):
             sizes = [np.array(x) for x in table.column("sizes").to_pylist()]
             names, given, keys = (table.column(c).to_pylist() for c in ("names", "given", "key"))
             start, length, side = (table.column(c).to_numpy(zero_copy_only=False) for c in ("start", "edge_length", "side"))

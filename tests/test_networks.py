@@ -555,3 +555,11 @@ def test_workspaces_keep_ways_between_edges_and_no_pairs(spark, workspace, tmp_p
     made.save(str(tmp_path / "a")), five.save(str(tmp_path / "b"))
     rows = [store.load(spark, str(tmp_path / n))[0]["asset_distances"].count() for n in "ab"]
     assert rows[0] == rows[1] and five.assets["distances"].n_pairs() == 5 * made.assets["distances"].n_pairs()
+
+
+def test_heat_tasks_hold_few_rows_as_objects():
+    import pyarrow as pa
+
+    table = pa.RecordBatch.from_pydict({"sizes": [[1.0] * 9000, [1.0] * 9000, [1.0] * 40000, [], [1.0] * 5]})
+    parts = list(heat._some([table]))
+    assert [len(x) for x in parts] == [1, 1, 1, 2] and pa.Table.from_batches(parts).combine_chunks().to_batches()[0].equals(table)
