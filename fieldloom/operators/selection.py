@@ -6,14 +6,15 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.kernels import Kernel, get_kernel, squared_distance
 from fieldloom.plans import gauss
+from fieldloom.plans.lineage import cut
 from fieldloom.plans.quantiles import pair_quantiles, quantiles
 from fieldloom.plans.sums import Columns, pair_sums, squares
 from fieldloom.sources.planar import Events
@@ -87,12 +88,19 @@ def event_bounds(events: Events) -> DataFrame:
     return _bounds_row(events.df.sparkSession, pair_quantiles(events.df, events.coords, SHARES))
 
 
-def leave_one_out(events: Events, kernel: Kernel, hs: Sequence[float], *, wide: bool = False, strict: bool = False) -> DataFrame:
+def facts_of(events: Events) -> Row:
+    """The number of events, their total weight, and the least and greatest of each coordinate."""
+    row = events.df.agg(F.count(F.lit(1)).alias("n"), *gauss.box_of({f"b_{c}": c for c in events.coords}, "weight")).first()
+    return Row(**{**row.asDict(), "total": float(row["total"] or 0.0)})
+
+
+def leave_one_out(events: Events, kernel: Kernel, hs: Sequence[float], *, wide: bool = False, strict: bool = False, facts: Row | None = None) -> DataFrame:
     """(h, i, w_i, f): density at each event from the others; 0 without weight elsewhere, which is an error if strict. wide adds the
-    weighted sum of the kernel with sqrt(2) times the bandwidth, itself included."""
+    weighted sum of the kernel with sqrt(2) times the bandwidth, itself included. facts: what facts_of says, if known."""
     t, s, a, b = _sides(events)
     dim, n = events.dim, len(hs)
-    total = events.total_weight()
+    facts = facts or facts_of(events)
+    total = facts["total"]
     names = [f"near{k}" for k in range(n)] + [f"wide{k}" for k in range(n) if wide]
     sums = None
     if kernel.array is not None:
@@ -103,11 +111,11 @@ def leave_one_out(events: Events, kernel: Kernel, hs: Sequence[float], *, wide:
             return near + [kernel.scaled_array(square, h * math.sqrt(2), dim) @ y["w_j"] for h in hs if wide]
 
         direct = lambda rows: pair_sums(rows, s, ["i", "w_i"], fn, names)
-        if kernel.name == "gaussian" and dim <= 2 and events.df.count() > gauss.ROWS:
+        if kernel.name == "gaussian" and dim <= 2 and facts["n"] > gauss.ROWS:
             widths = [*hs, *(h * math.sqrt(2) for h in hs if wide)]
             axes = [[(x, y, h) for x, y in zip(a, b, strict=True)] for h in widths]
             scale = {m: (2 * math.pi) ** (-dim / 2) / h**dim for m, h in zip(names, widths, strict=True)}
-            sums = gauss.event_sums(t, s, ["i", "w_i"], axes, scale, "w_i", "w_j", [m.startswith("near") for m in names], direct)
+            sums = gauss.event_sums(t, s, ["i", "w_i"], axes, scale, "w_i", "w_j", [m.startswith("near") for m in names], direct, facts)
         sums = direct(t) if sums is None else sums
     if sums is None:
         d = F.sqrt(squared_distance([F.col(c) for c in a], [F.col(c) for c in b]))
@@ -123,15 +131,15 @@ def leave_one_out(events: Events, kernel: Kernel, hs: Sequence[float], *, wide:
     return rows.select("r.h", "i", "w_i", "r.f", *(["r.wide"] if wide else []))
 
 
-def likelihood_scores(events: Events, kernel: Kernel, hs: Sequence[float], floor: float = 1e-300) -> DataFrame:
+def likelihood_scores(events: Events, kernel: Kernel, hs: Sequence[float], floor: float = 1e-300, facts: Row | None = None) -> DataFrame:
     """(h, score): negative leave-one-out log likelihood of every candidate, in one job."""
-    loo = leave_one_out(events, kernel, checked(hs))
+    loo = leave_one_out(events, kernel, checked(hs), facts=facts)
     return loo.groupBy("h").agg((-F.sum(F.col("w_i") * F.log(F.greatest(F.col("f"), F.lit(floor)))) / F.sum("w_i")).alias("score"))
 
 
-def least_squares_scores(events: Events, hs: Sequence[float]) -> DataFrame:
+def least_squares_scores(events: Events, hs: Sequence[float], facts: Row | None = None) -> DataFrame:
     """(h, score): Gaussian least-squares cross-validation; the integral of the squared density has the diagonal."""
-    rows = leave_one_out(events, get_kernel("gaussian"), checked(hs), wide=True)
+    rows = leave_one_out(events, get_kernel("gaussian"), checked(hs), wide=True, facts=facts)
     total = F.sum("w_i")
     score = F.sum(F.col("w_i") * F.col("wide")) / (total * total) - 2 * F.sum(F.col("w_i") * F.col("f")) / total
     return rows.groupBy("h").agg(score.alias("score"))
@@ -217,14 +225,16 @@ class _CrossValidation:
 
     method = ""
 
-    def _scores(self, events: Events, h: float) -> DataFrame:
+    def _scores(self, events: Events, h: float, facts: Row) -> DataFrame:
         raise NotImplementedError
 
     def select(self, events: Events) -> Selection:
-        """One job per evaluation."""
+        """A few jobs per evaluation, over events that are dealt to all tasks and written once."""
         check_weights(events)
-        bounds = self.bounds or _found(event_bounds(events))
-        h, s, trace = minimise_log(lambda h: float(self._scores(events, h).first()["score"]), bounds, self.tolerance, self.most)
+        tasks = events.df.sparkSession.sparkContext.defaultParallelism
+        events = replace(events, df=cut(events.df.select("event_id", *events.coords, "weight").repartition(tasks, "event_id")))
+        bounds, facts = self.bounds or _found(event_bounds(events)), facts_of(events)
+        h, s, trace = minimise_log(lambda h: float(self._scores(events, h, facts).first()["score"]), bounds, self.tolerance, self.most)
         return Selection(h, s, tuple(trace), bounds, self.method)
 
 
@@ -245,8 +255,8 @@ class LikelihoodCV(_CrossValidation):
 
     method = "likelihood"
 
-    def _scores(self, events, h):
-        return likelihood_scores(events, get_kernel(self.kernel), [h])
+    def _scores(self, events, h, facts):
+        return likelihood_scores(events, get_kernel(self.kernel), [h], facts=facts)
 
 
 @dataclass(frozen=True)
@@ -255,7 +265,7 @@ class LeastSquaresCV(_CrossValidation):
 
     method = "least_squares"
 
-    def _scores(self, events, h):
+    def _scores(self, events, h, facts):
         if get_kernel(self.kernel).name != "gaussian":
             raise ValueError("least squares needs the Gaussian kernel")
-        return least_squares_scores(events, [h])
+        return least_squares_scores(events, [h], facts)

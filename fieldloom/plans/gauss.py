@@ -9,11 +9,12 @@ shows, which takes a row apart from all others, the sum is taken again over all
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from fieldloom.plans.lineage import cut
@@ -162,19 +163,34 @@ def _cells_of(rows: DataFrame, sums: Sequence[Axes], side: int) -> DataFrame:
     return rows.select(F.explode(F.array(*one)).alias("c")).select("c.*").distinct()
 
 
-def gauss_sums(targets: DataFrame, sources: DataFrame, key: Sequence[str], sums: Sequence[Axes], names: Sequence[str], weight: str) -> DataFrame | None:
+def box_of(columns: dict[str, str], weight: str) -> list[Column]:
+    """Aggregates: the total weight, and the least and greatest value of each column (given by the name that sums know it by)."""
+    return [F.sum(weight).alias("total"), *[f(c).alias(f"{p}_{n}") for n, c in columns.items() for p, f in (("a", F.min), ("b", F.max))]]
+
+
+def _within(box: Row, sums: Sequence[Axes]) -> bool:
+    """Whether all cells between the least and greatest sources (a_<column>, b_<column>) may be sent: then none need be counted."""
+    most = lambda x: math.prod(box[f"b_{c}"] / (2 * h) - box[f"a_{c}"] / (2 * h) + 2 for _, c, h in x)
+    return sum(most(x) * 8 * P ** len(x) for x in sums) <= CELLS_BYTES
+
+
+def gauss_sums(targets: DataFrame, sources: DataFrame, key: Sequence[str], sums: Sequence[Axes], names: Sequence[str], weight: str, same: Row | None = None) -> DataFrame | None:
     """(key columns, names, held_<name>): for each sum the weighted exp(-d^2 / 2), d in bandwidths, over all sources, and the weight in reach. None
-    where the cells are too many to send, as with rows that are spread thin."""
+    where the cells are too many to send, as with rows that are spread thin. same: the targets are the sources, which lie within this box."""
     spark = targets.sparkSession
     size = lambda df: sum(r["n"] * 8 * P ** len(sums[r["k"]]) for r in df.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect())
-    at = cut(_cells_of(targets, sums, 0))
-    if max(size(at), size(_cells_of(sources, sums, 1))) > CELLS_BYTES:
-        return None
+    if same is None or not _within(same, sums):
+        at = cut(_cells_of(targets, sums, 0)).repartition(spark.sparkContext.defaultParallelism)
+        if max(size(at), size(_cells_of(sources, sums, 1))) > CELLS_BYTES:
+            return None
     columns = sorted({a[1] for axes in sums for a in axes} | {weight})
     given = sources.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(_give(sums, weight), _CELL)
-    merged = given.repartition("k", "c0", "c1").mapInArrow(_merge, _CELL).toArrow()  # within CELLS_BYTES
+    tasks = spark.sparkContext.defaultParallelism
+    merged = given.repartition(tasks, "k", "c0", "c1").mapInArrow(_merge, _CELL).toArrow()  # within CELLS_BYTES
+    if same is not None:
+        at = spark.createDataFrame(merged.select(["k", "c0", "c1"]))
     shared = spark.sparkContext.broadcast(_table(merged, sums))
-    met = at.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_meet(shared, [len(x) for x in sums]), _CELL).toArrow()  # as many
+    met = at.mapInArrow(_meet(shared, [len(x) for x in sums]), _CELL).toArrow()  # as many
     held = spark.sparkContext.broadcast(_table(met, sums))
     kinds = dict(targets.dtypes)
     out_names = [*names, *(f"held_{n}" for n in names)]
@@ -199,21 +215,25 @@ def gauss_sums(targets: DataFrame, sources: DataFrame, key: Sequence[str], sums:
     return targets.mapInArrow(read, schema)
 
 
-def event_sums(targets: DataFrame, sources: DataFrame, key: Sequence[str], sums: Sequence[Axes], scale: dict[str, float], own: str, weight: str, without: Sequence[bool], direct) -> DataFrame | None:
+def event_sums(targets: DataFrame, sources: DataFrame, key: Sequence[str], sums: Sequence[Axes], scale: dict[str, float], own: str, weight: str, without: Sequence[bool], direct, box: Row | None = None) -> DataFrame | None:
     """(key columns, names of scale): sums at the sources themselves times their scale, less their own weight (column own of the key) where
-    `without` says so. Rows whose rest is too small to be told from rounding go to direct(targets), the scaled sum over all pairs."""
+    `without` says so. box: what box_of says of the sources, if known. Rows whose rest is too small to be told from rounding go to direct(targets), the scaled sum over all pairs."""
     names = list(scale)
-    found = gauss_sums(targets, sources, key, sums, names, weight)
+    box = box or sources.agg(*box_of({a[1]: a[1] for axes in sums for a in axes}, weight)).first()
+    total = float(box["total"] or 0.0)
+    found = gauss_sums(targets, sources, key, sums, names, weight, box if total else None)
     if found is None:
         return None
-    total = float(sources.agg(F.sum(weight).alias("w")).first()["w"] or 0.0)
     rest = {n: F.col(n) - F.col(own) if less else F.col(n) for n, less in zip(names, without, strict=True)}
     faint = F.lit(False)
     for n in names:
         faint = faint | ~(rest[n] > F.greatest(F.col(f"held_{n}") * 1e-7, F.lit(total * 1e-13)))
-    plain = found.where(~faint).select(*key, *[(rest[n] * scale[n]).alias(n) for n in names])
-    apart = cut(found.where(faint).select(*key))
-    if not apart.limit(1).count():
+    # written, so that sums are read from their cells once
+    seen = Observation()
+    held = found.select(*key, *[(rest[n] * scale[n]).alias(n) for n in names], faint.alias("faint"))
+    held = cut(held.observe(seen, F.count_if("faint").alias("n")))
+    plain = held.where("not faint").select(*key, *names)
+    if not seen.get["n"]:
         return plain
-    again = direct(targets.join(apart, list(key), "left_semi"))
+    again = direct(targets.join(cut(held.where("faint").select(*key)), list(key), "left_semi"))
     return None if again is None else plain.union(again.select(*key, *names))

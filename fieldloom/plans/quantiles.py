@@ -3,16 +3,19 @@
 A band is kept around each wanted rank. A pass over values counts 1,024 bins of each band and leaves the bin of the rank as the new
 band, until few different values are left. Distances between places begin with cells: the least and the greatest distance of a pair of cells,
 with the pairs of events in it, bound the order statistics from both sides, so pairs of cells off all bands are counted and never opened;
-the others are split into the pairs of their halves, and only small ones that still meet a band are opened into pairs of places.
+the others are split into the pairs of their halves, and only small ones that still meet a band are opened into pairs of places. On a line
+no pairs of places are made: tasks hold the places of two cells in order, and count the pairs up to a distance by searching.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from fieldloom.plans.lineage import cut
 BINS = 1024
 FEW = 10_000  # different values of a band that the driver sorts
 LEAF = 1 << 16  # pairs of places of a pair of cells that is not split further
+RUNS = 1 << 22  # the same on a line, where the pairs are counted and not made
+CUTS = 64  # distances up to which a pass counts, for each rank
 WORK = 1 << 20  # pairs of places that are opened rather than split once more
 LEVELS = 30  # halvings of an axis
 TINY, HUGE = 1e-130, 1e150  # between them differences have squares that neither vanish nor overflow
@@ -161,7 +166,7 @@ def _tighten(pairs: DataFrame, bands: Sequence[Band]) -> None:
 def _leaves(places: DataFrame, start: DataFrame, dim: int, bands: Sequence[Band]) -> DataFrame:
     """The pairs of cells that may hold a distance of a band and are not worth splitting: (level, a, b, ...). Narrows the bands, and
     counts below them what it leaves out."""
-    level, step, wanted, leaves = 0, 8 // dim, start, None
+    level, step, wanted, leaves, leaf = 0, 8 // dim, start, None, RUNS if dim == 1 else LEAF
     while True:
         above, level = level, min(LEVELS, level + step)
         step = max(1, 4 // dim)
@@ -169,7 +174,7 @@ def _leaves(places: DataFrame, start: DataFrame, dim: int, bands: Sequence[Band]
         pairs = pairs if leaves is None else pairs.union(leaves)
         _tighten(pairs, bands)
         meets = reduce(lambda x, y: x | y, [(F.col("least") <= k.high) & (F.col("most") >= k.low) for k in bands])
-        split = meets & (F.col("size") > LEAF) & (F.col("level") == level) & F.lit(level < LEVELS)
+        split = meets & (F.col("size") > leaf) & (F.col("level") == level) & F.lit(level < LEVELS)
         done = [F.sum(F.when(~meets & (F.col("most") < k.low), F.col("n")).otherwise(0)).alias(f"b{i}") for i, k in enumerate(bands)]
         counted = pairs.agg(*done, F.sum(F.when(meets, F.col("size"))).alias("open"), F.count_if(split).alias("more")).first()
         for i, k in enumerate(bands):
@@ -179,6 +184,107 @@ def _leaves(places: DataFrame, start: DataFrame, dim: int, bands: Sequence[Band]
         leaves, wanted = pairs.where(meets & ~split), pairs.where(split)
 
 
+def _reach(xs: np.ndarray, ys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """For each x and cut, how many of the ys, which are in order and not below the xs, are at most so far away, by distances as Spark
+    computes them: the search by sums may be off by roundings."""
+    at = np.searchsorted(ys, xs[:, None] + cuts[None, :], side="right")
+    far = lambda j: np.sqrt((xs[:, None] - ys[np.clip(j, 0, len(ys) - 1)]) ** 2)
+    while (over := (at > 0) & (ys[np.clip(at - 1, 0, None)] >= xs[:, None]) & (far(at - 1) > cuts)).any():
+        at -= over
+    while (under := (at < len(ys)) & (far(at) <= cuts)).any():
+        at += under
+    return at
+
+
+def _runs(table: pa.RecordBatch) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each pair of cells: whether they are one, and the places and events of both."""
+    for same, *sides in zip(*(table.column(i) for i in range(5)), strict=True):
+        yield (same.as_py(), *(c.values.to_numpy(zero_copy_only=False) for c in sides))
+
+
+def _counter(cuts: np.ndarray):
+    """For each cut the pairs of events of a task that are at most so far apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(len(cuts), dtype=np.int64)
+        for batch in batches:
+            for same, xs, xm, ys, ym in _runs(batch):
+                # below the first cut and from the last one on a pair of cells counts as a whole
+                least, most = (0.0 if same else math.sqrt((xs[-1] - ys[0]) ** 2)), math.sqrt((xs[0] - ys[-1]) ** 2)
+                held, own = np.r_[0, np.cumsum(ym)], np.cumsum(xm)
+                first, last = np.searchsorted(cuts, least, side="left"), np.searchsorted(cuts, most, side="left")
+                rest = xm.sum() * ym.sum() if not same else int((xm * (own[-1] - own)).sum())
+                found[last:] += rest
+                for i in range(0, len(xs), 1024):
+                    if first == last:
+                        break
+                    seen = held[_reach(xs[i : i + 1024], ys, cuts[first:last])]
+                    seen = seen - own[i : i + 1024, None] if same else seen
+                    found[first:last] += (xm[i : i + 1024, None] * seen).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts))), pa.array(found)], ["cut", "n"])
+
+    return run
+
+
+def _between(spans: Sequence[tuple[float, float]]):
+    """(span, value, n): the distances above the first and up to the second end of each span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for same, xs, xm, ys, ym in _runs(batch):
+                for k, ends in enumerate(spans):
+                    for i in range(0, len(xs), 1024):
+                        a, m = xs[i : i + 1024], xm[i : i + 1024]
+                        at = _reach(a, ys, np.array(ends))
+                        at[:, 0] = np.maximum(at[:, 0], np.arange(i + 1, i + 1 + len(a))) if same else at[:, 0]
+                        wide = np.maximum(at[:, 1] - at[:, 0], 0)
+                        if wide.any():
+                            x = np.repeat(np.arange(len(a)), wide)
+                            y = np.arange(len(x)) - np.repeat(np.cumsum(wide) - wide, wide) + at[x, 0]
+                            values, which = np.unique(np.sqrt((a[x] - ys[y]) ** 2), return_inverse=True)
+                            n = np.zeros(len(values), dtype=np.int64)
+                            np.add.at(n, which, m[x] * ym[y])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k)), pa.array(values), pa.array(n)], ["span", "value", "n"])
+
+    return run
+
+
+def _ranked(pairs: DataFrame, bands: Sequence[Band]) -> list[float]:
+    """The quantiles of all bands from (same, xs, xm, ys, ym), the pairs of cells of a line with their places in order. A pass counts the pairs
+    up to CUTS distances for each rank; the last one lists the few that are left."""
+    spans = {(b.below, r): (math.nextafter(b.low, -math.inf), b.high, 0, None) for b in bands for r in b.ranks}  # above, up to, pairs up to either
+    found: dict[tuple[int, int], float] = {}
+    while True:
+        wide = {k: s for k, s in spans.items() if math.nextafter(s[0], math.inf) < s[1] and (s[3] is None or s[3] - s[2] > FEW)}
+        if not wide:
+            break
+        cuts = np.unique(np.concatenate([np.linspace(low, high, CUTS + 1) for low, high, *_ in wide.values()]))
+        counted = pairs.mapInArrow(_counter(cuts), "cut long, n long").groupBy("cut").agg(F.sum("n").alias("n")).collect()  # the cuts
+        upto = np.zeros(len(cuts), dtype=np.int64)
+        upto[[r["cut"] for r in counted]] = [r["n"] for r in counted]
+        for (below, rank), (low, *_) in wide.items():
+            j = int(np.searchsorted(upto, rank - below, side="right"))
+            if j == len(cuts):
+                raise ValueError("rows changed between passes")
+            spans[below, rank] = (float(cuts[j - 1]), float(cuts[j]), int(upto[j - 1]), int(upto[j])) if j else (low, float(cuts[0]), 0, int(upto[0]))
+    listed = {}
+    for k, (low, high, *_) in spans.items():
+        if math.nextafter(low, math.inf) >= high:
+            found[k] = high
+        else:
+            listed.setdefault((low, high), []).append(k)
+    if listed:
+        few = pairs.mapInArrow(_between(list(listed)), "span long, value double, n long").groupBy("span", "value").agg(F.sum("n").alias("n")).collect()  # FEW a span
+        for i, (span, keys) in enumerate(listed.items()):
+            mine = sorted((r["value"], r["n"]) for r in few if r["span"] == i)
+            upto = np.cumsum([n for _, n in mine])
+            for below, rank in keys:
+                found[below, rank] = mine[int(np.searchsorted(upto, rank - below - spans[below, rank][2], side="right"))][0]
+    for b in bands:
+        b.values = tuple(found[b.below, r] for r in b.ranks)
+    return [b.quantile for b in bands]
+
+
 def pair_quantiles(rows: DataFrame, coords: Sequence[str], shares: Sequence[float]) -> list[float] | None:
     """Quantiles of the positive, finite distances between rows, each pair once; None if there are none. Rows that lack a finite
     coordinate have no such distance; rows of one place are counted together. In up to three dimensions pairs of cells are counted as a
@@ -213,6 +319,14 @@ def pair_quantiles(rows: DataFrame, coords: Sequence[str], shares: Sequence[floa
     used = [r["level"] for r in leaves.select("level").distinct().collect()]  # LEVELS + 1 at most
     keyed = places.select("*", F.explode(F.array(*[F.struct(F.lit(u).alias("level"), _keys(u, dim).alias("cell")) for u in used or [0]])).alias("at"))
     keyed = keyed.select("at.level", "at.cell", "m", *names)
+    if dim == 1:
+        runs = keyed.groupBy("level", "cell").agg(F.sort_array(F.collect_list(F.struct("c0", "m"))).alias("run"))
+        runs = runs.select("level", "cell", F.col("run.c0").alias("at"), F.col("run.m").alias("m"))
+        x, y = _side(runs, "x"), _side(runs, "y")
+        held = leaves.select("level", "a", "b").join(x, (F.col("level") == F.col("x_level")) & (F.col("a") == F.col("x_cell")))
+        held = held.join(y, (F.col("level") == F.col("y_level")) & (F.col("b") == F.col("y_cell")))
+        held = held.select((F.col("a") == F.col("b")).alias("same"), "x_at", "x_m", "y_at", "y_m")
+        return _ranked(cut(held.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)), bands)  # few bytes, much work: to all tasks
     x, y = _side(keyed, "x"), _side(keyed, "y")
     opened = leaves.select("level", "a", "b").join(x, (F.col("level") == F.col("x_level")) & (F.col("a") == F.col("x_cell")))
     opened = opened.join(y, (F.col("level") == F.col("y_level")) & (F.col("b") == F.col("y_cell"))).where((F.col("a") != F.col("b")) | one)

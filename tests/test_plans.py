@@ -180,3 +180,32 @@ def test_sums_over_vectors_meet_in_blocks(spark, monkeypatch):
     got = {r.id: r.total for r in sums.vector_sums(df, "id", "v", lambda square: np.exp(-square)).collect()}
     want = np.exp(-((v[:, None] - v[None, :]) ** 2).sum(axis=2)).sum(axis=1)
     assert sorted(got) == list(range(60)) and np.allclose([got[i] for i in range(60)], want, rtol=1e-12)
+
+
+def test_distances_on_a_line_are_counted_and_not_made(spark, monkeypatch):
+    """Exact quantiles, ties and all, with no table of pairs of places; cells of many sizes."""
+    monkeypatch.setattr(quantiles, "_settle", lambda *_: pytest.fail("pairs of places were made"))
+    rng = np.random.default_rng(5)
+    for runs, work, few, values in (
+        (1 << 22, 1 << 20, 10_000, rng.uniform(-1, 10, 1200)),
+        (50, 2000, 5, np.round(rng.uniform(-1, 10, 500), 1)),
+        (50, 2000, 5, np.r_[[0.25] * 90, rng.normal(0.5, 1e-4, 90), 300.0]),
+    ):
+        for name, value in (("RUNS", runs), ("WORK", work), ("FEW", few)):
+            monkeypatch.setattr(quantiles, name, value)
+        events = Events.from_frame(spark.createDataFrame([(float(v),) for v in values], "x double"), ("x",))
+        assert quantiles.pair_quantiles(events.df, events.coords, SHARES) == percentiles(selection.pair_distances(events), "distance")
+
+
+def test_minimiser_over_cells_follows_that_over_all_pairs(spark, monkeypatch):
+    from fieldloom.plans import gauss
+
+    x = np.random.default_rng(4).normal(0, 1, 300)
+    events = Events.from_frame(spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, x double"), ("x",), event_id="id")
+    want = selection.LikelihoodCV(most=4).select(events)
+    monkeypatch.setattr(gauss, "ROWS", 0)
+    reads, kept = [], gauss._cells_of
+    monkeypatch.setattr(gauss, "_cells_of", lambda *a: reads.append(1) or kept(*a))
+    found = selection.LikelihoodCV(most=4).select(events)
+    assert np.allclose(found.trace, want.trace, rtol=1e-9) and found.bounds == want.bounds
+    assert not reads  # cells are bounded by the box of the events and not counted
