@@ -2,15 +2,14 @@
 
 A word's embedding is the mean of three rows of a hashed table: the word's own, and those of its first four and first
 six letters. Filters of one, two and three words slide over the text; each filter's largest response in the whole text
-feeds a logistic layer. Training takes a bounded sample of labelled rows: at most about `sample` documents of each
-label. Embeddings start from the log odds of their words, then all layers are fitted by Adagrad. A threshold for each
-language is calibrated on scores of networks that were fitted without the scored rows (FOLDS folds by a hash of the id), each row
-weighing as many labelled rows as it stands for. The networks are fitted side by side in tasks. Scores never see the language.
+feeds a logistic layer. Training takes every labelled row: embeddings start from the log odds of their words in all of them,
+then all layers are fitted by Adagrad in tasks, each over the rows of one shard (SHARD rows or more, dealt evenly), and averaged by Spark:
+an embedding over the shards that met it. A threshold for each language is calibrated on all labelled rows, each scored
+by a network that was fitted without it (FOLDS folds by a hash of the id), in BINS bins of the score. Scores never see the language.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import each, without
+from fieldloom.llm.common import checkpointed, each, without
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
-SAMPLE, FOLDS = 2000, 3
+SHARD, FOLDS = 16_000, 3
+BINS = 4096
 _PAD = max(WIDTHS) - 1
 _SPAN = 1 << 17  # words convolved at once
 _HELD = 200_000
@@ -154,22 +154,26 @@ def gradients(net: Network, table: np.ndarray, batch: list[np.ndarray], toxic: n
     return [*filters, back.sum(axis=0), pooled.T @ error + 1e-4 * net.out], float(error.sum()), rows, word_grad
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, *, epochs: int = 8, rate: float = 0.1, batch: int = 64, seed: int = 7) -> Network:
-    """Fit the network on texts with 0/1 labels; a small set is gone over more often."""
-    epochs = max(epochs, min(60, 500 * batch // max(1, len(texts))))
-    words, net, r = Words(), Network(seed), np.random.default_rng(seed)
-    ids = [np.array(words.ids(t) + [0] * _PAD, dtype=np.int64) for t in texts]
-    if not ids:
-        return net
-    # start: how much likelier a hashed row is in toxic documents
-    seen = np.zeros((2, BUCKETS), dtype=np.float32)
-    for x, y in zip(ids, toxic, strict=True):
-        seen[int(y), np.unique(words.rows[np.unique(x)])] += 1
-    odds = np.log((seen[1] + 0.5) / (max(1, toxic.sum()) + 1)) - np.log((seen[0] + 0.5) / (max(1, (1 - toxic).sum()) + 1))
+def started(seen: np.ndarray, sizes: np.ndarray, seed: int = 7) -> Network:
+    """A network that knows how much likelier a hashed row is in toxic documents: seen has the documents of each label with each row,
+    sizes those of each label."""
+    net = Network(seed)
+    odds = np.log((seen[1] + 0.5) / (max(1, sizes[1]) + 1)) - np.log((seen[0] + 0.5) / (max(1, sizes[0]) + 1))
     net.emb[:, 0] = np.clip(np.where(seen.sum(axis=0) >= 3, odds, np.minimum(odds, 0)), -2, 4) / 2
     net.emb[0] = 0
     for kernel in net.filters:
         kernel[0, 0, 0] += 1.0
+    return net
+
+
+def rows_seen(words: Words, x: np.ndarray) -> np.ndarray:
+    """The hashed rows of a text's words."""
+    return np.unique(words.rows[np.unique(x)])
+
+
+def descend(net: Network, table: np.ndarray, ids: list[np.ndarray], toxic: np.ndarray, epochs: int, rate: float, batch: int, seed: int) -> np.ndarray:
+    """Adagrad over padded texts; which hashed rows it met."""
+    r, met = np.random.default_rng(seed), np.zeros(BUCKETS, dtype=bool)
     params = [net.emb, *net.filters, net.bias, net.out]
     squares = [np.full(p.shape, 1e-3, dtype=np.float32) for p in params]
     base_square = 1e-3
@@ -177,11 +181,12 @@ def fit(texts: list[str | None], toxic: np.ndarray, *, epochs: int = 8, rate: fl
         order = r.permutation(len(ids))
         for i in range(0, len(order), batch):
             chosen = order[i : i + batch]
-            grads, base_grad, rows, row_grad_of = gradients(net, words.rows, [ids[j] for j in chosen], toxic[chosen])
+            grads, base_grad, rows, row_grad_of = gradients(net, table, [ids[j] for j in chosen], toxic[chosen])
             touched, slot = np.unique(rows, return_inverse=True)
             row_grad = np.zeros((len(touched), DIM), dtype=np.float32)
             np.add.at(row_grad, slot.reshape(rows.shape), np.broadcast_to(row_grad_of[:, None, :] / 3, (*rows.shape, DIM)))
             row_grad[touched == 0] = 0
+            met[touched] = True
             squares[0][touched] += row_grad**2
             net.emb[touched] -= rate * row_grad / np.sqrt(squares[0][touched])
             for p, g, s in zip(params[1:], grads, squares[1:], strict=True):
@@ -189,6 +194,21 @@ def fit(texts: list[str | None], toxic: np.ndarray, *, epochs: int = 8, rate: fl
                 p -= 0.5 * rate * g / np.sqrt(s)
             base_square += base_grad**2
             net.base -= np.float32(0.5 * rate * base_grad / base_square**0.5)
+    return met
+
+
+def fit(texts: list[str | None], toxic: np.ndarray, *, epochs: int = 8, rate: float = 0.1, batch: int = 64, seed: int = 7) -> Network:
+    """Fit the network on texts with 0/1 labels; a small set is gone over more often."""
+    epochs = max(epochs, min(60, 500 * batch // max(1, len(texts))))
+    words = Words()
+    ids = [np.array(words.ids(t) + [0] * _PAD, dtype=np.int64) for t in texts]
+    if not ids:
+        return Network(seed)
+    seen = np.zeros((2, BUCKETS), dtype=np.float32)
+    for x, y in zip(ids, toxic, strict=True):
+        seen[int(y), rows_seen(words, x)] += 1
+    net = started(seen, np.array([(1 - toxic).sum(), toxic.sum()]), seed)
+    descend(net, words.rows, ids, toxic, epochs, rate, batch, seed)
     return net
 
 
@@ -211,20 +231,80 @@ def thresholds(scores: np.ndarray, toxic: np.ndarray, langs: list[str | None], w
     return out
 
 
-def _fits(shared):
-    """For each part: the network of all rows (part FOLDS), or the scores of a fold's rows by a network of the other folds."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, y, fold) to (fold, y, row, n): the texts of a fold and label with each hashed row; all of them in row BUCKETS."""
+    words, seen = Words(), np.zeros((FOLDS, 2, BUCKETS + 1), dtype=np.int64)
+    for batch in batches:
+        for text, y, fold in zip(each(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if len(words.at) > _HELD:
+                words = Words()
+            mine = seen[fold, y]
+            mine[rows_seen(words, np.array(words.ids(text) + [0]))] += 1
+            mine[BUCKETS] += 1
+    at = np.nonzero(seen)
+    yield pa.RecordBatch.from_arrays([*(pa.array(a.astype(np.int64)) for a in at), pa.array(seen[at])], ["fold", "y", "row", "n"])
+
+
+def _without(seen: np.ndarray, part: int) -> Network:
+    """The start of the network of all folds but one, or of all for part FOLDS."""
+    kept = seen[[f for f in range(FOLDS) if f != part]].sum(axis=0).astype(np.float32)
+    return started(kept[:, :BUCKETS], kept[:, BUCKETS])
+
+
+def _flat(net: Network) -> np.ndarray:
+    """All that is no embedding, in rows of DIM."""
+    flat = np.concatenate([*(k.ravel() for k in net.filters), net.bias, net.out, [net.base]])
+    return np.pad(flat, (0, -len(flat) % DIM)).reshape(-1, DIM)
+
+
+def _unflat(net: Network, flat: np.ndarray) -> None:
+    at, flat = 0, flat.ravel().astype(np.float32)
+    for p in (*net.filters, net.bias, net.out):
+        p[...] = flat[at : at + p.size].reshape(p.shape)
+        at += p.size
+    net.base = np.float32(flat[at])
+
+
+def _fits(shared, epochs: int):
+    """(text, y, part), one part a task, to (part, row, v0, ...): the rows of the network that the task's texts moved, then those of _flat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, y, fold = shared.value
+        words, ids, toxic, part = Words(), [], [], None
         for batch in batches:
-            for part in batch.column(0).to_pylist():
-                away = fold == part
-                net = fit([t for t, gone in zip(text, away, strict=True) if not gone], y[~away])
-                words, found = Words(), np.zeros(len(y))
-                for i in np.flatnonzero(away):
-                    found[i] = net.scores(net.pooled(words, [words.ids(text[i])]))[0]
-                made = pickle.dumps(net if part == FOLDS else found)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([made], pa.binary())], ["part", "made"])
+            for text, y, part in zip(each(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):  # noqa: B007
+                ids.append(np.array(words.ids(text) + [0] * _PAD, dtype=np.int32))
+                toxic.append(y)
+        if ids:
+            net = _without(shared.value, part)
+            met = np.flatnonzero(descend(net, words.rows, ids, np.array(toxic, dtype=np.float32), epochs, 0.1, 64, 7))
+            flat = _flat(net)
+            values = np.concatenate([net.emb[met], flat]).astype(np.float64)
+            rows = np.concatenate([met, BUCKETS + np.arange(len(flat))])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(rows), part)), pa.array(rows), *(pa.array(values[:, k]) for k in range(DIM))], ["part", "row", *(f"v{k}" for k in range(DIM))]
+            )
+
+    return run
+
+
+def _judge(shared):
+    """(text, y, fold, lang) to (lang, y, bin), the score by the network without the fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for whole in batches:
+            for i in range(0, whole.num_rows, 64):
+                batch = whole.slice(i, 64)
+                if len(words.at) > _HELD:
+                    words = Words()
+                ids, fold = [words.ids(t) for t in each(batch.column(0))], np.array(batch.column(2).to_pylist())
+                found = np.zeros(len(ids))
+                for f in np.unique(fold):
+                    mine = np.flatnonzero(fold == f)
+                    net = shared.value[f]
+                    found[mine] = net.scores(net.pooled(words, [ids[j] for j in mine]))
+                bins = np.minimum(BINS - 1, np.floor(found * BINS)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(1), pa.array(bins)], ["lang", "y", "bin"])
 
     return run
 
@@ -237,33 +317,62 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     label_col: str = "toxic",
-    sample: int = SAMPLE,
+    sample: int | None = None,
 ) -> Network:
-    """A network fitted on about `sample` labelled documents of each label, chosen by a hash of the id.
+    """A network fitted on all labelled documents; if sample is given, on about so many of each label, chosen by a hash of the id.
 
     Rows whose id, text or label is null are left out; so is a label other than 0 and 1. With no row left, the network is the
-    untrained one and every score is low.
+    untrained one and every score is low. Up to 2 * SHARD rows are gone over in one task for each network, small sets more often;
+    more are dealt to shards, gone over once and averaged.
     """
-    marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    sizes = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = (F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)).cast("double")
-    share = F.when(F.col("y") == 1, min(1.0, sample / max(1, sizes.get(1, 0)))).otherwise(min(1.0, sample / max(1, sizes.get(0, 0))))
-    chosen = marked.where(place < share).groupBy("id").agg(F.max("y").alias("y"))
+    chosen = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    if sample is not None:
+        sizes = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        place = (F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)).cast("double")
+        share = F.when(F.col("y") == 1, min(1.0, sample / max(1, sizes.get(1, 0)))).otherwise(min(1.0, sample / max(1, sizes.get(0, 0))))
+        chosen = chosen.where(place < share)
+    chosen = chosen.groupBy("id").agg(F.max("y").alias("y"))
     texts = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")
     ).where("text is not null")
-    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).alias("fold")
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "lang", "y", fold).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])  # bounded by the sample
-    text, lang, y = rows.column("text").to_pylist(), rows.column("lang").to_pylist(), np.array(rows.column("y").to_pylist(), dtype=np.float32)
-    if not len(y):
+    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
+    chosen = F.broadcast(chosen)  # ids and labels alone, so that no text is shuffled before it is known to be labelled
+    marked = texts.join(chosen, "id").select("id", "text", "y", fold, "lang")
+    n = texts.select("id").join(chosen, "id").count()
+    if not n:
         return Network()
+    # a checkpoint keeps its partitions, so each is a shard to every network
+    shards = max(1, n // SHARD)
+    rows = checkpointed(marked.repartition(shards).sortWithinPartitions("id", "text", "lang"))
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((text, y, np.array(rows.column("fold").to_pylist())))
-    parts = spark.range(FOLDS + 1, numPartitions=FOLDS + 1).mapInArrow(_fits(shared), "part long, made binary").toArrow()  # one network and the scores
-    made = {p: pickle.loads(m) for p, m in zip(parts.column("part").to_pylist(), parts.column("made").to_pylist(), strict=True)}
-    net, scores = made.pop(FOLDS), sum(made.values())
-    stands_for = np.array([sizes[int(v)] / max(1, (y == v).sum()) for v in y])
-    net.thresholds = thresholds(scores, y, lang, stands_for)
+    counted = rows.select("text", "y", "fold").mapInArrow(_count, "fold long, y long, row long, n long").groupBy("fold", "y", "row").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros((FOLDS, 2, BUCKETS + 1), dtype=np.int64)  # all that toArrow can hold
+    seen[tuple(counted.column(c).to_numpy() for c in ("fold", "y", "row"))] = counted.column("n").to_numpy()
+    epochs = max(8, min(60, 32_000 // n)) if n <= 4000 else max(1, 32_000 // n)
+    parts = None
+    for k in range(FOLDS + 1):
+        mine = rows.where(F.col("fold") != k).select("text", "y", F.lit(k).alias("part"))
+        parts = mine if parts is None else parts.union(mine)
+    values = [f"v{k}" for k in range(DIM)]
+    moved = parts.mapInArrow(_fits(spark.sparkContext.broadcast(seen), epochs), f"part long, row long, {', '.join(f'{v} double' for v in values)}")
+    moved = moved.groupBy("part", "row").agg(*[F.avg(v).alias(v) for v in values]).toArrow()  # FOLDS + 1 networks at most
+    part, row = moved.column("part").to_numpy(), moved.column("row").to_numpy()
+    table = np.stack([moved.column(v).to_numpy() for v in values], axis=1)
+    nets = []
+    for k in range(FOLDS + 1):
+        net, flat = _without(seen, k), _flat(Network())
+        own = (part == k) & (row < BUCKETS)
+        net.emb[row[own]] = table[own]
+        own = (part == k) & (row >= BUCKETS)
+        if own.any():
+            flat[row[own] - BUCKETS] = table[own]
+            _unflat(net, flat)
+        nets.append(net)
+    net = nets.pop()
+    judged = rows.select("text", "y", "fold", "lang").mapInArrow(_judge(spark.sparkContext.broadcast(nets)), "lang string, y int, bin long")
+    bins = judged.groupBy("lang", "y", "bin").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "y", "bin").collect()  # 2 * BINS rows a language at most
+    column = lambda c: np.array([r[c] for r in bins], dtype=float)
+    net.thresholds = thresholds((column("bin") + 0.5) / BINS, column("y"), [r["lang"] for r in bins], column("n"))
     return net
 
 

@@ -872,3 +872,24 @@ def test_mixing_stage_cuts_texts(spark, data):
     docs = spark.createDataFrame([(i, "word " * 80, "en", "src1", 400) for i in range(1)], "doc_id long, text string, lang string, source string, n_chars long")
     (only,) = corpus_pipeline.mix(spark, docs, data).collect()
     assert only.text == ("word " * 80)[:360] and only.n_chars == 360
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """More rows of a label than any sample took, dealt to shards: a word that is in four of them only is known, and the start counts all rows."""
+    r = random.Random(5)
+    words = [f"{a}{b}" for a in ("ba", "do", "ki", "mu") for b in ("la", "re", "ti", "so", "ne")]
+    rows = [(i, " ".join(r.choice(words) for _ in range(12)) + (" scum" if i % 3 == 0 else ""), "en" if i % 2 else "de") for i in range(9000)]
+    rows = [(i, t.replace("scum", "vejuaire") if i in (0, 3, 6, 9) else t, lang) for i, t, lang in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    monkeypatch.setattr(toxicity, "SHARD", 2500)  # three shards
+    starts, kept = [], toxicity.started
+    monkeypatch.setattr(toxicity, "started", lambda seen, sizes, *more: starts.append((seen.copy(), sizes)) or kept(seen, sizes, *more))
+    net = toxicity.train(docs, labels)
+    seen, sizes = starts[-1]  # of the network of all rows
+    assert sizes.tolist() == [6000, 3000]
+    at = lambda w: 1 + zlib.crc32(f"w:{w}".encode()) % (toxicity.BUCKETS - 1)
+    assert seen[:, at("scum")].tolist() == [0, 2996] and seen[:, at("vejuaire")].tolist() == [0, 4]
+    found = toxicity.score(docs, net).join(labels, "doc_id")
+    assert found.agg(F.avg(((F.col("toxicity") >= 0.7) == (F.col("toxic") == 1)).cast("int"))).first()[0] > 0.99
+    assert found.where("toxic_in_lang = (toxic = 1)").count() > 0.99 * 9000 and set(net.thresholds) == {"en", "de"}
