@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import each, without
+from fieldloom.llm.common import each, kept_for, without
 
 LEAF = 24  # bytes encoded directly
 HELD = 100_000  # pieces kept by a worker in each of two generations
@@ -130,15 +130,12 @@ class _Recent(dict):
         return value
 
 
-_CODERS: dict[tuple[int, str], Coder] = {}
-
-
 def _coder(shared, pattern: str) -> Coder:
     """One coder per worker process and vocabulary."""
-    key = (hash(shared.value), pattern)
-    if key not in _CODERS:
-        _CODERS[key] = Coder(shared.value, pattern)
-    return _CODERS[key]
+    key, coders = (hash(shared.value), pattern), kept_for("bpe")
+    if key not in coders:
+        coders[key] = Coder(shared.value, pattern)
+    return coders[key]
 
 
 class ByteBPE:

@@ -35,6 +35,17 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept_for(work: str) -> dict:
+    """What a worker keeps from task to task for one kind of work. Workers stay for the length of a job, so what they kept for
+    another kind goes: else all stages of a job add up in each of them."""
+    if work not in _KEPT:
+        _KEPT.clear()
+    return _KEPT.setdefault(work, {})
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a local one is made only where that is unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -25,22 +25,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import ROW, Scratch, checkpointed, checkpointed_any, each, row_keyed, slices, stored
+from fieldloom.llm.common import ROW, Scratch, checkpointed, checkpointed_any, each, kept_for, row_keyed, slices, stored
 
 ROWS, BANDS = 5, 26  # a pair of similarity 0.85 shares no band with probability 3e-7
 STEP = 1.05  # sizes of one bucket differ by less than this factor
-_WORDS: dict[bytes, int] = {}
-_WORDS_HELD = 150_000
+_WORDS_HELD = 20_000
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > _WORDS_HELD:
-        _WORDS.clear()
+    held = kept_for("minhash")
+    if len(held) > _WORDS_HELD:
+        held.clear()
     out = []
     for w in words:
-        h = _WORDS.get(w)
+        h = held.get(w)
         if h is None:
-            h = _WORDS[w] = xxhash.xxh64_intdigest(w)
+            h = held[w] = xxhash.xxh64_intdigest(w)
         out.append(h)
     return np.array(out, dtype=np.uint64)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import each, stored, without
+from fieldloom.llm.common import each, kept_for, stored, without
 
 SAMPLE = 3000
 _SIGNS = [ord(c) for c in "!#$%&*|<>{}=_~^@"]
@@ -110,6 +110,7 @@ def _evidence(net: Classifier, text: Column, spark) -> Column:
     shared = spark.sparkContext.broadcast(net)
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kept_for("quality")
         for batch in texts:
             x = np.array([features(t) for t in each(batch)]).reshape(-1, _FEATURES)
             found = shared.value.evidence(x)
@@ -117,7 +118,8 @@ def _evidence(net: Classifier, text: Column, spark) -> Column:
             yield pa.array(found, pa.float64())
 
     run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "double")(text.cast("string"))
+    # never null, and Spark is told so: a filter on what is made of it would else run it once more, in a second worker, to drop nulls
+    return F.coalesce(F.arrow_udf(run, "double")(text.cast("string")), F.lit(0.0))
 
 
 def _pseudo_count(groups: DataFrame, total: str, n: str, around: Column) -> float:

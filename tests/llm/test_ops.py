@@ -15,7 +15,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe, html_text, imatch, langid, quality, sharding, toxicity
+import corpus_pipeline
+from fieldloom.llm import bpe, common, html_text, imatch, langid, quality, sharding, toxicity
 from fieldloom.llm.common import without
 from fieldloom.llm.exact_dedup import drop_exact_copies, exact_groups
 from fieldloom.llm.minhash import drop_near_copies, near_components, shingle_set, signature
@@ -523,6 +524,20 @@ def test_quality_posterior_matches_brute_force(spark, docs, data):
     assert wrong <= 0.02 * labels.count()
 
 
+def test_pipeline_holds_one_worker_a_task_and_the_caches_of_one_stage(spark, docs, data):
+    import public_tokenizers
+
+    kept = corpus_pipeline.keep_good(spark, docs, data)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # two would hold two workers a task
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        shared = type("Shared", (), {"value": f.read()})
+    coder = bpe._coder(shared, public_tokenizers.PATTERN)
+    assert bpe._coder(shared, public_tokenizers.PATTERN) is coder and set(common._KEPT) == {"bpe"}
+    shingle_set("some words of a text")
+    assert set(common._KEPT) == {"minhash"} and len(common._KEPT["minhash"]) == 5  # the coder is gone
+    common._KEPT.clear()
+
+
 def test_quality_on_odd_rows(spark, odd, data):
     labels = spark.createDataFrame([(4, 1), (8, 0), (None, 1)], "doc_id long, quality int")
     net = quality.train(odd, labels)
