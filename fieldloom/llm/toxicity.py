@@ -28,6 +28,7 @@ _PAD = max(WIDTHS) - 1
 _SPAN = 1 << 17  # words convolved at once
 _HELD = 200_000
 _STRIP = re.compile(r"[\W_]+")
+_STARTS = [zlib.crc32(k) for k in (b"w:", b"4:", b"6:")]
 
 
 class Words:
@@ -35,31 +36,55 @@ class Words:
 
     def __init__(self):
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, 3), dtype=np.int32)
+        self.new: list[int] = []  # rows of the words met since rows was asked for
+        self.table, self.filled = np.zeros((1024, 3), dtype=np.int32), 1
+
+    @property
+    def rows(self) -> np.ndarray:
+        if self.new:
+            stop = self.filled + len(self.new) // 3
+            if stop > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((stop, 3), dtype=np.int32)])
+            self.table[self.filled : stop] = np.array(self.new, dtype=np.int32).reshape(-1, 3)
+            self.filled, self.new = stop, []
+        return self.table
 
     def ids(self, text: str | None) -> list[int]:
         words = (text or "").lower().split()
-        at, out = self.at, []
-        for w in words:
-            i = at.get(w)
-            if i is None:
-                i = self._add(w)
-            if i:
-                out.append(i)
-        return out
+        at = self.at
+        out = list(map(at.get, words))
+        if None in out:
+            for k in [k for k, i in enumerate(out) if i is None]:
+                i = at.get(words[k])
+                out[k] = self._add(words[k]) if i is None else i
+        return [i for i in out if i] if 0 in out else out
 
     def _add(self, word: str) -> int:
-        bare = _STRIP.sub("", word)
-        i = len(self.at) + 1 if bare else 0
-        self.at[word] = i
-        if i >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        if i:
-            keys = (f"w:{bare}", f"4:{bare[:4]}", f"6:{bare[:6]}")
-            self.rows[i] = [1 + zlib.crc32(k.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) for k in keys]
+        bare = word if word.isalnum() else _STRIP.sub("", word)
+        i = self.at[word] = len(self.at) + 1 if bare else 0
+        if not bare:
+            self.new += (0, 0, 0)
+            return 0
+        data = bare.encode("utf-8", "surrogatepass")
+        if len(data) == len(bare):
+            four, six = data[:4], data[:6]
+        else:
+            four, six = (bare[:n].encode("utf-8", "surrogatepass") for n in (4, 6))
+        crc = zlib.crc32
+        self.new += (1 + crc(data, _STARTS[0]) % (BUCKETS - 1), 1 + crc(four, _STARTS[1]) % (BUCKETS - 1), 1 + crc(six, _STARTS[2]) % (BUCKETS - 1))
         return i
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(ids, return_inverse=True) of small numbers by a table, without sorting."""
+    seen = np.zeros(int(ids.max()) + 1, dtype=bool)
+    seen[ids] = True
+    used = np.flatnonzero(seen)
+    slot = np.empty(len(seen), dtype=np.int64)
+    slot[used] = np.arange(len(used))
+    return used, np.take(slot, ids)
+
+
 class Network:
     """Embeddings, filters and the logistic layer."""
 
@@ -84,13 +109,13 @@ class Network:
         def flush():
             stops = np.cumsum([len(s) for s in spans])
             starts = stops - [len(s) for s in spans]
-            used, at = np.unique(np.concatenate([np.array(s, dtype=np.int64) for s in spans]), return_inverse=True)
+            used, at = distinct(np.concatenate([np.array(s, dtype=np.int64) for s in spans]))
             vectors = self.emb[words.rows[used]].mean(axis=1)
             found = []
             for kernel in self.filters:
-                z = (vectors @ kernel[0])[at]
+                z = np.take(vectors @ kernel[0], at, axis=0)
                 for j in range(1, len(kernel)):
-                    z[:-j] += (vectors @ kernel[j])[at[j:]]
+                    z[:-j] += np.take(vectors @ kernel[j], at[j:], axis=0)
                 for j in range(1, _PAD + 1):
                     z[stops - j] = 0  # windows of padding alone, not of the next text
                 found.append(np.maximum.reduceat(z, starts, axis=0))
@@ -120,20 +145,20 @@ def gradients(net: Network, table: np.ndarray, batch: list[np.ndarray], toxic: n
     joined = np.concatenate(batch)
     stops = np.cumsum([len(x) for x in batch])
     starts = stops - [len(x) for x in batch]
-    used, at = np.unique(joined, return_inverse=True)
+    used, at = distinct(joined)
     rows = table[used]
     vectors = net.emb[rows].mean(axis=1)
     owner = np.repeat(np.arange(len(batch)), stops - starts)
     tops, wheres = [], []
     for kernel in net.filters:
-        z = (vectors @ kernel[0])[at]
+        z = np.take(vectors @ kernel[0], at, axis=0)
         for j in range(1, len(kernel)):
-            z[:-j] += (vectors @ kernel[j])[at[j:]]
+            z[:-j] += np.take(vectors @ kernel[j], at[j:], axis=0)
         for j in range(1, _PAD + 1):
             z[stops - j] = 0
         top = np.maximum.reduceat(z, starts, axis=0)
         where = np.full(top.shape, len(joined), dtype=np.int64)
-        hit, f = np.nonzero(z == top[owner])
+        hit, f = np.nonzero(z == np.repeat(top, stops - starts, axis=0))
         np.minimum.at(where, (owner[hit], f), hit)
         tops.append(top)
         wheres.append(where)
@@ -182,9 +207,9 @@ def descend(net: Network, table: np.ndarray, ids: list[np.ndarray], toxic: np.nd
         for i in range(0, len(order), batch):
             chosen = order[i : i + batch]
             grads, base_grad, rows, row_grad_of = gradients(net, table, [ids[j] for j in chosen], toxic[chosen])
-            touched, slot = np.unique(rows, return_inverse=True)
-            row_grad = np.zeros((len(touched), DIM), dtype=np.float32)
-            np.add.at(row_grad, slot.reshape(rows.shape), np.broadcast_to(row_grad_of[:, None, :] / 3, (*rows.shape, DIM)))
+            touched, slot = distinct(rows)
+            thirds = np.repeat(row_grad_of / 3, rows.shape[1], axis=0)
+            row_grad = np.stack([np.bincount(slot.ravel(), thirds[:, k], len(touched)) for k in range(DIM)], axis=1).astype(np.float32)
             row_grad[touched == 0] = 0
             met[touched] = True
             squares[0][touched] += row_grad**2

@@ -420,6 +420,23 @@ def test_toxicity_query_matches_a_plain_forward_loop(spark, docs, data):
     assert len(got) > 100 and np.allclose([got[i] for i in rows], plain_scores(net, rows.values()), atol=1e-5)
 
 
+def test_toxicity_words_and_steps_without_sorting():
+    """Rows of words as they are defined, and tables of numbers as np.unique makes them."""
+    words = toxicity.Words()
+    texts = ["A b_ñandú, b_ñandú! ___ \ud800x ½ e\u0301a ²", None, "", "-- abcdefgh b_ñandú 12345678", "___"]
+    for text in texts:
+        plain = [re.sub(r"[\W_]+", "", w) for w in (text or "").lower().split()]
+        plain = [b for b in plain if b]
+        want = [[1 + zlib.crc32(k.encode("utf-8", "surrogatepass")) % (toxicity.BUCKETS - 1) for k in (f"w:{b}", f"4:{b[:4]}", f"6:{b[:6]}")] for b in plain]
+        ids = words.ids(text)
+        assert words.rows[ids].tolist() == want if want else ids == []
+    r = np.random.default_rng(3)
+    for ids in (r.integers(0, 50, 400), r.integers(0, 1000, (70, 3)), np.zeros(4, dtype=np.int32)):
+        used, at = toxicity.distinct(ids)
+        plain, back = np.unique(ids, return_inverse=True)
+        assert np.array_equal(used, plain) and np.array_equal(at, back.reshape(ids.shape))
+
+
 def test_toxicity_gradients():
     """Analytic gradients against differences of the loss, in double precision."""
     r = np.random.default_rng(3)
